@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import ready
 
 LONG_WORD = 96
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 NO_RANK = 1 << 60
 
 #: Fixed value: how byte-level vocabularies of this family cut a text into words.
@@ -47,6 +47,28 @@ def visible_bytes() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+def packed(ids: list[int]) -> bytes:
+    """ids as little-endian unsigned 32-bit integers."""
+    return np.array(ids, "<u4").tobytes()
+
+
+class Memo(dict):
+    """Packed ids by word; merges a word that isn't known yet, and starts anew when full."""
+
+    def __init__(self, codec: ByteBPE):
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, word: str) -> bytes:
+        raw = word.encode()
+        if len(raw) > LONG_WORD:
+            return packed(self.codec.merge_long(raw))
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        ids = self[word] = packed(self.codec.merge_short(raw))
+        return ids
+
+
 class ByteBPE:
     """Encoder and decoder for one vocabulary in the tokenizers library's JSON."""
 
@@ -74,7 +96,8 @@ class ByteBPE:
             self.made.append(ids[left + right])
         self.words = regex.compile(SPLIT)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.memo: dict[str, list[int]] = {}
+        self.special_ids = {t: packed([i]) for t, i in self.special.items()}
+        self.memo = Memo(self)
 
     def merge_short(self, word: bytes) -> list[int]:
         """ids of a word by the rank array."""
@@ -118,37 +141,19 @@ class ByteBPE:
                 heapq.heappush(heap, (q, h, parts[h], parts[i]))
         return [p for p, dead in zip(parts, gone, strict=True) if not dead]
 
-    def word(self, word: str) -> list[int]:
-        raw = word.encode()
-        ids = self.merge_short(raw) if len(raw) <= LONG_WORD else self.merge_long(raw)
-        if len(raw) <= LONG_WORD:
-            if len(self.memo) >= MEMO_WORDS:
-                self.memo.clear()
-            self.memo[word] = ids
-        return ids
+    def encode_ordinary(self, text: str) -> bytes:
+        return b"".join(map(self.memo.__getitem__, self.words.findall(text)))
 
-    def encode_ordinary(self, text: str) -> list[int]:
-        out: list[int] = []
-        add, known = out.extend, self.memo
-        for word in self.words.findall(text):
-            try:
-                add(known[word])
-            except KeyError:
-                add(self.word(word))
-        return out
-
-    def encode(self, text: str | None) -> list[int]:
+    def encode(self, text: str | None) -> bytes:
+        """The text's ids, packed."""
         if not text:
-            return []
+            return b""
         if self.cut is None:
             return self.encode_ordinary(text)
-        out: list[int] = []
-        for k, piece in enumerate(self.cut.split(text)):
-            if k % 2:
-                out.append(self.special[piece])
-            elif piece:
-                out += self.encode_ordinary(piece)
-        return out
+        cut = self.cut.split(text)
+        if len(cut) == 1:
+            return self.encode_ordinary(text)
+        return b"".join(self.special_ids[piece] if k % 2 else self.encode_ordinary(piece) for k, piece in enumerate(cut))
 
     def decode(self, ids) -> str:
         table, size = self.of_id, len(self.of_id)
@@ -188,22 +193,22 @@ def encode(df: DataFrame, vocab_path: str, text: str = "text", out: str = "ids",
     special: whether special tokens' strings in a text become those tokens.
     A column already called ``out`` is replaced.
     """
-    spark = ready(df.sparkSession)
+    spark = ready(df.sparkSession, 256)
     document = vocabulary(spark, vocab_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = loaded(document)
-        one = codec.encode if special else lambda t: codec.encode_ordinary(t) if t else []
+        one = codec.encode if special else lambda t: codec.encode_ordinary(t) if t else b""
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
-            yield _with(batch, out, pa.array((np.array(one(t.as_py()), "<u4").tobytes() for t in texts), pa.binary()))
+            yield _with(batch, out, pa.array((one(t.as_py()) for t in texts), pa.binary()))
 
     return df.mapInArrow(run, _plus(df, out, T.BinaryType()))
 
 
 def decode(df: DataFrame, vocab_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df and ``out``: the text that packed ids stand for, special tokens included."""
-    spark = ready(df.sparkSession)
+    spark = ready(df.sparkSession, 256)
     document = vocabulary(spark, vocab_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

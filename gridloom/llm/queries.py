@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, sharding
+from . import bpe, langid, mixing, sharding, toxicity
 from .common import WORD, table
 
 TOKENIZER_DIR = "/opt/tokenizers"
 SHARDS = 40
+TOXIC = 0.7
 
 
 def word_count(text):
@@ -19,6 +20,19 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def id_remainder(n: int):
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op2_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(id_remainder(4) == 2, F.lit(False))
+    filters = langid.learn(docs, id_remainder(4) != 2)
+    told = langid.predict(docs.select("doc_id", "text"), filters)
+    return told.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_mixing_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -37,8 +51,16 @@ def op9_bpe_rank_array(spark: SparkSession, sf_dir: str, vocab_path: str = f"{TO
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), id_remainder(3) != 1)
+    scored = toxicity.score(docs, model)
+    held_out = F.coalesce(id_remainder(3) == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_mixing_schedule, op6_shard_prefix_bytes, op9_bpe_rank_array)
+    f.__name__: f for f in (op2_language_bitmask, op4_mixing_schedule, op6_shard_prefix_bytes, op9_bpe_rank_array, op10_toxicity_nnpu)
 }
 
 ORACLE: dict[str, str] = {
