@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, sharding, toxicity
+from . import bpe, langid, mixing, neardup, sharding, toxicity
 from .common import WORD, table
 
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -45,6 +45,10 @@ def op6_shard_prefix_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.cluster(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op9_bpe_rank_array(spark: SparkSession, sf_dir: str, vocab_path: str = f"{TOKENIZER_DIR}/byte_bpe_50k.json") -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.decode(bpe.encode(docs, vocab_path).drop("text"), vocab_path)
@@ -60,7 +64,7 @@ def op10_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_language_bitmask, op4_mixing_schedule, op6_shard_prefix_bytes, op9_bpe_rank_array, op10_toxicity_nnpu)
+    f.__name__: f for f in (op2_language_bitmask, op4_mixing_schedule, op6_shard_prefix_bytes, op7_odd_sketches, op9_bpe_rank_array, op10_toxicity_nnpu)
 }
 
 ORACLE: dict[str, str] = {
