@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, neardup, sharding, toxicity
-from .common import WORD, table
+from . import bpe, langid, mixing, neardup, sharding, toxicity, warc
+from .common import WORD, scratch, table
 
 TOKENIZER_DIR = "/opt/tokenizers"
 SHARDS = 40
@@ -33,6 +33,12 @@ def op2_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_mixing_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -64,10 +70,15 @@ def op10_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_language_bitmask, op4_mixing_schedule, op6_shard_prefix_bytes, op7_odd_sketches, op9_bpe_rank_array, op10_toxicity_nnpu)
+    f.__name__: f for f in (op2_language_bitmask, op3_warc_dictionary, op4_mixing_schedule, op6_shard_prefix_bytes, op7_odd_sketches, op9_bpe_rank_array, op10_toxicity_nnpu)
 }
 
 ORACLE: dict[str, str] = {
+    "op3_warc_dictionary": r"""
+with p as (select page_id, strlen(coalesce(html, ''))::bigint payload_bytes, sha256(coalesce(html, '')) payload_digest from pages),
+m as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) else page_id end lead from p)
+select page_id, payload_bytes, payload_digest, case when lead = page_id then 'response' else 'revisit' end record_type,
+  case when lead <> page_id then lead end refers_to from m""",
     "op4_mixing_schedule": r"""
 with d as (select doc_id, source, md5('mix|' || doc_id) k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size from documents),
 s as (select source, sum(size)::hugeint n, row_number() over (order by source nulls last) - 1 i from d group by source),
