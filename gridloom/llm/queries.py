@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, neardup, sharding, toxicity, warc
+from . import bpe, hnsw, langid, mixing, neardup, sharding, toxicity, warc
 from .common import WORD, scratch, table
 
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -25,6 +25,10 @@ def id_remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op1_hnsw_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.links(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op2_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(id_remainder(4) == 2, F.lit(False))
@@ -70,7 +74,7 @@ def op10_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_language_bitmask, op3_warc_dictionary, op4_mixing_schedule, op6_shard_prefix_bytes, op7_odd_sketches, op9_bpe_rank_array, op10_toxicity_nnpu)
+    f.__name__: f for f in (op1_hnsw_shards, op2_language_bitmask, op3_warc_dictionary, op4_mixing_schedule, op6_shard_prefix_bytes, op7_odd_sketches, op9_bpe_rank_array, op10_toxicity_nnpu)
 }
 
 ORACLE: dict[str, str] = {
