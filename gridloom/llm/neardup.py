@@ -8,9 +8,10 @@ pair whose sketches are far enough apart is dropped without looking at texts;
 every other one is confirmed on the full sets.
 
 A bucket of any size costs pairs in proportion to its size: its members are
-first compared with one leader, the member that shares most buckets. What then
-is still in different components is compared block by block on sketches alone,
-so that no link is lost and no pair of an already joined group is made.
+first compared with one leader, the member that shares most buckets. Where
+different components then still meet in a bucket, their members are compared
+block by block inside tasks, which give no more links than join components: no
+link that matters is lost, and no group's pairs are written out.
 
 Cases: a text without words, or a null one, has an empty set and is linked with
 nothing; a text with fewer words than a shingle is one shingle; rows with the
@@ -36,7 +37,7 @@ ROWS, BANDS = 6, 48
 SAMPLES = ROWS * BANDS
 SKETCH_BITS = 1024
 #: Members that are compared with each other in one piece of work.
-BLOCK = 512
+BLOCK = 1024
 MEMO_WORDS = 250_000
 
 _RNG = np.random.default_rng(20140407)
@@ -150,70 +151,105 @@ def close_sketches(pairs: DataFrame, marks: DataFrame, percent: int, differing:
     return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union on their full sets.
-
-    Sets go to b's rows first and with them to a, which may be the leader of many.
-    """
+def full_sets(ids: DataFrame, docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
+    """(id, whole): the full sets, packed, of the documents whose ids are given once each."""
     ready(docs.sparkSession, 128)
-    kind = pairs.schema["a"].dataType
-    wanted = pairs.select(F.col("a").alias(id_col)).unionByName(pairs.select(F.col("b").alias(id_col))).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((shingles(t.as_py(), width).tobytes() for t in batch.column(1)), pa.binary())], names=["id", "whole"])
 
-    chosen = docs.select(id_col, text).join(wanted, id_col, "left_semi").mapInArrow(sets, T.StructType([T.StructField("id", kind), T.StructField("whole", T.BinaryType())]))
-    chosen = stored(chosen, "sets")
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("whole", T.BinaryType())])
+    return stored(docs.select(id_col, text).join(ids.select(F.col("id").alias(id_col)), id_col, "left_semi").mapInArrow(sets, schema), "sets")
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) with 100 * intersection >= percent * union on their full sets.
+
+    Sets go to b's rows first and with them to a, which may be the leader of many.
+    """
+    kind = pairs.schema["a"].dataType
+    chosen = full_sets(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), docs, id_col, text, width)
     side = lambda s: chosen.select(F.col("id").alias(s), F.col("whole").alias(f"whole_{s}"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                good.append(100 * common >= percent * (len(x) + len(y) - common))
+            good = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(good, pa.bool_())) for k in (0, 1)], names=["a", "b"])
 
     joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "whole_a", "whole_b")
     return joined.mapInArrow(check, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
-def block_pairs(open_rows: DataFrame, percent: int, differing: int) -> DataFrame:
-    """Pairs (a, b) of different components in a common bucket, near by sketch.
+def open_groups(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """What may still be linked: (kind, key, id, component, side), with kind 0 for a bucket's unlinked members and 1 for a component's with what it meets.
 
-    open_rows: key, id, component, n_shingles, sketch and ``blocks`` of the bucket.
-    Members are dealt into blocks, and each two blocks of a bucket are compared in one task.
+    shared: key, id and size of the buckets; found: node and component. In a group of
+    kind 0 every two members are to be compared; in one of kind 1 the component's own
+    members (side 0) with the others (side 1). A meeting of two components counts once.
+    """
+    placed = shared.filter("size > 2").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), F.col("component").isNotNull().alias("linked"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("key")
+    rows = settled(placed.join(mixed, "key", "left_semi"))
+    lonely = rows.filter("not linked")
+    many = lonely.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
+    alone = lonely.join(many, "key", "left_semi").select(F.lit(0).alias("kind"), "key", "id", "component", F.lit(0).alias("side"))
+    present = rows.filter("linked").select("key", F.col("component").alias("group")).distinct()
+    met = rows.join(present, "key").filter("(not linked and component <> group) or (linked and component > group)")
+    met = met.select(F.lit(1).alias("kind"), F.col("group").cast("long").alias("key"), "id", "component", F.lit(1).alias("side")).distinct()
+    own = rows.filter("linked").select("id", "component").distinct().join(met.select(F.col("key").alias("component")).distinct(), "component", "left_semi")
+    return alone.unionByName(met).unionByName(own.select(F.lit(1).alias("kind"), F.col("component").cast("long").alias("key"), "id", "component", F.lit(0).alias("side")))
+
+
+def group_links(groups: DataFrame, marks: DataFrame, sets: DataFrame, percent: int, differing: int) -> DataFrame:
+    """Links (a, b) that join components which meet in a group; no more than there are members.
+
+    A group's sides are dealt into blocks, and each two blocks are compared in one
+    task: by sketches first, then, the nearest first, on full sets, until the two
+    are in one component.
     """
-    kind = open_rows.schema["id"].dataType
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = (
-        open_rows.withColumn("_own", own)
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("_i", F.least("_own", "_other"))
-        .withColumn("_j", F.greatest("_own", "_other"))
-        .select("key", "_i", "_j", "id", "component", "n_shingles", "sketch", "_own")
-    )
-
-    def compare(table: pa.Table) -> pa.Table:
-        ids, comp, n = (table.column(c).to_numpy() for c in ("id", "component", "n_shingles"))
-        own, first = table.column("_own").to_numpy(), table.column("_i")[0].as_py()
+    id_kind = groups.schema["id"].dataType
+    sides = groups.groupBy("kind", "key").agg(F.sum((F.col("side") == 0).cast("int")).alias("_n0"), F.sum("side").alias("_n1"))
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("side") == 0, blocks("_n0")).otherwise(blocks("_n1"))).cast("int")
+    others = F.when((F.col("kind") == 1) & (F.col("side") == 0), blocks("_n1")).otherwise(blocks("_n0"))
+    dealt = groups.join(sides, ["kind", "key"]).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), others - 1)))
+    pair = F.col("kind") == 0
+    first = F.when(pair, F.least("_own", "_other")).when(F.col("side") == 0, F.col("_own")).otherwise(F.col("_other"))
+    second = F.when(pair, F.greatest("_own", "_other")).when(F.col("side") == 0, F.col("_other")).otherwise(F.col("_own"))
+    side = F.when(pair, (F.col("_own") != first).cast("int")).otherwise(F.col("side"))
+    rows = dealt.select("kind", "key", first.alias("_i"), second.alias("_j"), side.alias("side"), "id", "component")
+    rows = rows.join(marks, "id").join(sets, "id").select("kind", "key", "_i", "_j", "side", "id", "component", "n_shingles", "sketch", "whole")
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        kind, _, i, j = (k.as_py() for k in key)
+        ids, n, side = (table.column(c).to_numpy() for c in ("id", "n_shingles", "side"))
+        root = np.unique(table.column("component").to_numpy(), return_inverse=True)[1]
         bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
-        alone = first == table.column("_j")[0].as_py()
-        left, right = np.flatnonzero(own == first), np.arange(len(ids)) if alone else np.flatnonzero(own != first)
+        whole = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("whole")]
+        alone = kind == 0 and i == j
+        left = np.arange(len(ids)) if alone else np.flatnonzero(side == (0 if kind == 0 else 1))
+        right = left if alone else np.flatnonzero(side != (0 if kind == 0 else 1))
         out_a, out_b = [], []
         for k in left:
-            others = right[(comp[right] != comp[k]) & (np.minimum(n[right], n[k]) * 100 >= np.maximum(n[right], n[k]) * percent)]
+            apart = right[(root[right] != root[k]) & (np.minimum(n[right], n[k]) * 100 >= np.maximum(n[right], n[k]) * percent)]
             if alone:
-                others = others[others > k]
-            near = others[np.bitwise_count(bits[others] ^ bits[k]).sum(axis=1) <= differing]
-            out_a.append(np.minimum(ids[near], ids[k]))
-            out_b.append(np.maximum(ids[near], ids[k]))
-        join = lambda parts: np.concatenate([np.zeros(0, ids.dtype), *parts])
-        return pa.table({"a": join(out_a), "b": join(out_b)})
+                apart = apart[apart > k]
+            bad = np.bitwise_count(bits[apart] ^ bits[k]).sum(axis=1)
+            near = np.flatnonzero(bad <= differing)
+            for o in apart[near[np.argsort(bad[near], kind="stable")]]:
+                if root[o] != root[k] and similar(whole[o], whole[k], percent):
+                    out_a.append(ids[k])
+                    out_b.append(ids[o])
+                    root[root == root[o]] = root[k]
+        return pa.table({"a": pa.array(np.array(out_a, ids.dtype)), "b": pa.array(np.array(out_b, ids.dtype))})
 
-    return dealt.groupBy("key", "_i", "_j").applyInArrow(compare, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])).distinct()
+    return rows.groupBy("kind", "key", "_i", "_j").applyInArrow(compare, T.StructType([T.StructField("a", id_kind), T.StructField("b", id_kind)])).distinct()
 
 
 def cluster(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -237,14 +273,10 @@ def cluster(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", widt
     links = settled(confirmed(near, docs, id_col, text, width, percent))
     found = components(links)
 
-    placed = shared.filter("size > 2").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("key")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")
-    rest = placed.join(mixed, "key", "left_semi").join(marks, "id").select("key", "id", "component", "n_shingles", "sketch", blocks)
-    tested = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = settled(block_pairs(rest, percent, differing).join(tested, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.unionByName(confirmed(more, docs, id_col, text, width, percent))
+    groups = settled(open_groups(shared, found))
+    if not groups.isEmpty():
+        sets = full_sets(groups.select("id").distinct(), docs, id_col, text, width)
+        links = links.unionByName(settled(group_links(groups, marks, sets, percent, differing)))
         found = components(links)
     told = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     return told.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
