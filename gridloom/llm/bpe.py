@@ -47,9 +47,9 @@ def visible_bytes() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-def packed(ids: list[int]) -> bytes:
-    """ids as little-endian unsigned 32-bit integers."""
-    return np.array(ids, "<u4").tobytes()
+def packed(ids: list[int], dtype: str = "<u4") -> bytes:
+    """ids as little-endian unsigned integers, of 32 bits unless told otherwise."""
+    return np.array(ids, dtype).tobytes()
 
 
 class Memo(dict):
@@ -62,18 +62,18 @@ class Memo(dict):
     def __missing__(self, word: str) -> bytes:
         raw = word.encode()
         if len(raw) > LONG_WORD:
-            return packed(self.codec.merge_long(raw))
+            return packed(self.codec.merge_long(raw), self.codec.dtype)
         if len(self) >= MEMO_WORDS:
             self.clear()
-        ids = self[word] = packed(self.codec.merge_short(raw))
+        ids = self[word] = packed(self.codec.merge_short(raw), self.codec.dtype)
         return ids
 
 
 class ByteBPE:
     """Encoder and decoder for one vocabulary in the tokenizers library's JSON."""
 
-    def __init__(self, document: str):
-        spec = json.loads(document)
+    def __init__(self, document: str, dtype: str = "<u4"):
+        spec, self.dtype = json.loads(document), dtype
         model, visible = spec["model"], visible_bytes()
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         ids = model["vocab"]
@@ -96,7 +96,7 @@ class ByteBPE:
             self.made.append(ids[left + right])
         self.words = regex.compile(SPLIT)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.special_ids = {t: packed([i]) for t, i in self.special.items()}
+        self.special_ids = {t: packed([i], dtype) for t, i in self.special.items()}
         self.memo = Memo(self)
 
     def merge_short(self, word: bytes) -> list[int]:
@@ -160,15 +160,15 @@ class ByteBPE:
         return b"".join(table[i] for i in ids if 0 <= i < size).decode("utf-8", "replace")
 
 
-_LOADED: dict[int, ByteBPE] = {}
+_LOADED: dict[tuple[int, str], ByteBPE] = {}
 
 
-def loaded(document) -> ByteBPE:
+def loaded(document, dtype: str = "<u4") -> ByteBPE:
     """The codec of a broadcast vocabulary, built once a worker."""
-    key = hash(document.value)
+    key = (hash(document.value), dtype)
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = ByteBPE(document.value)
+        _LOADED[key] = ByteBPE(document.value, dtype)
     return _LOADED[key]
 
 
@@ -187,17 +187,18 @@ def _plus(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*(f for f in df.schema.fields if f.name != name), T.StructField(name, kind)])
 
 
-def encode(df: DataFrame, vocab_path: str, text: str = "text", out: str = "ids", *, special: bool = True) -> DataFrame:
-    """df and ``out``: the whole text's ids as packed little-endian unsigned 32-bit integers.
+def encode(df: DataFrame, vocab_path: str, text: str = "text", out: str = "ids", *, special: bool = True, dtype: str = "<u4") -> DataFrame:
+    """df and ``out``: the whole text's ids as packed little-endian unsigned integers.
 
-    special: whether special tokens' strings in a text become those tokens.
+    special: whether special tokens' strings in a text become those tokens. dtype: the
+    integers' width; "<u2" holds vocabularies of up to 65,536 ids.
     A column already called ``out`` is replaced.
     """
     spark = ready(df.sparkSession, 256)
     document = vocabulary(spark, vocab_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = loaded(document)
+        codec = loaded(document, dtype)
         one = codec.encode if special else lambda t: codec.encode_ordinary(t) if t else b""
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hnsw, langid, mixing, neardup, sharding, toxicity, warc
+from . import bpe, hnsw, langid, mixing, neardup, sharding, tokenfiles, toxicity, warc
 from .common import WORD, scratch, table
 
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -48,6 +48,14 @@ def op4_mixing_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_token_separator_scan(spark: SparkSession, sf_dir: str, vocab_path: str = f"{TOKENIZER_DIR}/byte_bpe_50k.json", end: int = 50256) -> DataFrame:
+    """Each document's tokens, counted in flat token files that hold the whole table."""
+    path = scratch(spark, "tokens")
+    places = tokenfiles.write(table(spark, sf_dir, "documents"), path, vocab_path, end)
+    found = tokenfiles.counts(spark, path, end).withColumn("part", F.regexp_extract("file", r"part-(\d+)", 1).cast("int")).drop("file")
+    return places.join(found, ["part", "ordinal"]).select("doc_id", "n_tokens")
+
+
 def op6_shard_prefix_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
@@ -74,7 +82,7 @@ def op10_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_hnsw_shards, op2_language_bitmask, op3_warc_dictionary, op4_mixing_schedule, op6_shard_prefix_bytes, op7_odd_sketches, op9_bpe_rank_array, op10_toxicity_nnpu)
+    f.__name__: f for f in (op1_hnsw_shards, op2_language_bitmask, op3_warc_dictionary, op4_mixing_schedule, op5_token_separator_scan, op6_shard_prefix_bytes, op7_odd_sketches, op9_bpe_rank_array, op10_toxicity_nnpu)
 }
 
 ORACLE: dict[str, str] = {
