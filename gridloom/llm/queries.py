@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hnsw, langid, mixing, neardup, sharding, tokenfiles, toxicity, warc
+from . import bpe, chroma, hnsw, langid, mixing, neardup, sharding, tokenfiles, toxicity, warc
 from .common import WORD, scratch, table
 
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -67,6 +67,11 @@ def op7_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.cluster(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op8_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds sound, so every row of embeddings is played as a melody."""
+    return chroma.group(chroma.recordings(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
+
+
 def op9_bpe_rank_array(spark: SparkSession, sf_dir: str, vocab_path: str = f"{TOKENIZER_DIR}/byte_bpe_50k.json") -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.decode(bpe.encode(docs, vocab_path).drop("text"), vocab_path)
@@ -82,7 +87,7 @@ def op10_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_hnsw_shards, op2_language_bitmask, op3_warc_dictionary, op4_mixing_schedule, op5_token_separator_scan, op6_shard_prefix_bytes, op7_odd_sketches, op9_bpe_rank_array, op10_toxicity_nnpu)
+    f.__name__: f for f in (op1_hnsw_shards, op2_language_bitmask, op3_warc_dictionary, op4_mixing_schedule, op5_token_separator_scan, op6_shard_prefix_bytes, op7_odd_sketches, op8_chroma_fingerprints, op9_bpe_rank_array, op10_toxicity_nnpu)
 }
 
 ORACLE: dict[str, str] = {
