@@ -1 +1 @@
-"""See the package README."""
+"""Column functions: cleaning, labels, parameter keys and statistics."""

@@ -1 +1 @@
-"""See the package README."""
+"""Operators on DataFrames; every key, value and partition column is an argument."""

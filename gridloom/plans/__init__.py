@@ -1 +1 @@
-"""See the package README."""
+"""Queries over the test tables, one or more an operator, with their DuckDB SQL."""
