@@ -52,8 +52,7 @@ def op5_token_separator_scan(spark: SparkSession, sf_dir: str, vocab_path: str =
     """Each document's tokens, counted in flat token files that hold the whole table."""
     path = scratch(spark, "tokens")
     places = tokenfiles.write(table(spark, sf_dir, "documents"), path, vocab_path, end)
-    found = tokenfiles.counts(spark, path, end).withColumn("part", F.regexp_extract("file", r"part-(\d+)", 1).cast("int")).drop("file")
-    return places.join(found, ["part", "ordinal"]).select("doc_id", "n_tokens")
+    return tokenfiles.located(places, tokenfiles.counts(spark, path, end)).select("doc_id", "n_tokens")
 
 
 def op6_shard_prefix_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:

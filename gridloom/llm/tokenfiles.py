@@ -31,16 +31,28 @@ BLOCK_TOKENS = 1 << 20
 def write(docs: DataFrame, path: str, vocab_path: str, end: int, *, id_col: str = "doc_id", text: str = "text", dtype: str = "<u2") -> DataFrame:
     """Write each partition's documents as a token file below path; returns (id, part, ordinal), what the files themselves don't hold.
 
-    Spark's text writer puts the end-of-document id, as the bytes of a line
-    separator, after each document's packed ids. Files and numbers are made from
-    one settled table, so that they agree even if tasks run twice.
+    docs must give the same rows in the same partitions and order whenever it is read,
+    as a scan of files does; anything else is to be stored first. Spark's text writer
+    puts the end-of-document id, as the bytes of a line separator, after each
+    document's packed ids, and numbers files by partition.
     """
-    ready(docs.sparkSession, 256)
-    coded = settled(encode(docs.select(id_col, text), vocab_path, text, "ids", special=False, dtype=dtype).drop(text))
+    spark = ready(docs.sparkSession, 256)
+    coded = encode(docs.select(id_col, text), vocab_path, text, "ids", special=False, dtype=dtype)
     separator = np.array([end], dtype).tobytes().decode("latin-1")
     coded.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", separator).option("encoding", "ISO-8859-1").option("compression", "none").text(path)
     place = F.monotonically_increasing_id()
-    return coded.select(id_col, F.shiftright(place, 33).cast("int").alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("ordinal"))
+    ready(spark, 1)
+    return docs.select(F.col(id_col), F.shiftright(place, 33).cast("int").alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("ordinal"))
+
+
+def located(places: DataFrame, found: DataFrame) -> DataFrame:
+    """Places with their documents' ``n_tokens``; ValueError if a file doesn't hold as many documents as its partition."""
+    numbered = settled(found.withColumn("part", F.regexp_extract("file", r"part-(\d+)", 1).cast("int")).drop("file"))
+    size = lambda df, name: df.groupBy("part").agg(F.count(F.lit(1)).alias(name))
+    both = size(places, "a").join(size(numbered, "b"), "part", "full_outer").filter("not (a <=> b)")
+    if not both.isEmpty():
+        raise ValueError("token files and documents differ in number")
+    return places.join(numbered, ["part", "ordinal"])
 
 
 def separators(tokens: np.ndarray, end: int, block: int = BLOCK_TOKENS) -> Iterator[tuple[int, int, np.ndarray]]:
