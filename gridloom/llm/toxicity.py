@@ -136,7 +136,7 @@ def _featured(docs: DataFrame, text: str) -> DataFrame:
 
 def learn(
     docs: DataFrame, labels: DataFrame, allowed: Column, *, id_col: str = "doc_id", text: str = "text", label: str = "toxic",
-    prior: float | None = None, max_positive: int = 3000, max_unlabelled: int = 9000,
+    prior: float | None = None, max_positive: int = 2000, max_unlabelled: int = 5000,
 ) -> Model:
     """A model from at most so many toxic and unlabelled texts, drawn by a hash of their ids.
 
@@ -158,7 +158,9 @@ def learn(
     plain = _featured(source.filter(F.col("_draw") <= low), text).orderBy("_draw").limit(max_unlabelled)
     packed = lambda df: [np.frombuffer(b.as_py(), np.uint32) for b in df.toArrow().column("_features")]
     known = min(0.9, max(1e-4, share if prior is None else prior))
-    return fit(packed(toxic), packed(plain), known)
+    model = fit(packed(toxic), packed(plain), known)
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
