@@ -75,26 +75,33 @@ def first_cases(df: DataFrame, case: str, position: str, n: int) -> DataFrame:
 def diverse_top(df: DataFrame, groups: Sequence[str], order: Sequence[str], ascending: Sequence[bool], k: int, caps: dict[str, int]) -> DataFrame:
     """The k best rows a group, none of the capped columns' values more often than its cap; what is short is filled from the rest.
 
-    Without caps this is a plain ranking. With caps the choice is sequential, and
+    No cap, or one, is a plain ranking. Under several the choice is sequential, and
     each group, a fold's candidates, is worked on as a whole.
     """
     active = {c: n for c, n in caps.items() if n > 0}
-    if not active:
-        keys = [F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in zip(order, ascending, strict=True)]
-        return df.withColumn("candidate_rank", F.row_number().over(Window.partitionBy(*groups).orderBy(*keys))).filter(F.col("candidate_rank") <= k)
+    keys = [F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in zip(order, ascending, strict=True)]
+    if len(active) <= 1:
+        over = df.withColumn("_over", F.lit(False))
+        for c, n in active.items():
+            over = df.withColumn("_over", F.row_number().over(Window.partitionBy(*groups, c).orderBy(*keys)) > n)
+        ranked = over.withColumn("candidate_rank", F.row_number().over(Window.partitionBy(*groups).orderBy("_over", *keys)))
+        return ranked.filter(F.col("candidate_rank") <= k).drop("_over")
     schema = df.withColumn("candidate_rank", F.lit(1)).schema
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(list(order), ascending=list(ascending), kind="stable", na_position="last").reset_index(drop=True)
         used: dict[tuple[str, object], int] = {}
-        chosen: list[int] = []
-        for i in range(len(rows)):
-            marks = [(c, rows.at[i, c]) for c in active]
-            if len(chosen) < k and all(used.get(m, 0) < active[m[0]] for m in marks):
+        chosen, passed = [], []
+        for i, marks in enumerate(zip(*(zip([c] * len(rows), rows[c], strict=True) for c in active), strict=True)):
+            if len(chosen) == k:
+                break
+            if all(used.get(m, 0) < active[m[0]] for m in marks):
                 chosen.append(i)
                 for m in marks:
                     used[m] = used.get(m, 0) + 1
-        chosen += [i for i in range(len(rows)) if i not in set(chosen)][: max(0, k - len(chosen))]
+            else:
+                passed.append(i)
+        chosen += passed[: k - len(chosen)]
         return rows.loc[chosen].assign(candidate_rank=range(1, len(chosen) + 1))
 
     return df.groupBy(*groups).applyInPandas(pick, schema)

@@ -95,11 +95,12 @@ def candidate_ranking(t: Tables) -> DataFrame:
     return ranking.diverse_top(rows, ["g"], ["o_totalprice", "o_orderkey"], [False, True], 4, {"o_orderpriority": 0}).select("g", "o_orderkey", "candidate_rank")
 
 
-@query("w09_candidate_caps", """with r as (select o_orderstatus g, o_orderkey, row_number() over (partition by o_orderstatus, o_orderpriority order by o_totalprice desc, o_orderkey) c, o_totalprice v from orders where o_totalprice > 400000)
-  select g, o_orderkey, row_number() over (partition by g order by v desc, o_orderkey)::int candidate_rank from r where c <= 1 qualify row_number() over (partition by g order by v desc, o_orderkey) <= 4""")
+@query("w09_candidate_caps", """with r as (select o_orderstatus g, o_orderkey, o_totalprice v, row_number() over (partition by o_orderstatus, o_orderpriority order by o_totalprice desc, o_orderkey) > 1 c from orders)
+  select g, o_orderkey, row_number() over (partition by g order by c, v desc, o_orderkey)::int candidate_rank from r qualify row_number() over (partition by g order by c, v desc, o_orderkey) <= 7""")
 def candidate_caps(t: Tables) -> DataFrame:
-    rows = t.orders.filter("o_totalprice > 400000").select(F.col("o_orderstatus").alias("g"), "o_orderkey", "o_totalprice", "o_orderpriority")
-    return ranking.diverse_top(rows, ["g"], ["o_totalprice", "o_orderkey"], [False, True], 4, {"o_orderpriority": 1}).select("g", "o_orderkey", "candidate_rank")
+    """At most one order a priority, of which there are five, and the next best after them."""
+    rows = t.orders.select(F.col("o_orderstatus").alias("g"), "o_orderkey", "o_totalprice", "o_orderpriority")
+    return ranking.diverse_top(rows, ["g"], ["o_totalprice", "o_orderkey"], [False, True], 7, {"o_orderpriority": 1}).select("g", "o_orderkey", "candidate_rank")
 
 
 @query("w10_group_leaders", """with r as (select user_id, event_type, sum(value) s, row_number() over (partition by user_id order by sum(value) desc, event_type) r from events group by 1, 2)

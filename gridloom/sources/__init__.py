@@ -1 +1 @@
-"""See the package README."""
+"""Readers and writers: tables, split documents, volumes, detection bags, models and reports."""
