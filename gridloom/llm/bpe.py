@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import ready
 
 LONG_WORD = 96
-MEMO_WORDS = 200_000
+MEMO_WORDS = 120_000
 NO_RANK = 1 << 60
 
 #: Fixed value: how byte-level vocabularies of this family cut a text into words.

@@ -38,7 +38,7 @@ SAMPLES = ROWS * BANDS
 SKETCH_BITS = 1024
 #: Members that are compared with each other in one piece of work.
 BLOCK = 1024
-MEMO_WORDS = 250_000
+MEMO_WORDS = 100_000
 
 _RNG = np.random.default_rng(20140407)
 SALT = _RNG.integers(0, 1 << 32, (SAMPLES, 1), np.uint32)
@@ -48,7 +48,7 @@ BAND_MIX = _RNG.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) | np.uint64(1)
 
 
 class _Words(dict):
-    """64-bit hashes by word."""
+    """64-bit hashes by word; emptied after each task, since idle workers keep what they hold."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMO_WORDS:
@@ -130,6 +130,7 @@ def signatures(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
                 names=schema.names,
             )
+        _WORDS.clear()
 
     return docs.select(F.col(id_col), F.col(text)).mapInArrow(run, schema)
 
@@ -158,6 +159,7 @@ def full_sets(ids: DataFrame, docs: DataFrame, id_col: str, text: str, width: in
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((shingles(t.as_py(), width).tobytes() for t in batch.column(1)), pa.binary())], names=["id", "whole"])
+        _WORDS.clear()
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("whole", T.BinaryType())])
     return stored(docs.select(id_col, text).join(ids.select(F.col("id").alias(id_col)), id_col, "left_semi").mapInArrow(sets, schema), "sets")

@@ -31,7 +31,7 @@ from .common import ready
 
 LETTERS = re.compile(r"[^\W\d_]+").findall
 PREFIXES = (3, 4, 5, 6)
-MEMO_WORDS = 500_000
+MEMO_WORDS = 100_000
 
 
 def word_features(word: str) -> list[int]:
