@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import heapq
 import json
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,7 +51,10 @@ def visible_bytes() -> dict[str, int]:
 
 def packed(ids: list[int], dtype: str = "<u4") -> bytes:
     """ids as little-endian unsigned integers, of 32 bits unless told otherwise."""
-    return np.array(ids, dtype).tobytes()
+    flat = array("I" if dtype == "<u4" else "H", ids)
+    if sys.byteorder == "big":
+        flat.byteswap()
+    return flat.tobytes()
 
 
 class Memo(dict):
