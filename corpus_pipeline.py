@@ -31,8 +31,11 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have letters and whose n-grams a learned language knows."""
-    told = langid.predict(docs, langid.learn(docs, F.lit(True)), lang_out="_lang", score_out="_known")
+    """Documents that have letters and whose n-grams a learned language knows; all of them if no language can be learned."""
+    filters = langid.learn(docs, F.lit(True))
+    if not filters.langs:
+        return docs
+    told = langid.predict(docs, filters, lang_out="_lang", score_out="_known")
     return told.filter((F.col("_lang") != langid.UNDETERMINED) & (F.col("_known") >= KNOWN_GRAMS)).select(*docs.columns)
 
 
