@@ -31,6 +31,12 @@ def odd_cells(mm: float, spacing: float) -> int:
     return n if n % 2 else n + 1
 
 
+def odd_cells_of(mm: Column, spacing: Column) -> Column:
+    """The same for columns."""
+    n = F.greatest(F.lit(1), F.bround(mm / spacing).cast("int"))
+    return F.when(n % 2 == 1, n).otherwise(n + 1)
+
+
 def bounding_box(mask: DataFrame, axes: Sequence[str] = ("y", "x"), margin: int = 0, shape: dict[str, int] | None = None) -> DataFrame:
     """Each case's smallest and largest coordinates, widened by the margin inside the shape."""
     low = lambda a: F.greatest(F.min(a) - margin, F.lit(0)).alias(f"{a}0")

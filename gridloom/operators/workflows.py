@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import learning as L
-from .metrics import auc_ap
+from .metrics import auc_ap, binary_metrics
 from .ranking import ecdf
 from .relational import require_coverage
 
@@ -92,3 +92,34 @@ def nested_run(table: DataFrame, nested: DataFrame, own: DataFrame, key: str, ve
 
 def candidates_of(spark, params: Sequence[dict]) -> DataFrame:
     return spark.createDataFrame([(k, L.as_text(p)) for k, p in enumerate(params)], "candidate int, params string")
+
+
+def fixed_candidate(train: DataFrame, rows: DataFrame, params: dict, key: str, vector: str, y: str) -> DataFrame:
+    """(key, score): one candidate fitted on the training rows and applied to others."""
+    models = fit_all(train, candidates_of(train.sparkSession, [params]), vector, y)
+    return apply_models(models, rows, key, vector).select(key, "score")
+
+
+def stacking(table: DataFrame, own: DataFrame, params: Sequence[dict], key: str, vector: str, y: str) -> dict[str, DataFrame]:
+    """The sheets of a stacking run: base scores, stacked predictions, metrics by fold, and their mean and spread.
+
+    own: key and outer_fold. Raises where a key has no features, or a prediction is missing.
+    """
+    require_coverage(own, table.select(key), [key])
+    spark, bases = table.sparkSession, None
+    for k, p in enumerate(params):
+        chosen = own.select("outer_fold").distinct().withColumn("params", F.lit(L.as_text(p)))
+        made = L.outer_scores(table, own, chosen, key, vector, y).withColumn("candidate", F.lit(k))
+        bases = made if bases is None else bases.unionByName(made)
+    stacked = L.meta_scores(bases, key).withColumn("pred", (F.col("score") >= 0.5).cast("int"))
+    require_coverage(own, stacked, [key])
+    folds = binary_metrics(stacked, ["outer_fold"], "y", "score", "pred")
+    names = [c for c in folds.columns if c not in ("outer_fold", "n")]
+    summary = folds.agg(*(F.avg(c).alias(f"{c}_mean") for c in names), *(F.stddev_pop(c).alias(f"{c}_std") for c in names))
+    return {"bases": bases, "predictions": stacked, "folds": folds, "summary": summary, "candidates": candidates_of(spark, params)}
+
+
+def stable_book(first: DataFrame, second: DataFrame, keys: Sequence[str], features: Sequence[str], labels: DataFrame, icc_table) -> DataFrame:
+    """The second rater's stable features with their cases' labels: what two raters agree on, read from one of them."""
+    kept = [r["feature"] for r in icc_table(first, second, list(keys), list(features)).filter("stable").select("feature").collect()]
+    return labels.join(second.select(*keys, *(f for f in features if f in set(kept))), list(keys))
