@@ -159,7 +159,7 @@ def matches(a: np.ndarray, b: np.ndarray, most: float) -> tuple[int, float, int]
 
 def fingerprints(media: DataFrame, id_col: str, audio: str) -> DataFrame:
     """(id, print, keys): packed integers and candidate keys; both empty without a fingerprint."""
-    ready(media.sparkSession, 64)
+    ready(media.sparkSession)
     schema = T.StructType([T.StructField("id", media.schema[id_col].dataType), T.StructField("print", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,10 +258,11 @@ def melody(vector: list[float] | None, seconds: float = 6.4, rate: int = RATE) -
 
 def recordings(rows: DataFrame, id_col: str, vector: str) -> DataFrame:
     """(rec_id, audio): each vector as a melody."""
-    ready(rows.sparkSession, 64)
+    ready(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([melody(v.as_py()) for v in batch.column(1)], pa.binary())], names=["rec_id", "audio"])
+        for whole in batches:
+            for batch in (whole.slice(k, 128) for k in range(0, whole.num_rows, 128)):
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([melody(v.as_py()) for v in batch.column(1)], pa.binary())], names=["rec_id", "audio"])
 
     return rows.select(id_col, vector).mapInArrow(run, T.StructType([T.StructField("rec_id", rows.schema[id_col].dataType), T.StructField("audio", T.BinaryType())]))

@@ -19,17 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ready(spark: SparkSession, rows_per_batch: int = 1000) -> SparkSession:
-    """Make Python workers find this package and bound the rows of an Arrow batch.
+#: Bytes of an Arrow batch at most, so that very long texts or files don't meet in one.
+BATCH_BYTES = 8 << 20
 
-    A batch is also bounded in bytes where this Spark has such a setting, so
-    that very long texts don't meet in one batch.
-    """
+
+def ready(spark: SparkSession) -> SparkSession:
+    """Make Python workers find this package, and bound the bytes of an Arrow batch; its rows stay as they are set."""
     env = spark.sparkContext.environment
     if REPO_ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [REPO_ROOT, env.get("PYTHONPATH", "")]))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_per_batch))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 

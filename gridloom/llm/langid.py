@@ -172,7 +172,7 @@ def learn(docs: DataFrame, allowed: Column, *, id_col: str = "doc_id", text: str
 
     The n-grams of the drawn texts are counted where the texts are and summed by Spark.
     """
-    spark = ready(docs.sparkSession, 500)
+    spark = ready(docs.sparkSession)
     usable = docs.select(F.col(id_col), F.col(text).alias("_text"), F.col(lang).alias("_lang")).filter(F.col(lang).isNotNull() & F.col(id_col).isNotNull() & allowed)
     common = sorted(usable.groupBy("_lang").count().collect(), key=lambda r: (-r["count"], r["_lang"]))
     langs = [r["_lang"] for r in common]
@@ -201,7 +201,7 @@ def learn(docs: DataFrame, allowed: Column, *, id_col: str = "doc_id", text: str
 
 def predict(df: DataFrame, filters: Filters, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """df with each whole text's language and its share of n-grams that the language contains."""
-    spark = ready(df.sparkSession, 500)
+    spark = ready(df.sparkSession)
     sent = spark.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,12 +36,10 @@ def write(docs: DataFrame, path: str, vocab_path: str, end: int, *, id_col: str
     puts the end-of-document id, as the bytes of a line separator, after each
     document's packed ids, and numbers files by partition.
     """
-    spark = ready(docs.sparkSession, 256)
     coded = encode(docs.select(id_col, text), vocab_path, text, "ids", special=False, dtype=dtype)
     separator = np.array([end], dtype).tobytes().decode("latin-1")
     coded.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", separator).option("encoding", "ISO-8859-1").option("compression", "none").text(path)
     place = F.monotonically_increasing_id()
-    ready(spark, 1)
     return docs.select(F.col(id_col), F.shiftright(place, 33).cast("int").alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("ordinal"))
 
 
@@ -63,7 +61,7 @@ def separators(tokens: np.ndarray, end: int, block: int = BLOCK_TOKENS) -> Itera
 
 def counts(spark, path: str, end: int, *, dtype: str = "<u2", block: int = BLOCK_TOKENS) -> DataFrame:
     """(file, ordinal, n_tokens): the documents of the token files below path, in each file's order."""
-    ready(spark, 1)
+    ready(spark)
     width = np.dtype(dtype).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -143,7 +143,7 @@ def with_revisits(pages: DataFrame, identity: str, payload: str) -> DataFrame:
 def write(pages: DataFrame, path: str, *, identity: str = "page_id", url: str = "url", payload: str = "html", per_archive: int = 8192,
           sample_bytes: int = 4 << 20, dictionary_bytes: int = 64 << 10, level: int = 3, date: str = "1970-01-01T00:00:00Z") -> None:
     """Write a record for each row of pages into archives below path."""
-    ready(pages.sparkSession, 256)
+    ready(pages.sparkSession)
     rows = with_revisits(pages.select(identity, url, payload), identity, payload).select(identity, url, "_payload", "_digest", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +168,7 @@ def read(spark, path: str) -> DataFrame:
 
     A revisit's payload is null, and its size and digest are those that it declares. An archive is read into memory whole.
     """
-    ready(spark, 2)
+    ready(spark)
     schema = T.StructType([
         T.StructField("record_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType()),
         T.StructField("declared_digest", T.StringType()), T.StructField("payload_digest", T.StringType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload", T.BinaryType()),
