@@ -90,6 +90,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_hnsw_shards": r"""
+with recursive v as (select vec_id, embedding::double[] e from embeddings where embedding is not null and list_dot_product(embedding::double[], embedding::double[]) > 0),
+l as (select a.vec_id a, b.vec_id b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9),
+r(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from r join l on l.a = r.b),
+c as (select a vec_id, min(b) component_id from r group by 1), n as (select a vec_id, count(*)::bigint n_links from l group by 1)
+select vec_id, coalesce(n_links, 0)::bigint n_links, component_id, vec_id = component_id kept from embeddings join c using (vec_id) left join n using (vec_id)""",
     "op3_warc_dictionary": r"""
 with p as (select page_id, strlen(coalesce(html, ''))::bigint payload_bytes, sha256(coalesce(html, '')) payload_digest from pages),
 m as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) else page_id end lead from p)
@@ -109,6 +115,16 @@ l as (select d.*, t.n, t.target, floor(t.target)::hugeint goal,
   from d join t on d.source is not distinct from t.source)
 select doc_id, size, n::bigint source_size, target,
   (least(greatest(goal - a, 0), size) + least(greatest(goal - n - a, 0), size))::bigint taken from l""",
+    "op7_odd_sketches": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then []::varchar[] when len(w) = 1 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) s from w),
+n as (select doc_id, count(*)::bigint n from s group by 1),
+i as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by all),
+h as (select a, b from i join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+l as (select a, b from h union all select b, a from h),
+r(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from r join l on l.a = r.b),
+c as (select a doc_id, min(b) component_id from r group by 1)
+select doc_id, coalesce(n, 0)::bigint n_shingles, component_id, doc_id = component_id kept from documents join c using (doc_id) left join n using (doc_id)""",
     "op6_shard_prefix_bytes": r"""
 with recursive bits(i, k, v) as (select i, 0, i::bigint from range(256) r(i) union all
   select i, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from bits where k < 8),

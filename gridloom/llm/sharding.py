@@ -9,7 +9,8 @@ the size and a checksum are shuffled; texts stay where they are.
 Cases: a null text has no bytes; rows with the same key follow each other by
 size and checksum, and rows equal in all three are interchangeable; a null key
 comes first; an empty table gives no rows; with fewer rows than shards some
-shards are empty; one row larger than a target keeps its shard to itself.
+shards are empty; one row larger than a target keeps its shard to itself; other
+columns pass through, but for ``shard`` and ``slot``, which are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import settled
 
 
-def prefix_sums(rows: DataFrame, order: list[str], size: str, total_as: str = "before", index_as: str = "index") -> DataFrame:
+def prefix_sums(rows: DataFrame, order: list[str], size: str, total_as: str = "_before", index_as: str = "_index") -> DataFrame:
     """rows with the sum of ``size`` and the number of rows before each row in the global order.
 
     The order's last key is the row's place in its input, so that any number of
@@ -46,9 +47,9 @@ def shard_by_bytes(rows: DataFrame, order: list[str], size: str, shards: int) ->
     """rows with ``shard`` (from 0) and ``slot`` (the row's place in its shard, from 0)."""
     summed = settled(prefix_sums(rows, order, size))
     whole = summed.agg(F.sum(size).alias("_all"))
-    middle = (F.col("before") * 2 + F.col(size)).cast("decimal(38,0)") * shards
+    middle = (F.col("_before") * 2 + F.col(size)).cast("decimal(38,0)") * shards
     cut = F.when(F.col("_all") > 0, F.floor(middle / (F.col("_all") * 2))).otherwise(0)
     dealt = summed.crossJoin(F.broadcast(whole)).withColumn("shard", F.least(F.lit(shards - 1), cut.cast("int")))
     # One row a shard, at most `shards` of them: small enough to send to every task.
-    first = dealt.groupBy("shard").agg(F.min("index").alias("_first"))
-    return dealt.join(F.broadcast(first), "shard").withColumn("slot", F.col("index") - F.col("_first")).drop("_first", "_all", "before", "index")
+    first = dealt.groupBy("shard").agg(F.min("_index").alias("_first"))
+    return dealt.join(F.broadcast(first), "shard").withColumn("slot", F.col("_index") - F.col("_first")).drop("_first", "_all", "_before", "_index")

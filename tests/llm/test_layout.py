@@ -29,6 +29,12 @@ def test_shards_of_few_rows_nulls_and_one_giant(spark):
     assert {r["shard"] for r in sharding.shard_by_bytes(zero, ["doc_id"], "size", 4).collect()} == {0}
 
 
+def test_shards_beside_clashing_columns(spark):
+    df = spark.createDataFrame([(1, 16, "a", "b", "c", 7), (2, 16, "a", "b", "c", 7)], "doc_id long, size long, before string, index string, slot string, shard int")
+    got = sharding.shard_by_bytes(df, ["doc_id"], "size", 2).collect()
+    assert sorted((r["doc_id"], r["shard"], r["slot"], r["before"], r["index"]) for r in got) == [(1, 0, 0, "a", "b"), (2, 1, 0, "a", "b")]
+
+
 def docs_of(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, source string, size long, sidx string")
 
