@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from .common import ready, settled, stored
 from .graph import components
-from .neardup import BLOCK, open_groups
+from .neardup import in_blocks, open_groups
 
 RATE, FRAME, HOP = 4000, 2048, 256
 LOWEST, HIGHEST = 55.0, 1760.0
@@ -212,14 +212,7 @@ def group(media: DataFrame, *, id_col: str = "rec_id", audio: str = "audio", mos
         return pa.table({"a": pa.array(np.array(out[0], ids.dtype)), "b": pa.array(np.array(out[1], ids.dtype))})
 
     if not meeting.isEmpty():
-        n = meeting.groupBy("kind", "key").agg(F.sum((F.col("side") == 0).cast("int")).alias("_n0"), F.sum("side").alias("_n1"))
-        blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
-        alone, left = F.col("kind") == 0, F.col("side") == 0
-        dealt = meeting.join(n, ["kind", "key"]).withColumn("_own", F.pmod(F.xxhash64("id"), F.when(left, blocks("_n0")).otherwise(blocks("_n1"))).cast("int"))
-        dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.when(alone | ~left, blocks("_n0")).otherwise(blocks("_n1")) - 1)))
-        i = F.when(alone, F.least("_own", "_other")).when(left, F.col("_own")).otherwise(F.col("_other"))
-        j = F.when(alone, F.greatest("_own", "_other")).when(left, F.col("_other")).otherwise(F.col("_own"))
-        placed = dealt.select("kind", "key", i.alias("_i"), j.alias("_j"), F.when(alone, (F.col("_own") != i).cast("int")).otherwise(F.col("side")).alias("side"), "id", "component").join(prints, "id")
+        placed = in_blocks(meeting).join(prints, "id")
         links = links.unionByName(settled(placed.groupBy("kind", "key", "_i", "_j").applyInArrow(compare, pair).distinct()))
         found = components(links)
     told = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("group_id", F.coalesce("component", "rep"))

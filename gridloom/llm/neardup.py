@@ -208,6 +208,23 @@ def open_groups(shared: DataFrame, found: DataFrame) -> DataFrame:
     return alone.unionByName(met).unionByName(own.select(F.lit(1).alias("kind"), F.col("component").cast("long").alias("key"), "id", "component", F.lit(0).alias("side")))
 
 
+def in_blocks(groups: DataFrame) -> DataFrame:
+    """(kind, key, _i, _j, side, id, component): a group's sides dealt into blocks, each row once for every two blocks that it is part of.
+
+    In a group of kind 0 side tells the second block's rows from the first's.
+    """
+    sides = groups.groupBy("kind", "key").agg(F.sum((F.col("side") == 0).cast("int")).alias("_n0"), F.sum("side").alias("_n1"))
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
+    pair, left = F.col("kind") == 0, F.col("side") == 0
+    own = F.pmod(F.xxhash64("id"), F.when(left, blocks("_n0")).otherwise(blocks("_n1"))).cast("int")
+    others = F.when(~pair & left, blocks("_n1")).otherwise(blocks("_n0"))
+    dealt = groups.join(sides, ["kind", "key"]).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), others - 1)))
+    first = F.when(pair, F.least("_own", "_other")).when(left, F.col("_own")).otherwise(F.col("_other"))
+    second = F.when(pair, F.greatest("_own", "_other")).when(left, F.col("_other")).otherwise(F.col("_own"))
+    side = F.when(pair, (F.col("_own") != first).cast("int")).otherwise(F.col("side"))
+    return dealt.select("kind", "key", first.alias("_i"), second.alias("_j"), side.alias("side"), "id", "component")
+
+
 def group_links(groups: DataFrame, marks: DataFrame, sets: DataFrame, percent: int, differing: int) -> DataFrame:
     """Links (a, b) that join components which meet in a group; no more than there are members.
 
@@ -216,16 +233,7 @@ def group_links(groups: DataFrame, marks: DataFrame, sets: DataFrame, percent: i
     are in one component.
     """
     id_kind = groups.schema["id"].dataType
-    sides = groups.groupBy("kind", "key").agg(F.sum((F.col("side") == 0).cast("int")).alias("_n0"), F.sum("side").alias("_n1"))
-    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.when(F.col("side") == 0, blocks("_n0")).otherwise(blocks("_n1"))).cast("int")
-    others = F.when((F.col("kind") == 1) & (F.col("side") == 0), blocks("_n1")).otherwise(blocks("_n0"))
-    dealt = groups.join(sides, ["kind", "key"]).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), others - 1)))
-    pair = F.col("kind") == 0
-    first = F.when(pair, F.least("_own", "_other")).when(F.col("side") == 0, F.col("_own")).otherwise(F.col("_other"))
-    second = F.when(pair, F.greatest("_own", "_other")).when(F.col("side") == 0, F.col("_other")).otherwise(F.col("_own"))
-    side = F.when(pair, (F.col("_own") != first).cast("int")).otherwise(F.col("side"))
-    rows = dealt.select("kind", "key", first.alias("_i"), second.alias("_j"), side.alias("side"), "id", "component")
+    rows = in_blocks(groups)
     rows = rows.join(marks, "id").join(sets, "id").select("kind", "key", "_i", "_j", "side", "id", "component", "n_shingles", "sketch", "whole")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
