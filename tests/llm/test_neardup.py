@@ -53,10 +53,11 @@ def family(seed, size, words=60, edits=4):
     return out
 
 
-@pytest.mark.parametrize("width", [2, 5])
-def test_equals_brute_force(spark, width):
+@pytest.mark.parametrize(("width", "block"), [(2, neardup.BLOCK), (5, neardup.BLOCK), (2, 5)])
+def test_equals_brute_force(spark, monkeypatch, width, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     r = random.Random(7)
-    texts = family(1, 40) + family(2, 25, 30, 3) + family(3, 3) * 5 + [" ".join(r.choice("abcdef") for _ in range(r.randrange(12))) for _ in range(60)]
+    texts = family(1, 40) + family(2, 60, 40, 6) + family(4, 60, 30, 5) + family(3, 3) * 5 + [" ".join(r.choice("abcdef") for _ in range(r.randrange(12))) for _ in range(60)]
     texts += [None, "", " \t\n", "One", "one", "ONE two", "É é", "x\x1cy", "A B C D E F " * 3000]
     r.shuffle(texts)
     docs = [(k * 3 + 1, t) for k, t in enumerate(texts)]
