@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ready, settled, stored
+from .common import gathered, ready, settled, stored
 from .graph import components
 from .neardup import in_blocks, open_groups
 
@@ -181,7 +181,7 @@ def group(media: DataFrame, *, id_col: str = "rec_id", audio: str = "audio", mos
     prints = heads.select("id", "print").dropDuplicates(["id"])
     rows = heads.select(F.explode("keys").alias("key"), "id").distinct()
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = settled(rows.join(sizes, "key"))
+    shared = settled(gathered(rows.join(sizes, "key")))
     weight = shared.groupBy("id").agg(F.sum("size").alias("weight"))
     leaders = shared.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("_id"))).alias("_top")).select("key", (-F.col("_top._id")).alias("a"))
     stars = shared.join(leaders, "key").filter("a <> id").select("a", F.col("id").alias("b")).distinct()
@@ -196,7 +196,7 @@ def group(media: DataFrame, *, id_col: str = "rec_id", audio: str = "audio", mos
 
     links = settled(stars.join(side("b"), "b").join(side("a"), "a").select("a", "b", "print_a", "print_b").mapInArrow(confirm, pair))
     found = components(links)
-    meeting = settled(open_groups(shared, found))
+    meeting = settled(gathered(open_groups(shared, found)))
 
     def compare(table: pa.Table) -> pa.Table:
         ids, sides, whole = table.column("id").to_numpy(), table.column("side").to_numpy(), [opened(x) for x in table.column("print")]

@@ -48,6 +48,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """df in two partitions a core at most, without a shuffle: for tables far smaller than the corpus, so that keeping them doesn't make a file for each shuffle partition."""
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder; its lineage ends there."""
     shared_dir(df.sparkSession)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import gathered, settled
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -19,17 +19,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     links no longer change. Each step's links stay in the shared folder, and no
     step has more links than the input, so neither lineage nor data grows.
     """
-    edges = settled(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
+    edges = settled(gathered(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()))
     seen = _state(edges)
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = settled(large)
+        large = settled(gathered(large))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u")
         small = moved.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = settled(small)
+        edges = settled(gathered(small))
         now = _state(edges)
         if now == seen:
             break

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ready, settled, stored
+from .common import gathered, ready, settled, stored
 from .graph import components
 
 ROWS, BANDS = 6, 48
@@ -162,7 +162,7 @@ def full_sets(ids: DataFrame, docs: DataFrame, id_col: str, text: str, width: in
         _WORDS.clear()
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("whole", T.BinaryType())])
-    return stored(docs.select(id_col, text).join(ids.select(F.col("id").alias(id_col)), id_col, "left_semi").mapInArrow(sets, schema), "sets")
+    return stored(gathered(docs.select(id_col, text).join(ids.select(F.col("id").alias(id_col)), id_col, "left_semi").mapInArrow(sets, schema)), "sets")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -197,7 +197,7 @@ def open_groups(shared: DataFrame, found: DataFrame) -> DataFrame:
     """
     placed = shared.filter("size > 2").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), F.col("component").isNotNull().alias("linked"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("key")
-    rows = settled(placed.join(mixed, "key", "left_semi"))
+    rows = settled(gathered(placed.join(mixed, "key", "left_semi")))
     lonely = rows.filter("not linked")
     many = lonely.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
     alone = lonely.join(many, "key", "left_semi").select(F.lit(0).alias("kind"), "key", "id", "component", F.lit(0).alias("side"))
@@ -269,24 +269,24 @@ def cluster(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", widt
     signed = stored(signed, "signatures")
     copies = signed.filter("n_shingles > 0").groupBy("print_a", "print_b").agg(F.min("id").alias("rep"), F.max("id").alias("_last")).filter("rep <> _last").drop("_last")
     members = signed.join(copies, ["print_a", "print_b"], "left").withColumn("rep", F.coalesce("rep", "id"))
-    members = stored(members.drop("print_a", "print_b"), "members")
+    members = stored(gathered(members.drop("print_a", "print_b")), "members")
     heads = members.filter("id = rep and n_shingles > 0")
     marks = heads.select("id", "n_shingles", "sketch")
 
     rows = heads.select(F.explode("bands").alias("key"), "id")
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = settled(rows.join(sizes, "key"))
+    shared = settled(gathered(rows.join(sizes, "key")))
     weight = shared.groupBy("id").agg(F.sum("size").alias("weight"))
     leaders = shared.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("_id"))).alias("_top")).select("key", (-F.col("_top._id")).alias("a"))
     stars = shared.join(leaders, "key").filter("a <> id").select("a", F.col("id").alias("b")).distinct()
-    near = settled(close_sketches(stars, marks, percent, differing))
-    links = settled(confirmed(near, docs, id_col, text, width, percent))
+    near = settled(gathered(close_sketches(stars, marks, percent, differing)))
+    links = settled(gathered(confirmed(near, docs, id_col, text, width, percent)))
     found = components(links)
 
-    groups = settled(open_groups(shared, found))
+    groups = settled(gathered(open_groups(shared, found)))
     if not groups.isEmpty():
         sets = full_sets(groups.select("id").distinct(), docs, id_col, text, width)
-        links = links.unionByName(settled(group_links(groups, marks, sets, percent, differing)))
+        links = links.unionByName(settled(gathered(group_links(groups, marks, sets, percent, differing))))
         found = components(links)
     told = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     return told.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
