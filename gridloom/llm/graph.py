@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .common import gathered, settled
 
 
+LINKS_A_FILE = 250_000
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -21,15 +24,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     edges = settled(gathered(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()))
     seen = _state(edges)
+    # Later steps have no more links than this, so few links are kept in few files.
+    files = max(1, min(2 * links.sparkSession.sparkContext.defaultParallelism, (seen[0] or 0) // LINKS_A_FILE + 1))
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = settled(gathered(large))
+        large = settled(large.coalesce(files))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u")
         small = moved.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = settled(gathered(small))
+        edges = settled(small.coalesce(files))
         now = _state(edges)
         if now == seen:
             break
