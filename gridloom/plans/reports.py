@@ -156,7 +156,7 @@ def early_fusion(t: Tables) -> DataFrame:
     return rel.left_wins(main, helper, ["case_id"])
 
 
-@query("r12_curve_report", FUSED + POINTS + """select 'pooled ' || fold variant, round(sum(py * (neg - fp) + py * ny / 2) / max(pos * neg), 8) auc, round(sum(py / pos * tp / (tp + fp)), 8) ap, round(max(pos) / (max(pos) + max(neg)), 8) prevalence from k group by fold""")
+@query("r12_curve_report", FUSED + POINTS + """select 'pooled ' || fold variant, case when max(pos) > 0 and max(neg) > 0 then round(sum(py * (neg - fp) + py * ny / 2) / max(pos * neg), 8) end auc, case when max(pos) > 0 and max(neg) > 0 then round(sum(py / pos * tp / (tp + fp)), 8) end ap, round(max(pos) / (max(pos) + max(neg)), 8) prevalence from k group by fold""")
 def curve_report(t: Tables) -> DataFrame:
     f = fused(t)
     share = f.groupBy("fold").agg(F.avg("y").alias("prevalence"))
@@ -164,7 +164,7 @@ def curve_report(t: Tables) -> DataFrame:
     return made.select(F.concat(F.lit("pooled "), F.col("fold").cast("string")).alias("variant"), *(F.round(c, 8).alias(c) for c in ("auc", "ap", "prevalence")))
 
 
-@query("r13_combined_report", METRICS.replace("select fold, n,", "select 'late' experiment, fold, n,").rsplit("select 'late'", 1)[0] + "select 'late' experiment, sum(n)::bigint n, round(avg(auc), 6) auc from q join a using (fold)")
+@query("r13_combined_report", METRICS.replace("select fold, n,", "select 'late' experiment, fold, n,").rsplit("select 'late'", 1)[0] + "select 'late' experiment, sum(n)::bigint n, round(avg(auc), 6) auc from q left join a using (fold)")
 def combined_report(t: Tables) -> DataFrame:
     f = fused(t).withColumn("pred", (F.col("score") >= 0.5).cast("int"))
     m = metrics.binary_metrics(f, ["fold"], "y", "score", "pred").withColumn("experiment", F.lit("late"))

@@ -83,10 +83,10 @@ def fused(t: Tables) -> DataFrame:
     return metrics.late_fusion(c.select("doc_id", "fold", "y", "a_score"), c.select("doc_id", "b_score"), ["doc_id"], ["fold"])
 
 
-@query("w08_roc_points", FUSED + POINTS + "select fold, round(score, 8) score, round(fp / neg, 8) fpr, round(tp / pos, 8) tpr, round(tp / (tp + fp), 8) prec from k")
+@query("w08_roc_points", FUSED + POINTS + "select fold, round(score, 8) score, round(fp / nullif(neg, 0), 8) fpr, round(tp / nullif(pos, 0), 8) tpr, round(tp / (tp + fp), 8) prec from k")
 def roc_points(t: Tables) -> DataFrame:
     p = metrics.curve_points(fused(t), ["fold"], "y", "score")
-    return p.select("fold", F.round("score", 8).alias("score"), F.round(F.col("fp") / F.col("neg"), 8).alias("fpr"), F.round(F.col("tp") / F.col("pos"), 8).alias("tpr"), F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 8).alias("prec"))
+    return p.select("fold", F.round("score", 8).alias("score"), F.round(F.try_divide("fp", "neg"), 8).alias("fpr"), F.round(F.try_divide("tp", "pos"), 8).alias("tpr"), F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 8).alias("prec"))
 
 
 @query("w09_candidate_ranking", """select g, o_orderkey, candidate_rank from (select o_orderstatus g, o_orderkey, row_number() over (partition by o_orderstatus order by o_totalprice desc, o_orderkey)::int candidate_rank from orders) where candidate_rank <= 4""")
@@ -155,8 +155,8 @@ def nested_folds(t: Tables) -> DataFrame:
 METRICS = FUSED + POINTS + """, a as (select fold, sum(py * (neg - fp) + py * ny / 2) / max(pos * neg) auc, sum(py / pos * tp / (tp + fp)) ap from k where pos > 0 and neg > 0 group by 1),
   q as (select fold, count(*)::bigint n, count(*) filter (y = 1 and score >= 0.5)::double tp, count(*) filter (y = 0 and score < 0.5)::double tn, count(*) filter (y = 0 and score >= 0.5)::double fp,
   count(*) filter (y = 1 and score < 0.5)::double fn from f group by 1)
-  select fold, n, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 8) balanced_acc, round(2 * tp / (2 * tp + fp + fn), 8) f1, round((tp + tn) / n, 8) acc, round(tp / (tp + fn), 8) sensitivity,
-  round(tn / (tn + fp), 8) specificity, round(auc, 8) auc, round(ap, 8) ap from q join a using (fold)"""
+  select fold, n, round((coalesce(tp / nullif(tp + fn, 0), 0) + coalesce(tn / nullif(tn + fp, 0), 0)) / 2, 8) balanced_acc, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 8) f1, round((tp + tn) / n, 8) acc, round(coalesce(tp / nullif(tp + fn, 0), 0), 8) sensitivity,
+  round(coalesce(tn / nullif(tn + fp, 0), 0), 8) specificity, round(auc, 8) auc, round(ap, 8) ap from q left join a using (fold)"""
 
 
 @query("l14_late_fusion_metrics", METRICS)
