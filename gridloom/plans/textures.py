@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import textures
-from ..operators.textures import texture_table, topology_table
+from ..operators.textures import STATISTICS, texture_table, topology_table
 from .registry import Tables, query
 from .storage import stacks
 
@@ -15,14 +15,23 @@ def masked(t: Tables) -> DataFrame:
     return stacks(t).withColumn("mask", F.transform("v", lambda x: (x > 0).cast("float")))
 
 
+def family(name: str) -> list[dict]:
+    return [s for s in textures.catalogue() if s["family"] == name]
+
+
+@query("g09_laws_volumes")
+def laws_volumes(t: Tables) -> DataFrame:
+    return texture_table(masked(t), family("laws"))
+
+
 @query("g12_gabor")
 def gabor(t: Tables) -> DataFrame:
-    return texture_table(masked(t), [s for s in textures.catalogue() if s["family"] == "gabor" and s["wavelength"] == 4])
+    return texture_table(masked(t), family("gabor"))
 
 
 @query("g13_haralick")
 def haralick(t: Tables) -> DataFrame:
-    return texture_table(masked(t), [s for s in textures.catalogue() if s["family"] == "haralick" and s["size"] == 3])
+    return texture_table(masked(t), family("haralick"))
 
 
 @query("g14_texture_catalogue", "select fam, n::bigint n from (values ('gabor', 160), ('gradient', 13), ('gray', 20), ('haralick', 65), ('laws', 152)) t(fam, n)")
@@ -38,7 +47,6 @@ def topology_pyramid(t: Tables) -> DataFrame:
 
 @query("g17_wide_features")
 def wide_features(t: Tables) -> DataFrame:
-    """Local and gradient maps as one wide row a case."""
-    long = texture_table(masked(t), [s for s in textures.catalogue() if s["family"] in ("gray", "gradient")])
-    names = [f"{s['name']}_var" for s in textures.catalogue() if s["family"] == "gradient"]
-    return long.groupBy("case_id").pivot("feature", names).agg(F.first("value"))
+    """Every statistic of every map as one wide row a case."""
+    names = [f"{s['name']}_{x}" for s in textures.catalogue() for x in STATISTICS]
+    return texture_table(masked(t)).groupBy("case_id").pivot("feature", names).agg(F.first("value"))

@@ -1,7 +1,11 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.functions import textures as T
+from gridloom.plans.catalogue import QUERIES
+
+FOLDER = "/root/testdata/sf0.001"
 
 
 def test_catalogue_has_its_410_maps():
@@ -77,3 +81,14 @@ def test_four_moments():
     assert T.four(np.array([3.0, 3.0])) == (0.0, 3.0, 0.0, 0.0) and T.four(np.zeros(0)) == (0.0,) * 4
     k, m, s, v = T.four(np.array([1.0, 3.0]))
     assert (k, m, s, v) == (1.0, 2.0, 0.0, 1.0)
+
+
+@pytest.mark.parametrize("name, maps", [("g09_laws_volumes", 152), ("g12_gabor", 160), ("g13_haralick", 65)])
+def test_queries_run_whole_families(spark, name, maps):
+    n = QUERIES[name](spark, FOLDER).groupBy("case_id").agg(F.count_distinct("feature").alias("n")).agg(F.min("n"), F.max("n")).first()
+    assert tuple(n) == (4 * maps, 4 * maps)
+
+
+def test_wide_features_keep_all_statistics(spark):
+    names = [f"{s['name']}_{x}" for s in T.catalogue() for x in ("kurt", "median", "skew", "var")]
+    assert QUERIES["g17_wide_features"](spark, FOLDER).columns == ["case_id", *names]
