@@ -219,19 +219,42 @@ def bag_scores(instances: DataFrame, bag: str, vector: str, net: models.MaxPool)
     return pooled.select(bag, linear_score(F.array(*(F.col(f"h{k}") for k in range(width))), np.append(net.w[2][:, 0], net.b[2][0])).alias("score"))
 
 
-def train_bags(instances: DataFrame, bag: str, vector: str, y: str, fold: str, hidden: int = 64, epochs: int = 30, seed: int = 42) -> DataFrame:
-    """(fold, bag, y, score): a network a fold, trained on the other folds' bags and applied to the fold's own."""
-    folds = instances.select(F.col(fold).alias("held")).distinct()
+def inner_parts(y: np.ndarray, inner: int, seed: int) -> np.ndarray:
+    """Each bag's inner fold, dealt within its class."""
+    r, part = np.random.default_rng(seed), np.zeros(len(y), np.int64)
+    for label in np.unique(y):
+        own = r.permutation(np.flatnonzero(y == label))
+        part[own] = np.arange(len(own)) % inner
+    return part
+
+
+def train_bags(instances: DataFrame, bag: str, vector: str, y: str, fold: str, hidden: int = 64, epochs: int = 120, patience: int = 20, inner: int = 4, seed: int = 42) -> DataFrame:
+    """(fold, bag, y, score): the mean of a fold's networks, each trained on the other folds' bags but for an inner fold, whose AUC stops it.
+
+    Scale and weights come from a network's training bags alone. An inner fold that leaves
+    one class gives no network; a fold without any is an error.
+    """
+    members = instances.select(F.col(fold).alias("held")).distinct().withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(inner - 1))))
     kind = instances.schema[bag].dataType.simpleString()
 
     def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf[fold] == keys[0]]
         bags = lambda p: ([np.stack(g[vector].to_numpy()).astype(float) for _, g in p.groupby(bag)], p.groupby(bag)[y].first())
-        (train, ty), (test, sy) = bags(pdf[pdf[fold] != keys[0]]), bags(own)
-        mean, std = np.concatenate(train).mean(axis=0), np.concatenate(train).std(axis=0)
+        (known, ty), (test, sy) = bags(pdf[pdf[fold] != keys[0]]), bags(pdf[pdf[fold] == keys[0]])
+        truth = ty.to_numpy()
+        part = inner_parts(truth, inner, seed + int(keys[0]))
+        usable = [k for k in range(inner) if (part == k).any() and len(set(truth[part != k])) == 2]
+        if not usable:
+            raise ValueError(f"fold {keys[0]}: no inner fold leaves bags of both classes")
+        if keys[1] not in usable:
+            return pd.DataFrame({"fold": [], bag: sy.index[:0], "y": [], "score": []})
+        own, held = np.flatnonzero(part != keys[1]), np.flatnonzero(part == keys[1])
+        rows = np.concatenate([known[k] for k in own])
+        mean, std = rows.mean(axis=0), rows.std(axis=0)
         std = np.where(std < 1e-8, 1.0, std)
         scaled = lambda bs: [(b - mean) / std for b in bs]
-        net = models.MaxPool(train[0].shape[1], hidden, seed).fit(scaled(train), ty.to_numpy(), None, epochs, seed=seed)
+        net = models.MaxPool(rows.shape[1], hidden, seed * 100 + int(keys[1]))
+        net.fit(scaled([known[k] for k in own]), truth[own], (scaled([known[k] for k in held]), truth[held]), epochs, patience=patience, seed=seed * 100 + int(keys[1]))
         return pd.DataFrame({"fold": keys[0], bag: sy.index, "y": sy.to_numpy(), "score": [net.score(b) for b in scaled(test)]})
 
-    return instances.crossJoin(F.broadcast(folds)).groupBy("held").applyInPandas(run, f"fold int, {bag} {kind}, y int, score double")
+    made = instances.crossJoin(F.broadcast(members)).groupBy("held", "member").applyInPandas(run, f"fold int, {bag} {kind}, y int, score double")
+    return made.groupBy("fold", bag, "y").agg(F.avg("score").alias("score"))

@@ -14,15 +14,11 @@ from .aggregates import rounded
 from .registry import Tables, query
 
 
-def table(t: Tables, width: int = 16) -> DataFrame:
+def table(t: Tables, width: int = 64) -> DataFrame:
     """Cases with ``width`` features and a two-class label."""
     return t.embeddings.select(F.col("vec_id").alias("case_id"), F.slice(F.col("embedding").cast("array<double>"), 1, width).alias("x"), (F.col("label") % 2).cast("int").alias("y"))
 
 
-#: A small grid for queries over whole tables; the operator's own default is the full one.
-SMALL = {"c": (0.5,), "k": (10,), "pca": (None, 0.95), "model": (("lr", 1.0), ("lda", None))}
-
-
 @query("l01_preprocess", """with m as (select median(c_acctbal) a, median(c_nationkey) b from customer), f as (select c_custkey, coalesce(case when c_custkey % 11 = 0 then null else c_acctbal end, (select median(c_acctbal) from customer where c_custkey % 11 <> 0)) bal,
   c_nationkey::double nat from customer), s as (select avg(bal) ma, stddev_pop(bal) sa, avg(nat) mn, stddev_pop(nat) sn from f)
   select c_custkey, round((bal - ma) / sa, 6) bal, round((nat - mn) / sn, 6) nat from f, s""")
@@ -36,13 +32,13 @@ def preprocess(t: Tables) -> DataFrame:
 
 @query("l02_l1_selector")
 def l1_selector(t: Tables) -> DataFrame:
-    w = L.logistic(table(t, 64), "x", "y", 0.5, True)[:-1]
+    w = L.logistic(table(t), "x", "y", 0.5, True)[:-1]
     return t.spark.createDataFrame([(int(r) + 1, int(i), float(w[i])) for r, i in enumerate(models.top_features(w, 20))], "rank int, feature int, weight double")
 
 
 @query("l03_pca_shares")
 def pca_shares(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(L.variance_shares(table(t, 64), "x"), "axis int, share double, cumulative double")
+    return t.spark.createDataFrame(L.variance_shares(table(t), "x"), "axis int, share double, cumulative double")
 
 
 @query("l04_linear_models")
@@ -54,7 +50,7 @@ def linear_models(t: Tables) -> DataFrame:
 @query("l07_inner_search")
 def inner_search(t: Tables) -> DataFrame:
     splits = nested_folds(table(t), "case_id", ["y"], 4, 4, 42).select("case_id", "outer_fold", "inner_fold")
-    return L.inner_search(table(t), splits, "case_id", "x", "y", SMALL)
+    return L.inner_search(table(t), splits, "case_id", "x", "y")
 
 
 @query("l08_best_parameters")
@@ -81,7 +77,7 @@ def stacked_scores(t: Tables) -> DataFrame:
 
 @query("l15_calibrated_forest")
 def calibrated_forest(t: Tables) -> DataFrame:
-    forest, calibration = L.forest_with_platt(table(t), "x", "y", trees=20)
+    forest, calibration = L.forest_with_platt(table(t), "x", "y")
     raw = forest.transform(table(t).select("case_id", array_to_vector("x").alias("x"))).select("case_id", array_to_vector(F.array(vector_to_array("probability")[1])).alias("v"))
     return calibration.transform(raw).select("case_id", vector_to_array("probability")[1].alias("score"))
 
@@ -114,4 +110,4 @@ def bag_standardiser(t: Tables) -> DataFrame:
 
 @query("l19_bag_evaluation")
 def bag_evaluation(t: Tables) -> DataFrame:
-    return L.train_bags(bags(t), "bag", "x", "y", "fold", hidden=8, epochs=5)
+    return L.train_bags(bags(t), "bag", "x", "y", "fold")

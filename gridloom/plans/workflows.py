@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cases, grids, workflows
+from ..operators.learning import GRID
 from ..operators.sampling import draw, folds, nested_folds
 from .aggregates import rounded, score_summary
 from .grids import CELLS, HOT, hot, images
-from .learning import SMALL, table
+from .learning import table
 from .registry import Tables, query
 
 CENTRES = HOT + """, b as (select c, min(y) y0, max(y) y1, min(x) x0, max(x) x1 from hot group by 1), l as (select c, r.y::int y, s.x::int x from b, lateral unnest(range(y0, y1 + 1, 2)) r(y), lateral unnest(range(x0, x1 + 1, 2)) s(x)),
@@ -93,11 +94,12 @@ def deployable_models(t: Tables) -> DataFrame:
 @query("l21_external_scores")
 def external_scores(t: Tables) -> DataFrame:
     """Models and scale from one half of the features' columns, used on the other half as a new cohort."""
-    other = t.embeddings.select(F.col("vec_id").alias("case_id"), F.slice(F.col("embedding").cast("array<double>"), 17, 16).alias("x"))
-    return workflows.stacked_external(deployable_models(t), out_of_fold(t), other, "case_id", "x")
+    own, candidates = table(t, 32), workflows.candidates_of(t.spark, CANDIDATES)
+    other = t.embeddings.select(F.col("vec_id").alias("case_id"), F.slice(F.col("embedding").cast("array<double>"), 33, 32).alias("x"))
+    return workflows.stacked_external(workflows.fit_all(own, candidates, "x", "y"), workflows.out_of_fold(own, own_folds(t), candidates, "case_id", "x", "y"), other, "case_id", "x")
 
 
 @query("r09_nested_run")
 def nested_run(t: Tables) -> DataFrame:
     nested = nested_folds(table(t), "case_id", ["y"], 4, 4, 42).select("case_id", "outer_fold", "inner_fold")
-    return workflows.nested_run(table(t), nested, own_folds(t, "outer_fold"), "case_id", "x", "y", SMALL, "vectors")["predictions"]
+    return workflows.nested_run(table(t), nested, own_folds(t, "outer_fold"), "case_id", "x", "y", GRID, "vectors")["predictions"]

@@ -2,7 +2,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.functions import models
 from gridloom.operators import cases, learning, workflows
+from gridloom.plans import learning as plans
+from gridloom.plans.catalogue import QUERIES
+from gridloom.plans.registry import Tables
+
+FOLDER = "/root/testdata/sf0.001"
 
 
 def features(spark, n=160, d=6):
@@ -45,3 +51,27 @@ def test_small_mask_keeps_its_middle(spark):
     mask = spark.createDataFrame([(1, 5, 5)], "case int, y int, x int")
     got = cases.patch_centres(mask, 1, 2, 0.9).collect()
     assert [(r["y"], r["x"]) for r in got] == [(5, 5)] and got[0]["overlap"] == pytest.approx(1 / 9)
+
+
+def test_bags_are_scored_by_the_mean_of_inner_members(spark):
+    r = np.random.default_rng(3)
+    y, x = np.arange(24) % 2, r.normal(size=(24, 5, 3))
+    x[:, 0, 0] += 3 * y
+    rows = [(k, [float(v) for v in one], int(y[k]), k % 3) for k in range(24) for one in x[k]]
+    got = learning.train_bags(spark.createDataFrame(rows, "bag long, x array<double>, y int, fold int"), "bag", "x", "y", "fold", hidden=4, epochs=12, patience=3).toPandas().sort_values("bag")
+    assert list(got["bag"]) == list(range(24))
+    known, want = np.flatnonzero(np.arange(24) % 3 != 1), []
+    part = learning.inner_parts(y[known], 4, 43)
+    for k in range(4):
+        own, held = known[part != k], known[part == k]
+        mean, std = np.concatenate(x[own]).mean(axis=0), np.concatenate(x[own]).std(axis=0)
+        net = models.MaxPool(3, 4, 4200 + k).fit(list((x[own] - mean) / std), y[own], (list((x[held] - mean) / std), y[held]), 12, patience=3, seed=4200 + k)
+        want.append([net.score((b - mean) / std) for b in x[1::3]])
+    assert np.allclose(got["score"][got["fold"] == 1], np.mean(want, axis=0))
+
+
+def test_queries_search_the_whole_grid(spark):
+    t = Tables(spark, FOLDER)
+    assert len(plans.table(t).first()["x"]) == 64
+    got = QUERIES["l07_inner_search"](spark, FOLDER).groupBy("outer_fold", "inner_fold").count().collect()
+    assert len(got) == 16 and {r["count"] for r in got} == {448}
