@@ -8,9 +8,11 @@ and all filters at a place one 32-bit integer. Two recordings are aligned at the
 offset at which most of their integers agree (run starts alone vote, so held
 notes and silence don't multiply), and matched by the share of differing bits.
 
-Recordings with equal fingerprints are one from the start. Candidates share a
-pair of integers; a bucket's members are first compared with its leader, what
-still meets in different groups inside tasks, as for near-duplicate documents.
+Recordings with equal fingerprints are one from the start. Those that share a pair
+of neighbouring integers are first compared with their bucket's leader. Then all
+that share one integer at run starts and are still in different groups are
+compared inside tasks. An alignment needs such an integer at its own offset, so
+none is missed: first the bits at that offset are counted, then the two aligned.
 
 Cases: null bytes, what is no PCM WAV, and sound shorter than a filter have no
 fingerprint and match nothing; rows with the same id are one recording; an empty
@@ -157,6 +159,60 @@ def matches(a: np.ndarray, b: np.ndarray, most: float) -> tuple[int, float, int]
     return found if found and found[1] <= most and 2 * found[2] >= min(len(a), len(b)) else None
 
 
+def integers(f: np.ndarray) -> np.ndarray:
+    """The distinct integers at run starts, without which nothing aligns."""
+    return np.unique(f[runs(f)]).astype(np.int64)
+
+
+def agreeing(prints: list[np.ndarray], key: int, left: np.ndarray, right: np.ndarray | None, most: float) -> list[tuple[int, int]]:
+    """Pairs of ``left`` with ``right``, or inside ``left``, that differ in few enough bits where both have the integer ``key`` at a run start."""
+
+    def found(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = [np.flatnonzero((f == key) & np.concatenate([[True], f[1:] != f[:-1]])) for f in (prints[r] for r in rows)]
+        return np.repeat(rows, [len(x) for x in at]), np.concatenate([*at, np.zeros(0, np.int64)]).astype(np.int64)
+
+    (who, place), out = found(left), set()
+    others, where = found(right) if right is not None else (who, place)
+    size = np.array([len(prints[r]) for r in others], np.int64)
+    rest = size - where
+    step = max(1, (1 << 21) // int(size.max(initial=1)))
+    for at in range(0, len(others), step):
+        part = slice(at, at + step)
+        before, after = int(where[part].max()), int(rest[part].max())
+        held, there = np.zeros((len(others[part]), before + after), np.uint32), np.zeros((len(others[part]), before + after), bool)
+        for k, (r, p) in enumerate(zip(others[part], where[part], strict=True)):
+            held[k, before - p : before - p + len(prints[r])] = prints[r]
+            there[k, before - p : before - p + len(prints[r])] = True
+        for k, (r, p) in enumerate(zip(who, place, strict=True)):
+            first = 0 if right is not None else max(0, k + 1 - at)
+            if first >= len(held):
+                continue
+            one, low = prints[r][max(0, p - before) : p + after], max(0, before - p)
+            common = np.minimum(where[part][first:], p) + np.minimum(rest[part][first:], len(prints[r]) - p)
+            wrong = (np.bitwise_count(held[first:, low : low + len(one)] ^ one) * there[first:, low : low + len(one)]).sum(axis=1, dtype=np.int64)
+            good = (wrong / (32 * common) <= most) & (2 * common >= np.minimum(size[part][first:], len(prints[r])))
+            out.update((int(r), int(o)) for o in others[part][first:][good] if o != r)
+    return sorted(out)
+
+
+def agreeing_any(prints: list[np.ndarray], left: np.ndarray, right: np.ndarray, most: float) -> list[tuple[int, int]]:
+    """As ``agreeing``, by each integer that both sides have."""
+    if len(left) > len(right):
+        left, right = right, left
+
+    def placed(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        held = [integers(prints[r]) for r in rows]
+        keys, who = np.concatenate([*held, np.zeros(0, np.int64)]), np.repeat(rows, [len(x) for x in held])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], who[order]
+
+    (lk, lr), (rk, rr), out = placed(left), placed(right), set()
+    for key in np.intersect1d(lk, rk):
+        of = lambda keys, who: who[np.searchsorted(keys, key, "left") : np.searchsorted(keys, key, "right")]  # noqa: B023, E731
+        out.update(agreeing(prints, int(key), of(lk, lr), of(rk, rr), most))
+    return sorted(out)
+
+
 def fingerprints(media: DataFrame, id_col: str, audio: str) -> DataFrame:
     """(id, print, keys): packed integers and candidate keys; both empty without a fingerprint."""
     ready(media.sparkSession)
@@ -173,6 +229,7 @@ def fingerprints(media: DataFrame, id_col: str, audio: str) -> DataFrame:
 def group(media: DataFrame, *, id_col: str = "rec_id", audio: str = "audio", most: float = 0.15) -> DataFrame:
     """One row a recording: id, ``n_frames``, ``group_id`` (the smallest id reached by matches), and the ``offset`` in frames
     and ``bit_error`` of its alignment with that recording, null where the two don't align by themselves."""
+    spark = media.sparkSession
     made = stored(fingerprints(media, id_col, audio), "prints")
     kind = made.schema["id"].dataType
     copies = made.filter(F.octet_length("print") > 0).groupBy("print").agg(F.min("id").alias("rep"))
@@ -184,7 +241,7 @@ def group(media: DataFrame, *, id_col: str = "rec_id", audio: str = "audio", mos
     shared = settled(gathered(rows.join(sizes, "key")))
     weight = shared.groupBy("id").agg(F.sum("size").alias("weight"))
     leaders = shared.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("_id"))).alias("_top")).select("key", (-F.col("_top._id")).alias("a"))
-    stars = shared.join(leaders, "key").filter("a <> id").select("a", F.col("id").alias("b")).distinct()
+    stars = shared.join(leaders, "key").filter("a <> id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
     side = lambda s: prints.select(F.col("id").alias(s), F.col("print").alias(f"print_{s}"))
     pair = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
     opened = lambda x: np.frombuffer(x.as_buffer(), np.uint32)
@@ -196,24 +253,50 @@ def group(media: DataFrame, *, id_col: str = "rec_id", audio: str = "audio", mos
 
     links = settled(stars.join(side("b"), "b").join(side("a"), "a").select("a", "b", "print_a", "print_b").mapInArrow(confirm, pair))
     found = components(links)
-    meeting = settled(gathered(open_groups(shared, found)))
 
-    def compare(table: pa.Table) -> pa.Table:
-        ids, sides, whole = table.column("id").to_numpy(), table.column("side").to_numpy(), [opened(x) for x in table.column("print")]
-        root = np.unique(table.column("component").to_numpy(), return_inverse=True)[1]
-        inner = table.column("kind")[0].as_py() == 0 and table.column("_i")[0].as_py() == table.column("_j")[0].as_py()
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [integers(opened(x)) for x in batch.column(1)]
+            own = batch.column(0).take(pa.array(np.repeat(np.arange(len(held)), [len(x) for x in held])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*held, np.zeros(0, np.int64)])), own], names=["key", "id"])
+
+    single = stored(prints.select("id", "print").mapInArrow(exploded, T.StructType([T.StructField("key", T.LongType()), T.StructField("id", kind)])), "integers")
+    often = single.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    meeting = settled(gathered(open_groups(single.join(often, "key"), found, 2)))
+
+    def compare(groups: pa.Table, texts: pa.Table) -> pa.Table:
+        ids, whole = texts.column("_id").to_pylist(), [opened(x) for x in texts.column("print")]
+        at = {i: k for k, i in enumerate(ids)}
+        table = groups.sort_by([(c, "ascending") for c in ("kind", "key", "_i", "_j")])
+        member = np.array([at[i] for i in table.column("id").to_pylist()], np.int64)
+        sides = table.column("side").to_numpy()
+        label = np.unique(np.array(table.column("component").to_pylist()), return_inverse=True)[1]
+        root = np.zeros(len(ids), np.int64)
+        root[member] = label
+        named = [table.column(c).to_pylist() for c in ("kind", "key", "_i", "_j")]
+        edges = [k for k in range(len(member)) if k == 0 or any(c[k] != c[k - 1] for c in named)] + [len(member)]
         out: tuple[list, list] = ([], [])
-        for k in range(len(ids)) if inner else np.flatnonzero(sides == 1):
-            for o in range(k + 1, len(ids)) if inner else np.flatnonzero(sides == 0):
-                if root[o] != root[k] and matches(whole[o], whole[k], most):
-                    out[0].append(ids[k])
-                    out[1].append(ids[o])
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            rows, side = member[low:high], sides[low:high]
+            alone = named[0][low] == 0
+            inner = alone and named[2][low] == named[3][low]
+            left, right = (rows, None) if inner else (rows[side == 0], rows[side == 1])
+            for k, o in agreeing(whole, named[1][low], left, right, most) if alone else agreeing_any(whole, left, right, most):
+                first, second = (k, o) if ids[k] < ids[o] else (o, k)
+                if root[k] != root[o] and matches(whole[first], whole[second], most):
+                    out[0].append(ids[first])
+                    out[1].append(ids[second])
                     root[root == root[o]] = root[k]
-        return pa.table({"a": pa.array(np.array(out[0], ids.dtype)), "b": pa.array(np.array(out[1], ids.dtype))})
-
-    if not meeting.isEmpty():
-        placed = in_blocks(meeting).join(prints, "id")
-        links = links.unionByName(settled(placed.groupBy("kind", "key", "_i", "_j").applyInArrow(compare, pair).distinct()))
+        field = texts.schema.field("_id").type
+        return pa.table({"a": pa.array(out[0], field), "b": pa.array(out[1], field)})
+
+    n = meeting.count()
+    if n:
+        # A recording's integers go to each part only once, and a part has some 500,000 rows.
+        parts = max(spark.sparkContext.defaultParallelism, n >> 19)
+        placed = in_blocks(meeting).withColumn("part", F.pmod(F.xxhash64("kind", "key", "_i", "_j"), F.lit(parts)).cast("int"))
+        texts = placed.select(F.col("part").alias("_part"), F.col("id").alias("_id")).distinct().join(prints.withColumnRenamed("id", "_id"), "_id")
+        links = links.unionByName(settled(placed.groupBy("part").cogroup(texts.groupBy("_part")).applyInArrow(compare, pair).distinct()))
         found = components(links)
     told = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("group_id", F.coalesce("component", "rep"))
     lead = prints.select(F.col("id").alias("group_id"), F.col("print").alias("_lead"))

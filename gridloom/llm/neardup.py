@@ -188,14 +188,15 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, width:
     return joined.mapInArrow(check, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
-def open_groups(shared: DataFrame, found: DataFrame) -> DataFrame:
+def open_groups(shared: DataFrame, found: DataFrame, least: int = 3) -> DataFrame:
     """What may still be linked: (kind, key, id, component, side), with kind 0 for a bucket's unlinked members and 1 for a component's with what it meets.
 
     shared: key, id and size of the buckets; found: node and component. In a group of
     kind 0 every two members are to be compared; in one of kind 1 the component's own
     members (side 0) with the others (side 1). A meeting of two components counts once.
+    Buckets of fewer than ``least`` members are left out.
     """
-    placed = shared.filter("size > 2").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), F.col("component").isNotNull().alias("linked"))
+    placed = shared.filter(F.col("size") >= least).join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), F.col("component").isNotNull().alias("linked"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("key")
     rows = settled(gathered(placed.join(mixed, "key", "left_semi")))
     lonely = rows.filter("not linked")

@@ -123,3 +123,41 @@ def test_sample_widths(width):
         w.setframerate(chroma.RATE)
         w.writeframes(raw)
     assert np.allclose(chroma.samples(out.getvalue()), x, atol=2 ** (2 - 8 * width))
+
+
+def noisy(prints, share, seed):
+    """Each print's copy with that share of its bits flipped."""
+    r = np.random.default_rng(seed)
+    return [f ^ (r.random((len(f), 32)) < share).dot(1 << np.arange(32, dtype=np.uint64)).astype(np.uint32) for f in prints]
+
+
+def test_all_matches_share_an_integer():
+    r = np.random.default_rng(6)
+    prints = [chroma.fingerprint(chroma.melody(r.normal(size=64).tolist())) for _ in range(40)]
+    every = prints + noisy(prints, 0.08, 1) + noisy(prints, 0.13, 2)
+    want = {(a, b) for a in range(len(every)) for b in range(a + 1, len(every)) if chroma.matches(every[a], every[b], 0.15)}
+    keys = [chroma.integers(f) for f in every]
+    got = set()
+    for key in np.unique(np.concatenate(keys)):
+        rows = np.array([k for k, x in enumerate(keys) if key in x])
+        got |= {tuple(sorted(p)) for p in chroma.agreeing(every, int(key), rows, None, 0.15)}
+        half = len(rows) // 2
+        assert set(chroma.agreeing(every, int(key), rows[:half], rows[half:], 0.15)) <= set(chroma.agreeing(every, int(key), rows, None, 0.15))
+    assert want <= got and len(want) >= 30
+    assert any(not len(np.intersect1d(chroma.keys(every[a]), chroma.keys(every[b]))) for a, b in want)
+
+
+def test_noisy_copies_group_as_by_all_pairs(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    prints = [chroma.fingerprint(chroma.melody(r.normal(size=64).tolist())) for _ in range(30)]
+    every = prints + noisy(prints, 0.1, 3)
+    made = spark.createDataFrame([(k, f.tobytes(), chroma.keys(f).tolist()) for k, f in enumerate(every)], "id long, print binary, keys array<long>")
+    monkeypatch.setattr(chroma, "fingerprints", lambda *_: made)
+    root = list(range(len(every)))
+    for a in range(len(every)):
+        for b in range(a + 1, len(every)):
+            if chroma.matches(every[a], every[b], 0.15):
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    got = {x["rec_id"]: x["group_id"] for x in chroma.group(made, audio="print").collect()}
+    assert got == dict(enumerate(root)) and len(set(root)) < len(root) - 5
