@@ -5,8 +5,8 @@ in numpy from confirmed toxic texts and unlabelled ones. Its risk is
 ``prior * E_P[loss(g)] + max(0, E_U[loss(-g)] - prior * E_P[loss(-g)])``; where
 the second part falls below zero, the step goes up that part instead, so that
 unlabelled texts are not overfitted. Workers turn texts into hashed features,
-the driver sees at most ``max_positive`` and ``max_unlabelled`` feature lists,
-and every whole text is scored.
+Spark counts them over at most ``max_positive`` and ``max_unlabelled`` texts, the
+driver sees these texts' chosen features alone, and every whole text is scored.
 
 Cases: null and empty texts have no features and score the model's bias; a
 document labelled more than once is toxic if any label says so; null labels and
@@ -27,11 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ready
+from .common import ready, stored
 
 LETTERS = re.compile(r"[^\W\d_]+").findall
 PREFIXES = (3, 4, 5, 6)
 MEMO_WORDS = 100_000
+#: A feature is in so many toxic texts at least; a model has so many features at most.
+LEAST, MOST = 3, 8192
 
 
 def word_features(word: str) -> list[int]:
@@ -76,25 +78,28 @@ class Model:
 EMPTY = Model(np.zeros(0, np.uint32), np.zeros(0), -math.inf)
 
 
-def choose(positive: list[np.ndarray], unlabelled: list[np.ndarray], most: int, sigmas: float = 4.0) -> np.ndarray:
-    """Features that toxic texts have more often than unlabelled ones, beyond chance."""
+def best(values: np.ndarray, counts: np.ndarray, there: np.ndarray, n: int, m: int, most: int, sigmas: float = 4.0) -> np.ndarray:
+    """Features that n toxic texts have more often (counts) than m unlabelled ones (there), beyond chance."""
+    rate = (there + 1) / (max(1, m) + 2)
+    beyond = (counts - n * rate) / np.sqrt(n * rate * (1 - rate))
+    good = np.flatnonzero((counts >= LEAST) & (beyond >= sigmas))
+    return np.sort(values[good[np.argsort(-beyond[good], kind="stable")[:most]]])
+
+
+def choose(positive: list[np.ndarray], unlabelled: list[np.ndarray], most: int) -> np.ndarray:
+    """The best features of texts at hand."""
     values, counts = np.unique(np.concatenate(positive), return_counts=True)
     others, found = np.unique(np.concatenate([*unlabelled, np.zeros(0, np.uint32)]), return_counts=True)
     at = np.minimum(np.searchsorted(others, values), max(0, len(others) - 1))
     there = np.where(others[at] == values, found[at], 0) if len(others) else np.zeros(len(values))
-    n, m = len(positive), max(1, len(unlabelled))
-    rate = (there + 1) / (m + 2)
-    beyond = (counts - n * rate) / np.sqrt(n * rate * (1 - rate))
-    good = np.flatnonzero((counts >= 3) & (beyond >= sigmas))
-    best = good[np.argsort(-beyond[good], kind="stable")[:most]]
-    return np.sort(values[best])
+    return best(values, counts, there, len(positive), len(unlabelled), most)
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, most: int = 8192, steps: int = 400, rate: float = 0.05, decay: float = 1e-4, beta: float = 0.0) -> Model:
-    """Non-negative risk minimisation by Adam over all given texts."""
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, chosen: np.ndarray | None = None, most: int = MOST, steps: int = 400, rate: float = 0.05, decay: float = 1e-4, beta: float = 0.0) -> Model:
+    """Non-negative risk minimisation by Adam over all given texts; chosen: the features, None to choose them from the texts."""
     if not positive:
         return EMPTY
-    chosen = choose(positive, unlabelled, most)
+    chosen = choose(positive, unlabelled, most) if chosen is None else chosen
 
     def rows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         kept = [np.searchsorted(chosen, t[np.isin(t, chosen, assume_unique=True)]) for t in texts]
@@ -134,9 +139,37 @@ def _featured(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text, "_draw").mapInArrow(run, T.StructType([T.StructField("_draw", T.LongType()), T.StructField("_features", T.BinaryType())]))
 
 
+def _counted(texts: DataFrame) -> DataFrame:
+    """(feature, counts, there): how many toxic and unlabelled texts have a feature; too rare ones are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.frombuffer(b.as_py(), np.uint32) for b in batch.column(0)]
+            toxic = np.repeat(batch.column(1).to_numpy(), [len(h) for h in held]) if held else np.zeros(0, np.int64)
+            features = np.concatenate([*held, np.zeros(0, np.uint32)])
+            values, inverse = np.unique(features, return_inverse=True)
+            counts = np.bincount(inverse, toxic == 1, len(values)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(counts), pa.array(np.bincount(inverse, minlength=len(values)) - counts)], names=["feature", "counts", "there"])
+
+    rows = texts.select("_features", "_toxic").mapInArrow(run, "feature long, counts long, there long")
+    return rows.groupBy("feature").agg(F.sum("counts").alias("counts"), F.sum("there").alias("there")).filter(F.col("counts") >= LEAST)
+
+
+def _reduced(texts: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """texts with only the chosen of their features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = (np.frombuffer(b.as_py(), np.uint32) for b in batch.column(0))
+            packed = pa.array((h[np.isin(h, chosen, assume_unique=True)].tobytes() for h in held), pa.binary())
+            yield pa.RecordBatch.from_arrays([packed, *batch.columns[1:]], names=["_features", "_toxic", "_draw"])
+
+    return texts.select("_features", "_toxic", "_draw").mapInArrow(run, "_features binary, _toxic long, _draw long")
+
+
 def learn(
     docs: DataFrame, labels: DataFrame, allowed: Column, *, id_col: str = "doc_id", text: str = "text", label: str = "toxic",
-    prior: float | None = None, max_positive: int = 2000, max_unlabelled: int = 5000,
+    prior: float | None = None, max_positive: int = 3000, max_unlabelled: int = 9000,
 ) -> Model:
     """A model from at most so many toxic and unlabelled texts, drawn by a hash of their ids.
 
@@ -156,9 +189,18 @@ def learn(
     n = source.count()
     low = int(-(1 << 63) + (1 << 64) * min(1.0, 1.05 * max_unlabelled / max(n, 1))) - 1
     plain = _featured(source.filter(F.col("_draw") <= low), text).orderBy("_draw").limit(max_unlabelled)
-    packed = lambda df: [np.frombuffer(b.as_py(), np.uint32) for b in df.toArrow().column("_features")]
+    # Only counts of features and the chosen ones' rows come to the driver.
+    texts = stored(toxic.withColumn("_toxic", F.lit(1).cast("long")).unionByName(plain.withColumn("_toxic", F.lit(0).cast("long"))), "samples")
+    sizes = {r["_toxic"]: r["count"] for r in texts.groupBy("_toxic").count().collect()}
+    counted = _counted(texts).toArrow()
+    column = lambda name: counted.column(name).to_numpy()
+    order = np.argsort(column("feature"))
+    chosen = best(column("feature")[order].astype(np.uint32), column("counts")[order], column("there")[order], sizes.get(1, 0), sizes.get(0, 0), MOST)
+    kept = _reduced(texts, chosen).orderBy("_draw").toArrow()
+    held = [[np.frombuffer(b.as_py(), np.uint32) for b, one in zip(kept.column("_features"), kept.column("_toxic").to_numpy(), strict=True) if one == k] for k in (1, 0)]
     known = min(0.9, max(1e-4, share if prior is None else prior))
-    model = fit(packed(toxic), packed(plain), known)
+    model = fit(*held, known, chosen=chosen)
+    del counted, kept
     pa.default_memory_pool().release_unused()
     return model
 

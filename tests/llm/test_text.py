@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import langid, queries, toxicity
 
@@ -121,3 +122,16 @@ def test_toxicity_query(spark):
     got = {r["doc_id"]: r for r in queries.op10_toxicity_nnpu(spark, FOLDER).collect()}
     assert len(got) == queries.table(spark, FOLDER, "documents").count()
     assert all(r["predicted"] == int(r["score"] >= 0.7) and r["held_out"] == (zlib.crc32(str(k).encode()) % 3 == 1) for k, r in got.items())
+
+
+def test_learning_uses_all_of_3000_toxic_texts(spark):
+    rows = [(k, f"bad{k % 7} " + " ".join(f"w{k * j % 97}x" for j in range(1, 4)) if k < 3200 else " ".join(f"w{k * j % 89}x" for j in range(1, 6))) for k in range(12600)]
+    letters = str.maketrans("0123456789", "abcdefghij")
+    docs = spark.createDataFrame([(k, t.translate(letters)) for k, t in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 3200)) for k in range(0, 12600)], "doc_id long, toxic int")
+    draw = F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity"))
+    order = [(r["doc_id"], r["text"]) for r in docs.orderBy(draw).collect()]
+    want = toxicity.fit([toxicity.text_features(t) for k, t in order if k < 3200][:3000], [toxicity.text_features(t) for _, t in order][:9000], 3200 / 12600)
+    got = toxicity.learn(docs, labels, F.lit(True))
+    assert np.array_equal(got.features, want.features) and len(want.features)
+    assert np.allclose(got.weights, want.weights) and np.isclose(got.bias, want.bias)
