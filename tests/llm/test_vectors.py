@@ -50,6 +50,18 @@ def test_repeated_rows_count_once(spark):
     assert sorted(map(tuple, hnsw.links(df).collect())) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
 
 
+def test_links_that_no_beam_finds(spark, monkeypatch):
+    class Blind(hnsw.Graph):
+        def within(self, queries, least, width):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    monkeypatch.setattr(hnsw, "Graph", Blind)
+    r = np.random.default_rng(5)
+    v = r.normal(size=(100, 32))
+    rows = list(enumerate([x.tolist() for x in np.concatenate([v, v + r.normal(size=v.shape) * 0.15])]))
+    assert result(spark, rows, shards=2, widenings=1) == brute(rows)
+
+
 def test_recall_of_a_graph():
     r = np.random.default_rng(3)
     base = r.normal(size=(1500, 24))
