@@ -30,8 +30,6 @@ UNDETERMINED = "und"
 GRAMS = (2, 3, 4)
 #: Letters that are looked at together; a longer text is worked through in such pieces.
 PIECE = 1 << 18
-#: From so many n-grams on, a language's filter leaves out those met once.
-MANY = 100_000
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 STEP = np.uint64(0x100000001B3)
 
@@ -147,15 +145,14 @@ def build(langs: list[str], lang_of: np.ndarray, gram: np.ndarray, n: np.ndarray
 
     An n-gram belongs to a language if it makes up at least ``least`` of the language's
     n-grams, and at least ``part`` of the share it has where it is most usual, which
-    keeps passages in another language from leaking. Of languages with many n-grams,
-    those met once are left out. bits: table places a stored n-gram.
+    keeps passages in another language from leaking. bits: table places a stored n-gram.
     """
     totals = np.bincount(lang_of, n, len(langs))
     share = n / totals[lang_of]
     values, inverse = np.unique(gram, return_inverse=True)
     most = np.zeros(len(values))
     np.maximum.at(most, inverse, share)
-    kept = (share >= least) & (share >= part * most[inverse]) & ((n >= 2) | (totals[lang_of] < MANY))
+    kept = (share >= least) & (share >= part * most[inverse])
     largest = max(np.bincount(lang_of[kept], minlength=len(langs)), default=1)
     size = 1 << max(12, int(bits * largest - 1).bit_length())
     kind = next(t for t, w in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(langs) <= w or w == 64)

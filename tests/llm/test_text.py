@@ -135,3 +135,10 @@ def test_learning_uses_all_of_3000_toxic_texts(spark):
     got = toxicity.learn(docs, labels, F.lit(True))
     assert np.array_equal(got.features, want.features) and len(want.features)
     assert np.allclose(got.weights, want.weights) and np.isclose(got.bias, want.bias)
+
+
+@pytest.mark.parametrize("total", [90_000, 110_000, 200_000])
+def test_grams_met_once_stay_at_any_size(total):
+    gram, n = np.arange(1, 1002, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.ones(1001, np.int64)
+    n[0] = total - 1000
+    assert langid.build(["a"], np.zeros(1001, np.int64), gram, n).masks(gram).all()
