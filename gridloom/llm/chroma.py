@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from .common import gathered, ready, settled, stored
 from .graph import components
-from .neardup import in_blocks, open_groups
+from .neardup import BLOCK, BLOCK_BYTES, in_blocks, open_groups
 
 RATE, FRAME, HOP = 4000, 2048, 256
 LOWEST, HIGHEST = 55.0, 1760.0
@@ -262,7 +262,8 @@ def group(media: DataFrame, *, id_col: str = "rec_id", audio: str = "audio", mos
 
     single = stored(prints.select("id", "print").mapInArrow(exploded, T.StructType([T.StructField("key", T.LongType()), T.StructField("id", kind)])), "integers")
     often = single.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    meeting = settled(gathered(open_groups(single.join(often, "key"), found, 2)))
+    meeting = open_groups(single.join(often, "key"), found, 2)
+    meeting = stored(gathered(meeting.join(prints.select("id", F.octet_length("print").alias("bytes")), "id")), "meeting")
 
     def compare(groups: pa.Table, texts: pa.Table) -> pa.Table:
         ids, whole = texts.column("_id").to_pylist(), [opened(x) for x in texts.column("print")]
@@ -294,7 +295,7 @@ def group(media: DataFrame, *, id_col: str = "rec_id", audio: str = "audio", mos
     if n:
         # A recording's integers go to each part only once, and a part has some 500,000 rows.
         parts = max(spark.sparkContext.defaultParallelism, n >> 19)
-        placed = in_blocks(meeting).withColumn("part", F.pmod(F.xxhash64("kind", "key", "_i", "_j"), F.lit(parts)).cast("int"))
+        placed = in_blocks(meeting, BLOCK, BLOCK_BYTES).withColumn("part", F.pmod(F.xxhash64("kind", "key", "_i", "_j"), F.lit(parts)).cast("int"))
         texts = placed.select(F.col("part").alias("_part"), F.col("id").alias("_id")).distinct().join(prints.withColumnRenamed("id", "_id"), "_id")
         links = links.unionByName(settled(placed.groupBy("part").cogroup(texts.groupBy("_part")).applyInArrow(compare, pair).distinct()))
         found = components(links)

@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 REPO_ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -20,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Bytes of an Arrow batch at most, so that very long texts or files don't meet in one.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -49,8 +50,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def gathered(df: DataFrame) -> DataFrame:
-    """df in two partitions a core at most, without a shuffle: for tables far smaller than the corpus, so that keeping them doesn't make a file for each shuffle partition."""
-    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+    """df in as few partitions as its size asks for, a partition a core at most: for tables far smaller than the corpus.
+
+    The rows are dealt anew, so what computes them keeps its own partitions and their
+    memory; merging those partitions into few tasks would add up what their sorts hold.
+    """
+    return df.hint("rebalance").coalesce(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -59,6 +64,27 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: A key is heavy if it holds more than this part of all rows, so there are at most so many heavy keys.
+HEAVY = 1000
+
+
+def joined(left: DataFrame, right: DataFrame, on: str, many: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row a key and tells in ``many`` how many of left's ``total`` rows have it; ``many`` is dropped.
+
+    Heavy keys are fewer than ``HEAVY``, whatever the data, so their rows of right go to
+    every task and left's stay where they are; only the others are shuffled. Both sides
+    are read more than once, so they should be kept tables or cheap scans. Rows of left
+    without a key are left out.
+    """
+    limit = max(1, total // HEAVY)
+    heavy = right.filter(F.col(many) > limit).drop(many)
+    keys = [r[0] for r in heavy.select(on).collect()]
+    if not keys:
+        return left.filter(F.col(on).isNotNull()).join(right.drop(many), on, how)
+    hot = left.filter(F.col(on).isin(keys)).join(F.broadcast(heavy), on)
+    return hot.unionByName(left.filter(~F.col(on).isin(keys)).join(right.filter(F.col(many) <= limit).drop(many), on, how))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once as compressed Parquet in the shared folder and read again."""
     path = scratch(df.sparkSession, name)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import gathered, settled
+from .common import settled
 
 #: Slots are ranked, and documents laid end to end, in pieces of about this many rows.
 CHUNK = 4096
@@ -96,7 +96,7 @@ def lines(docs: DataFrame, key: str, size: str) -> DataFrame:
     # The sources' row counts fix how finely the keys of each are cut; a power of two keeps the cuts in the keys' order.
     bits = F.least(F.lit(28), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("_rows") / CHUNK))))).cast("int")
     cut = docs.join(per.select("sidx", bits.alias("_bits")), "sidx").withColumn("_chunk", F.expr(f"shiftright(cast(conv(substr({key}, 1, 7), 16, 10) as int), 28 - _bits)"))
-    cut = settled(gathered(cut.drop("_bits")))
+    cut = settled(cut.drop("_bits").coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism))
     sums = cut.groupBy("sidx", "_chunk").agg(F.sum(size).alias("_sum"))
     ahead = Window.partitionBy("sidx").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("sidx", "_chunk", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))

@@ -4,8 +4,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from gridloom.llm import graph, neardup, queries
+from gridloom.llm import common, graph, neardup, queries
 
 
 def words_of(text):
@@ -71,6 +72,33 @@ def test_a_group_that_meets_only_through_others(spark):
     assert result(spark, docs, 2) == brute(docs, 2)
 
 
+@pytest.mark.parametrize("bits", [64, 3])
+def test_ids_of_any_type_nulls_and_prints_that_clash(spark, bits):
+    texts = family(5, 12) + family(6, 5) * 3 + ["one", "two", "", None]
+    docs = [(f"{k:03d}", t) for k, t in enumerate(texts)]
+    want = brute(docs, 2)
+    more = [(None, texts[0]), (None, texts[0]), (None, None)]
+    df = spark.createDataFrame([*docs, *more], "doc_id string, text string")
+    got = neardup.cluster(df, width=2, print_bits=bits).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == want
+    assert [(r["component_id"], r["kept"]) for r in got if r["doc_id"] is None] == [(None, True)] * 3 and len(got) == len(texts) + 3
+
+
+def test_one_id_with_several_texts_is_one_document(spark):
+    texts = family(8, 6, edits=1)
+    docs = [(1, texts[0]), (2, "some other words"), (2, texts[1]), (2, texts[1]), (3, "some other words"), (4, "alone")]
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.cluster(spark.createDataFrame(docs, "doc_id long, text string"), width=2).collect()}
+    whole = len(set(zip(texts[0].split(), texts[0].split()[1:], strict=False))), len(set(zip(texts[1].split(), texts[1].split()[1:], strict=False)))
+    assert got == {(1, whole[0], 1, True), (2, 2, 1, False), (2, whole[1], 1, False), (3, 2, 1, False), (4, 1, 4, True)}
+
+
+def test_heavy_keys_are_not_dealt(spark):
+    left = spark.range(4000).selectExpr("if(id < 3000, 7, id) k", "id")
+    right = left.groupBy("k").count().withColumnRenamed("count", "n").withColumn("v", F.col("k") * 2)
+    got = common.joined(left, right, "k", "n", 4000)
+    assert got.columns == ["k", "id", "v"] and got.count() == 4000 and got.filter("v <> 2 * k").isEmpty()
+
+
 def test_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b c", 5, "x"), (2, "a b c", 6, "y")], "doc_id long, text string, id long, key string")
     assert {r["component_id"] for r in neardup.cluster(df).collect()} == {1}
