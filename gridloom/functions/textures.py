@@ -44,28 +44,39 @@ LOCAL: dict[str, Callable[[np.ndarray], np.ndarray]] = {
 }
 
 
+def central(x: np.ndarray, axis: int) -> np.ndarray:
+    """Central differences along an axis, one-sided at its ends; zeros along an axis of one voxel."""
+    if x.shape[axis] < 2:
+        return np.zeros_like(x)
+    ahead = np.take(x, np.minimum(np.arange(x.shape[axis]) + 1, x.shape[axis] - 1), axis)
+    behind = np.take(x, np.maximum(np.arange(x.shape[axis]) - 1, 0), axis)
+    apart = np.full(x.shape[axis], 2.0)
+    apart[[0, -1]] = 1.0
+    return (ahead - behind) / apart.reshape([-1 if k == axis else 1 for k in range(x.ndim)])
+
+
+def sobel(x: np.ndarray, axis: int) -> np.ndarray:
+    for other in range(x.ndim):
+        x = along(x, (-1, 0, 1) if other == axis else (1, 2, 1), other)
+    return x
+
+
 def gradients(x: np.ndarray) -> dict[str, np.ndarray]:
-    """Central differences by axis, their magnitude, and Sobel responses by axis and by pairs of axes."""
+    """Differences by axis, their magnitude, Sobel responses by axis, and the response of each of these along each other axis."""
     axes = "zyx"[-x.ndim :]
-    d = {f"d{a}": (along(x, (-0.5, 0, 0.5), k) if x.shape[k] > 1 else np.zeros_like(x)) for k, a in enumerate(axes)}
-    sobel = {}
-    for k, a in enumerate(axes):
-        s = along(x, (-1, 0, 1), k)
-        for other in range(x.ndim):
-            s = along(s, (1, 2, 1), other) if other != k else s
-        sobel[f"sobel_{a}"] = s
-    mixed = {f"sobel_{a}{b}": sobel[f"sobel_{a}"] * sobel[f"sobel_{b}"] for k, a in enumerate(axes) for b in axes[k:]}
-    return d | {"magnitude": np.sqrt(sum(v * v for v in d.values()))} | sobel | mixed
-
-
-def gabor_kernel(wavelength: float, azimuth: float, elevation: float, spacing: Sequence[float], bandwidth: float = 1.0, reach: int = 4) -> np.ndarray:
-    """A plane wave under a Gaussian, in mm, without a mean and of norm 1. Angles in degrees."""
+    d = {f"d{a}": central(x, k) for k, a in enumerate(axes)}
+    first = {f"sobel_{a}": sobel(x, k) for k, a in enumerate(axes)}
+    mixed = {f"sobel_{a}{b}": sobel(first[f"sobel_{a}"], k) for a in axes for k, b in enumerate(axes) if a != b}
+    return d | {"magnitude": np.sqrt(sum(v * v for v in d.values()))} | first | mixed
+
+
+def gabor_kernel(wavelength: float, azimuth: float, elevation: float, spacing: Sequence[float], bandwidth: float = 1.0) -> np.ndarray:
+    """A plane wave under a Gaussian, in mm, without a mean and of norm 1, three deviations wide along each axis. Angles in radians."""
     two = 2.0**bandwidth
     sigma = wavelength / np.pi * np.sqrt(np.log(2) / 2) * (two + 1) / (two - 1)
-    grid = np.meshgrid(*(np.arange(-reach, reach + 1) * s for s in spacing), indexing="ij")
-    az, el = np.deg2rad(azimuth), np.deg2rad(elevation)
-    z, y, x = grid
-    wave = x * np.cos(el) * np.cos(az) + y * np.cos(el) * np.sin(az) + z * np.sin(el)
+    reach = [max(1, int(np.ceil(3 * sigma / s))) for s in spacing]
+    z, y, x = np.meshgrid(*(np.arange(-r, r + 1) * s for r, s in zip(reach, spacing, strict=True)), indexing="ij")
+    wave = x * np.cos(elevation) * np.cos(azimuth) + y * np.cos(elevation) * np.sin(azimuth) + z * np.sin(elevation)
     k = np.exp(-(x * x + y * y + z * z) / (2 * sigma * sigma)) * np.cos(2 * np.pi * wave / wavelength)
     k -= k.mean()
     return k / max(np.linalg.norm(k), EPS)
@@ -89,48 +100,71 @@ def quantised(x: np.ndarray, levels: int) -> np.ndarray:
 
 
 #: The thirteen features, in this order.
-HARALICK = ("asm", "contrast", "correlation", "variance", "homogeneity", "sum_average", "sum_variance", "sum_entropy", "entropy", "difference_variance", "difference_entropy", "imc1", "imc2")
+HARALICK = ("asm", "contrast", "correlation", "difference_average", "homogeneity", "sum_average", "sum_variance", "sum_entropy", "entropy", "difference_variance", "difference_entropy", "imc1", "imc2")
 
 
 def haralick(p: np.ndarray) -> np.ndarray:
-    """Thirteen features of normalised co-occurrence matrices along the last two axes."""
+    """Thirteen features of normalised co-occurrence matrices along the last two axes; entropies in nats."""
     n = p.shape[-1]
     i, j = np.meshgrid(np.arange(n), np.arange(n), indexing="ij")
-    log = lambda q: np.log2(np.maximum(q, EPS))
+    nats = lambda q, of: -(q * np.log(of + EPS))
     over = lambda q: q.sum(axis=(-2, -1))
+
+    def centred(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = np.arange(q.shape[-1])
+        mean = (q * k).sum(-1)
+        return mean, (q * (k - mean[..., None]) ** 2).sum(-1)
+
     px, py = p.sum(axis=-1), p.sum(axis=-2)
-    k = np.arange(n)
-    mx, my = (px * k).sum(-1), (py * k).sum(-1)
-    vx, vy = (px * k * k).sum(-1) - mx**2, (py * k * k).sum(-1) - my**2
+    (mx, vx), (my, vy) = centred(px), centred(py)
     total = np.stack([over(p * (i + j == s)) for s in range(2 * n - 1)], axis=-1)
     apart = np.stack([over(p * (abs(i - j) == d)) for d in range(n)], axis=-1)
-    s, d = np.arange(2 * n - 1), np.arange(n)
-    average = (total * s).sum(-1)
-    entropy = -over(p * log(p))
-    outer = px[..., :, None] * py[..., None, :]
-    hxy1, hxy2 = -over(p * log(outer)), -over(outer * log(outer))
-    hx, hy = -(px * log(px)).sum(-1), -(py * log(py)).sum(-1)
-    spread = np.sqrt(np.maximum(vx * vy, 0))
-    return np.stack([
-        over(p * p), over(p * (i - j) ** 2), np.where(spread > EPS, (over(p * i * j) - mx * my) / np.maximum(spread, EPS), 0), over(p * (i - mx[..., None, None]) ** 2), over(p / (1 + (i - j) ** 2)), average,
-        (total * (s - average[..., None]) ** 2).sum(-1), -(total * log(total)).sum(-1), entropy, (apart * d * d).sum(-1) - (apart * d).sum(-1) ** 2, -(apart * log(apart)).sum(-1),
-        (entropy - hxy1) / np.maximum(np.maximum(hx, hy), EPS), np.sqrt(np.maximum(0, 1 - np.exp(-2 * np.maximum(0, hxy2 - entropy)))),
-    ], axis=-1)
-
-
-def haralick_maps(slice_: np.ndarray, size: int, levels: int = 8, offsets: Sequence[tuple[int, int]] = ((0, 1), (1, 0), (1, 1), (1, -1))) -> np.ndarray:
-    """The thirteen features in the window around each pixel, symmetric co-occurrences over all offsets."""
-    q = windows(quantised(slice_, levels), size).reshape(*slice_.shape, size, size)
-    h, w = slice_.shape
-    out = np.zeros((h, w, levels, levels))
-    rows, cols = np.meshgrid(np.arange(h), np.arange(w), indexing="ij")
+    (sum_mean, sum_var), (gap_mean, gap_var) = centred(total), centred(apart)
+    entropy, outer = over(nats(p, p)), px[..., :, None] * py[..., None, :]
+    hx, hy = nats(px, px).sum(-1), nats(py, py).sum(-1)
+    correlation = (over(p * i * j) - mx * my) / (np.sqrt(vx + EPS) * np.sqrt(vy + EPS) + EPS)
+    told = {
+        "asm": over(p * p), "contrast": over(p * (i - j) ** 2), "correlation": correlation, "difference_average": gap_mean, "homogeneity": over(p / (1 + (i - j) ** 2)),
+        "sum_average": sum_mean, "sum_variance": sum_var, "sum_entropy": nats(total, total).sum(-1), "entropy": entropy, "difference_variance": gap_var, "difference_entropy": nats(apart, apart).sum(-1),
+        "imc1": (entropy - over(nats(p, outer))) / (np.maximum(hx, hy) + EPS), "imc2": np.sqrt(np.maximum(0, 1 - np.exp(-2 * (over(nats(outer, outer)) - entropy)))),
+    }
+    return np.stack([told[name] for name in HARALICK], axis=-1)
+
+
+def box_sums(x: np.ndarray, size: int) -> np.ndarray:
+    """Sums over the window around each place of the first two axes, by an integral image of the mirrored plane."""
+    r = size // 2
+    padded = np.pad(x, [(r + 1, r), (r + 1, r), (0, 0)], mode="symmetric")
+    padded[0], padded[:, 0] = 0, 0
+    whole = padded.cumsum(axis=0).cumsum(axis=1)
+    return whole[size:, size:] - whole[:-size, size:] - whole[size:, :-size] + whole[:-size, :-size]
+
+
+def haralick_maps(plane: np.ndarray, size: int, levels: int = 8, offsets: Sequence[tuple[int, int]] = ((0, 1), (1, 0), (1, 1), (1, -1))) -> np.ndarray:
+    """The thirteen features of the window around each pixel.
+
+    For each offset a pixel and the one the offset behind it make an ordered pair; a window
+    counts its pixels' pairs, mirrored at the border of where the offset has pairs.
+    """
+    q = quantised(plane, levels)
+    h, w = q.shape
+    counts = np.zeros((h, w, levels * levels))
     for dy, dx in offsets:
-        a = q[:, :, : size - dy, max(0, -dx) : size - max(0, dx)]
-        b = q[:, :, dy:, max(0, dx) : size - max(0, -dx)]
-        for u, v in zip(a.reshape(h, w, -1).transpose(2, 0, 1), b.reshape(h, w, -1).transpose(2, 0, 1), strict=True):
-            np.add.at(out, (rows, cols, u, v), 1)
-            np.add.at(out, (rows, cols, v, u), 1)
-    return haralick(out / np.maximum(out.sum(axis=(-2, -1), keepdims=True), 1))
+        rows, cols = np.arange(max(0, dy), h + min(0, dy)), np.arange(max(0, dx), w + min(0, dx))
+        if len(rows) and len(cols):
+            pair = q[np.ix_(rows, cols)] * levels + q[np.ix_(rows - dy, cols - dx)]
+            counts[np.ix_(rows, cols)] += box_sums(np.eye(levels * levels)[pair], size)
+    counts = counts.reshape(h, w, levels, levels)
+    return haralick(counts / (counts.sum(axis=(-2, -1), keepdims=True) + EPS))
+
+
+def haralick_volume(x: np.ndarray, mask: np.ndarray, size: int) -> np.ndarray:
+    """The maps of each slice, on the box of its mask and half a window around it, which also sets its grey levels; zeros elsewhere."""
+    out = np.zeros((*x.shape, len(HARALICK)))
+    for k in np.flatnonzero(mask.any(axis=(1, 2))):
+        box = tuple(slice(max(0, int(at.min()) - size // 2), int(at.max()) + size // 2 + 1) for at in np.nonzero(mask[k]))
+        out[(k, *box)] = haralick_maps(x[(k, *box)], size)
+    return out
 
 
 def euler(mask: np.ndarray) -> int:
@@ -174,20 +208,25 @@ def surface(mask: np.ndarray, spacing: Sequence[float]) -> float:
     return float(area)
 
 
+#: Wavelengths of the Gabor filters, in mm.
+WAVELENGTHS = (0.880, 1.482, 2.075, 2.668, 3.261)
+
+
 def catalogue() -> list[dict]:
     """The maps of a full run, by rule: filter family, parameters and a name each."""
     five = [a + b + c for a, b, c in product(("L5", "E5", "S5", "W5", "R5"), repeat=3)]
     three = [a + b + c for a, b, c in product(("L3", "E3", "S3"), repeat=3)]
+    angles = [round(k * np.pi / 8, 3) for k in range(8)]
     specs = [{"family": "laws", "code": c} for c in (*five, *three)]
     specs += [{"family": "haralick", "feature": f, "size": w} for w in (3, 5, 7, 9, 11) for f in HARALICK]
     specs += [{"family": "gray", "statistic": s, "size": w} for s in LOCAL for w in (3, 5, 7, 9, 11)]
-    specs += [{"family": "gradient", "map": m} for m in ("dz", "dy", "dx", "magnitude", "sobel_z", "sobel_y", "sobel_x", "sobel_zz", "sobel_zy", "sobel_zx", "sobel_yy", "sobel_yx", "sobel_xx")]
-    specs += [{"family": "gabor", "azimuth": a, "elevation": e, "wavelength": w} for a in range(0, 360, 45) for e in (0, 30, 60, 90) for w in (2, 4, 6, 8, 12)]
+    specs += [{"family": "gradient", "map": m} for m in ("dz", "dy", "dx", "magnitude", "sobel_z", "sobel_y", "sobel_x", "sobel_zy", "sobel_zx", "sobel_yz", "sobel_yx", "sobel_xz", "sobel_xy")]
+    specs += [{"family": "gabor", "azimuth": a, "elevation": e, "wavelength": w} for a in angles for e in angles[::2] for w in WAVELENGTHS]
     return [s | {"name": "_".join(map(str, s.values()))} for s in specs]
 
 
-def texture_map(x: np.ndarray, spec: dict, spacing: Sequence[float], held: dict) -> np.ndarray:
-    """One map of a volume; what several maps share is worked out once and kept in ``held``."""
+def texture_map(x: np.ndarray, mask: np.ndarray, spec: dict, spacing: Sequence[float], held: dict) -> np.ndarray:
+    """One map of a volume, as far as its mask needs it; what several maps share is worked out once and kept in ``held``."""
     kind = spec["family"]
     if kind == "laws":
         return laws(x, spec["code"])
@@ -201,7 +240,7 @@ def texture_map(x: np.ndarray, spec: dict, spacing: Sequence[float], held: dict)
         return convolved(x, gabor_kernel(spec["wavelength"], spec["azimuth"], spec["elevation"], spacing))
     key = ("haralick", spec["size"])
     if key not in held:
-        held[key] = np.stack([haralick_maps(s, spec["size"]) for s in x])
+        held[key] = haralick_volume(x, mask, spec["size"])
     return held[key][..., HARALICK.index(spec["feature"])]
 
 

@@ -72,8 +72,8 @@ def glcm(df: DataFrame, offsets: Sequence[tuple[int, int]] = ((0, 1), (1, 0), (1
     p = counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("case")))
     d = F.col("i") - F.col("j")
     moments = p.groupBy("case").agg(
-        F.sum(F.col("p") * d * d).alias("contrast"), F.sum(F.col("p") * F.abs(d)).alias("dissimilarity"), F.sum(F.col("p") / (1 + d * d)).alias("homogeneity"), F.sum(F.col("p") * F.col("p")).alias("asm"),
-        (-F.sum(F.col("p") * F.log2("p"))).alias("entropy"), F.sum(F.col("p") * F.col("i")).alias("_m"), F.sum(F.col("p") * F.col("i") * F.col("i")).alias("_s"), F.sum(F.col("p") * F.col("i") * F.col("j")).alias("_ij"),
+        F.sum(F.col("p") * d * d).alias("contrast"), F.sum(F.col("p") * F.abs(d)).alias("dissimilarity"), F.sum(F.col("p") / (1 + F.abs(d))).alias("homogeneity"), F.sum(F.col("p") * F.col("p")).alias("asm"),
+        (-F.sum(F.col("p") * F.ln("p"))).alias("entropy"), F.sum(F.col("p") * F.col("i")).alias("_m"), F.sum(F.col("p") * F.col("i") * F.col("i")).alias("_s"), F.sum(F.col("p") * F.col("i") * F.col("j")).alias("_ij"),
     )
     spread = F.col("_s") - F.col("_m") * F.col("_m")
     return moments.select("case", "contrast", "dissimilarity", "homogeneity", "asm", F.sqrt("asm").alias("energy"), "entropy", F.when(spread > EPS, (F.col("_ij") - F.col("_m") * F.col("_m")) / spread).otherwise(0.0).alias("correlation"))

@@ -192,10 +192,42 @@ def outer_scores(table: DataFrame, folds: DataFrame, chosen: DataFrame, key: str
     return work.groupBy("outer_fold").applyInPandas(fit, f"outer_fold int, {key} {kind}, y int, score double, inner boolean")
 
 
+def base_scores(table: DataFrame, nested: DataFrame, own: DataFrame, candidates: DataFrame, key: str, vector: str, y: str) -> DataFrame:
+    """(candidate, outer_fold, key, y, score, inner): what a stack may be built from.
+
+    Held-out rows (inner false) are scored by a chain fitted on their outer fold's training
+    rows; each training row (inner true) by one fitted on the other inner folds' rows, so no
+    row is scored by a model that has seen it. own: key and outer_fold, the fold that holds
+    the key out. nested: key, outer_fold and inner_fold of its training keys. candidates:
+    candidate and params, few. An inner fold whose other rows lack a class gives no scores.
+    """
+    held = own.select(key, "outer_fold", F.lit(None).cast("int").alias("inner_fold"))
+    placed = nested.select(key, "outer_fold", "inner_fold").unionByName(held).join(table.select(key, F.col(vector).alias("_x"), F.col(y).alias("_y")), key)
+    # A fold's rows are read once for each model: the fold's own, and one for each inner fold.
+    parts = nested.select("outer_fold", F.col("inner_fold").alias("_part")).distinct().unionByName(own.select("outer_fold", F.lit(-1).alias("_part")).distinct())
+    jobs = parts.crossJoin(F.broadcast(candidates.select("candidate", "params")))
+    kind = table.schema[key].dataType.simpleString()
+
+    def fit(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        candidate, outer, part = (int(k) for k in keys)
+        inner = pdf["inner_fold"].to_numpy(float)
+        test = np.isnan(inner) if part < 0 else inner == part
+        train = ~np.isnan(inner) & ~test
+        truth = pdf["_y"].to_numpy().astype(int)
+        if not test.any() or len(set(truth[train])) < 2:
+            return pd.DataFrame({"candidate": [], "outer_fold": [], key: pdf[key][:0], "y": [], "score": [], "inner": np.zeros(0, bool)})
+        x, params = np.stack(pdf["_x"].to_numpy()).astype(float), json.loads(pdf["params"].iloc[0])
+        params["model"] = tuple(params["model"])
+        return pd.DataFrame({"candidate": candidate, "outer_fold": outer, key: pdf[key][test], "y": truth[test], "score": Chain(x[train], truth[train], params)(x[test]), "inner": part >= 0})
+
+    work = placed.join(F.broadcast(jobs), "outer_fold")
+    return work.groupBy("candidate", "outer_fold", "_part").applyInPandas(fit, f"candidate int, outer_fold int, {key} {kind}, y int, score double, inner boolean")
+
+
 def meta_scores(candidates: DataFrame, key: str, least: float = 0.001) -> DataFrame:
-    """(outer_fold, key, y, score): candidates' scores put on the scale of their training scores, then averaged by how far the training AUC is above a half.
+    """(outer_fold, key, y, score): candidates' held-out scores put on the scale of their out-of-fold training scores, then averaged by how far the AUC of these is above a half.
 
-    candidates: candidate, outer_fold, key, y, score and inner. A candidate that lacks a training score is out.
+    candidates: candidate, outer_fold, key, y, score and inner, as ``base_scores`` gives them. A candidate that lacks a training score is out.
     """
     train, test = candidates.filter("inner"), candidates.filter("not inner")
     groups = ["candidate", "outer_fold"]

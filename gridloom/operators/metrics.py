@@ -30,13 +30,16 @@ def auc_ap(df: DataFrame, groups: Sequence[str], y: str, score: str) -> DataFram
 
 
 def binary_metrics(df: DataFrame, groups: Sequence[str], y: str, score: str, pred: str) -> DataFrame:
-    """n, AUC, AP, balanced accuracy, F1, accuracy, sensitivity and specificity of each group."""
+    """n, AUC, AP, balanced accuracy, F1, accuracy, sensitivity and specificity of each group.
+
+    Where a class is missing, its sensitivity or specificity is null, and balanced accuracy is the other class's.
+    """
     hit = lambda a, b: F.count_if((F.col(y) == a) & (F.col(pred) == b)).cast("double")
     c = df.filter(f"{y} is not null").groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), hit(1, 1).alias("tp"), hit(0, 0).alias("tn"), hit(0, 1).alias("fp"), hit(1, 0).alias("fn"))
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    sens, spec = ratio(F.col("tp"), F.col("tp") + F.col("fn")), ratio(F.col("tn"), F.col("tn") + F.col("fp"))
+    sens, spec = F.try_divide("tp", F.col("tp") + F.col("fn")), F.try_divide("tn", F.col("tn") + F.col("fp"))
     made = c.select(
-        *groups, "n", ((sens + spec) / 2).alias("balanced_acc"), ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"),
+        *groups, "n", F.coalesce((sens + spec) / 2, sens, spec).alias("balanced_acc"), ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"),
         ratio(F.col("tp") + F.col("tn"), F.col("n").cast("double")).alias("acc"), sens.alias("sensitivity"), spec.alias("specificity"),
     )
     return made.join(auc_ap(df, groups, y, score), list(groups))

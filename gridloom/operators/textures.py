@@ -32,7 +32,7 @@ def texture_table(slices: DataFrame, specs: Sequence[dict] | None = None, margin
         held: dict = {}
         rows = []
         for spec in wanted:
-            values = textures.four(textures.texture_map(x, spec, (first.sz, first.sy, first.sx), held)[mask]) if mask.any() else (0.0,) * 4
+            values = textures.four(textures.texture_map(x, mask, spec, (first.sz, first.sy, first.sx), held)[mask]) if mask.any() else (0.0,) * 4
             rows += [(first.case_id, f"{spec['name']}_{s}", v) for s, v in zip(STATISTICS, values, strict=True)]
         return pd.DataFrame(rows, columns=["case_id", "feature", "value"])
 

@@ -14,6 +14,7 @@ from . import learning as L
 from .metrics import auc_ap, binary_metrics
 from .ranking import ecdf
 from .relational import require_coverage
+from .sampling import draw, folds
 
 MODEL = "candidate int, params string, median array<double>, kept array<int>, mean array<double>, std array<double>, chosen array<int>, origin array<double>, axes array<array<double>>, weights array<double>"
 
@@ -100,23 +101,29 @@ def fixed_candidate(train: DataFrame, rows: DataFrame, params: dict, key: str, v
     return apply_models(models, rows, key, vector).select(key, "score")
 
 
-def stacking(table: DataFrame, own: DataFrame, params: Sequence[dict], key: str, vector: str, y: str) -> dict[str, DataFrame]:
+def inner_folds(table: DataFrame, own: DataFrame, key: str, y: str, k: int, seed: int) -> DataFrame:
+    """(key, outer_fold, inner_fold): every outer fold's training keys, dealt within their class. own: key and outer_fold."""
+    outer = own.select(F.col("outer_fold").alias("_outer")).distinct()
+    train = own.join(table.select(key, y), key).crossJoin(F.broadcast(outer)).filter("outer_fold <> _outer")
+    dealt = folds(train.select(key, F.col("_outer").alias("outer_fold"), F.col(y).alias("_y")), ["outer_fold", "_y"], k, [draw(seed, F.col(key).cast("string")), key], "inner_fold")
+    return dealt.select(key, "outer_fold", "inner_fold")
+
+
+def stacking(table: DataFrame, own: DataFrame, params: Sequence[dict], key: str, vector: str, y: str, inner: int = 4, seed: int = 42) -> dict[str, DataFrame]:
     """The sheets of a stacking run: base scores, stacked predictions, metrics by fold, and their mean and spread.
 
-    own: key and outer_fold. Raises where a key has no features, or a prediction is missing.
+    own: key and outer_fold. Scales and weights come from out-of-fold scores of the training
+    rows. Raises where a key has no features, or a prediction is missing.
     """
     require_coverage(own, table.select(key), [key])
-    spark, bases = table.sparkSession, None
-    for k, p in enumerate(params):
-        chosen = own.select("outer_fold").distinct().withColumn("params", F.lit(L.as_text(p)))
-        made = L.outer_scores(table, own, chosen, key, vector, y).withColumn("candidate", F.lit(k))
-        bases = made if bases is None else bases.unionByName(made)
+    spark = table.sparkSession
+    bases = L.base_scores(table, inner_folds(table, own, key, y, inner, seed), own, candidates_of(spark, params), key, vector, y)
     stacked = L.meta_scores(bases, key).withColumn("pred", (F.col("score") >= 0.5).cast("int"))
     require_coverage(own, stacked, [key])
-    folds = binary_metrics(stacked, ["outer_fold"], "y", "score", "pred")
-    names = [c for c in folds.columns if c not in ("outer_fold", "n")]
-    summary = folds.agg(*(F.avg(c).alias(f"{c}_mean") for c in names), *(F.stddev_pop(c).alias(f"{c}_std") for c in names))
-    return {"bases": bases, "predictions": stacked, "folds": folds, "summary": summary, "candidates": candidates_of(spark, params)}
+    per_fold = binary_metrics(stacked, ["outer_fold"], "y", "score", "pred")
+    names = [c for c in per_fold.columns if c not in ("outer_fold", "n")]
+    summary = per_fold.agg(*(F.avg(c).alias(f"{c}_mean") for c in names), *(F.stddev_pop(c).alias(f"{c}_std") for c in names))
+    return {"bases": bases, "predictions": stacked, "folds": per_fold, "summary": summary, "candidates": candidates_of(spark, params)}
 
 
 def stable_book(first: DataFrame, second: DataFrame, keys: Sequence[str], features: Sequence[str], labels: DataFrame, icc_table) -> DataFrame:

@@ -40,26 +40,28 @@ def moments4(t: Tables) -> DataFrame:
 
 
 def score_summary(df: DataFrame, group: str, score: str, cut: float) -> DataFrame:
-    """23 numbers on each group's scores; of its best scores, ranks are counted by rows, so no group is gathered."""
-    x = df.select(group, F.col(score).cast("double").alias("x")).filter("x is not null and not isnan(x)")
-    ranked = x.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("x")))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(group)))
+    """23 numbers on each group's finite scores; of its best scores, ranks are counted by rows. A group without finite scores has nulls."""
+    v = F.col(score).cast("double")
+    x = df.select(group, F.when(F.abs(v) < float("inf"), v).alias("x"))
+    ranked = x.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc_nulls_last("x")))).withColumn("_n", F.count("x").over(Window.partitionBy(group)))
     best = lambda n: F.avg(F.when(F.col("_r") <= n, F.col("x")))
+    some = lambda c: F.when(F.count("x") > 0, c)
     ge = {"0_50": 0.5, "0_60": 0.6, "0_70": 0.7, "0_80": 0.8, "threshold": cut}
     return ranked.groupBy(group).agg(
-        F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.max("x").alias("max"), *(stats.quantile(F.col("x"), p).alias(n) for n, p in (("median", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))),
+        some(F.count("x")).alias("count"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.max("x").alias("max"), *(stats.quantile(F.col("x"), p).alias(n) for n, p in (("median", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))),
         *(best(n).alias(f"top{n}_mean") for n in (5, 10, 20)), *(best(F.ceil(F.col("_n") * F.lit(s))).alias(f"top{k}pct_mean") for k, s in ((1, 0.01), (5, 0.05))),
-        *(F.count_if(F.col("x") >= v).alias(f"count_ge_{k}") for k, v in ge.items()), *(F.avg((F.col("x") >= v).cast("double")).alias(f"frac_ge_{k}") for k, v in ge.items()),
+        *(some(F.count_if(F.col("x") >= v)).alias(f"count_ge_{k}") for k, v in ge.items()), *(F.avg((F.col("x") >= v).cast("double")).alias(f"frac_ge_{k}") for k, v in ge.items()),
     )
 
 
 _GE = {"0_50": 0.5, "0_60": 0.6, "0_70": 0.7, "0_80": 0.8, "threshold": 0.45}
 
 
-@query("a03_score_summary23", """with x as (select event_type, least(value / 100, 1) x from events), r as (select *, row_number() over (partition by event_type order by x desc) r, count(*) over (partition by event_type) n from x)
-  select event_type, count(x)::bigint count, round(avg(x), 6) mean, round(stddev_pop(x), 6) std, round(max(x), 6) max, round(median(x), 6) median, round(quantile_cont(x, 0.9), 6) p90, round(quantile_cont(x, 0.95), 6) p95,
+@query("a03_score_summary23", """with x as (select event_type, case when isfinite(value) then least(value / 100, 1) end x from events), r as (select *, row_number() over (partition by event_type order by x desc nulls last) r, count(x) over (partition by event_type) n from x)
+  select event_type, nullif(count(x), 0)::bigint count, round(avg(x), 6) mean, round(stddev_pop(x), 6) std, round(max(x), 6) max, round(median(x), 6) median, round(quantile_cont(x, 0.9), 6) p90, round(quantile_cont(x, 0.95), 6) p95,
   round(quantile_cont(x, 0.99), 6) p99, round(avg(x) filter (r <= 5), 6) top5_mean, round(avg(x) filter (r <= 10), 6) top10_mean, round(avg(x) filter (r <= 20), 6) top20_mean,
   round(avg(x) filter (r <= ceil(n * 0.01::double)), 6) top1pct_mean, round(avg(x) filter (r <= ceil(n * 0.05::double)), 6) top5pct_mean, """
-  + ", ".join(f"count(*) filter (x >= {v})::bigint count_ge_{k}, round(avg((x >= {v})::int), 6) frac_ge_{k}" for k, v in _GE.items()) + " from r group by 1")
+  + ", ".join(f"case when count(x) > 0 then count(*) filter (x >= {v}) end::bigint count_ge_{k}, round(avg((x >= {v})::int), 6) frac_ge_{k}" for k, v in _GE.items()) + " from r group by 1")
 def score_summary23(t: Tables) -> DataFrame:
     scored = t.events.select("event_type", F.least(F.col("value") / 100, F.lit(1.0)).alias("s"))
     return rounded(score_summary(scored, "event_type", "s", 0.45))

@@ -50,7 +50,7 @@ def quantise(t: Tables) -> DataFrame:
 
 @query("g08_glcm", f"""with {QUANT}, o as (select a.c, a.q i, b.q j from q a join q b on a.c = b.c and ((b.y = a.y and b.x = a.x + 1) or (b.y = a.y + 1 and b.x in (a.x, a.x + 1, a.x - 1)))),
   s as (select c, i, j from o union all select c, j, i from o), n as (select c, i, j, count(*) n from s group by all), p as (select *, n / (sum(n) over (partition by c))::double p from n),
-  m as (select c, sum(p * (i - j) * (i - j)) contrast, sum(p * abs(i - j)) dissimilarity, sum(p / (1 + (i - j) * (i - j))) homogeneity, sum(p * p) asm_, -sum(p * log2(p)) entropy, sum(p * i) mu, sum(p * i * i) s2, sum(p * i * j) ij from p group by 1)
+  m as (select c, sum(p * (i - j) * (i - j)) contrast, sum(p * abs(i - j)) dissimilarity, sum(p / (1 + abs(i - j))) homogeneity, sum(p * p) asm_, -sum(p * ln(p)) entropy, sum(p * i) mu, sum(p * i * i) s2, sum(p * i * j) ij from p group by 1)
   select c as "case", round(contrast, 6) contrast, round(dissimilarity, 6) dissimilarity, round(homogeneity, 6) homogeneity, round(asm_, 6) asm, round(sqrt(asm_), 6) energy, round(entropy, 6) entropy,
   round((ij - mu * mu) / (s2 - mu * mu), 6) correlation from m""")
 def glcm(t: Tables) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import models
 from ..operators import learning as L
+from ..operators import workflows
 from ..operators.metrics import binary_metrics
 from ..operators.sampling import capped, draw, folds, nested_folds
 from .aggregates import rounded
@@ -68,11 +69,9 @@ def outer_evaluation(t: Tables) -> DataFrame:
 @query("l12_stacked_scores")
 def stacked_scores(t: Tables) -> DataFrame:
     own = folds(table(t).select("case_id", "y"), ["y"], 4, [draw(42, "case_id"), "case_id"], "outer_fold").select("case_id", "outer_fold")
-    made = []
-    for k, model in enumerate((("lr", 1.0), ("lda", None))):
-        chosen = own.select("outer_fold").distinct().withColumn("params", F.lit(L.as_text({"c": 0.5, "k": 10, "pca": None, "model": model})))
-        made.append(L.outer_scores(table(t), own, chosen, "case_id", "x", "y").withColumn("candidate", F.lit(k)))
-    return L.meta_scores(made[0].unionByName(made[1]), "case_id")
+    candidates = workflows.candidates_of(t.spark, [{"c": 0.5, "k": 10, "pca": None, "model": model} for model in (("lr", 1.0), ("lda", None))])
+    made = L.base_scores(table(t), workflows.inner_folds(table(t), own, "case_id", "y", 4, 42), own, candidates, "case_id", "x", "y")
+    return L.meta_scores(made, "case_id")
 
 
 @query("l15_calibrated_forest")

@@ -155,8 +155,8 @@ def nested_folds(t: Tables) -> DataFrame:
 METRICS = FUSED + POINTS + """, a as (select fold, sum(py * (neg - fp) + py * ny / 2) / max(pos * neg) auc, sum(py / pos * tp / (tp + fp)) ap from k where pos > 0 and neg > 0 group by 1),
   q as (select fold, count(*)::bigint n, count(*) filter (y = 1 and score >= 0.5)::double tp, count(*) filter (y = 0 and score < 0.5)::double tn, count(*) filter (y = 0 and score >= 0.5)::double fp,
   count(*) filter (y = 1 and score < 0.5)::double fn from f group by 1)
-  select fold, n, round((coalesce(tp / nullif(tp + fn, 0), 0) + coalesce(tn / nullif(tn + fp, 0), 0)) / 2, 8) balanced_acc, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 8) f1, round((tp + tn) / n, 8) acc, round(coalesce(tp / nullif(tp + fn, 0), 0), 8) sensitivity,
-  round(coalesce(tn / nullif(tn + fp, 0), 0), 8) specificity, round(auc, 8) auc, round(ap, 8) ap from q left join a using (fold)"""
+  select fold, n, round(coalesce((tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2, tp / nullif(tp + fn, 0), tn / nullif(tn + fp, 0)), 8) balanced_acc, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 8) f1, round((tp + tn) / n, 8) acc, round(tp / nullif(tp + fn, 0), 8) sensitivity,
+  round(tn / nullif(tn + fp, 0), 8) specificity, round(auc, 8) auc, round(ap, 8) ap from q left join a using (fold)"""
 
 
 @query("l14_late_fusion_metrics", METRICS)

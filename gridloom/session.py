@@ -18,10 +18,12 @@ def local_session(cores: int | str = "*", name: str = "gridloom", **conf: str) -
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below spark.checkpoint.dir, or below an own folder where that is unset."""
+    """A fresh path below spark.checkpoint.dir, or, on one machine, below an own folder where that is unset."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="gridloom-")
         sc.setCheckpointDir(folder)
         folder = f"file://{folder}"

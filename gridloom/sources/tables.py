@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -31,8 +32,22 @@ def scan(spark: SparkSession, path: str, id_col: str | None = None, schema: T.St
 
 
 def publish(df: DataFrame, path: str, partition_by: Sequence[str] = (), files: int | None = None) -> None:
-    """Replace a table as a whole: the commit protocol shows all of it or nothing."""
-    (df.coalesce(files) if files else df).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    """Replace a table as a whole: it is written beside the old one, which stays until the new one is complete and takes its name."""
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    fresh, old = f"{path.rstrip('/')}.{mark}.new", f"{path.rstrip('/')}.{mark}.old"
+    (df.coalesce(files) if files else df).write.partitionBy(*partition_by).parquet(fresh)
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    there = fs.exists(at(path))
+    if there and not fs.rename(at(path), at(old)):
+        fs.delete(at(fresh), True)
+        raise OSError(f"{path} can't be moved aside")
+    if not fs.rename(at(fresh), at(path)):
+        if there:
+            fs.rename(at(old), at(path))
+        raise OSError(f"{path} can't be replaced")
+    if there:
+        fs.delete(at(old), True)
 
 
 def features(spark: SparkSession, path: str, id_col: str = "case_id") -> DataFrame:

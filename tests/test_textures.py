@@ -28,12 +28,26 @@ def test_windows_are_mirrored():
 
 
 def test_gabor_kernels_and_convolution():
-    k = T.gabor_kernel(4, 45, 30, (3.0, 0.5, 0.5), reach=2)
-    assert k.sum() == pytest.approx(0, abs=1e-9) and np.linalg.norm(k) == pytest.approx(1)
+    k = T.gabor_kernel(3.261, 0.785, 2.356, (3.0, 0.5, 0.5))
+    # Three deviations are 5.5 mm: two slices and eleven pixels to either side.
+    assert k.shape == (5, 23, 23) and k.sum() == pytest.approx(0, abs=1e-9) and np.linalg.norm(k) == pytest.approx(1)
+    assert T.gabor_kernel(0.88, 0, 0, (3.0, 0.5, 0.5)).shape == (3, 7, 7)
+    k = T.gabor_kernel(2.075, 0.785, 0.785, (3.0, 2.0, 2.0))
     x = np.random.default_rng(1).normal(size=(6, 7, 8))
-    p, flipped = np.pad(x, 2, mode="symmetric"), k[::-1, ::-1, ::-1]
+    r = [n // 2 for n in k.shape]
+    p, flipped = np.pad(x, [(n, n) for n in r], mode="symmetric"), k[::-1, ::-1, ::-1]
     got = T.convolved(x, k)
-    assert got.shape == x.shape and got[3, 0, 7] == pytest.approx((p[3:8, 0:5, 7:12] * flipped).sum())
+    assert got.shape == x.shape and got[3, 0, 7] == pytest.approx((p[3 : 3 + k.shape[0], : k.shape[1], 7 : 7 + k.shape[2]] * flipped).sum())
+
+
+def test_gradients_are_one_sided_at_ends_and_sobel_maps_are_filtered_again():
+    x = np.random.default_rng(3).normal(size=(4, 5, 6))
+    g = T.gradients(x)
+    assert len(g) == 13 and np.allclose([g["dz"], g["dy"], g["dx"]], np.gradient(x))
+    p = np.pad(g["sobel_x"], 1, mode="symmetric")
+    k = np.einsum("i,j,k->ijk", (1, 2, 1), (-1, 0, 1), (1, 2, 1))
+    assert g["sobel_xy"][2, 0, 5] == pytest.approx((p[2:5, 0:3, 5:8] * k).sum())
+    assert not T.gradients(x[:1])["dz"].any()
 
 
 def test_haralick_of_a_window():
@@ -43,16 +57,23 @@ def test_haralick_of_a_window():
     for dy, dx in ((0, 1), (1, 0), (1, 1), (1, -1)):
         for y in range(1, 4):
             for c in range(1, 4):
-                if 1 <= y + dy <= 3 and 1 <= c + dx <= 3:
-                    counts[q[y, c], q[y + dy, c + dx]] += 1
-                    counts[q[y + dy, c + dx], q[y, c]] += 1
-    want = T.haralick(counts / counts.sum())
-    assert np.allclose(T.haralick_maps(x, 3)[2, 2], want)
-    i, j = np.indices((8, 8))
+                counts[q[y, c], q[y - dy, c - dx]] += 1
     p = counts / counts.sum()
-    assert want[1] == pytest.approx((p * (i - j) ** 2).sum()) and want[0] == pytest.approx((p * p).sum())
+    want = dict(zip(T.HARALICK, T.haralick_maps(x, 3)[2, 2], strict=True))
+    i, j = np.indices((8, 8))
+    hx, both = (-(v[v > 0] * np.log(v[v > 0])).sum() for v in (p.sum(1), p))
+    assert want["contrast"] == pytest.approx((p * (i - j) ** 2).sum()) and want["asm"] == pytest.approx((p * p).sum())
+    assert want["difference_average"] == pytest.approx((p * abs(i - j)).sum()) and want["entropy"] == pytest.approx(both)
+    hy = -(p.sum(0)[p.sum(0) > 0] * np.log(p.sum(0)[p.sum(0) > 0])).sum()
+    outer = np.outer(p.sum(1), p.sum(0))
+    cross = -(p[p > 0] * np.log(outer[p > 0])).sum()
+    assert want["imc1"] == pytest.approx((both - cross) / max(hx, hy)) and want["imc2"] == pytest.approx(np.sqrt(1 - np.exp(-2 * (hx + hy - both))))
     flat = T.haralick_maps(np.full((4, 4), 3.0), 3)[1, 1]
-    assert flat[0] == 1 and flat[1] == 0 and flat[4] == 1
+    assert flat[0] == pytest.approx(1) and flat[1] == 0 and flat[4] == pytest.approx(1)
+    mask = np.zeros((2, 5, 5), bool)
+    mask[1, 2, 2] = True
+    got = T.haralick_volume(np.stack([x, x]), mask, 3)
+    assert not got[0].any() and np.allclose(got[1, 2, 2], T.haralick_maps(x[1:4, 1:4], 3)[1, 1])
 
 
 def test_euler_numbers():

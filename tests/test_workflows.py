@@ -75,3 +75,78 @@ def test_queries_search_the_whole_grid(spark):
     assert len(plans.table(t).first()["x"]) == 64
     got = QUERIES["l07_inner_search"](spark, FOLDER).groupBy("outer_fold", "inner_fold").count().collect()
     assert len(got) == 16 and {r["count"] for r in got} == {448}
+
+
+def test_a_memorising_model_gets_no_weight(spark):
+    """Labels are noise: fitted scores look perfect on the rows they were fitted to, out-of-fold ones don't."""
+    import numpy as np
+
+    from gridloom.operators import learning, metrics, workflows
+
+    r = np.random.default_rng(5)
+    rows = [(k, [float(v) for v in r.normal(size=60)], k % 2) for k in range(80)]
+    table = spark.createDataFrame(rows, "case_id long, x array<double>, y int")
+    own = table.selectExpr("case_id", "cast((case_id div 2) % 4 as int) outer_fold")
+    params = {"c": 100.0, "k": 60, "pca": None, "model": ("lr", 1e6)}
+    bases = learning.base_scores(table, workflows.inner_folds(table, own, "case_id", "y", 4, 1), own, workflows.candidates_of(spark, [params]), "case_id", "x", "y").cache()
+    assert bases.filter("not inner").count() == 80 and bases.filter("inner").groupBy("outer_fold", "case_id").count().filter("count > 1").isEmpty()
+    assert bases.filter("inner").count() == 240
+    seen = learning.outer_scores(table, own, own.select("outer_fold").distinct().selectExpr("outer_fold", f"'{learning.as_text(params)}' params"), "case_id", "x", "y").filter("inner")
+    auc = lambda df: [row["auc"] for row in metrics.auc_ap(df, ["outer_fold"], "y", "score").collect()]
+    assert min(auc(seen)) > 0.99 and max(auc(bases.filter("inner"))) < 0.8
+    stacked = workflows.stacking(table, own, [params], "case_id", "x", "y")
+    assert stacked["predictions"].count() == 80
+
+
+def test_one_class_has_no_other_rate(spark):
+    from gridloom.operators import metrics
+
+    df = spark.createDataFrame([("a", 1, 0.9, 1), ("a", 1, 0.2, 0), ("b", 0, 0.1, 0), ("b", 1, 0.7, 1)], "g string, y int, s double, p int")
+    got = {r["g"]: r for r in metrics.binary_metrics(df, ["g"], "y", "s", "p").collect()}
+    assert (got["a"]["balanced_acc"], got["a"]["sensitivity"], got["a"]["specificity"], got["a"]["auc"]) == (0.5, 0.5, None, None)
+    assert got["b"]["balanced_acc"] == 1
+
+
+def test_summaries_leave_infinities_out(spark):
+    from gridloom.plans.aggregates import score_summary
+
+    df = spark.createDataFrame([("a", 0.2), ("a", float("inf")), ("a", float("nan")), ("a", None), ("a", 0.6), ("b", float("-inf"))], "g string, s double")
+    got = {r["g"]: r for r in score_summary(df, "g", "s", 0.5).collect()}
+    assert got["a"]["count"] == 2 and got["a"]["mean"] == pytest.approx(0.4) and got["a"]["top1pct_mean"] == 0.6 and got["a"]["count_ge_0_60"] == 1
+    assert got["b"]["count"] is None and got["b"]["max"] is None and got["b"]["count_ge_0_50"] is None
+
+
+def test_cooccurrence_features_of_a_small_image(spark):
+    import math
+
+    from gridloom.operators import grids
+
+    df = spark.createDataFrame([("a", 0, 0, 0), ("a", 0, 1, 2)], "case string, y int, x int, q int")
+    got = grids.glcm(df).first()
+    assert got["homogeneity"] == pytest.approx(1 / 3) and got["entropy"] == pytest.approx(math.log(2)) and got["contrast"] == 4
+
+
+def test_a_failed_publish_keeps_the_old_table(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from gridloom.sources import tables
+
+    path = f"file://{tmp_path}/t.parquet"
+    tables.publish(spark.range(3), path)
+    with pytest.raises(Exception, match="stop"):
+        tables.publish(spark.range(5).select(F.raise_error(F.lit("stop")).cast("long").alias("id")), path)
+    assert spark.read.parquet(path).count() == 3
+    tables.publish(spark.read.parquet(path).filter("id > 0"), path)
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [1, 2]
+
+
+def test_zone_continuity_counts_what_closing_fills(spark):
+    from gridloom.operators import cases
+
+    cells = [("a", y, x, 0.9 if (y, x) in {(2, 2), (2, 4)} else 0.3 if (y, x) == (2, 3) else 0.0) for y in range(6) for x in range(7)] + [("b", 0, 0, 0.0)]
+    heat = spark.createDataFrame(cells, "case string, y int, x int, v double")
+    got = {r["case"]: r for r in cases.zone_continuity(heat, 0.5, heat, 0.75).collect()}
+    a, b = got["a"], got["b"]
+    assert (a["raw"], a["filled"], a["gap"], a["largest"], a["largest_mm3"], a["largest_layers"]) == (2, 3, 1, 3, 2.25, 1)
+    assert a["largest_mean"] == pytest.approx(0.7) and a["largest_p90"] == pytest.approx(0.9) and a["density"] == pytest.approx(3 / 42)
+    assert b["raw"] == 0 and b["density"] == 0
