@@ -22,21 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, langid, mixing, neardup, toxicity
-from gridloom.llm.common import gathered, scratch, settled, table
+from gridloom.llm.common import gathered, scratch, settled, table, unused
 from gridloom.llm.queries import TOKENIZER_DIR, TOXIC, word_count
 
 #: A document's language is unknown if fewer of its letter n-grams are known to the best language.
 KNOWN_GRAMS = 0.2
 
 
-def unused(docs: DataFrame, name: str) -> str:
-    """name, with as many underscores as make it none of the columns'."""
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the toxicity threshold; all labels may be learned from."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), F.lit(True))

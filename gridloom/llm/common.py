@@ -24,6 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCH_BYTES = 1 << 20
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores as make it none of the columns'."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ready(spark: SparkSession) -> SparkSession:
     """Make Python workers find this package, and bound the bytes of an Arrow batch; its rows stay as they are set."""
     env = spark.sparkContext.environment
@@ -34,11 +42,13 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on one machine, an own one where that is unset."""
     sc = spark.sparkContext
     known = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if known:
         return known
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="gridloom-")
     sc.setCheckpointDir(own)
     return f"file://{own}"

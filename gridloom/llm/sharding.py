@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import settled, unused
 
 
 def prefix_sums(rows: DataFrame, order: list[str], size: str, total_as: str = "_before", index_as: str = "_index") -> DataFrame:
@@ -28,28 +28,29 @@ def prefix_sums(rows: DataFrame, order: list[str], size: str, total_as: str = "_
     equal keys still spreads over the ranges. The ranges are kept in the shared
     folder: the totals and the rows must see the same ranges.
     """
-    placed = rows.withColumn("_place", F.monotonically_increasing_id())
-    keys = [*order, "_place"]
-    ranged = settled(placed.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
-    totals = ranged.groupBy("_range").agg(F.sum(size).alias("_sum"), F.count(F.lit(1)).alias("_rows"))
-    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_range", *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_ahead") for c in ("_sum", "_rows")))
-    inside = Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    at, part, summed, counted = (unused(rows, name) for name in ("_place", "_range", "_sum", "_rows"))
+    keys = [*order, at]
+    ranged = settled(rows.withColumn(at, F.monotonically_increasing_id()).repartitionByRange(*keys).withColumn(part, F.spark_partition_id()))
+    totals = ranged.groupBy(part).agg(F.sum(size).alias(summed), F.count(F.lit(1)).alias(counted))
+    ahead = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(part, *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(c) for c in (summed, counted)))
+    inside = Window.partitionBy(part).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        ranged.join(offsets, "_range")
-        .withColumn(total_as, F.col("_sum_ahead") + F.coalesce(F.sum(size).over(inside), F.lit(0)))
-        .withColumn(index_as, F.col("_rows_ahead") + F.coalesce(F.count(F.lit(1)).over(inside), F.lit(0)))
-        .drop("_place", "_range", "_sum_ahead", "_rows_ahead")
+        ranged.join(offsets, part)
+        .withColumn(total_as, F.col(summed) + F.coalesce(F.sum(size).over(inside), F.lit(0)))
+        .withColumn(index_as, F.col(counted) + F.coalesce(F.count(F.lit(1)).over(inside), F.lit(0)))
+        .drop(at, part, summed, counted)
     )
 
 
 def shard_by_bytes(rows: DataFrame, order: list[str], size: str, shards: int) -> DataFrame:
     """rows with ``shard`` (from 0) and ``slot`` (the row's place in its shard, from 0)."""
-    summed = settled(prefix_sums(rows, order, size))
-    whole = summed.agg(F.sum(size).alias("_all"))
-    middle = (F.col("_before") * 2 + F.col(size)).cast("decimal(38,0)") * shards
-    cut = F.when(F.col("_all") > 0, F.floor(middle / (F.col("_all") * 2))).otherwise(0)
+    before, index, every, first = (unused(rows, name) for name in ("_before", "_index", "_all", "_first"))
+    summed = settled(prefix_sums(rows, order, size, before, index))
+    whole = summed.agg(F.sum(size).alias(every))
+    middle = (F.col(before) * 2 + F.col(size)).cast("decimal(38,0)") * shards
+    cut = F.when(F.col(every) > 0, F.floor(middle / (F.col(every) * 2))).otherwise(0)
     dealt = summed.crossJoin(F.broadcast(whole)).withColumn("shard", F.least(F.lit(shards - 1), cut.cast("int")))
     # One row a shard, at most `shards` of them: small enough to send to every task.
-    first = dealt.groupBy("shard").agg(F.min("_index").alias("_first"))
-    return dealt.join(F.broadcast(first), "shard").withColumn("slot", F.col("_index") - F.col("_first")).drop("_first", "_all", "_before", "_index")
+    heads = dealt.groupBy("shard").agg(F.min(index).alias(first))
+    return dealt.join(F.broadcast(heads), "shard").withColumn("slot", F.col(index) - F.col(first)).drop(first, every, before, index)

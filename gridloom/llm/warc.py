@@ -22,6 +22,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from itertools import repeat
 
 import pyarrow as pa
 import zstandard
@@ -71,9 +72,11 @@ def dictionary(samples: list[bytes], size: int) -> zstandard.ZstdCompressionDict
         return None
 
 
-def archives(records: Iterator[bytes], per_archive: int, sample_bytes: int, dictionary_bytes: int, level: int) -> Iterator[bytes]:
-    """Frames of archives one after the other, each of a dictionary frame and ``per_archive`` - 1 records, the last perhaps of fewer.
+def archives(records: Iterator[bytes], per_archive: int, sample_bytes: int, dictionary_bytes: int, level: int, archive_bytes: int = 1 << 28) -> Iterator[bytes]:
+    """Frames of archives one after the other, each of a dictionary frame and ``per_archive`` - 1 others, the last perhaps of fewer.
 
+    An archive whose records reach ``archive_bytes`` before compression gets no more of them;
+    empty frames then fill up its number, as the number tells the writer where a file ends.
     Records are held back only until ``sample_bytes`` of them are there to build a dictionary from.
     """
     while True:
@@ -93,9 +96,12 @@ def archives(records: Iterator[bytes], per_archive: int, sample_bytes: int, dict
             yield packer.compress(raw)
         count = len(held)
         held = []
-        while count < per_archive - 1 and (raw := next(records, None)) is not None:
+        while count < per_archive - 1 and size < archive_bytes and (raw := next(records, None)) is not None:
             yield packer.compress(raw)
             count += 1
+            size += len(raw)
+        if size >= archive_bytes:
+            yield from repeat(b"", per_archive - 1 - count)
 
 
 def frames(data: memoryview) -> Iterator[tuple[bool, memoryview]]:
@@ -141,7 +147,7 @@ def with_revisits(pages: DataFrame, identity: str, payload: str) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, *, identity: str = "page_id", url: str = "url", payload: str = "html", per_archive: int = 8192,
-          sample_bytes: int = 4 << 20, dictionary_bytes: int = 64 << 10, level: int = 3, date: str = "1970-01-01T00:00:00Z") -> None:
+          sample_bytes: int = 4 << 20, dictionary_bytes: int = 64 << 10, level: int = 3, archive_bytes: int = 1 << 28, date: str = "1970-01-01T00:00:00Z") -> None:
     """Write a record for each row of pages into archives below path."""
     ready(pages.sparkSession)
     rows = with_revisits(pages.select(identity, url, payload), identity, payload).select(identity, url, "_payload", "_digest", "refers_to")
@@ -150,7 +156,7 @@ def write(pages: DataFrame, path: str, *, identity: str = "page_id", url: str =
         raw = (record(*(v.as_py() for v in row), date) for batch in batches for row in zip(*batch.columns, strict=True))
         held: list[bytes] = []
         size = 0
-        for frame in archives(raw, per_archive, sample_bytes, dictionary_bytes, level):
+        for frame in archives(raw, per_archive, sample_bytes, dictionary_bytes, level, archive_bytes):
             held.append(frame)
             size += len(frame)
             if size >= 1 << 20:
@@ -166,7 +172,7 @@ def write(pages: DataFrame, path: str, *, identity: str = "page_id", url: str =
 def read(spark, path: str) -> DataFrame:
     """One row a record of the archives below path: ``record_id``, ``url``, ``record_type``, ``refers_to``, ``declared_digest``, ``payload_bytes`` and ``payload``.
 
-    A revisit's payload is null, and its size and digest are those that it declares. An archive is read into memory whole.
+    A revisit's payload is null, and its size and digest are those that it declares. An archive is read into memory whole: it has ``archive_bytes`` and one record at most.
     """
     ready(spark)
     schema = T.StructType([

@@ -31,7 +31,10 @@ def test_shards_of_few_rows_nulls_and_one_giant(spark):
 
 def test_shards_beside_clashing_columns(spark):
     df = spark.createDataFrame([(1, 16, "a", "b", "c", 7), (2, 16, "a", "b", "c", 7)], "doc_id long, size long, before string, index string, slot string, shard int")
+    for name in ("_first", "_place", "_range", "_index", "_before", "_all", "_sum", "_rows"):
+        df = df.withColumn(name, F.lit("own"))
     got = sharding.shard_by_bytes(df, ["doc_id"], "size", 2).collect()
+    assert all(r[c] == "own" for r in got for c in ("_first", "_place", "_range", "_index", "_before", "_all", "_sum", "_rows"))
     assert sorted((r["doc_id"], r["shard"], r["slot"], r["before"], r["index"]) for r in got) == [(1, 0, 0, "a", "b"), (2, 1, 0, "a", "b")]
 
 
@@ -116,3 +119,15 @@ def test_dictionary_makes_small_records_smaller():
     raw = [warc.record(k, f"http://host/{k}", f"<html><body>page {k} of many</body></html>".encode(), "0" * 64, None, "1970-01-01T00:00:00Z") for k in range(2000)]
     frames = list(warc.archives(iter(raw), 5000, 1 << 20, 8192, 3))
     assert len(frames) == 2001 and sum(map(len, frames)) < sum(len(zstandard.compress(r)) for r in raw) / 2
+
+
+def test_archives_are_cut_by_bytes(spark):
+    raw = [bytes([65 + k % 20]) * 1000 for k in range(30)]
+    frames = list(warc.archives(iter(raw), 10, 500, 256, 3, 4000))
+    # Four records reach the bytes; five empty frames fill up each archive but for the last.
+    assert [len(frames[k : k + 10]) for k in range(0, len(frames), 10)][:7] == [10] * 7 and sum(1 for f in frames if not f) >= 7 * 5
+    df = spark.createDataFrame([(k, f"http://h/{k}", f"<p>{k}" + "x" * 900) for k in range(50)], "page_id long, url string, html string").coalesce(1)
+    path = queries.scratch(spark, "warc")
+    warc.write(df, path, per_archive=16, sample_bytes=2000, archive_bytes=5000)
+    got = warc.read(spark, path)
+    assert sorted(r["record_id"] for r in got.collect()) == list(range(50)) and spark.read.format("binaryFile").load(path).count() >= 9

@@ -142,3 +142,65 @@ def test_grams_met_once_stay_at_any_size(total):
     gram, n = np.arange(1, 1002, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.ones(1001, np.int64)
     n[0] = total - 1000
     assert langid.build(["a"], np.zeros(1001, np.int64), gram, n).masks(gram).all()
+
+
+def test_languages_equal_exact_ngram_sets(spark):
+    """The same rule with Python sets in place of Bloom filters: no hashing, no false positives."""
+    from collections import Counter
+
+    def spelled(text):
+        return "\0" + "".join(c if c.isalpha() else "\0" for c in text.lower()) + "\0"
+
+    def ngrams(text):
+        s = spelled(text or "")
+        return [s[i : i + n] for n in (2, 3, 4) for i in range(len(s) - n + 1) if (s[i : i + n].strip("\0") if n == 2 else "\0" not in s[i + 1 : i + n - 1])]
+
+    docs = queries.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang")
+    learned = docs.filter(F.col("lang").isNotNull() & (queries.id_remainder(4) != 2)).collect()
+    counts: dict[str, Counter] = {}
+    for r in learned:
+        counts.setdefault(r["lang"], Counter()).update(ngrams(r["text"]))
+    totals = {k: sum(c.values()) for k, c in counts.items()}
+    most: dict[str, float] = {}
+    for k, c in counts.items():
+        for g, n in c.items():
+            most[g] = max(most.get(g, 0), n / totals[k])
+    sets = {k: {g for g, n in c.items() if n / totals[k] >= 2e-6 and n / totals[k] >= 0.2 * most[g]} for k, c in counts.items()}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in queries.op2_language_bitmask(spark, "/root/testdata/sf0.001").collect()}
+    for r in docs.collect():
+        found = ngrams(r["text"])
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert got[r["doc_id"]] == ("und", 0)
+            continue
+        share = {k: sum(g in s for g in found) / len(found) for k, s in sets.items()}
+        top = sorted(share.values())[-2:]
+        assert got[r["doc_id"]][1] == pytest.approx(top[-1], abs=0.08)
+        if len(top) < 2 or top[-1] - top[0] > 0.1:
+            assert share[got[r["doc_id"]][0]] == top[-1]
+
+
+def test_positive_unlabelled_gradient_is_that_of_the_risk():
+    """One step of a fit goes against the gradient of the corrected risk, worked out by differences."""
+    import math
+
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    texts = lambda n, p: [np.flatnonzero(r.random(6) < p).astype(np.uint32) for _ in range(n)]
+    positive, unlabelled, prior, chosen = texts(30, 0.6), texts(50, 0.3), 0.3, np.arange(6, dtype=np.uint32)
+    soft = lambda z: np.logaddexp(0, z)
+
+    def risk(w):
+        z = lambda ts: np.array([w[6] + w[:6][t].sum() for t in ts])
+        zp, zu = z(positive), z(unlabelled)
+        return prior * soft(-zp).mean() + max(0.0, soft(zu).mean() - prior * soft(zp).mean())
+
+    start = np.zeros(7)
+    start[6] = math.log(prior / (1 - prior))
+    slope = np.array([(risk(start + d) - risk(start - d)) / 2e-6 for d in np.eye(7) * 1e-6])
+    model = toxicity.fit(positive, unlabelled, prior, chosen=chosen, steps=1, rate=0.05)
+    moved = np.append(model.weights, model.bias) - start
+    assert np.allclose(moved, -0.05 * np.sign(slope), atol=1e-4)
+    before = risk(start)
+    model = toxicity.fit(positive, unlabelled, prior, chosen=chosen, steps=200)
+    assert risk(np.append(model.weights, model.bias)) < before

@@ -173,3 +173,10 @@ def test_noisy_copies_group_as_by_all_pairs(spark, monkeypatch):
                 root = [low if x == high else x for x in root]
     got = {x["rec_id"]: x["group_id"] for x in chroma.group(made, audio="print").collect()}
     assert got == dict(enumerate(root)) and len(set(root)) < len(root) - 5
+
+
+def test_vector_ids_of_text_and_nulls(spark):
+    rows = [("b", [1.0, 0.0]), ("ax", [1.0, 0.01]), (None, [1.0, 0.0]), ("c", [0.0, 1.0]), ("d", None)]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
+    got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in hnsw.links(df).collect())
+    assert got == [("None", 0, "None", True), ("ax", 1, "ax", True), ("b", 1, "ax", False), ("c", 0, "c", True), ("d", 0, "d", True)]
