@@ -35,10 +35,11 @@ def one_to_one(t: Tables) -> DataFrame:
     return rel.one_to_one(t.labels.select("doc_id", "quality"), t.labels.select("doc_id", "toxic"), ["doc_id"])
 
 
-@query("j04_full_outer", """select coalesce(c_custkey, s_suppkey) k, c_acctbal, s_acctbal from (select * from customer where c_custkey % 3 = 0) full outer join supplier on c_custkey = s_suppkey""")
+@query("j04_full_outer", """select coalesce(c_custkey, s_suppkey * 20) k, c_acctbal, s_acctbal from customer full outer join supplier on c_custkey = s_suppkey * 20""")
 def full_outer(t: Tables) -> DataFrame:
-    c = t.customer.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), "c_acctbal")
-    return c.join(t.supplier.select(F.col("s_suppkey").alias("k"), "s_acctbal"), "k", "full_outer")
+    """All customers and suppliers on keys that overlap in part, so that both sides keep unmatched rows."""
+    c = t.customer.select(F.col("c_custkey").alias("k"), "c_acctbal")
+    return c.join(t.supplier.select((F.col("s_suppkey") * 20).alias("k"), "s_acctbal"), "k", "full_outer")
 
 
 def raters(t: Tables) -> tuple[DataFrame, DataFrame]:

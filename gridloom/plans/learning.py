@@ -100,10 +100,10 @@ def bag_maxima(t: Tables) -> DataFrame:
 
 
 @query("l18_bag_standardiser", """with r as (select vec_id, vec_id % 25 bag, embedding[1]::double v, row_number() over (partition by vec_id % 25 order by md5('42|' || vec_id), vec_id) n from embeddings),
-  s as (select avg(v) m, stddev_pop(v) s from r where n <= 10) select vec_id, round((v - m) / s, 6) z from r, s""")
+  s as (select avg(v) m, stddev_pop(v) s from r where n <= 3000) select vec_id, round((v - m) / s, 6) z from r, s""")
 def bag_standardiser(t: Tables) -> DataFrame:
     e = t.embeddings.select("vec_id", (F.col("vec_id") % 25).alias("bag"), F.col("embedding")[0].cast("double").alias("v"))
-    s = capped(e, ["bag"], 10, [draw(42, "vec_id"), "vec_id"]).agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    s = capped(e, ["bag"], 3000, [draw(42, "vec_id"), "vec_id"]).agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
     return e.crossJoin(F.broadcast(s)).select("vec_id", F.round((F.col("v") - F.col("m")) / F.when(F.col("s") < 1e-8, 1.0).otherwise(F.col("s")), 6).alias("z"))
 
 
