@@ -37,33 +37,49 @@ def prepared(df: DataFrame, columns: Sequence[str], quasi: float = 0.95, correla
     if not kept:
         spread = full.agg(*(F.var_pop(c).alias(c) for c in columns)).first().asDict()
         kept = [max(columns, key=lambda c: spread[c] or 0.0)]
-    pairs = [(a, b) for k, b in enumerate(kept) for a in kept[:k]]
-    if pairs:
-        found = full.agg(*(F.corr(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs))).first()
-        dropped = {b for k, (_, b) in enumerate(pairs) if found[k] is not None and not np.isnan(found[k]) and abs(found[k]) > correlated}
-        kept = [c for c in kept if c not in dropped] or kept[:1]
     stats = full.agg(*(F.avg(c).alias(f"m_{c}") for c in kept), *(F.stddev_pop(c).alias(f"s_{c}") for c in kept)).first().asDict()
+    if n and len(kept) > 1:
+        z = F.array(*((F.col(c) - stats[f"m_{c}"]) / (stats[f"s_{c}"] or 1.0) for c in kept))
+        high = np.abs(correlations(moments(full.select(z.alias("z")), "z")[2])) > correlated
+        kept = [c for k, c in enumerate(kept) if not high[k, :k].any()]
     scaled = {c: (F.col(c) - stats[f"m_{c}"]) / (stats[f"s_{c}"] or 1.0) for c in kept}
     return full.drop(*(c for c in columns if c not in kept)).withColumns(scaled), kept
 
 
 def moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """(rows, mean, covariance) of an array column; tasks send sums, not rows."""
+    """(rows, mean, covariance) of an array column; no rows give 0 and empty arrays.
+
+    Scan tasks send sums, not rows: the Gram matrix of the vectors with a one appended, a row of
+    it at a time. Each of its rows is added up in a task of its own, and the driver gets one matrix.
+    """
 
     def run(batches):
-        n, total, gram = 0, None, None
+        gram = None
         for batch in batches:
             if len(batch):
                 x = np.stack(batch[vector].to_numpy())
-                n += len(x)
-                total, gram = (x.sum(axis=0), x.T @ x) if total is None else (total + x.sum(axis=0), gram + x.T @ x)
-        if n:
-            yield pd.DataFrame({"n": [n], "total": [total.tolist()], "gram": [gram.reshape(-1).tolist()]})
-
-    parts = df.select(F.col(vector).cast("array<double>").alias(vector)).mapInPandas(run, "n long, total array<double>, gram array<double>").collect()
-    n = sum(p["n"] for p in parts)
-    mean = sum(np.array(p["total"]) for p in parts) / n
-    return n, mean, sum(np.array(p["gram"]).reshape(len(mean), -1) for p in parts) / n - np.outer(mean, mean)
+                x = np.hstack([x, np.ones((len(x), 1))])
+                gram = x.T @ x if gram is None else gram + x.T @ x
+        if gram is not None:
+            yield pd.DataFrame({"axis": range(len(gram)), "sums": list(gram)})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"axis": [pdf["axis"].iloc[0]], "sums": [pdf["sums"].sum()]})
+
+    schema = "axis int, sums array<double>"
+    parts = df.select(F.col(vector).cast("array<double>").alias(vector)).mapInPandas(run, schema).groupBy("axis").applyInPandas(add, schema).collect()
+    if not parts:
+        return 0, np.zeros(0), np.zeros((0, 0))
+    gram = np.array([p["sums"] for p in sorted(parts, key=lambda p: p["axis"])])
+    n, mean = gram[-1, -1], gram[-1, :-1] / gram[-1, -1]
+    return int(n), mean, gram[:-1, :-1] / n - np.outer(mean, mean)
+
+
+def correlations(covariance: np.ndarray) -> np.ndarray:
+    """Correlations of a covariance matrix; 0 with a column that doesn't vary or isn't a number."""
+    spread = np.sqrt(np.diag(covariance).clip(0))
+    below = np.outer(spread, spread)
+    return np.nan_to_num(np.divide(covariance, below, out=np.zeros_like(covariance), where=below > 1e-12), nan=0.0)
 
 
 def variance_shares(df: DataFrame, vector: str) -> list[tuple[int, float, float]]:

@@ -2,9 +2,10 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gridloom.operators import grids, metrics, ranges, relational, sampling
+from gridloom.operators import grids, learning, metrics, ranges, relational, sampling
 from gridloom.sources import tables, volumes
 from gridloom.streaming import resume
 
@@ -50,6 +51,16 @@ def test_folds_cover_and_are_disjoint(spark):
     assert (own == 3).all()
 
 
+def test_ranks_in_pieces_equal_one_window(spark):
+    keyed = spark.range(500).select("id", F.when(F.col("id") % 7 > 0, F.col("id") % 2).alias("s"), F.lit("kept").alias("_piece")).unionByName(spark.range(3).select(F.lit(1).cast("long").alias("id"), F.lit(1).cast("long").alias("s"), F.lit("kept").alias("_piece")))
+    order = [sampling.draw(3, "id"), F.col("id")]
+    made = sampling.placed(keyed, ["s"], order, "n")
+    once = keyed.withColumn("n", F.row_number().over(Window.partitionBy("s").orderBy(*order)))
+    assert made.columns == once.columns and sorted(made.collect(), key=str) == sorted(once.collect(), key=str)
+    assert sampling.placed(keyed.limit(0), ["s"], order, "n").count() == 0
+    assert sorted(r["n"] for r in sampling.placed(keyed, [], order, "n").collect()) == list(range(1, 504))
+
+
 def test_balanced_sample_keeps_all_of_the_smallest_class(spark):
     df = spark.range(100).select("id", (F.col("id") < 10).cast("int").alias("y"))
     got = sampling.balanced(df, "y", 1000, 2.0, [sampling.draw(1, "id")]).groupBy("y").count().collect()
@@ -158,3 +169,20 @@ def test_resume(spark, tmp_path):
     run = resume.Run([stage("a"), stage("b", ["a"]), stage("c")])
     assert run(["b"]) == [("a", "run"), ("b", "run")]
     assert resume.Run(run.stages)(["b", "c"]) == [("a", "skipped"), ("b", "skipped"), ("c", "run")]
+
+
+def test_moments_and_correlations(spark):
+    x = np.random.default_rng(3).normal(1e3, 2.0, (200, 3)) @ np.array([[1, 0, 2], [0, 1, 0], [0, 0, 1e-3]])
+    rows = spark.createDataFrame([(v,) for v in np.column_stack([x, np.full(200, 7.0)]).tolist()], "x array<double>").repartition(5)
+    n, mean, cov = learning.moments(rows, "x")
+    assert n == 200 and np.allclose(mean[:3], x.mean(axis=0)) and mean[3] == 7
+    assert np.allclose(cov[:3, :3], np.cov(x.T, bias=True), atol=1e-6)
+    found = learning.correlations(np.pad(np.cov(x.T, bias=True), (0, 1)))
+    assert np.allclose(found[:3, :3], np.corrcoef(x.T)) and not found[3].any()
+    assert learning.moments(rows.limit(0), "x")[0] == 0
+
+
+def test_prepared_drops_what_an_earlier_column_tells(spark):
+    rows = [(k, float(v), float(2 * v + 1), None if k % 5 == 0 else float(k % 3), 4.0) for k, v in enumerate(np.random.default_rng(5).normal(0, 1, 60))]
+    made, kept = learning.prepared(spark.createDataFrame(rows, "id int, a double, b double, c double, d double"), ["a", "b", "c", "d"])
+    assert kept == ["a", "c"] and made.columns == ["id", "a", "c"]
