@@ -55,9 +55,14 @@ def balanced(df: DataFrame, label: str, most: int, ratio: float, order: Sequence
     return ranked.join(caps, label).filter("_n <= _cap").drop("_n", "_cap")
 
 
-def folds(df: DataFrame, strata: Sequence[str], k: int, order: Sequence[Column | str], out: str = "fold") -> DataFrame:
-    """Stratified folds 0 to k - 1: rows of a stratum are dealt round in an order that starts with a ``draw``."""
-    return placed(df, strata, order, out).withColumn(out, ((F.col(out) - 1) % k).cast("int"))
+def folds(df: DataFrame, strata: Sequence[str], k: int, order: Sequence[Column | str], out: str = "fold", pieces: bool = True) -> DataFrame:
+    """Stratified folds 0 to k - 1: rows of a stratum are dealt round in an order that starts with a ``draw``.
+
+    Without ``pieces`` one window numbers a stratum: the same folds, for tables of which a task
+    fits a fold anyway.
+    """
+    ranked = placed(df, strata, order, out) if pieces else df.withColumn(out, F.row_number().over(Window.partitionBy(*strata).orderBy(*order)))
+    return ranked.withColumn(out, ((F.col(out) - 1) % k).cast("int"))
 
 
 def nested_folds(df: DataFrame, key: str, strata: Sequence[str], outer: int, inner: int, seed: int) -> DataFrame:

@@ -105,7 +105,7 @@ def inner_folds(table: DataFrame, own: DataFrame, key: str, y: str, k: int, seed
     """(key, outer_fold, inner_fold): every outer fold's training keys, dealt within their class. own: key and outer_fold."""
     outer = own.select(F.col("outer_fold").alias("_outer")).distinct()
     train = own.join(table.select(key, y), key).crossJoin(F.broadcast(outer)).filter("outer_fold <> _outer")
-    dealt = folds(train.select(key, F.col("_outer").alias("outer_fold"), F.col(y).alias("_y")), ["outer_fold", "_y"], k, [draw(seed, F.col(key).cast("string")), key], "inner_fold")
+    dealt = folds(train.select(key, F.col("_outer").alias("outer_fold"), F.col(y).alias("_y")), ["outer_fold", "_y"], k, [draw(seed, F.col(key).cast("string")), key], "inner_fold", pieces=False)
     return dealt.select(key, "outer_fold", "inner_fold")
 
 

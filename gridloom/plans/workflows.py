@@ -73,7 +73,7 @@ CANDIDATES = [{"c": 0.5, "k": 10, "pca": None, "model": ("lr", 1.0)}, {"c": 0.5,
 
 
 def own_folds(t: Tables, name: str = "fold") -> DataFrame:
-    return folds(table(t).select("case_id", "y"), ["y"], 4, [draw(42, "case_id"), "case_id"], name).select("case_id", name)
+    return folds(table(t).select("case_id", "y"), ["y"], 4, [draw(42, "case_id"), "case_id"], name, pieces=False).select("case_id", name)
 
 
 @query("l11_out_of_fold")
