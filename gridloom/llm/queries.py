@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chroma, hnsw, langid, mixing, neardup, sharding, tokenfiles, toxicity, warc
+from . import bpe, chroma, fim, hnsw, langid, mixing, neardup, pii, sharding, tokenfiles, toxicity, warc
 from .common import WORD, scratch, table
 
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -85,9 +85,79 @@ def op10_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = fim.transform(docs, out="text").withColumnRenamed("text", "output")
+    digests = (F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(), 256).alias("restored_sha256"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), mask="text").drop("text")
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        "doc_id",
+        *(pii.counted(F.col("spans"), kind).alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")),
+        F.sha2(pii.listed(base), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_hnsw_shards, op2_language_bitmask, op3_warc_dictionary, op4_mixing_schedule, op5_token_separator_scan, op6_shard_prefix_bytes, op7_odd_sketches, op8_chroma_fingerprints, op9_bpe_rank_array, op10_toxicity_nnpu)
-}
+    f.__name__: f
+    for f in (
+        op1_hnsw_shards, op2_language_bitmask, op3_warc_dictionary, op4_mixing_schedule, op5_token_separator_scan, op6_shard_prefix_bytes, op7_odd_sketches, op8_chroma_fingerprints,
+        op9_bpe_rank_array, op10_toxicity_nnpu, op11_fill_in_middle, op12_pii_spans,
+    )
+}
+
+
+def pii_sql() -> str:
+    """Places of all matches from the pieces between them, then the checks, the words nearby and the overlaps."""
+    of = {(d.kind, d.base): d for d in pii.DETECTORS}
+    patterns = {
+        ("email", True): r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        ("ip", True): r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+        ("card", True): r"[0-9](?:[\x20-]?[0-9])+",
+        ("phone", True): r"\+[0-9][\x20().0-9-]+[0-9]",
+    } | {key: d.pattern for key, d in of.items() if not d.base}
+    found = " union all ".join(
+        f"select rid, t, '{kind}' kind, {pii.KINDS.index(kind)} rank, {base} base, {of[kind, base].prior} prior, regexp_extract_all(t, '{p}') m,"
+        f" regexp_split_to_array(t, '{p}') g, '\\b(?:{'|'.join(of[kind, base].words)})\\b' words from d"
+        for (kind, base), p in patterns.items()
+    )
+    lengths = ", ".join(f"'{c}': {n}" for c, n in pii.IBAN_LENGTH.items())
+    return rf"""
+with d as (select doc_id, row_number() over () rid, coalesce(text, '') t from documents),
+f as ({found}),
+i as (select *, unnest(range(1, len(m) + 1)) i from f where len(m) > 0),
+p as (select rid, t, kind, rank, base, prior, words, m[i] s,
+  (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::bigint a from i),
+q as (select *, a + length(s) z, regexp_replace(s, '[^0-9]', '', 'g') n, replace(s, ' ', '') bare from p),
+c as (select *, case kind
+  when 'email' then true
+  when 'ip' then list_bool_and(list_transform(string_split(s, '.'), lambda x: length(ltrim(x, '0')) <= 3 and coalesce(try_cast(right(x, 3) as int), 0) <= 255))
+  when 'card' then length(n) between 12 and 19 and list_sum(list_transform(range(1, length(n) + 1), lambda k:
+    case when (length(n) - k) % 2 = 1 then [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][n[k]::int + 1] else n[k]::int end)) % 10 = 0
+  when 'phone' then not base or length(n) between 9 and 15
+  when 'iban' then length(bare) = map {{{lengths}}}[left(bare, 2)] and list_reduce(list_prepend(0::bigint,
+    list_transform(range(1, length(bare) + 1), lambda k: (case when k + 4 > length(bare) then bare[k + 4 - length(bare)] else bare[k + 4] end).ascii()::bigint)),
+    lambda x, y: case when y < 65 then (x * 10 + y - 48) % 97 else (x * 100 + y - 55) % 97 end) = 1
+  when 'ssn' then left(s, 3) not in ('000', '666') and left(s, 3) < '900' and s[5:6] <> '00' and right(s, 4) <> '0000'
+  when 'insurance' then 97 - left(bare, 13)::bigint % 97 = right(bare, 2)::int
+  when 'dni' then right(s, 1) = '{pii.DNI_LETTERS}'[left(s, 8)::int % 23 + 1] end good,
+  substr(t, greatest(a - {pii.WINDOW}, 0) + 1, a - greatest(a - {pii.WINDOW}, 0)) || ' ' || substr(t, z + 1, {pii.WINDOW}) beside,
+  (a > 0 and regexp_matches(substr(t, a, 1), '[\pL\pN]')) or regexp_matches(substr(t, z + 1, 1), '[\pL\pN]') tied from q),
+r as (select *, prior + case when regexp_matches(translate(beside, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), words) then {pii.NEARBY} else 0 end score
+  from c where good and (base or not tied)),
+k as (select *, row_number() over () own from r where score >= {pii.LEAST}),
+e as (select x.* from k x where x.base or (not exists (from k y where y.rid = x.rid and y.base and y.a <= x.a and y.z >= x.z)
+  and not exists (from k y where y.rid = x.rid and not y.base and y.own <> x.own and y.a < x.z and x.a < y.z and (y.score, y.z - y.a, -y.a) > (x.score, x.z - x.a, -x.a)
+    and not exists (from k b where b.rid = y.rid and b.base and b.a <= y.a and b.z >= y.z)))),
+o as (select rid, {", ".join(f"count(*) filter (base and kind = '{k}') n_{k}" for k in ("email", "ip", "card", "phone"))},
+  string_agg(kind || ':' || a || ':' || z, ',' order by a, rank, z) filter (base) b, string_agg(kind || ':' || a || ':' || z, ',' order by a, rank, z) spans from e group by rid)
+select doc_id, {", ".join(f"coalesce(n_{k}, 0)::bigint n_{k}" for k in ("email", "ip", "card", "phone"))},
+  sha256(coalesce(b, '')) base_sha256, coalesce(spans, '') spans from d left join o using (rid)"""
 
 ORACLE: dict[str, str] = {
     "op1_hnsw_shards": r"""
@@ -136,4 +206,14 @@ p as (select *, coalesce(sum(size) over (order by doc_id, size, text_crc32 rows
   row_number() over (order by doc_id, size, text_crc32) - 1 i, sum(size) over () whole from h),
 c as (select *, least(39, ((b * 2 + size) * 40) // (whole * 2))::int shard from p)
 select doc_id, size, text_crc32, 'bytes' law, shard, (i - min(i) over (partition by shard))::bigint slot, null::int grown_shard from c""",
+    "op11_fill_in_middle": r"""
+with d as (select doc_id, coalesce(text, '') t, sha256('1:' || doc_id) h from documents),
+n as (select *, length(t) n, ('0x' || h[1:8])::bigint h1, ('0x' || h[9:16])::bigint h2, ('0x' || h[17:24])::bigint h3, ('0x' || h[25:32])::bigint h4 from d),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) a, greatest(h1 % (n + 1), h2 % (n + 1)) b,
+  case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end form from n),
+p as (select *, substr(t, 1, a) x, substr(t, a + 1, b - a) y, substr(t, b + 1) z from c)
+select doc_id, n, form, case when form <> 'plain' then a end prefix_chars, case when form <> 'plain' then b - a end middle_chars,
+  sha256(case form when 'psm' then '<P>' || x || '<S>' || z || '<M>' || y when 'spm' then '<S>' || z || '<P>' || x || '<M>' || y else t end) output_sha256,
+  sha256(t) restored_sha256 from p""",
+    "op12_pii_spans": pii_sql(),
 }
