@@ -7,10 +7,13 @@ offsets of the ranks that the document's hash asks for. The hash alone decides
 the form and both ranks, so reruns agree wherever a row is read. Every row is
 worked on by itself, without a shuffle.
 
-The unit of the contract is a code point; its texts are cut in pieces of
-``PIECE`` code points, whose offsets are stitched, so that the library never
-holds more than one piece. Other units (lines, words) are matched on the whole
-text; what lies between two matches is a unit, too.
+The unit of the contract is a code point. Its offsets are looked up in two levels:
+matches of ``WIDTH`` code points give the offsets of whole blocks, and matches of one
+give those inside the blocks that hold the end of the text or a cut, so the library
+makes a match a block and not one a code point. Texts are matched in pieces of
+``PIECE`` code points, whose offsets are stitched, so that it never holds more than one
+piece. Other units (lines, words) are matched on the whole text, one by one; what lies
+between two matches is a unit, too.
 
 Cases: null and empty texts have no units and stay plain; so do texts that hold a
 marker, as they couldn't be told apart from transformed ones. Both cuts may fall
@@ -35,7 +38,7 @@ from tokenizers import Regex, pre_tokenizers
 from .common import ready, unused
 
 CODE_POINT = r"[\s\S]"
-PIECE = 1024
+WIDTH, PIECE = 128, 1 << 16
 PLAIN, PSM, SPM = "plain", "psm", "spm"
 
 
@@ -56,30 +59,34 @@ MARKERS = Markers()
 
 
 class Cutter:
-    """Offsets of a text's units, in code points."""
+    """Ranks of a text's units and their offsets, in code points."""
 
     def __init__(self, unit: str = CODE_POINT):
-        self.split = pre_tokenizers.Split(Regex(unit), behavior="isolated").pre_tokenize_str
-        self.piece = PIECE if unit == CODE_POINT else None
+        of = lambda pattern: pre_tokenizers.Split(Regex(pattern), behavior="isolated").pre_tokenize_str
+        self.split, self.single = of(unit), unit == CODE_POINT
+        self.blocks = of(f"{CODE_POINT}{{1,{WIDTH}}}") if self.single else self.split
+
+    @staticmethod
+    def begins(split, text: str) -> np.ndarray:
+        """Where each match begins."""
+        matches = split(text) if text else []
+        return np.fromiter((span[0] for _, span in matches), np.int64, len(matches))
 
     def offsets(self, text: str) -> np.ndarray:
-        """Where each unit begins."""
-        if not text:
-            return np.zeros(0, np.int64)
-        step = self.piece or len(text)
-        parts = []
-        for at in range(0, len(text), step):
-            units = self.split(text[at : at + step])
-            parts.append(np.fromiter((span[0] for _, span in units), np.int64, len(units)) + at)
-        return np.concatenate(parts)
+        """Where each block of units begins; a block is a unit where units aren't code points."""
+        step = PIECE if self.single else max(1, len(text))
+        parts = [self.begins(self.blocks, text[at : at + step]) + at for at in range(0, len(text), step)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
     def cut(self, text: str, first: int, second: int) -> tuple[int, int, int]:
         """(units, where the prefix ends, where the middle ends) for two hashes."""
-        begins = self.offsets(text)
-        n = len(begins)
-        ends = np.append(begins, len(text))
+        ends = np.append(self.offsets(text), len(text))
+        blocks = len(ends) - 1
+        inside = lambda k: self.begins(self.split, text[ends[k] : ends[k + 1]]) + ends[k]
+        n = blocks if blocks == 0 or not self.single else (blocks - 1) * WIDTH + len(inside(blocks - 1))
+        at = lambda rank: ends[rank] if not self.single else len(text) if rank == n else inside(rank // WIDTH)[rank % WIDTH]
         low, high = sorted((first % (n + 1), second % (n + 1)))
-        return n, int(ends[low]), int(ends[high])
+        return n, int(at(low)), int(at(high))
 
 
 def rearranged(text: str, form: str, low: int, high: int, markers: Markers = MARKERS) -> str:

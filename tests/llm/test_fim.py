@@ -23,7 +23,7 @@ def direct(doc_id, text):
     return n, "psm", a, b - a, f"<P>{text[:a]}<S>{text[b:]}<M>{text[a:b]}"
 
 
-ODD = [None, "", "x", "\n", "ab", "a\r\nb", "é́", "😀👨‍👩‍👧", "<P>", "a<S>b", "<M", "<P<S<M", "><P", "\x00\x01", "ß" * 1023 + "😀" * 3, "z" * (3 * fim.PIECE), " " * 50]
+ODD = [None, "", "x", "\n", "ab", "a\r\nb", "é́", "😀👨‍👩‍👧", "<P>", "a<S>b", "<M", "<P<S<M", "><P", "\x00\x01", "ß" * 1023 + "😀" * 3, "z" * (2 * fim.PIECE + 9), " " * 50]
 
 
 def test_every_row_follows_the_contract(spark):
@@ -39,14 +39,19 @@ def test_every_row_follows_the_contract(spark):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(max_size=2500))
-def test_offsets_are_those_of_code_points(text):
-    assert np.array_equal(fim.Cutter().offsets(text), np.arange(len(text)))
+@given(st.text(max_size=700), st.integers(0, 2**32 - 1), st.integers(0, 2**32 - 1))
+def test_ranks_are_those_of_code_points(text, first, second):
+    n = len(text)
+    assert fim.Cutter().cut(text, first, second) == (n, *sorted((first % (n + 1), second % (n + 1))))
 
 
-def test_pieces_are_stitched():
-    text = "aé😀\n" * 1500
-    assert np.array_equal(fim.Cutter().offsets(text), np.arange(len(text)))
+@pytest.mark.parametrize("n", [0, 1, fim.WIDTH - 1, fim.WIDTH, fim.WIDTH + 1, 5 * fim.WIDTH, fim.PIECE - 1, fim.PIECE, fim.PIECE + 1, 2 * fim.PIECE, 2 * fim.PIECE + 77])
+def test_blocks_and_pieces_are_stitched(n):
+    text = ("aé😀\n" * n)[:n]
+    cutter = fim.Cutter()
+    assert np.array_equal(cutter.offsets(text), np.arange(0, n, fim.WIDTH))
+    for first, second in ((0, n), (n // 2, n // 3), (max(0, n - 1), 1)):
+        assert cutter.cut(text, first, second) == (n, *sorted((first % (n + 1), second % (n + 1))))
 
 
 def test_other_units_are_cut_between_matches():
