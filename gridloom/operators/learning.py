@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import models
 from .metrics import auc_ap
-from .ranking import ecdf
+from .ordered import ecdf
 
 
 def prepared(df: DataFrame, columns: Sequence[str], quasi: float = 0.95, correlated: float = 0.95) -> tuple[DataFrame, list[str]]:

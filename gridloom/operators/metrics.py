@@ -7,17 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import rank01
+from .ordered import rank01, running
 
 
 def curve_points(df: DataFrame, groups: Sequence[str], y: str, score: str) -> DataFrame:
     """(groups, score, tp, fp, pos, neg): what lies at or above each distinct score, and the totals."""
-    per = df.filter(f"{y} is not null and {score} is not null").groupBy(*groups, score).agg(F.sum(y).cast("double").alias("_p"), F.sum(1 - F.col(y)).cast("double").alias("_n"))
-    above = Window.partitionBy(*groups).orderBy(F.desc(score)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*groups)
-    return per.select(
-        *groups, F.col(score).alias("score"), F.sum("_p").over(above).alias("tp"), F.sum("_n").over(above).alias("fp"), F.sum("_p").over(whole).alias("pos"), F.sum("_n").over(whole).alias("neg"), "_p", "_n"
-    )
+    per = df.filter(f"{y} is not null and {score} is not null").groupBy(*groups, F.col(score).alias("score"))
+    per = per.agg(F.sum(y).cast("double").alias("_p"), F.sum(1 - F.col(y)).cast("double").alias("_n"))
+    names = {"_p_upto": "tp", "_n_upto": "fp", "_p_all": "pos", "_n_all": "neg"}
+    return running(per, groups, "score", ["_p", "_n"], descending=True).withColumnsRenamed(names)
 
 
 def auc_ap(df: DataFrame, groups: Sequence[str], y: str, score: str) -> DataFrame:
@@ -59,5 +57,5 @@ def confusion(df: DataFrame, groups: Sequence[str], y: str, pred: str, labels: S
 def late_fusion(a: DataFrame, b: DataFrame, keys: Sequence[str], groups: Sequence[str], alpha: float = 0.5) -> DataFrame:
     """Two aligned score tables with ``a_norm``, ``b_norm`` (average ranks from 0 to 1 inside groups) and their blend ``score``."""
     both = a.join(b, list(keys))
-    normed = both.withColumn("a_norm", rank01(F.col("a_score"), groups)).withColumn("b_norm", rank01(F.col("b_score"), groups))
+    normed = rank01(rank01(both, "a_score", groups, "a_norm"), "b_score", groups, "b_norm")
     return normed.withColumn("score", alpha * F.col("a_norm") + (1 - alpha) * F.col("b_norm"))

@@ -1,4 +1,4 @@
-"""Ranks, empirical distributions, window searches and diversity-capped choices."""
+"""Best rows, window searches and diversity-capped choices in groups that are bounded by nature; ``ordered`` has ranks in groups of any size."""
 
 from __future__ import annotations
 
@@ -9,32 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rank01(value: Column, groups: Sequence[str]) -> Column:
-    """Average rank from 0 to 1 inside a group; nulls, and groups of at most one value, are 0.5."""
-    whole = Window.partitionBy(*groups)
-    first = F.rank().over(whole.orderBy(value.asc_nulls_last()))
-    peers = F.count(value).over(Window.partitionBy(*groups, value))
-    n = F.count(value).over(whole)
-    mean = first + (peers - 1) / F.lit(2.0)
-    return F.when(value.isNull() | (n <= 1), 0.5).otherwise((mean - 1) / (n - 1))
-
-
-def ecdf(reference: DataFrame, values: DataFrame, groups: Sequence[str], value: str, out: str) -> DataFrame:
-    """values with the share of the group's reference that is at most each value, kept half a step off 0 and 1; a constant reference gives 0.5.
-
-    One sorted pass over reference and values together, so neither is gathered.
-    """
-    both = values.withColumn("_ref", F.lit(0)).unionByName(reference.select(*groups, value).withColumn("_ref", F.lit(1)), allowMissingColumns=True)
-    below = F.sum("_ref").over(Window.partitionBy(*groups).orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    whole = Window.partitionBy(*groups)
-    held = F.when(F.col("_ref") == 1, F.col(value))
-    n = F.sum("_ref").over(whole).cast("double")
-    half = F.lit(0.5) / n
-    share = F.least(F.greatest(below / n, half), 1 - half)
-    placed = both.withColumn(out, F.when(F.min(held).over(whole) == F.max(held).over(whole), 0.5).otherwise(share))
-    return placed.filter("_ref = 0").drop("_ref")
-
-
 def best_window(df: DataFrame, group: str, position: str, value: str, length: int, near: str) -> DataFrame:
     """Each group's stretch of ``length`` positions with the largest sum: (group, start, total).
 

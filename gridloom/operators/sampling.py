@@ -66,13 +66,9 @@ def folds(df: DataFrame, strata: Sequence[str], k: int, order: Sequence[Column |
 
 
 def nested_folds(df: DataFrame, key: str, strata: Sequence[str], outer: int, inner: int, seed: int) -> DataFrame:
-    """(key, strata, outer_fold, inner_fold, ``in_fold``): each outer fold's training keys, dealt into inner folds with the seed plus the fold's number."""
+    """(key, strata, outer_fold, inner_fold): each outer fold's training keys, dealt into inner folds with the seed plus the fold's number."""
     dealt = folds(df.select(key, *strata), strata, outer, [draw(seed, key), key], "_own")
-    parts = []
-    for o in range(outer):
-        train = dealt.filter(F.col("_own") != o).drop("_own")
-        parts.append(folds(train, strata, inner, [draw(seed + o, key), key], "inner_fold").withColumn("outer_fold", F.lit(o)))
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole
+    train = dealt.withColumn("outer_fold", F.explode(F.sequence(F.lit(0), F.lit(outer - 1)))).filter("outer_fold <> _own").drop("_own")
+    # All outer folds are numbered at once, each by its own draw.
+    own = F.md5(F.concat_ws("|", (F.col("outer_fold") + seed).cast("string"), F.col(key)))
+    return folds(train, ["outer_fold", *strata], inner, [own, key], "inner_fold").select(key, *strata, "inner_fold", "outer_fold")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import learning as L
 from .metrics import auc_ap, binary_metrics
-from .ranking import ecdf
+from .ordered import ecdf
 from .relational import require_coverage
 from .sampling import draw, folds
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean
 from ..operators import relational as rel
+from ..operators.ordered import numbered
 from ..operators.ranges import containing
 from ..operators.sampling import capped
 from .registry import Tables, query
@@ -78,7 +79,8 @@ def lookup(t: Tables) -> DataFrame:
 @query("j09_ordered_reindex", """select id, pos, v from (select c_custkey id, row_number() over (order by c_acctbal, c_custkey)::int pos from customer) left join
   (select user_id, min_by(value, ts) v from events group by 1) on id = user_id""")
 def ordered_reindex(t: Tables) -> DataFrame:
-    wanted = t.customer.select(F.col("c_custkey").alias("id"), F.row_number().over(Window.orderBy("c_acctbal", "c_custkey")).alias("pos"))
+    customers = t.customer.select(F.col("c_custkey").alias("id"), "c_acctbal")
+    wanted = numbered(customers, ["c_acctbal", "id"], "pos").select("id", F.col("pos").cast("int").alias("pos"))
     first = t.events.groupBy(F.col("user_id").alias("id")).agg(F.min_by("value", "ts").alias("v"))
     return wanted.join(first, "id", "left").select("id", "pos", "v")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean
-from ..operators import metrics, ranking, sampling
+from ..operators import metrics, ordered, ranking, sampling
 from ..operators.relational import first_rows, grid
 from .registry import Tables, query
 
@@ -24,7 +24,7 @@ FUSED = SCORED + f"r as (select *, {RANK.format('a_score')} an, {RANK.format('b_
 
 @query("w01_rank01", SCORED + f"z as (select doc_id, {RANK.format('a_score')} r from c) select doc_id, round(r, 8) r from z")
 def rank01(t: Tables) -> DataFrame:
-    return scored(t).select("doc_id", F.round(ranking.rank01(F.col("a_score"), ["fold"]), 8).alias("r"))
+    return ordered.rank01(scored(t).select("doc_id", "fold", "a_score"), "a_score", ["fold"], "r").select("doc_id", F.round("r", 8).alias("r"))
 
 
 @query("w02_cap_per_group", "select event_id, user_id, event_type from (select *, row_number() over (partition by user_id, event_type order by coalesce(value, -1) desc, event_id) r from events) where r <= 3")
@@ -51,7 +51,7 @@ def keep_first_last(t: Tables) -> DataFrame:
   select event_id, round(least(greatest((select count(*) from ref where ref.g = q.g and ref.v <= q.v) / n, 0.5 / n), 1 - 0.5 / n), 8) u from q join n using (g)""")
 def ecdf_reference(t: Tables) -> DataFrame:
     e = t.events.select("event_id", F.col("event_type").alias("g"), F.col("value").alias("v"))
-    made = ranking.ecdf(e.filter("event_id % 3 = 0"), e.filter("event_id % 3 <> 0"), ["g"], "v", "u")
+    made = ordered.ecdf(e.filter("event_id % 3 = 0"), e.filter("event_id % 3 <> 0"), ["g"], "v", "u")
     return made.select("event_id", F.round("u", 8).alias("u"))
 
 

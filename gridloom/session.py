@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", name: str = "gridloom", **conf: str) -> SparkSession:
@@ -28,3 +28,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
         sc.setCheckpointDir(folder)
         folder = f"file://{folder}"
     return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written once in the shared folder and read again: computed once, the same rows for all that read it."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import clean, models, stats
-from gridloom.operators import ranking
+from gridloom.operators import ordered, ranking
 
 
 def values(spark, rows, schema, column):
@@ -66,14 +66,14 @@ def test_icc(spark):
 
 def test_rank01_ties_and_nulls(spark):
     df = spark.createDataFrame([(1, 1.0), (2, 1.0), (3, 2.0), (4, None)], "i int, v double").withColumn("g", F.lit(0))
-    got = [r[0] for r in df.select("i", ranking.rank01(F.col("v"), ["g"]).alias("r")).orderBy("i").select("r").collect()]
+    got = [r[0] for r in ordered.rank01(df, "v", ["g"], "r").orderBy("i").select("r").collect()]
     assert got == [0.25, 0.25, 1.0, 0.5]
 
 
 def test_ecdf_of_a_constant_reference(spark):
     ref = spark.createDataFrame([(0, 1.0)] * 3, "g int, v double")
     new = spark.createDataFrame([(0, 5.0), (0, 0.0)], "g int, v double")
-    assert {r["u"] for r in ranking.ecdf(ref, new, ["g"], "v", "u").collect()} == {0.5}
+    assert {r["u"] for r in ordered.ecdf(ref, new, ["g"], "v", "u").collect()} == {0.5}
 
 
 def test_best_window_and_padding(spark):
