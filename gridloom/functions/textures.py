@@ -24,10 +24,9 @@ def along(x: np.ndarray, kernel: Sequence[float], axis: int) -> np.ndarray:
 
 
 def laws(x: np.ndarray, code: str) -> np.ndarray:
-    """A separable filter: the code's kernels run along x, y and z in turn."""
-    for k, axis in enumerate(range(x.ndim - 1, -1, -1)):
-        if code[2 * k : 2 * k + 2]:
-            x = along(x, LAWS[code[2 * k : 2 * k + 2]], axis)
+    """A separable filter: the code's first kernel runs along the first axis, and so on. Convolution turns kernels round."""
+    for axis in range(x.ndim):
+        x = along(x, LAWS[code[2 * axis : 2 * axis + 2]][::-1], axis)
     return x
 
 
@@ -245,9 +244,10 @@ def texture_map(x: np.ndarray, mask: np.ndarray, spec: dict, spacing: Sequence[f
 
 
 def four(v: np.ndarray) -> tuple[float, float, float, float]:
-    """kurt, median, skew and var; the median alone where the variance vanishes."""
+    """kurt, median, skew and var; the median alone where the variance vanishes, and NaN without finite values."""
+    v = v[np.isfinite(v)]
     if not len(v):
-        return 0.0, 0.0, 0.0, 0.0
+        return np.nan, np.nan, np.nan, np.nan
     d, var = v - v.mean(), v.var()
     if var < EPS:
         return 0.0, float(np.median(v)), 0.0, 0.0

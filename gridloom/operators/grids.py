@@ -93,8 +93,9 @@ def gradient(df: DataFrame) -> DataFrame:
 
 
 def mirrored(c: Column, n: Column) -> Column:
-    """A coordinate beyond a border, mirrored with the border cell repeated."""
-    return F.when(c < 0, -c - 1).when(c >= n, 2 * n - 1 - c).otherwise(c)
+    """A coordinate beyond a border, mirrored with the border cell repeated, as often as it takes."""
+    at = F.pmod(c, 2 * n)
+    return F.when(at >= n, 2 * n - 1 - at).otherwise(at)
 
 
 def neighbourhood(df: DataFrame, radius: int, value: str = "v") -> DataFrame:
@@ -113,14 +114,16 @@ def local_statistics(df: DataFrame, radius: int) -> DataFrame:
     return g.agg(F.avg("w").alias("mean"), F.stddev_pop("w").alias("std"), F.median("w").alias("median"), (F.max("w") - F.min("w")).alias("range"))
 
 
-def along(df: DataFrame, axis: str, kernel: Sequence[float]) -> DataFrame:
-    """Correlation with a kernel along one axis, mirrored at the ends."""
-    r = len(kernel) // 2
+def along(df: DataFrame, axis: str, kernel: Sequence[float], axes: Sequence[str] = ("y", "x")) -> DataFrame:
+    """Correlation with a kernel along one of the axes, mirrored at the ends."""
+    r, place = len(kernel) // 2, ["case", *axes]
     sized = df.withColumn("_n", F.max(axis).over(Window.partitionBy("case")) + 1)
     taps = F.array(*(F.struct(F.lit(k - r).alias("o"), F.lit(float(c)).alias("c")) for k, c in enumerate(kernel)))
-    other = next(a for a in ("y", "x") if a != axis)
-    asked = sized.select("case", "y", "x", "_n", F.explode(taps).alias("t")).select("case", F.col(other), F.col(axis).alias("_own"), F.col("t.c").alias("_c"), mirrored(F.col(axis) + F.col("t.o"), F.col("_n")).alias(axis))
-    return asked.join(df.select("case", "y", "x", "v"), ["case", "y", "x"]).groupBy("case", other, F.col("_own").alias(axis)).agg(F.sum(F.col("_c") * F.col("v")).alias("v")).select("case", "y", "x", "v")
+    asked = sized.select(*place, "_n", F.explode(taps).alias("t"))
+    asked = asked.select(*(c for c in place if c != axis), F.col(axis).alias("_own"), F.col("t.c").alias("_c"), mirrored(F.col(axis) + F.col("t.o"), F.col("_n")).alias(axis))
+    met = asked.join(df.select(*place, "v"), place)
+    own = [F.col("_own").alias(axis) if c == axis else F.col(c) for c in place]
+    return met.groupBy(*own).agg(F.sum(F.col("_c") * F.col("v")).alias("v"))
 
 
 #: The one-dimensional texture kernels.
@@ -130,9 +133,11 @@ LAWS = {
 }
 
 
-def laws(df: DataFrame, code: str) -> DataFrame:
-    """A separable texture filter: the first kernel of a code such as E5L5 runs along x, the second along y."""
-    return along(along(df, "x", LAWS[code[:2]]), "y", LAWS[code[2:4]])
+def laws(df: DataFrame, code: str, axes: Sequence[str] = ("z", "y", "x")) -> DataFrame:
+    """A separable texture filter: a code such as E5L5S5 has a kernel an axis, in their order. Convolution turns kernels round."""
+    for k in reversed(range(len(axes))):
+        df = along(df, axes[k], LAWS[code[2 * k : 2 * k + 2]][::-1], axes)
+    return df
 
 
 def sobel(df: DataFrame, axis: str) -> DataFrame:

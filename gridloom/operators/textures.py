@@ -17,7 +17,7 @@ def texture_table(slices: DataFrame, specs: Sequence[dict] | None = None, margin
     """(case_id, feature, value): four statistics of each map over each case's mask.
 
     slices: case_id, z, h, w, sz, sy, sx, v and mask (arrays of equal length). Only the given
-    specs are worked out, on the mask's box with a margin; a case without mask has zeros.
+    specs are worked out, on the mask's box with a margin; a case without mask has nulls.
     """
     wanted = list(specs or textures.catalogue())
 
@@ -32,7 +32,7 @@ def texture_table(slices: DataFrame, specs: Sequence[dict] | None = None, margin
         held: dict = {}
         rows = []
         for spec in wanted:
-            values = textures.four(textures.texture_map(x, mask, spec, (first.sz, first.sy, first.sx), held)[mask]) if mask.any() else (0.0,) * 4
+            values = textures.four(textures.texture_map(x, mask, spec, (first.sz, first.sy, first.sx), held)[mask] if mask.any() else x[:0].ravel())
             rows += [(first.case_id, f"{spec['name']}_{s}", v) for s, v in zip(STATISTICS, values, strict=True)]
         return pd.DataFrame(rows, columns=["case_id", "feature", "value"])
 

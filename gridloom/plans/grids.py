@@ -76,11 +76,24 @@ def local_statistics(t: Tables) -> DataFrame:
 _MIRROR = "case when {0} < 0 then -({0}) - 1 when {0} > 7 then 15 - ({0}) else {0} end"
 
 
-@query("g09_laws", f"""with {CELLS}, k as (select * from (values (-2, -1, 1), (-1, -2, 4), (0, 0, 6), (1, 2, 4), (2, 1, 1)) t(o, e, l)),
-  h as (select a.c, a.y, a.x, sum(k.e * b.v) v from cells a, k, cells b where b.c = a.c and b.y = a.y and b.x = {_MIRROR.format('a.x + o')} group by all)
-  select a.c as "case", a.y, a.x, round(sum(k.l * b.v), 5) v from h a, k, h b where b.c = a.c and b.x = a.x and b.y = {_MIRROR.format('a.y + o')} group by all""")
+STACK = CELLS + ", stack as (select c // 4 k, (c % 4)::int z, y, x, v from cells), deep as (select k, max(z) + 1 n from stack group by 1)"
+_FOLD_BACK = "case when (({0}) % (2 * n) + 2 * n) % (2 * n) >= n then 2 * n - 1 - (({0}) % (2 * n) + 2 * n) % (2 * n) else (({0}) % (2 * n) + 2 * n) % (2 * n) end"
+
+
+def volumes(t: Tables) -> DataFrame:
+    """Up to four vectors as the layers of a 4 x 8 x 8 volume."""
+    stack = F.col("case")
+    return images(t).select(F.floor(stack / 4).cast("long").alias("case"), (stack % 4).cast("int").alias("z"), "y", "x", "v")
+
+
+@query("g09_laws", f"""with {STACK}, k(o, e, l, s) as (values (-2, 1, 1, -1), (-1, 2, 4, 0), (0, 0, 6, 2), (1, -2, 4, 0), (2, -1, 1, -1)),
+  a as (select p.k, p.z, p.y, p.x, sum(k.s * q.v) v from stack p, k, stack q where q.k = p.k and q.z = p.z and q.y = p.y and q.x = {_MIRROR.format('p.x + o')} group by all),
+  b as (select p.k, p.z, p.y, p.x, sum(k.l * q.v) v from a p, k, a q where q.k = p.k and q.z = p.z and q.x = p.x and q.y = {_MIRROR.format('p.y + o')} group by all)
+  select p.k as "case", p.z, p.y, p.x, round(sum(k.e * q.v), 5) v from b p join deep using (k), k, b q where q.k = p.k and q.y = p.y and q.x = p.x
+  and q.z = {_FOLD_BACK.format("p.z + o")} group by all""")
 def laws(t: Tables) -> DataFrame:
-    return rounded(grids.laws(images(t), "E5L5"), 5)
+    """An unsymmetrical code: edges along z, level along y, spots along x."""
+    return rounded(grids.laws(volumes(t), "E5L5S5"), 5)
 
 
 @query("g11_sobel", f"""with {CELLS}, d as (select * from (values (-1, -1, 1), (0, 0, 2), (1, 1, 1)) t(o, e, l)),

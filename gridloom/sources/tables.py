@@ -31,11 +31,11 @@ def scan(spark: SparkSession, path: str, id_col: str | None = None, schema: T.St
     return df.withColumn(id_col, F.col(id_col).cast("string")) if id_col in df.columns else df
 
 
-def publish(df: DataFrame, path: str, partition_by: Sequence[str] = (), files: int | None = None) -> None:
+def publish(df: DataFrame, path: str, partition_by: Sequence[str] = (), files: int | None = None, kind: str = "parquet") -> None:
     """Replace a table as a whole: it is written beside the old one, which stays until the new one is complete and takes its name."""
     spark, mark = df.sparkSession, uuid.uuid4().hex
     fresh, old = f"{path.rstrip('/')}.{mark}.new", f"{path.rstrip('/')}.{mark}.old"
-    (df.coalesce(files) if files else df).write.partitionBy(*partition_by).parquet(fresh)
+    (df.coalesce(files) if files else df).write.format(kind).partitionBy(*partition_by).save(fresh)
     at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
     fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
     there = fs.exists(at(path))
@@ -126,7 +126,7 @@ def split_documents(nested: DataFrame, own: DataFrame, key_col: str) -> DataFram
 
 
 def write_splits(documents: DataFrame, path: str) -> None:
-    documents.write.mode("overwrite").json(path)
+    publish(documents, path, kind="json")
 
 
 def read_splits(spark: SparkSession, path: str) -> DataFrame:
