@@ -1,8 +1,8 @@
 """Leakage-controlled learning: preparation, selection, grid search, outer evaluation, stacking and bags.
 
-Tables hold features as one array column. Models of a fold are fitted in the
-task that holds the fold's rows; a whole table's moments, quantiles and value
-counts are aggregates, so that the preparation also works on any number of rows.
+Tables hold features as one array column. Linear models of all folds and candidates
+are fitted together from sums over the rows (``fits``), so no task holds a fold; a
+whole table's moments, quantiles and value counts are aggregates, too.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import models
+from ..session import kept
+from . import fits
 from .metrics import auc_ap
 from .ordered import ecdf
 
@@ -126,24 +128,6 @@ def forest_with_platt(df: DataFrame, vector: str, y: str, folds: int = 3, trees:
 GRID = {"c": (0.05, 0.1, 0.5, 1.0), "k": (10, 15, 20, 30), "pca": (None, 0.9, 0.95, 0.99), "model": (*(("lr", c) for c in (0.1, 0.3, 1.0, 3.0)), *(("lda", s) for s in (None, 0.2, 0.5)))}
 
 
-class Chain:
-    """Preparation, selection, rotation and model with one set of parameters, fitted on training rows."""
-
-    def __init__(self, x: np.ndarray, y: np.ndarray, params: dict, prep: models.Preparation | None = None, ranking: np.ndarray | None = None):
-        self.prep = prep or models.Preparation(x)
-        z = self.prep(x)
-        order = ranking if ranking is not None else models.top_features(models.logistic_l1(z, y, params["c"])[:-1], z.shape[1])
-        self.chosen = order[: params["k"]]
-        self.rotation = models.Principal(z[:, self.chosen], params["pca"])
-        name, strength = params["model"]
-        u = self.rotation(z[:, self.chosen])
-        self.w = models.logistic_l2(u, y, strength) if name == "lr" else models.discriminant(u, y, strength)
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        u = self.rotation(self.prep(x)[:, self.chosen])
-        return models.sigmoid(u @ self.w[:-1] + self.w[-1])
-
-
 def as_text(params: dict) -> str:
     return json.dumps({**params, "model": list(params["model"])}, sort_keys=True)
 
@@ -154,31 +138,36 @@ def grid_of(grid: dict, features: int) -> list[dict]:
     ]
 
 
+def in_sets(table: DataFrame, placed: DataFrame, key: str, vector: str, y: str, sets: Sequence[tuple[int, int | None]]) -> DataFrame:
+    """Kept rows (key, _x, _y, train, test) with the numbers of the sets that each trains and tests.
+
+    placed: key, outer_fold and inner_fold, null where the outer fold holds the key out. A set
+    (outer, inner) tests that inner fold and trains on the outer fold's others; (outer, None)
+    tests what the outer fold holds out and trains on all the rest of it.
+    """
+    own = placed.groupBy(key).agg(F.collect_list(F.struct(F.col("outer_fold").alias("o"), F.coalesce("inner_fold", F.lit(-1)).alias("i"))).alias("_own"))
+    all_sets = F.array(*(F.struct(F.lit(k).alias("n"), F.lit(o).alias("o"), F.lit(-1 if i is None else i).alias("i")) for k, (o, i) in enumerate(sets)))
+    tests = lambda s: F.exists("_own", lambda f: (f["o"] == s["o"]) & (f["i"] == s["i"]))
+    trains = lambda s: F.exists("_own", lambda f: (f["o"] == s["o"]) & (f["i"] != s["i"]) & (f["i"] >= 0))
+    numbers = lambda chosen: F.transform(F.filter(all_sets, chosen), lambda s: s["n"])
+    rows = table.select(key, F.col(vector).cast("array<double>").alias("_x"), F.col(y).cast("int").alias("_y")).join(own, key)
+    return kept(rows.select(key, "_x", "_y", numbers(trains).alias("train"), numbers(tests).alias("test")), "sets")
+
+
 def inner_search(table: DataFrame, splits: DataFrame, key: str, vector: str, y: str, grid: dict = GRID) -> DataFrame:
     """(outer_fold, inner_fold, position, params, auc, ap) of every candidate on every inner fold.
 
-    splits: key, outer_fold and inner_fold, one row a training key. A task holds one
-    inner fold and one selector strength and shares its preparation and ranking
-    among all their candidates; a fold with one class gives nothing.
+    splits: key, outer_fold and inner_fold, one row a training key. All folds' candidates are
+    fitted together from sums (see ``fits``), and held-out rows are ranked in ranges, so no
+    task holds a fold; a fold with one class gives nothing.
     """
-    rows = splits.join(table.select(key, F.col(vector).alias("_x"), F.col(y).alias("_y")), key)
-    folds = splits.select("outer_fold", "inner_fold").distinct().withColumnRenamed("inner_fold", "held")
-    work = rows.join(folds, "outer_fold").withColumn("c", F.explode(F.array(*(F.lit(float(c)) for c in grid["c"]))))
-
-    def search(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        outer, held, c = keys
-        x, y_, test = np.stack(pdf["_x"].to_numpy()).astype(float), pdf["_y"].to_numpy().astype(int), (pdf["inner_fold"] == held).to_numpy()
-        out = []
-        if len(set(y_[~test])) == 2 and len(set(y_[test])) == 2:
-            prep = models.Preparation(x[~test])
-            ranking = models.top_features(models.logistic_l1(prep(x[~test]), y_[~test], c)[:-1], len(prep.kept))
-            for at, params in enumerate(grid_of(grid, len(prep.kept))):
-                if params["c"] == c:
-                    s = Chain(x[~test], y_[~test], params, prep, ranking)(x[test])
-                    out.append((outer, held, at, as_text(params), models.auc(y_[test], s), models.average_precision(y_[test], s)))
-        return pd.DataFrame(out, columns=["outer_fold", "inner_fold", "position", "params", "auc", "ap"])
-
-    return work.groupBy("outer_fold", "held", "c").applyInPandas(search, "outer_fold int, inner_fold int, position int, params string, auc double, ap double")
+    sets = sorted(tuple(r) for r in splits.select("outer_fold", "inner_fold").distinct().collect())
+    rows = in_sets(table, splits, key, vector, y, sets)
+    found = fits.fitted(rows, len(sets), lambda s, n: grid_of(grid, n))
+    named = [(s, at, *sets[s], as_text(f.params)) for s, fs in found.items() for at, f in enumerate(fs)]
+    names = table.sparkSession.createDataFrame(named, "set int, position int, outer_fold int, inner_fold int, params string")
+    told = auc_ap(fits.scored(rows, found, key, "test"), ["set", "position"], "y", "score").filter("auc is not null")
+    return told.join(names, ["set", "position"]).select("outer_fold", "inner_fold", "position", "params", "auc", "ap")
 
 
 def best_parameters(scores: DataFrame) -> DataFrame:
@@ -190,54 +179,53 @@ def best_parameters(scores: DataFrame) -> DataFrame:
     return complete.groupBy("outer_fold").agg(F.max_by(F.struct("params", "auc", "ap", "std"), key).alias("b")).select("outer_fold", "b.params", F.col("b.auc").alias("inner_auc"), F.col("b.ap").alias("inner_ap"), F.col("b.std").alias("inner_std"))
 
 
-def outer_scores(table: DataFrame, folds: DataFrame, chosen: DataFrame, key: str, vector: str, y: str) -> DataFrame:
-    """(outer_fold, key, y, score, inner): refitted on each outer fold's training rows and applied to all rows of the fold; inner marks training rows.
+def from_text(params: str) -> dict:
+    told = json.loads(params)
+    return {**told, "model": tuple(told["model"])}
 
-    folds: key and outer_fold, the fold that holds the key out. chosen: outer_fold and params.
+
+def fold_scores(table: DataFrame, folds: DataFrame, candidates: DataFrame, key: str, vector: str, y: str) -> DataFrame:
+    """(outer_fold, candidate, key, y, score, inner): candidates fitted on each outer fold's training rows and applied to all rows; inner marks training rows.
+
+    folds: key and outer_fold, the fold that holds the key out. candidates: outer_fold, candidate and params, few.
     """
-    rows = folds.withColumnRenamed("outer_fold", "_own").join(table.select(key, F.col(vector).alias("_x"), F.col(y).alias("_y")), key)
-    work = rows.crossJoin(chosen.select("outer_fold", "params"))
-    kind = table.schema[key].dataType.simpleString()
+    asked: dict[int, list[tuple[int, dict]]] = {}
+    for r in candidates.select("outer_fold", "candidate", "params").orderBy("outer_fold", "candidate").collect():
+        asked.setdefault(r["outer_fold"], []).append((r["candidate"], from_text(r["params"])))
+    sets, spark = sorted(asked), table.sparkSession
+    own = folds.select(key, F.col("outer_fold").alias("_own"))
+    numbers = lambda rule: F.transform(F.filter(F.array(*(F.struct(F.lit(k).alias("n"), F.lit(o).alias("o")) for k, o in enumerate(sets))), rule), lambda s: s["n"])
+    rows = table.select(key, F.col(vector).cast("array<double>").alias("_x"), F.col(y).cast("int").alias("_y")).join(own, key)
+    rows = kept(rows.select("*", numbers(lambda s: s["o"] != F.col("_own")).alias("train"), numbers(lambda s: F.lit(True)).alias("test")), "sets")
+    found = fits.fitted(rows, len(sets), lambda s, n: [p for _, p in asked[sets[s]]])
+    names = spark.createDataFrame([(k, at, o, c) for k, o in enumerate(sets) for at, (c, _) in enumerate(asked[o])], "set int, position int, outer_fold int, candidate int")
+    made = fits.scored(rows, found, key, "test").join(names, ["set", "position"]).join(rows.select(key, "_own"), key)
+    return made.select("outer_fold", "candidate", key, "y", "score", (F.col("_own") != F.col("outer_fold")).alias("inner"))
 
-    def fit(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y_, test = np.stack(pdf["_x"].to_numpy()).astype(float), pdf["_y"].to_numpy().astype(int), (pdf["_own"] == keys[0]).to_numpy()
-        params = json.loads(pdf["params"].iloc[0])
-        params["model"] = tuple(params["model"])
-        return pd.DataFrame({"outer_fold": keys[0], key: pdf[key], "y": y_, "score": Chain(x[~test], y_[~test], params)(x), "inner": ~test})
 
-    return work.groupBy("outer_fold").applyInPandas(fit, f"outer_fold int, {key} {kind}, y int, score double, inner boolean")
+def outer_scores(table: DataFrame, folds: DataFrame, chosen: DataFrame, key: str, vector: str, y: str) -> DataFrame:
+    """(outer_fold, key, y, score, inner): ``fold_scores`` of one candidate a fold. chosen: outer_fold and params."""
+    one = chosen.select("outer_fold", F.lit(0).alias("candidate"), "params")
+    return fold_scores(table, folds, one, key, vector, y).drop("candidate")
 
 
 def base_scores(table: DataFrame, nested: DataFrame, own: DataFrame, candidates: DataFrame, key: str, vector: str, y: str) -> DataFrame:
     """(candidate, outer_fold, key, y, score, inner): what a stack may be built from.
 
-    Held-out rows (inner false) are scored by a chain fitted on their outer fold's training
+    Held-out rows (inner false) are scored by a candidate fitted on their outer fold's training
     rows; each training row (inner true) by one fitted on the other inner folds' rows, so no
     row is scored by a model that has seen it. own: key and outer_fold, the fold that holds
     the key out. nested: key, outer_fold and inner_fold of its training keys. candidates:
     candidate and params, few. An inner fold whose other rows lack a class gives no scores.
     """
-    held = own.select(key, "outer_fold", F.lit(None).cast("int").alias("inner_fold"))
-    placed = nested.select(key, "outer_fold", "inner_fold").unionByName(held).join(table.select(key, F.col(vector).alias("_x"), F.col(y).alias("_y")), key)
-    # A fold's rows are read once for each model: the fold's own, and one for each inner fold.
-    parts = nested.select("outer_fold", F.col("inner_fold").alias("_part")).distinct().unionByName(own.select("outer_fold", F.lit(-1).alias("_part")).distinct())
-    jobs = parts.crossJoin(F.broadcast(candidates.select("candidate", "params")))
-    kind = table.schema[key].dataType.simpleString()
-
-    def fit(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        candidate, outer, part = (int(k) for k in keys)
-        inner = pdf["inner_fold"].to_numpy(float)
-        test = np.isnan(inner) if part < 0 else inner == part
-        train = ~np.isnan(inner) & ~test
-        truth = pdf["_y"].to_numpy().astype(int)
-        if not test.any() or len(set(truth[train])) < 2:
-            return pd.DataFrame({"candidate": [], "outer_fold": [], key: pdf[key][:0], "y": [], "score": [], "inner": np.zeros(0, bool)})
-        x, params = np.stack(pdf["_x"].to_numpy()).astype(float), json.loads(pdf["params"].iloc[0])
-        params["model"] = tuple(params["model"])
-        return pd.DataFrame({"candidate": candidate, "outer_fold": outer, key: pdf[key][test], "y": truth[test], "score": Chain(x[train], truth[train], params)(x[test]), "inner": part >= 0})
-
-    work = placed.join(F.broadcast(jobs), "outer_fold")
-    return work.groupBy("candidate", "outer_fold", "_part").applyInPandas(fit, f"candidate int, outer_fold int, {key} {kind}, y int, score double, inner boolean")
+    placed = nested.select(key, "outer_fold", "inner_fold").unionByName(own.select(key, "outer_fold", F.lit(None).cast("int").alias("inner_fold")))
+    sets = sorted((tuple(r) for r in placed.select("outer_fold", "inner_fold").distinct().collect()), key=lambda s: (s[0], -1 if s[1] is None else s[1]))
+    asked = [(r["candidate"], from_text(r["params"])) for r in candidates.select("candidate", "params").orderBy("candidate").collect()]
+    rows = in_sets(table, placed, key, vector, y, sets)
+    found = fits.fitted(rows, len(sets), lambda s, n: [p for _, p in asked])
+    named = [(k, at, c, o, i is not None) for k, (o, i) in enumerate(sets) for at, (c, _) in enumerate(asked)]
+    names = table.sparkSession.createDataFrame(named, "set int, position int, candidate int, outer_fold int, inner boolean")
+    return fits.scored(rows, found, key, "test").join(names, ["set", "position"]).select("candidate", "outer_fold", key, "y", "score", "inner")
 
 
 def meta_scores(candidates: DataFrame, key: str, least: float = 0.001) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import kept
+from . import fits
 from . import learning as L
 from .metrics import auc_ap, binary_metrics
 from .ordered import ecdf
@@ -22,35 +21,26 @@ MODEL = "candidate int, params string, median array<double>, kept array<int>, me
 def out_of_fold(table: DataFrame, folds: DataFrame, candidates: DataFrame, key: str, vector: str, y: str) -> DataFrame:
     """(candidate, key, y, score) in which every row is scored by a model that hasn't seen it.
 
-    folds: key and fold. candidates: candidate and params. Raises if a row misses a score.
+    folds: key and fold. candidates: candidate and params.
     """
-    chosen = folds.select("fold").distinct().crossJoin(candidates)
-    parts = []
-    for row in candidates.select("candidate").distinct().orderBy("candidate").collect():
-        own = chosen.filter(F.col("candidate") == row["candidate"]).select(F.col("fold").alias("outer_fold"), "params")
-        made = L.outer_scores(table, folds.select(key, F.col("fold").alias("outer_fold")), own, key, vector, y).filter("not inner")
-        parts.append(made.select(F.lit(row["candidate"]).alias("candidate"), key, "y", "score"))
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole
+    own = folds.select(key, F.col("fold").alias("outer_fold"))
+    asked = own.select("outer_fold").distinct().crossJoin(F.broadcast(candidates.select("candidate", "params")))
+    return L.fold_scores(table, own, asked, key, vector, y).filter("not inner").select("candidate", key, "y", "score")
 
 
 def fit_all(table: DataFrame, candidates: DataFrame, vector: str, y: str) -> DataFrame:
     """One row a candidate: its chain fitted to all of the table, as numbers that ``apply_models`` reads."""
-
-    def fit(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        params = json.loads(keys[1])
-        params["model"] = tuple(params["model"])
-        chain = L.Chain(np.stack(pdf["_x"].to_numpy()).astype(float), pdf["_y"].to_numpy().astype(int), params)
-        rotation = chain.rotation
-        return pd.DataFrame({
-            "candidate": [keys[0]], "params": [keys[1]], "median": [chain.prep.median], "kept": [chain.prep.kept.astype(np.int32)], "mean": [chain.prep.mean], "std": [chain.prep.std],
-            "chosen": [chain.chosen.astype(np.int32)], "origin": [rotation.mean], "axes": [None if rotation.axes is None else [list(a) for a in rotation.axes.T]], "weights": [chain.w],
-        })
-
-    rows = table.select(F.col(vector).alias("_x"), F.col(y).alias("_y")).crossJoin(candidates.select("candidate", "params"))
-    return rows.groupBy("candidate", "params").applyInPandas(fit, MODEL)
+    rows = kept(table.select(F.col(vector).cast("array<double>").alias("_x"), F.col(y).cast("int").alias("_y"), F.array(F.lit(0)).alias("train")), "whole")
+    asked = [(r["candidate"], r["params"]) for r in candidates.select("candidate", "params").orderBy("candidate").collect()]
+    found = fits.fitted(rows, 1, lambda s, n: [L.from_text(p) for _, p in asked])
+    if not found:
+        raise ValueError("a model needs rows of both classes")
+    told = []
+    for (number, params), f in zip(asked, found[0], strict=True):
+        axes = None if f.rotation.axes is None else f.rotation.axes.T.tolist()
+        prep = f.prep
+        told.append((number, params, prep.median.tolist(), prep.kept.tolist(), prep.mean.tolist(), prep.std.tolist(), f.rotation.chosen.tolist(), [0.0] * len(f.rotation.chosen), axes, f.w.tolist()))
+    return table.sparkSession.createDataFrame(told, MODEL)
 
 
 def apply_models(models: DataFrame, table: DataFrame, key: str, vector: str) -> DataFrame:

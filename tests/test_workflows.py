@@ -7,6 +7,7 @@ from gridloom.operators import cases, learning, workflows
 from gridloom.plans import learning as plans
 from gridloom.plans.catalogue import QUERIES
 from gridloom.plans.registry import Tables
+from test_fits import Chain
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -27,7 +28,7 @@ def test_stored_models_score_as_the_chain_does(spark):
     models = workflows.fit_all(table, workflows.candidates_of(spark, PARAMS), "x", "y")
     got = workflows.apply_models(models, table, "case_id", "x").toPandas()
     for k, p in enumerate(PARAMS):
-        want = learning.Chain(x, y, p)(x)
+        want = Chain(x, y, p)(x)
         assert np.allclose(got[got["candidate"] == k].sort_values("case_id")["score"], want)
 
 
@@ -38,7 +39,7 @@ def test_out_of_fold_scores_cover_every_row_once(spark):
     assert len(oof) == 2 * len(y) and oof.groupby("candidate")["case_id"].nunique().eq(len(y)).all()
     part = oof[(oof["candidate"] == 0) & (oof["case_id"] % 4 == 1)].sort_values("case_id")
     test = np.arange(len(y)) % 4 == 1
-    assert np.allclose(part["score"], learning.Chain(x[~test], y[~test], PARAMS[0])(x[test]))
+    assert np.allclose(part["score"], Chain(x[~test], y[~test], PARAMS[0])(x[test]))
 
 
 def test_selection_prefers_complete_candidates(spark):
