@@ -44,31 +44,6 @@ def training_choice(patches: DataFrame, seed: int, most: int = 20, ratio: int =
     return positive.withColumn("patch_source", F.lit("positive")).unionByName(chosen.drop("_want", "_z", "_n", "_r").withColumn("patch_source", F.lit("negative")))
 
 
-def zone_continuity(heat: DataFrame, least: float, grid: DataFrame, spacing: float = 1.0) -> DataFrame:
-    """Per case the hot cells, those after closing and filling and how many more these are, the largest component's cells,
-    volume, layers, mean, largest and 90th percentile value, and the share of the case's cells that are filled.
-
-    heat: case, y, x, v; grid: the case's cells, which nothing leaves. A case without hot cells has zeros.
-    """
-    inside = grid.select("case", "y", "x")
-    raw = heat.filter(F.col("v") >= least).join(inside, ["case", "y", "x"], "left_semi")
-    closed = grids.closed(raw.select("case", "y", "x")).join(inside, ["case", "y", "x"], "left_semi")
-    filled = grids.holes_filled(closed, inside).join(heat, ["case", "y", "x"])
-    table = grids.component_table(grids.components(filled))
-    best = table.withColumn("_n", F.row_number().over(Window.partitionBy("case").orderBy(F.desc("voxels"), "label"))).filter("_n = 1")
-    counts = lambda df, name: df.groupBy("case").agg(F.count(F.lit(1)).alias(name))
-    made = grid.select("case").distinct().join(counts(raw, "raw"), "case", "left").join(counts(filled, "filled"), "case", "left")
-    made = made.join(counts(inside, "_cells"), "case")
-    told = [F.col("voxels").alias("largest"), (F.col("voxels") * spacing).alias("largest_mm3"), F.col("layers").alias("largest_layers"), F.col("mean").alias("largest_mean"), F.col("max").alias("largest_max"), F.col("p90").alias("largest_p90")]
-    made = made.join(best.select("case", *told), "case", "left").na.fill(0)
-    return made.withColumn("gap", F.greatest(F.col("filled") - F.col("raw"), F.lit(0))).withColumn("density", F.col("filled") / F.col("_cells")).drop("_cells")
-
-
-def overlays(heat: DataFrame, levels: Sequence[float]) -> DataFrame:
-    """0/1 marks of each cell at several thresholds, named by them."""
-    return heat.select("case", "y", "x", *((F.col("v") >= t).cast("int").alias(f"ge_{t:.2f}".replace(".", "_")) for t in levels))
-
-
 def summary_row(tables: dict[str, DataFrame]) -> DataFrame:
     """One wide row a case from tables keyed by case, columns prefixed by the table's name; cases of any table are in."""
     made = None

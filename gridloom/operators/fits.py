@@ -352,6 +352,31 @@ def discriminant(rotation: Rotation, sizes: tuple[int, int], shrink: float | Non
     return np.append(w, np.log(max(1, sizes[1]) / max(1, sizes[0])) - (m1 + m0) @ w / 2)
 
 
+def whole_discriminant(df: DataFrame, vector: str, y: str, shrink: float | None = None) -> np.ndarray:
+    """Linear discriminant weights of a table's features as they are, the intercept last, from two passes of sums; rows lack no feature."""
+    rows = kept(df.select(F.col(vector).cast("array<double>").alias("_x"), F.col(y).cast("int").alias("_y"), F.array(F.lit(0)).alias("train")), "whole")
+
+    def partial(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+        x, label = features_of(pdf), pdf["_y"].to_numpy()
+        for k in (0, 1):
+            own = x[label == k]
+            if len(own):
+                a = np.hstack([own, np.ones((len(own), 1))])
+                yield k, (a.T @ a).ravel()
+
+    grams = {r["label"]: np.array(r["gram"]) for r in summed(rows, partial, lambda k, total: (k, total), "label int, gram array<double>").collect()}
+    if set(grams) != {0, 1}:
+        raise ValueError("a discriminant needs rows of both classes")
+    both = [g.reshape(int(np.sqrt(len(g))), -1) for _, g in sorted(grams.items())]
+    d, sizes = len(both[0]) - 1, tuple(int(round(g[-1, -1])) for g in both)
+    means = np.stack([g[-1, :-1] / g[-1, -1] for g in both])
+    within = sum(g[:-1, :-1] - np.outer(m, m) * g[-1, -1] for g, m in zip(both, means, strict=True)) / sum(sizes)
+    as_they_are = Prepared(np.zeros(d), np.arange(d), np.zeros(d), np.ones(d), sizes)
+    rotation = Rotation(np.arange(d), None, means, within)
+    fourth = fourth_norms(rows, 1, {0: as_they_are}, {0: {"all": rotation}})[0, "all"] if shrink is None else None
+    return discriminant(rotation, sizes, shrink, fourth)
+
+
 @dataclass
 class Fitted:
     """A candidate fitted to a set: preparation, rotation and the model's weights."""

@@ -157,32 +157,46 @@ def average_heatmap(patches: DataFrame, grid: DataFrame, radius: int, score: str
     return grid.select("case", "y", "x").join(mean, ["case", "y", "x"], "left").na.fill(0.0, ["heat"])
 
 
+def component_numbers(at: np.ndarray, full: bool) -> np.ndarray:
+    """The number from 1 of each cell's component, in order of the components' first cells; cells are rows of coordinates in that order.
+
+    full: cells that touch at a corner are joined; otherwise faces alone join.
+    """
+    steps = [s for s in product((-1, 0, 1), repeat=at.shape[1]) if s > (0,) * at.shape[1] and (full or sum(map(abs, s)) == 1)]
+    # A cell's place in a box with a free border, so that no step leaves it.
+    box = at.max(axis=0) - at.min(axis=0) + 3
+    scale = np.append(np.cumprod(box[:0:-1])[::-1], 1)
+    key = (at - at.min(axis=0) + 1) @ scale
+    root, order = np.arange(len(at)), np.argsort(key, kind="stable")
+    ordered = key[order]
+    pairs = []
+    for s in steps:
+        k = np.minimum(np.searchsorted(ordered, key + np.array(s) @ scale), len(at) - 1)
+        met = ordered[k] == key + np.array(s) @ scale
+        pairs.append((np.flatnonzero(met), order[k[met]]))
+    a, b = (np.concatenate(p) for p in zip(*pairs, strict=True))
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        root = root[root]
+        if np.array_equal(before, root):
+            break
+    return np.unique(root, return_inverse=True)[1].astype(np.int32) + 1
+
+
 def components(df: DataFrame, axes: Sequence[str] = ("y", "x"), full: bool = True) -> DataFrame:
     """df's cells with ``label``: from 1 in each case, in order of each component's first cell.
 
     full: cells that touch at a corner are joined; otherwise faces alone join. A case's
-    cells are labelled in one task by union of neighbouring keys.
+    cells, part of one volume, are labelled in one task.
     """
-    steps = [s for s in product((-1, 0, 1), repeat=len(axes)) if s > (0,) * len(axes) and (full or sum(map(abs, s)) == 1)]
     schema = df.withColumn("label", F.lit(1)).schema
 
     def mark(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(list(axes), kind="stable").reset_index(drop=True)
-        places = [tuple(p) for p in rows[list(axes)].to_numpy().tolist()]
-        where = {p: k for k, p in enumerate(places)}
-        root = np.arange(len(places))
-        links = [(k, where[n]) for k, p in enumerate(places) for s in steps if (n := tuple(a + b for a, b in zip(p, s, strict=True))) in where]
-        if links:
-            a, b = np.array(links).T
-            while True:
-                low = np.minimum(root[a], root[b])
-                before = root.copy()
-                np.minimum.at(root, root[a], low)
-                np.minimum.at(root, root[b], low)
-                root = root[root]
-                if np.array_equal(before, root):
-                    break
-        return rows.assign(label=np.unique(root, return_inverse=True)[1].astype(np.int32) + 1)
+        return rows.assign(label=component_numbers(rows[list(axes)].to_numpy(), full))
 
     return df.groupBy("case").applyInPandas(mark, schema)
 
@@ -195,34 +209,6 @@ def component_table(labelled: DataFrame, volume: float = 1.0, layer: str = "y",
     )
 
 
-def dilated(mask: DataFrame, radius: int = 1, inside: DataFrame | None = None) -> DataFrame:
-    """Cells within a square of the mask's cells, and in ``inside`` if given."""
-    span = lambda a: F.explode(F.sequence(F.col(a) - radius, F.col(a) + radius)).alias(a)
-    grown = mask.select("case", span("y"), "x").select("case", "y", span("x")).distinct()
-    return grown if inside is None else grown.join(inside.select("case", "y", "x"), ["case", "y", "x"], "left_semi")
-
-
-def eroded(mask: DataFrame, radius: int = 1) -> DataFrame:
-    """Cells whose whole square lies in the mask."""
-    span = lambda a: F.explode(F.sequence(F.col(a) - radius, F.col(a) + radius)).alias(a)
-    votes = mask.select("case", span("y"), "x").select("case", "y", span("x")).groupBy("case", "y", "x").agg(F.count(F.lit(1)).alias("_n"))
-    return votes.filter(F.col("_n") == (2 * radius + 1) ** 2).select("case", "y", "x")
-
-
-def closed(mask: DataFrame, radius: int = 1) -> DataFrame:
-    return eroded(dilated(mask, radius), radius)
-
-
-def holes_filled(mask: DataFrame, grid: DataFrame) -> DataFrame:
-    """The mask with the background that doesn't reach the grid's border by faces."""
-    background = grid.select("case", "y", "x").join(mask.select("case", "y", "x"), ["case", "y", "x"], "left_anti")
-    labelled = components(background, full=False)
-    edge = grid.groupBy("case").agg(*(f(a).alias(f"{n}{a}") for a in ("y", "x") for n, f in (("lo", F.min), ("hi", F.max))))
-    at_edge = F.expr("y = loy or y = hiy or x = lox or x = hix")
-    open_ = labelled.join(edge, "case").filter(at_edge).select("case", "label").distinct()
-    return mask.select("case", "y", "x").unionByName(labelled.join(open_, ["case", "label"], "left_anti").select("case", "y", "x"))
-
-
 def layer_supported(hot: DataFrame, layer: str = "z", radius: int = 1) -> DataFrame:
     """Hot cells with a hot cell within the radius in the layer before or after."""
     span = lambda a: F.explode(F.sequence(F.col(a) - radius, F.col(a) + radius)).alias(a)
@@ -230,14 +216,6 @@ def layer_supported(hot: DataFrame, layer: str = "z", radius: int = 1) -> DataFr
     return hot.join(reach, ["case", layer, "y", "x"], "left_semi")
 
 
-def smoothed(df: DataFrame, sigma: float, radius: int = 2) -> DataFrame:
-    """A Gaussian mean over the cells that exist, from 0 to 1: weights outside the grid count for nothing."""
-    taps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(float(np.exp(-(a * a + b * b) / (2 * sigma * sigma)))).alias("g")) for a, b in product(range(-radius, radius + 1), repeat=2)))
-    sent = df.select("case", "y", "x", "v", F.explode(taps).alias("t")).select("case", (F.col("y") + F.col("t.a")).alias("y"), (F.col("x") + F.col("t.b")).alias("x"), F.col("t.g").alias("g"), F.col("v").alias("w"))
-    mean = sent.groupBy("case", "y", "x").agg((F.sum(F.col("g") * F.col("w")) / F.sum("g")).alias("s"))
-    return df.select("case", "y", "x").join(mean, ["case", "y", "x"]).select("case", "y", "x", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "s")).alias("v"))
-
-
 def centred_crop(df: DataFrame, centre: DataFrame, height: int, width: int) -> DataFrame:
     """A height by width window about each case's centre (cy, cx), 0 where there are no cells."""
     spark = df.sparkSession

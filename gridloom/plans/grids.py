@@ -125,35 +125,12 @@ def component_table(t: Tables) -> DataFrame:
     return rounded(grids.component_table(grids.components(hot(t)), 0.75, "y", 3.0))
 
 
-@query("g20_dilation", f"with {HOT} select distinct a.c as \"case\", a.y, a.x from cells a join hot h on h.c = a.c and abs(h.y - a.y) <= 1 and abs(h.x - a.x) <= 1")
-def dilation(t: Tables) -> DataFrame:
-    return grids.dilated(hot(t), 1, images(t))
-
-
-@query("g20_closing", f"""with {HOT}, d as (select distinct h.c, (h.y + p.i)::int y, (h.x + q.j)::int x from hot h, range(-1, 2) p(i), range(-1, 2) q(j)), v as (select d.c, (d.y + p.i)::int y, (d.x + q.j)::int x from d, range(-1, 2) p(i), range(-1, 2) q(j))
-  select c as "case", y, x from v group by all having count(*) = 9""")
-def closing(t: Tables) -> DataFrame:
-    return grids.closed(hot(t), 1)
-
-
-@query("g20_hole_fill", f"""with recursive {CELLS}, bg as (select * from cells where v <= 0), o(c, y, x) as (select c, y, x from bg where y in (0, 7) or x in (0, 7) union select b.c, b.y, b.x from o join bg b on b.c = o.c and abs(b.y - o.y) + abs(b.x - o.x) = 1)
-  select c as "case", y, x from cells where (c, y, x) not in (select c, y, x from o)""")
-def hole_fill(t: Tables) -> DataFrame:
-    return grids.holes_filled(hot(t, 0.0), images(t))
-
-
 @query("w11_layer_support", f"""with {HOT}, z as (select c // 4 k, (c % 4)::int z, y, x from hot) select distinct a.k as "case", a.z, a.y, a.x from z a join z b on b.k = a.k and abs(b.z - a.z) = 1 and abs(b.y - a.y) <= 1 and abs(b.x - a.x) <= 1""")
 def layer_support(t: Tables) -> DataFrame:
     stack = hot(t).select(F.floor(F.col("case") / 4).cast("long").alias("case"), (F.col("case") % 4).cast("int").alias("z"), "y", "x")
     return grids.layer_supported(stack)
 
 
-@query("g18_smoothing", f"""with {CELLS}, s as (select a.c, a.y, a.x, sum(exp(-(pow(b.y - a.y, 2) + pow(b.x - a.x, 2)) / 2) * b.v) / sum(exp(-(pow(b.y - a.y, 2) + pow(b.x - a.x, 2)) / 2)) s from cells a join cells b on b.c = a.c and abs(b.y - a.y) <= 2 and abs(b.x - a.x) <= 2 group by all)
-  select c as "case", y, x, round(greatest(0, least(1, s)), 6) v from s""")
-def smoothing(t: Tables) -> DataFrame:
-    return rounded(grids.smoothed(images(t), 1.0))
-
-
 @query("g06_core_ring", f"""with {CELLS}, m as (select c, avg(v) filter (y between 2 and 4 and x between 2 and 4) a, avg(v) filter (not (y between 2 and 4 and x between 2 and 4)) b, stddev_pop(v) filter (y between 2 and 4 and x between 2 and 4) s,
   stddev_pop(v) filter (not (y between 2 and 4 and x between 2 and 4)) r from cells where y between 1 and 5 and x between 1 and 5 group by 1)
   select c as "case", round(a, 6) core_mean, round(b, 6) ring_mean, round(a - b, 6) diff_mean, round(s, 6) core_std, round(r, 6) ring_std, round(s / (r + 1e-12), 6) ratio_std from m""")
@@ -188,15 +165,3 @@ def overlap_labels(t: Tables) -> DataFrame:
     zone = F.when(F.col("x") < 5, "PZ").otherwise("TZ")
     placed = images(t).withColumn("py", F.floor(F.col("y") / 4).cast("int")).withColumn("px", F.floor(F.col("x") / 4).cast("int"))
     return grids.overlap_labels(placed, F.col("v") > 0, zone, ["case", "py", "px"])
-
-
-@query("g22_dominant_cluster", f"""with recursive {REACH}, k as (select c, root, count(*)::double n, avg(v) m, max(v) x from lab join hot using (c, y, x) group by 1, 2),
-  s as (select *, 0.6 * m + 0.3 * x + 0.1 * n / 64 s from k), r as (select *, row_number() over (partition by c order by s desc, root) r from s)
-  select c as "case", round(max(s) filter (r = 1), 6) best, round(coalesce(max(s) filter (r = 2), 0), 6) runner_up, count(*)::bigint clusters, round(max(s) filter (r = 1) / greatest(sum(s) filter (r <= 3), 1e-12), 6) concentration from r group by 1""")
-def dominant_cluster(t: Tables) -> DataFrame:
-    k = grids.components(hot(t)).groupBy("case", "label").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("v").alias("m"), F.max("v").alias("x"))
-    s = k.withColumn("s", 0.6 * F.col("m") + 0.3 * F.col("x") + 0.1 * F.col("n") / 64)
-    r = s.withColumn("r", F.row_number().over(Window.partitionBy("case").orderBy(F.desc("s"), "label")))
-    at = lambda n: F.coalesce(F.max(F.when(F.col("r") == n, F.col("s"))), F.lit(0.0))
-    top3 = F.sum(F.when(F.col("r") <= 3, F.col("s")))
-    return rounded(r.groupBy("case").agg(at(1).alias("best"), at(2).alias("runner_up"), F.count(F.lit(1)).alias("clusters"), (at(1) / F.greatest(top3, F.lit(1e-12))).alias("concentration")))

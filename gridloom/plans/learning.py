@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import models
+from ..operators import fits
 from ..operators import learning as L
 from ..operators import workflows
 from ..operators.metrics import binary_metrics
@@ -48,6 +49,24 @@ def linear_models(t: Tables) -> DataFrame:
     return table(t).select("case_id", "y", L.linear_score(F.col("x"), L.logistic(table(t), "x", "y", 1.0, False)).alias("score"))
 
 
+@query("l04_discriminant")
+def discriminant(t: Tables) -> DataFrame:
+    """Scores of a linear discriminant with optimal shrinkage, fitted from summed moments and worked out inside the JVM."""
+    return table(t).select("case_id", "y", F.round(L.linear_score(F.col("x"), fits.whole_discriminant(table(t), "x", "y")), 6).alias("score"))
+
+
+@query("l04_discriminant_two_features", """with d as (select vec_id case_id, embedding[1]::double a, embedding[2]::double b, label % 2 y from embeddings),
+  m as (select avg(a) filter (y = 0) a0, avg(b) filter (y = 0) b0, avg(a) filter (y = 1) a1, avg(b) filter (y = 1) b1, count(*) filter (y = 1) n1, count(*) filter (y = 0) n0 from d),
+  r as (select avg(pow(a - case when y = 1 then a1 else a0 end, 2)) saa, avg(pow(b - case when y = 1 then b1 else b0 end, 2)) sbb,
+    avg((a - case when y = 1 then a1 else a0 end) * (b - case when y = 1 then b1 else b0 end)) * 0.8 sab from d, m),
+  w as (select *, (sbb * (a1 - a0) - sab * (b1 - b0)) / (saa * sbb - sab * sab) wa, (saa * (b1 - b0) - sab * (a1 - a0)) / (saa * sbb - sab * sab) wb from m, r)
+  select case_id, round(1 / (1 + exp(-(wa * a + wb * b + ln(n1::double / n0) - (wa * (a0 + a1) + wb * (b0 + b1)) / 2))), 6) score from d, w""")
+def two_features(t: Tables) -> DataFrame:
+    """With two features and a shrinkage of a fifth, which SQL can express: correlations weigh four fifths."""
+    two = table(t, 2)
+    return two.select("case_id", F.round(L.linear_score(F.col("x"), fits.whole_discriminant(two, "x", "y", 0.2)), 6).alias("score"))
+
+
 @query("l07_inner_search")
 def inner_search(t: Tables) -> DataFrame:
     splits = nested_folds(table(t), "case_id", ["y"], 4, 4, 42).select("case_id", "outer_fold", "inner_fold")

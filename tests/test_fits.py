@@ -151,3 +151,12 @@ def test_inner_search_gives_each_folds_areas(spark):
         train = np.array([k for k, o, i in splits if o == r["outer_fold"] and i != r["inner_fold"]])
         score = Chain(x[train], y[train], L.from_text(r["params"]))(x[held])
         assert r["auc"] == pytest.approx(models.auc(y[held], score), abs=2e-3) and r["ap"] == pytest.approx(models.average_precision(y[held], score), abs=5e-3)
+
+
+@pytest.mark.parametrize("shrink", [None, 0.0, 0.3])
+def test_discriminants_of_a_table(spark, shrink):
+    x, y = data(seed=6)
+    x = np.nan_to_num(x)
+    assert np.allclose(fits.whole_discriminant(table(spark, x, y), "x", "y", shrink), models.discriminant(x, y, shrink))
+    with pytest.raises(ValueError, match="both classes"):
+        fits.whole_discriminant(table(spark, x[:9], np.zeros(9, int)), "x", "y")

@@ -109,7 +109,7 @@ def test_one_class_has_no_other_rate(spark):
 
 
 def test_summaries_leave_infinities_out(spark):
-    from gridloom.plans.aggregates import score_summary
+    from gridloom.operators.summaries import score_summary
 
     df = spark.createDataFrame([("a", 0.2), ("a", float("inf")), ("a", float("nan")), ("a", None), ("a", 0.6), ("b", float("-inf"))], "g string, s double")
     got = {r["g"]: r for r in score_summary(df, "g", "s", 0.5).collect()}
@@ -139,15 +139,3 @@ def test_a_failed_publish_keeps_the_old_table(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
     tables.publish(spark.read.parquet(path).filter("id > 0"), path)
     assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [1, 2]
-
-
-def test_zone_continuity_counts_what_closing_fills(spark):
-    from gridloom.operators import cases
-
-    cells = [("a", y, x, 0.9 if (y, x) in {(2, 2), (2, 4)} else 0.3 if (y, x) == (2, 3) else 0.0) for y in range(6) for x in range(7)] + [("b", 0, 0, 0.0)]
-    heat = spark.createDataFrame(cells, "case string, y int, x int, v double")
-    got = {r["case"]: r for r in cases.zone_continuity(heat, 0.5, heat, 0.75).collect()}
-    a, b = got["a"], got["b"]
-    assert (a["raw"], a["filled"], a["gap"], a["largest"], a["largest_mm3"], a["largest_layers"]) == (2, 3, 1, 3, 2.25, 1)
-    assert a["largest_mean"] == pytest.approx(0.7) and a["largest_p90"] == pytest.approx(0.9) and a["density"] == pytest.approx(3 / 42)
-    assert b["raw"] == 0 and b["density"] == 0
