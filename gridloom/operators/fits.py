@@ -104,8 +104,8 @@ def value_counts(rows: DataFrame) -> DataFrame:
     return filled.groupBy("set", "feature", "median").agg(F.max("n").alias("commonest"), F.sum("n").alias("rows"))
 
 
-def prepared(rows: DataFrame, sets: int, quasi: float = 0.95, correlated: float = 0.95) -> tuple[dict[int, Prepared], DataFrame]:
-    """(each set's preparation, a kept table of its z-scored features' Gram matrix by class); sets with one class are out."""
+def prepared(rows: DataFrame, sets: int, quasi: float = 0.95, correlated: float = 0.95, both: bool = True) -> tuple[dict[int, Prepared], DataFrame]:
+    """(each set's preparation, a kept table of its z-scored features' Gram matrix by class); sets with one class are out, unless not ``both`` are needed."""
     told: dict[int, list] = {}
     for r in value_counts(rows).collect():
         told.setdefault(r["set"], []).append((r["feature"], r["median"], r["commonest"] / r["rows"]))
@@ -125,7 +125,7 @@ def prepared(rows: DataFrame, sets: int, quasi: float = 0.95, correlated: float
     def finish(s: int, total: np.ndarray) -> tuple:
         grams = total.reshape(2, len(medians[s]) + 1, -1)
         n0, n1 = (int(round(g[-1, -1])) for g in grams)
-        if not n0 or not n1:
+        if both and not (n0 and n1):
             return s, [], [], [], n0, n1, [], []
         whole, n = grams.sum(axis=0), n0 + n1
         mean = whole[-1, :-1] / n
@@ -147,7 +147,7 @@ def prepared(rows: DataFrame, sets: int, quasi: float = 0.95, correlated: float
 
     schema = "set int, kept array<int>, mean array<double>, std array<double>, n0 long, n1 long, gram0 array<double>, gram1 array<double>"
     table = kept(summed(rows, partial, finish, schema), "grams")
-    found = table.filter("n0 > 0 and n1 > 0").select("set", "kept", "mean", "std", "n0", "n1").collect()
+    found = table.filter("n0 > 0 and n1 > 0" if both else "n0 + n1 > 0").select("set", "kept", "mean", "std", "n0", "n1").collect()
     return {r["set"]: Prepared(medians[r["set"]], np.array(r["kept"], int), np.array(r["mean"]), np.array(r["std"]), (r["n0"], r["n1"])) for r in found}, table
 
 

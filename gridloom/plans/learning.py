@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import models
-from ..operators import fits
+from ..operators import estimators, fits
 from ..operators import learning as L
 from ..operators import workflows
 from ..operators.metrics import binary_metrics
 from ..operators.sampling import capped, draw, folds, nested_folds
+from ..session import shared_path
 from .aggregates import rounded
 from .registry import Tables, query
 
@@ -67,6 +69,15 @@ def two_features(t: Tables) -> DataFrame:
     return two.select("case_id", F.round(L.linear_score(F.col("x"), fits.whole_discriminant(two, "x", "y", 0.2)), 6).alias("score"))
 
 
+@query("l01_pipeline")
+def pipeline_scores(t: Tables) -> DataFrame:
+    """Preparation and discriminant as stages of a pipeline, saved and loaded before they score."""
+    path = shared_path(t.spark, "pipeline")
+    stages = [estimators.Preparer(inputCol="x"), estimators.Discriminant(labelCol="y")]
+    Pipeline(stages=stages).fit(table(t)).write().overwrite().save(path)
+    return PipelineModel.load(path).transform(table(t)).select("case_id", "y", F.round("score", 6).alias("score"))
+
+
 @query("l07_inner_search")
 def inner_search(t: Tables) -> DataFrame:
     splits = nested_folds(table(t), "case_id", ["y"], 4, 4, 42).select("case_id", "outer_fold", "inner_fold")

@@ -160,3 +160,25 @@ def test_discriminants_of_a_table(spark, shrink):
     assert np.allclose(fits.whole_discriminant(table(spark, x, y), "x", "y", shrink), models.discriminant(x, y, shrink))
     with pytest.raises(ValueError, match="both classes"):
         fits.whole_discriminant(table(spark, x[:9], np.zeros(9, int)), "x", "y")
+
+
+def test_stages_of_a_pipeline_are_saved_and_loaded(spark, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from gridloom.operators import estimators
+
+    x, y = data(seed=12)
+    df = table(spark, x, y)
+    prep = models.Preparation(x)
+    last = {"lda": estimators.Discriminant(labelCol="y", shrinkage=0.2), "auto": estimators.Discriminant(labelCol="y"), "lr": estimators.RidgeLogistic(labelCol="y", c=0.5, outputCol="p")}
+    want = {"lda": models.discriminant(prep(x), y, 0.2), "auto": models.discriminant(prep(x), y), "lr": models.logistic_l2(prep(x), y, 0.5)}
+    for name, stage in last.items():
+        pipeline = Pipeline(stages=[estimators.Preparer(inputCol="x"), stage])
+        pipeline.save(f"{tmp_path}/{name}-pipeline")
+        Pipeline.load(f"{tmp_path}/{name}-pipeline").fit(df).save(f"{tmp_path}/{name}")
+        out = "p" if name == "lr" else "score"
+        got = {r["id"]: r[out] for r in PipelineModel.load(f"{tmp_path}/{name}").transform(df).collect()}
+        w = want[name]
+        assert np.allclose([got[k] for k in range(len(x))], models.sigmoid(prep(x) @ w[:-1] + w[-1]), atol=1e-4), name
+    with pytest.raises(ValueError, match="needs rows"):
+        estimators.Preparer(inputCol="x").fit(df.limit(0))
