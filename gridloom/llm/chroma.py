@@ -8,20 +8,25 @@ and all filters at a place one 32-bit integer. Two recordings are aligned at the
 offset at which most of their integers agree (run starts alone vote, so held
 notes and silence don't multiply), and matched by the share of differing bits.
 
-Recordings with equal fingerprints are one from the start. Those that share a pair
+Recordings with equal fingerprints are one node from the start. Those that share a pair
 of neighbouring integers are first compared with their bucket's leader. Then all
 that share one integer at run starts and are still in different groups are
 compared inside tasks. An alignment needs such an integer at its own offset, so
-none is missed: first the bits at that offset are counted, then the two aligned.
-
-Cases: null bytes, what is no PCM WAV, and sound shorter than a filter have no
-fingerprint and match nothing; rows with the same id are one recording; an empty
-table gives no rows.
+none is missed: first the bits at that offset are counted, then the two aligned,
+the smaller print first.
+
+Cases: null bytes, what is no PCM WAV (whatever its header says), sound slower than
+``SLOWEST`` samples a second or shorter than a filter has no fingerprint and matches
+nothing, and its group is its own id; so is that of a recording without an id. Ids may be
+of any type with an order. Rows with the same id are one recording and in one group, each
+with its own length. Very long recordings are read whole, in one task each, and compared
+in blocks of bounded bytes. Other columns aren't read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import io
+import struct
 import wave
 from collections.abc import Iterator
 
@@ -32,12 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import gathered, ready, settled, stored
+from .common import gathered, joined, ready, settled, stored
 from .graph import components
-from .neardup import BLOCK, BLOCK_BYTES, in_blocks, open_groups
+from .neardup import BLOCK, BLOCK_BYTES, beside_leaders, in_blocks, open_groups
 
 RATE, FRAME, HOP = 4000, 2048, 256
 LOWEST, HIGHEST = 55.0, 1760.0
+#: Samples a second that a recording has at least, so resampling multiplies its samples by four at most.
+SLOWEST = 1000
 SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
 STEPS = (-0.08, 0.0, 0.08)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
@@ -47,13 +54,16 @@ LONGEST = max(w for *_, w in FILTERS)
 
 
 def samples(audio: bytes | None) -> np.ndarray | None:
-    """A PCM WAV's sound as numbers from -1 to 1 at ``RATE``, channels averaged."""
+    """A PCM WAV's sound as numbers from -1 to 1 at ``RATE``, channels averaged; None for what isn't one."""
     if not audio:
         return None
     try:
         with wave.open(io.BytesIO(audio)) as w:
             channels, width, rate, raw = w.getnchannels(), w.getsampwidth(), w.getframerate(), w.readframes(w.getnframes())
-    except (wave.Error, EOFError):
+    except (wave.Error, EOFError, ValueError, OverflowError, RuntimeError, struct.error):
+        return None
+    # A header may say anything; below SLOWEST a few bytes would stand for hours of sound.
+    if width not in (1, 2, 3, 4) or channels < 1 or rate < SLOWEST:
         return None
     if width == 3:
         wide = np.zeros((len(raw) // 3, 4), np.uint8)
@@ -159,6 +169,12 @@ def matches(a: np.ndarray, b: np.ndarray, most: float) -> tuple[int, float, int]
     return found if found and found[1] <= most and 2 * found[2] >= min(len(a), len(b)) else None
 
 
+def linked(a: np.ndarray, b: np.ndarray, most: float) -> bool:
+    """Whether two recordings match, the smaller print first, so that the answer doesn't depend on their order."""
+    first, second = sorted((a, b), key=lambda f: f.tobytes())
+    return matches(first, second, most) is not None
+
+
 def integers(f: np.ndarray) -> np.ndarray:
     """The distinct integers at run starts, without which nothing aligns."""
     return np.unique(f[runs(f)]).astype(np.int64)
@@ -214,64 +230,67 @@ def agreeing_any(prints: list[np.ndarray], left: np.ndarray, right: np.ndarray,
 
 
 def fingerprints(media: DataFrame, id_col: str, audio: str) -> DataFrame:
-    """(id, print, keys): packed integers and candidate keys; both empty without a fingerprint."""
+    """(id, print, keys, mark): packed integers, candidate keys, and a 128-bit name of the print, null without a fingerprint."""
     ready(media.sparkSession)
-    schema = T.StructType([T.StructField("id", media.schema[id_col].dataType), T.StructField("print", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([
+        T.StructField("id", media.schema[id_col].dataType), T.StructField("print", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("mark", T.StringType()),
+    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [fingerprint(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.tobytes() for f in made], pa.binary()), pa.array([keys(f) for f in made], pa.list_(pa.int64()))], names=schema.names)
+            packed = [f.tobytes() for f in made]
+            marks = [xxhash.xxh3_128_hexdigest(p) if p else None for p in packed]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array([keys(f) for f in made], pa.list_(pa.int64())), pa.array(marks, pa.string())], names=schema.names)
 
     return media.select(id_col, audio).mapInArrow(run, schema)
 
 
-def group(media: DataFrame, *, id_col: str = "rec_id", audio: str = "audio", most: float = 0.15) -> DataFrame:
-    """One row a recording: id, ``n_frames``, ``group_id`` (the smallest id reached by matches), and the ``offset`` in frames
-    and ``bit_error`` of its alignment with that recording, null where the two don't align by themselves."""
-    spark = media.sparkSession
-    made = stored(fingerprints(media, id_col, audio), "prints")
-    kind = made.schema["id"].dataType
-    copies = made.filter(F.octet_length("print") > 0).groupBy("print").agg(F.min("id").alias("rep"))
-    members = stored(made.join(copies, "print", "left").withColumn("rep", F.coalesce("rep", "id")), "recordings")
-    heads = members.filter("id = rep").filter(F.octet_length("print") > 0)
-    prints = heads.select("id", "print").dropDuplicates(["id"])
-    rows = heads.select(F.explode("keys").alias("key"), "id").distinct()
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = settled(gathered(rows.join(sizes, "key")))
+def opened(print_: bytes) -> np.ndarray:
+    return np.frombuffer(print_, np.uint32)
+
+
+def star_links(heads: DataFrame, most: float) -> DataFrame:
+    """Links (a, b) of nodes with a leader of a bucket of neighbouring integers: the member that meets most others.
+
+    A leader's pairs are dealt into blocks, and a task has its print and one batch in memory.
+    """
+    rows = heads.select(F.explode("keys").alias("key"), F.col("node").alias("id")).distinct()
+    sizes = settled(gathered(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").withColumn("many", F.col("size"))))
+    shared = stored(gathered(joined(rows, sizes, "key", "many", rows.count())), "shared")
     weight = shared.groupBy("id").agg(F.sum("size").alias("weight"))
-    leaders = shared.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("_id"))).alias("_top")).select("key", (-F.col("_top._id")).alias("a"))
-    stars = shared.join(leaders, "key").filter("a <> id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    side = lambda s: prints.select(F.col("id").alias(s), F.col("print").alias(f"print_{s}"))
-    pair = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    opened = lambda x: np.frombuffer(x.as_buffer(), np.uint32)
+    best = F.min(F.struct((-F.col("weight")).alias("w"), F.col("id").alias("a"))).alias("top")
+    leaders = settled(gathered(shared.join(weight, "id").groupBy("key").agg(best, F.count(F.lit(1)).alias("many")).select("key", "top.a", "many")))
+    parts = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("_most") / BLOCK)))).cast("long")
+    stars = joined(shared, leaders, "key", "many", shared.count()).filter("a <> id")
+    pairs = stars.groupBy("a", F.col("id").alias("b")).agg(F.max("size").alias("_most")).select("a", "b", parts.alias("parts"))
+    near = lambda x, y: linked(opened(x[0]), opened(y[0]), most)
+    return settled(gathered(beside_leaders(pairs, heads.select("node", "print"), near).select("a", "b").distinct()))
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = pa.array([matches(opened(x), opened(y), most) is not None for x, y in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(good) for k in (0, 1)], names=["a", "b"])
 
-    links = settled(stars.join(side("b"), "b").join(side("a"), "a").select("a", "b", "print_a", "print_b").mapInArrow(confirm, pair))
-    found = components(links)
+def meeting_links(heads: DataFrame, found: DataFrame, most: float) -> DataFrame:
+    """Links (a, b) that join components which share one integer at run starts; blocks of them are compared in parts of ``PART_BYTES``."""
+    prints = heads.select(F.col("node").alias("id"), "print")
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [integers(opened(x)) for x in batch.column(1)]
+            held = [integers(opened(x.as_buffer())) for x in batch.column(1)]
             own = batch.column(0).take(pa.array(np.repeat(np.arange(len(held)), [len(x) for x in held])))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*held, np.zeros(0, np.int64)])), own], names=["key", "id"])
 
-    single = stored(prints.select("id", "print").mapInArrow(exploded, T.StructType([T.StructField("key", T.LongType()), T.StructField("id", kind)])), "integers")
-    often = single.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    meeting = open_groups(single.join(often, "key"), found, 2)
-    meeting = stored(gathered(meeting.join(prints.select("id", F.octet_length("print").alias("bytes")), "id")), "meeting")
+    single = stored(prints.mapInArrow(exploded, "key long, id long"), "integers")
+    often = single.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").withColumn("many", F.col("size"))
+    meeting = open_groups(joined(single, settled(gathered(often)), "key", "many", single.count()), found, 2)
+    lengths = prints.select("id", F.octet_length("print").alias("bytes"))
+    meeting = stored(gathered(meeting.join(lengths, "id")), "meeting")
 
     def compare(groups: pa.Table, texts: pa.Table) -> pa.Table:
-        ids, whole = texts.column("_id").to_pylist(), [opened(x) for x in texts.column("print")]
+        ids, whole = texts.column("_id").to_pylist(), [opened(x.as_buffer()) for x in texts.column("print")]
         at = {i: k for k, i in enumerate(ids)}
         table = groups.sort_by([(c, "ascending") for c in ("kind", "key", "_i", "_j")])
         member = np.array([at[i] for i in table.column("id").to_pylist()], np.int64)
         sides = table.column("side").to_numpy()
-        label = np.unique(np.array(table.column("component").to_pylist()), return_inverse=True)[1]
+        label = np.unique(table.column("component").to_numpy(), return_inverse=True)[1]
         root = np.zeros(len(ids), np.int64)
         root[member] = label
         named = [table.column(c).to_pylist() for c in ("kind", "key", "_i", "_j")]
@@ -283,35 +302,79 @@ def group(media: DataFrame, *, id_col: str = "rec_id", audio: str = "audio", mos
             inner = alone and named[2][low] == named[3][low]
             left, right = (rows, None) if inner else (rows[side == 0], rows[side == 1])
             for k, o in agreeing(whole, named[1][low], left, right, most) if alone else agreeing_any(whole, left, right, most):
-                first, second = (k, o) if ids[k] < ids[o] else (o, k)
-                if root[k] != root[o] and matches(whole[first], whole[second], most):
-                    out[0].append(ids[first])
-                    out[1].append(ids[second])
+                if root[k] != root[o] and linked(whole[k], whole[o], most):
+                    out[0].append(ids[k])
+                    out[1].append(ids[o])
                     root[root == root[o]] = root[k]
-        field = texts.schema.field("_id").type
-        return pa.table({"a": pa.array(out[0], field), "b": pa.array(out[1], field)})
-
-    n = meeting.count()
-    if n:
-        # A recording's integers go to each part only once, and a part has some 500,000 rows.
-        parts = max(spark.sparkContext.defaultParallelism, n >> 19)
-        placed = in_blocks(meeting, BLOCK, BLOCK_BYTES).withColumn("part", F.pmod(F.xxhash64("kind", "key", "_i", "_j"), F.lit(parts)).cast("int"))
-        texts = placed.select(F.col("part").alias("_part"), F.col("id").alias("_id")).distinct().join(prints.withColumnRenamed("id", "_id"), "_id")
-        links = links.unionByName(settled(placed.groupBy("part").cogroup(texts.groupBy("_part")).applyInArrow(compare, pair).distinct()))
-        found = components(links)
-    told = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("group_id", F.coalesce("component", "rep"))
-    lead = prints.select(F.col("id").alias("group_id"), F.col("print").alias("_lead"))
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    placed = stored(in_blocks(meeting, BLOCK, BLOCK_BYTES), "blocks")
+    held = placed.join(lengths, "id").agg(F.sum("bytes")).first()[0]
+    if not held:
+        return meeting.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    # A recording's integers go to each part only once; a part has so many bytes at most, but for its last blocks.
+    parts = max(heads.sparkSession.sparkContext.defaultParallelism, held // PART_BYTES + 1)
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("kind", "key", "_i", "_j"), F.lit(parts)).cast("int"))
+    texts = placed.select(F.col("part").alias("_part"), F.col("id").alias("_id")).distinct().join(prints.withColumnRenamed("id", "_id"), "_id")
+    return settled(gathered(placed.groupBy("part").cogroup(texts.groupBy("_part")).applyInArrow(compare, "a long, b long").distinct()))
+
+
+#: Bytes of prints that a task compares, at most, but for its last blocks.
+PART_BYTES = 64 << 20
+
+
+def told_nodes(nodes: DataFrame, heads: DataFrame, found: DataFrame, most: float) -> DataFrame:
+    """(node, many, n_frames, group_id, offset, bit_error): each node aligned with the head of its group.
+
+    A group's nodes are dealt into blocks, and its head's print goes to each block.
+    """
+    own = stored(gathered(nodes.select("node", "rep", "many").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))), "own")
+    blocks = F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("parts")
+    groups = own.groupBy("component").agg(F.min("rep").alias("group_id"), F.min_by("node", "rep").alias("lead"), F.count(F.lit(1)).alias("_n"), blocks)
+    groups = stored(gathered(groups), "groups")
+    asked = joined(own.select("node", "many", "component"), groups, "component", "_n", own.count()).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")))
+    leads = groups.select(F.col("lead").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("block"))
+    leads = leads.join(heads.select("node", "print"), "node").select(F.col("node").alias("lead"), "block", F.col("print").alias("_lead"))
+    beside = asked.join(heads.select("node", "print"), "node").join(leads, ["lead", "block"]).select("node", "many", "group_id", "print", "_lead")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = [matches(opened(y), opened(x), most) if y.is_valid and x.is_valid and len(x.as_buffer()) else None for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x.as_py()) // 4 for x in batch.column(2)], pa.int32()), batch.column(1), pa.array([s and s[0] for s in seen], pa.int32()), pa.array([s and s[1] for s in seen], pa.float64())],
-                names=["id", "n_frames", "group_id", "offset", "bit_error"],
-            )
-
-    out = T.StructType([T.StructField("id", kind), T.StructField("n_frames", T.IntegerType()), T.StructField("group_id", kind), T.StructField("offset", T.IntegerType()), T.StructField("bit_error", T.DoubleType())])
-    return told.join(lead, "group_id", "left").select("id", "group_id", "print", "_lead").mapInArrow(place, out).withColumnRenamed("id", id_col)
+            own_, lead = ([opened(x.as_buffer()) for x in batch.column(k)] for k in (3, 4))
+            seen = [matches(y, x, most) for x, y in zip(own_, lead, strict=True)]
+            made = [pa.array([len(x) for x in own_], pa.int32()), pa.array([s and s[0] for s in seen], pa.int32()), pa.array([s and s[1] for s in seen], pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made[0], batch.column(2), *made[1:]], names=out.names)
+
+    out = T.StructType([
+        T.StructField("node", T.LongType()), T.StructField("many", T.LongType()), T.StructField("n_frames", T.IntegerType()), T.StructField("group_id", nodes.schema["rep"].dataType),
+        T.StructField("offset", T.IntegerType()), T.StructField("bit_error", T.DoubleType()),
+    ])
+    return stored(gathered(beside.mapInArrow(place, out)), "told")
+
+
+def group(media: DataFrame, *, id_col: str = "rec_id", audio: str = "audio", most: float = 0.15) -> DataFrame:
+    """One row a recording: id, ``n_frames``, ``group_id`` (the smallest id reached by matches), and the ``offset`` in frames
+    and ``bit_error`` of its alignment with that recording, null where the two don't align by themselves."""
+    made = stored(fingerprints(media, id_col, audio), "prints")
+    sound = made.filter("mark is not null and id is not null")
+    copies = sound.groupBy("mark").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("many"))
+    nodes = stored(gathered(copies).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    # A print's first recording is found by its id, which few rows share, and not by its mark, which many may.
+    own = sound.join(nodes.select(F.col("rep").alias("id"), "mark", "node"), ["id", "mark"])
+    heads = stored(own.select("node", "print", "keys").dropDuplicates(["node"]), "heads")
+    total = sound.count()
+    members = stored(gathered(joined(sound.select("id", "mark"), nodes.select("mark", "node", "many"), "mark", "many", total).select("id", "node")), "members")
+
+    links = star_links(heads, most)
+    # Rows with the same id are one recording, whatever their sound.
+    several = members.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("_z")).filter("a <> _z").select("id", "a")
+    if not several.isEmpty():
+        same = members.select("id", F.col("node").alias("b")).join(several, "id").filter("a <> b").select("a", "b").distinct()
+        links = links.unionByName(settled(gathered(same)))
+    links = links.unionByName(meeting_links(heads, components(links), most))
+    told = told_nodes(nodes, heads, components(links), most)
+    placed = joined(members, told, "node", "many", total).select("id", "n_frames", "group_id", "offset", "bit_error")
+    silent = made.filter("mark is null or id is null").select("id", (F.octet_length("print") / 4).cast("int").alias("n_frames"), F.col("id").alias("group_id"), F.lit(None).cast("int").alias("offset"), F.lit(None).cast("double").alias("bit_error"))
+    return placed.unionByName(silent).withColumnRenamed("id", id_col)
 
 
 def melody(vector: list[float] | None, seconds: float = 6.4, rate: int = RATE) -> bytes | None:

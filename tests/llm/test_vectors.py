@@ -116,8 +116,9 @@ def test_groups_equal_brute_force(spark):
     ids = sorted(prints)
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
-            if len(np.intersect1d(chroma.keys(prints[a]), chroma.keys(prints[b]))) and chroma.matches(prints[a], prints[b], 0.15):
-                root[b] = min(root[b], root[a])
+            if root[a] != root[b] and chroma.linked(prints[a], prints[b], 0.15):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if x == high else x for i, x in root.items()}
     got = queries.op8_chroma_fingerprints(spark, "/root/testdata/sf0.001").collect()
     assert {r["vec_id"] if "vec_id" in r else r["rec_id"]: r["group_id"] for r in got} == root
     assert all(r["n_frames"] == len(prints[r["rec_id"]]) for r in got)
@@ -147,7 +148,7 @@ def test_all_matches_share_an_integer():
     r = np.random.default_rng(6)
     prints = [chroma.fingerprint(chroma.melody(r.normal(size=64).tolist())) for _ in range(40)]
     every = prints + noisy(prints, 0.08, 1) + noisy(prints, 0.13, 2)
-    want = {(a, b) for a in range(len(every)) for b in range(a + 1, len(every)) if chroma.matches(every[a], every[b], 0.15)}
+    want = {(a, b) for a in range(len(every)) for b in range(a + 1, len(every)) if chroma.linked(every[a], every[b], 0.15)}
     keys = [chroma.integers(f) for f in every]
     got = set()
     for key in np.unique(np.concatenate(keys)):
@@ -163,18 +164,72 @@ def test_noisy_copies_group_as_by_all_pairs(spark, monkeypatch):
     r = np.random.default_rng(6)
     prints = [chroma.fingerprint(chroma.melody(r.normal(size=64).tolist())) for _ in range(30)]
     every = prints + noisy(prints, 0.1, 3)
-    made = spark.createDataFrame([(k, f.tobytes(), chroma.keys(f).tolist()) for k, f in enumerate(every)], "id long, print binary, keys array<long>")
+    made = spark.createDataFrame([(k, f.tobytes(), chroma.keys(f).tolist(), f.tobytes().hex()) for k, f in enumerate(every)], "id long, print binary, keys array<long>, mark string")
     monkeypatch.setattr(chroma, "fingerprints", lambda *_: made)
     root = list(range(len(every)))
     for a in range(len(every)):
         for b in range(a + 1, len(every)):
-            if chroma.matches(every[a], every[b], 0.15):
+            if chroma.linked(every[a], every[b], 0.15):
                 low, high = sorted((root[a], root[b]))
                 root = [low if x == high else x for x in root]
     got = {x["rec_id"]: x["group_id"] for x in chroma.group(made, audio="print").collect()}
     assert got == dict(enumerate(root)) and len(set(root)) < len(root) - 5
 
 
+def header(audio, at, value, size):
+    return audio[:at] + int(value).to_bytes(size, "little") + audio[at + size :]
+
+
+def test_odd_headers_have_no_fingerprint():
+    sound = chroma.melody(np.random.default_rng(1).normal(size=64).tolist())
+    assert len(chroma.fingerprint(sound))
+    for bits in (0, 1, 7, 33, 40, 64, 65535):
+        chroma.fingerprint(header(sound, 34, bits, 2))
+    assert not len(chroma.fingerprint(header(sound, 34, 64, 2))) and not len(chroma.fingerprint(header(sound, 34, 40, 2)))
+    for rate in (0, 1, 100, chroma.SLOWEST - 1):
+        assert not len(chroma.fingerprint(header(sound, 24, rate, 4)))
+    for channels in (0, 3, 65535):
+        chroma.fingerprint(header(sound, 22, channels, 2))
+    assert not len(chroma.fingerprint(header(sound, 24, 2**32 - 1, 4)))
+    r = np.random.default_rng(2)
+    for _ in range(300):
+        broken = bytearray(sound[: r.integers(0, 400)])
+        for at in r.integers(0, max(1, min(44, len(broken))), 6):
+            if len(broken):
+                broken[at] = r.integers(0, 256)
+        chroma.fingerprint(bytes(broken))
+
+
+def test_recordings_with_ids_of_text_null_and_repeated_ids(spark):
+    r = np.random.default_rng(8)
+    one, two, three = (chroma.melody(r.normal(size=64).tolist()) for _ in range(3))
+    slow = header(one, 24, 10, 4)
+    rows = [("b", one, 7), ("ax", one, 7), (None, one, 7), ("c", two, 7), ("d", None, 7), ("e", b"no sound", 7), ("f", slow, 7), ("g", two, 7), ("g", three, 7), ("h", three, 7), (None, None, 7)]
+    media = spark.createDataFrame(rows, "rec_id string, audio binary, node int").repartition(3)
+    got = sorted(((x["rec_id"] or "", x["n_frames"] > 0, x["group_id"] or "", x["offset"]) for x in chroma.group(media).collect()), key=str)
+    # g is one recording with the sound of c and of h.
+    want = [("", False, "", None), ("", True, "", None), ("ax", True, "ax", 0), ("b", True, "ax", 0), ("c", True, "c", 0), ("d", False, "d", None), ("e", False, "e", None), ("f", False, "f", None), ("g", True, "c", 0), ("g", True, "c", None), ("h", True, "c", None)]
+    assert got == sorted(want, key=str)
+
+
+def test_parts_are_bounded_in_bytes(spark, monkeypatch):
+    """However small the parts and blocks are, the groups are those of all pairs."""
+    r = np.random.default_rng(6)
+    prints = [chroma.fingerprint(chroma.melody(r.normal(size=64).tolist())) for _ in range(12)]
+    every = prints + noisy(prints, 0.1, 3) + noisy(prints, 0.1, 4)
+    made = spark.createDataFrame([(k, f.tobytes(), chroma.keys(f).tolist(), f.tobytes().hex()) for k, f in enumerate(every)], "id long, print binary, keys array<long>, mark string")
+    monkeypatch.setattr(chroma, "fingerprints", lambda *_: made)
+    for name, value in (("BLOCK", 3), ("BLOCK_BYTES", 700), ("PART_BYTES", 20_000)):
+        monkeypatch.setattr(chroma, name, value)
+    root = list(range(len(every)))
+    for a in range(len(every)):
+        for b in range(a + 1, len(every)):
+            if chroma.linked(every[a], every[b], 0.15):
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    assert {x["rec_id"]: x["group_id"] for x in chroma.group(made, audio="print").collect()} == dict(enumerate(root))
+
+
 def test_vector_ids_of_text_and_nulls(spark):
     rows = [("b", [1.0, 0.0]), ("ax", [1.0, 0.01]), (None, [1.0, 0.0]), ("c", [0.0, 1.0]), ("d", None)]
     df = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
