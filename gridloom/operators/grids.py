@@ -225,24 +225,6 @@ def centred_crop(df: DataFrame, centre: DataFrame, height: int, width: int) -> D
     return full.join(moved, ["case", "y", "x"], "left").na.fill(0.0, ["v"])
 
 
-def core_ring(df: DataFrame, centres: DataFrame, radius: int) -> DataFrame:
-    """Statistics of the core about each centre, of the ring out to twice the radius, and their difference and ratio.
-
-    centres: case, py, px. Each cell meets the centres whose context covers it by an equality join.
-    """
-    outer = max(1, 2 * radius)
-    span = lambda a: F.explode(F.sequence(F.col(f"p{a}") - outer, F.col(f"p{a}") + outer)).alias(a)
-    reach = centres.select("case", "py", "px", span("y")).select("case", "py", "px", "y", span("x"))
-    met = reach.join(df, ["case", "y", "x"])
-    core = (F.abs(F.col("y") - F.col("py")) <= radius) & (F.abs(F.col("x") - F.col("px")) <= radius)
-    inner, ring = F.when(core, F.col("v")), F.when(~core, F.col("v"))
-    made = met.groupBy("case", "py", "px").agg(*stats.moments15(inner, "core_"), *stats.moments15(ring, "ring_"))
-    names = [c.removeprefix("core_") for c in made.columns if c.startswith("core_")]
-    minus = [(F.col(f"core_{n}") - F.col(f"ring_{n}")).alias(f"diff_{n}") for n in names]
-    ratio = [F.try_divide(F.col(f"core_{n}"), F.col(f"ring_{n}") + F.lit(EPS)).alias(f"ratio_{n}") for n in names]
-    return made.select("*", *minus, *ratio)
-
-
 def euler(mask: DataFrame) -> DataFrame:
     """Each case's Euler number with cells as closed squares: corners minus edges plus cells."""
     corners = mask.select("case", F.explode(F.array("y", F.col("y") + 1)).alias("y"), "x").select("case", "y", F.explode(F.array("x", F.col("x") + 1)).alias("x")).distinct().groupBy("case").agg(F.count(F.lit(1)).alias("v"))

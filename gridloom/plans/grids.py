@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import grids
+from ..operators.contexts import context_features
 from .aggregates import rounded
 from .registry import Tables, query
 
@@ -131,12 +132,56 @@ def layer_support(t: Tables) -> DataFrame:
     return grids.layer_supported(stack)
 
 
-@query("g06_core_ring", f"""with {CELLS}, m as (select c, avg(v) filter (y between 2 and 4 and x between 2 and 4) a, avg(v) filter (not (y between 2 and 4 and x between 2 and 4)) b, stddev_pop(v) filter (y between 2 and 4 and x between 2 and 4) s,
-  stddev_pop(v) filter (not (y between 2 and 4 and x between 2 and 4)) r from cells where y between 1 and 5 and x between 1 and 5 group by 1)
-  select c as "case", round(a, 6) core_mean, round(b, 6) ring_mean, round(a - b, 6) diff_mean, round(s, 6) core_std, round(r, 6) ring_std, round(s / (r + 1e-12), 6) ratio_std from m""")
+SHOWN = (
+    "a_core_mean", "a_ring_mean", "b_core_p90", "b_ring_p90", "a_core_minus_ring_std", "a_core_ring_ratio_rms", "a_core_grad_mean", "a_ring_grad_mean", "a_core_minus_ring_grad_max", "a_core_glcm_contrast",
+    "a_ring_glcm_contrast", "a_core_glcm_entropy", "a_ring_glcm_entropy", "a_ring_glcm_asm", "a_core_ring_ratio_glcm_homogeneity", "a_ring_glcm_correlation", "a_b_core_corr", "a_b_core_mean_diff", "a_b_core_std_ratio",
+)
+
+
+def contexts(t: Tables) -> DataFrame:
+    """Two modalities on every second cell of each layer; the core is three by three, its context twice as far and a layer to either side."""
+    cells = volumes(t).select("case", "z", "y", "x", F.col("v").alias("a"), (F.col("v") * F.col("v") + F.col("y") / 8).alias("b"))
+    centres = cells.filter("y % 2 = 1 and x % 2 = 1").select("case", F.col("z").alias("pz"), F.col("y").alias("py"), F.col("x").alias("px"))
+    return context_features(cells, centres, (0, 1, 1), "a", "b")
+
+
+_DIFF = "case when {0} is null and {1} is null then 0 when {0} is null then {1} - v when {1} is null then v - {0} else ({1} - {0}) / 2 end"
+
+
+@query("g06_core_ring", f"""with {STACK}, two as (select k, z, y, x, v a, v * v + y / 8.0::double b from stack), c as (select k, z pz, y py, x px from two where y % 2 = 1 and x % 2 = 1),
+  m as (select c.*, z, y, x, a, b, z = pz and abs(y - py) <= 1 and abs(x - px) <= 1 core from c join two on two.k = c.k and abs(z - pz) <= 1 and abs(y - py) <= 2 and abs(x - px) <= 2),
+  p as (select k, pz, py, px, z, y, x, a v, 'core' part, true own from m where core union all select k, pz, py, px, z, y, x, a, 'ring', not core from m),
+  g as (select *, lag(v) over wz zl, lead(v) over wz zn, lag(v) over wy yl, lead(v) over wy yn, lag(v) over wx xl, lead(v) over wx xn from p
+    window wz as (partition by k, pz, py, px, part, y, x order by z), wy as (partition by k, pz, py, px, part, z, x order by y), wx as (partition by k, pz, py, px, part, z, y order by x)),
+  r as (select *, sqrt(pow({_DIFF.format('zl', 'zn')}, 2) + pow({_DIFF.format('yl', 'yn')}, 2) + pow({_DIFF.format('xl', 'xn')}, 2)) grad from g),
+  s as (select k, pz, py, px, part, avg(v) filter (own) mean, stddev_pop(v) filter (own) std, sqrt(avg(v * v) filter (own)) rms, avg(grad) filter (own) gmean, max(grad) filter (own) gmax from r group by all),
+  l as (select *, min(z) over w + ((max(z) over w - min(z) over w + 1) // 2) at_ from p window w as (partition by k, pz, py, px, part)),
+  f as (select *, median(v) filter (own) over w fill, min(y) filter (own) over w y0, max(y) filter (own) over w y1, min(x) filter (own) over w x0, max(x) filter (own) over w x1 from l where z = at_ window w as (partition by k, pz, py, px, part)),
+  e as (select k, pz, py, px, part, y, x, case when own then v else fill end v from f where y between y0 and y1 and x between x0 and x1),
+  h as (select *, min(v) over w lo, max(v) over w hi from e window w as (partition by k, pz, py, px, part)),
+  q as (select k, pz, py, px, part, y, x, case when hi - lo < 1e-12 then 0 else greatest(0, least(15, floor((v - lo) / (hi - lo + 1e-12) * 16)))::int end q from h),
+  o as (select u.k, u.pz, u.py, u.px, u.part, u.q i, w.q j from q u join q w on w.k = u.k and w.pz = u.pz and w.py = u.py and w.px = u.px and w.part = u.part
+    and ((w.y = u.y and w.x = u.x + 1) or (w.y = u.y + 1 and w.x in (u.x - 1, u.x, u.x + 1)))),
+  n as (select k, pz, py, px, part, i, j, count(*) n from (select * from o union all select k, pz, py, px, part, j, i from o) group by all),
+  d as (select *, n / sum(n) over (partition by k, pz, py, px, part) p from n),
+  x as (select k, pz, py, px, part, sum(p * (i - j) * (i - j)) contrast, -sum(p * ln(p)) entropy, sum(p * p) asm_, sum(p / (1 + abs(i - j))) homogeneity, sum(p * i) mu, sum(p * i * i) s2, sum(p * i * j) ij from d group by all),
+  y as (select k, pz, py, px, quantile_cont(b, 0.9) filter (core) c90, quantile_cont(b, 0.9) filter (not core) r90, corr(a, b) filter (core) corr, avg(a) filter (core) - avg(b) filter (core) diff,
+    stddev_pop(a) filter (core) / (stddev_pop(b) filter (core) + 1e-12) ratio from m group by all)
+  select s.k as "case", s.pz, s.py, s.px, round(s.mean, 6) a_core_mean, round(t.mean, 6) a_ring_mean, round(c90, 6) b_core_p90, round(r90, 6) b_ring_p90, round(s.std - t.std, 6) a_core_minus_ring_std,
+    round(s.rms / (t.rms + 1e-12), 6) a_core_ring_ratio_rms, round(s.gmean, 6) a_core_grad_mean, round(t.gmean, 6) a_ring_grad_mean, round(s.gmax - t.gmax, 6) a_core_minus_ring_grad_max,
+    round(v.contrast, 6) a_core_glcm_contrast, round(w.contrast, 6) a_ring_glcm_contrast, round(v.entropy, 6) a_core_glcm_entropy, round(w.entropy, 6) a_ring_glcm_entropy, round(w.asm_, 6) a_ring_glcm_asm,
+    round(v.homogeneity / (w.homogeneity + 1e-12), 6) a_core_ring_ratio_glcm_homogeneity, round((w.ij - w.mu * w.mu) / (w.s2 - w.mu * w.mu + 2e-12), 6) a_ring_glcm_correlation,
+    round(corr, 6) a_b_core_corr, round(diff, 6) a_b_core_mean_diff, round(ratio, 6) a_b_core_std_ratio
+  from s join s t using (k, pz, py, px) join x v using (k, pz, py, px) join x w using (k, pz, py, px) join y using (k, pz, py, px) where s.part = 'core' and t.part = 'ring' and v.part = 'core' and w.part = 'ring'""")
 def core_ring(t: Tables) -> DataFrame:
-    made = grids.core_ring(images(t), t.embeddings.select(F.col("vec_id").alias("case"), F.lit(3).alias("py"), F.lit(3).alias("px")), 1)
-    return rounded(made.select("case", "core_mean", "ring_mean", "diff_mean", "core_std", "ring_std", "ratio_std"))
+    """Features of each kind, of those that ``g06_context_features`` has."""
+    return rounded(contexts(t).select("case", "pz", "py", "px", *SHOWN))
+
+
+@query("g06_context_features")
+def context_row(t: Tables) -> DataFrame:
+    """All 301 features of every centre."""
+    return contexts(t)
 
 
 @query("g15_topology", f"""with {HOT}, v as (select c, count(*) n from (select distinct c, (y + i)::int y, (x + j)::int x from hot, range(2) p(i), range(2) q(j)) group by 1),
