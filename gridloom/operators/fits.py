@@ -30,22 +30,22 @@ FAN = 64
 STEPS, TOLERANCE = 60, 1e-9
 
 
-def summed(rows: DataFrame, partial: Callable[[pd.DataFrame], Iterator[tuple[int, np.ndarray]]], finish: Callable[[int, np.ndarray], tuple], schema: str) -> DataFrame:
-    """finish(problem, sum) as a row for every problem; ``partial`` gives a batch's terms."""
+def summed(rows: DataFrame, partial: Callable[[pd.DataFrame], Iterator[tuple[int, np.ndarray]]], finish: Callable[[int, np.ndarray], tuple], schema: str, op: np.ufunc = np.add) -> DataFrame:
+    """finish(problem, sum) as a row for every problem; ``partial`` gives a batch's terms, and ``op`` adds them up or takes the least."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, np.ndarray] = {}
         for pdf in batches:
             for problem, term in partial(pdf):
-                held[problem] = held[problem] + term if problem in held else term
+                held[problem] = op(held[problem], term) if problem in held else term
         if held:
             yield pd.DataFrame({"problem": list(held), "part": TaskContext.get().partitionId(), "sums": list(held.values())})
 
     def added(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"problem": [keys[0]], "part": [keys[1]], "sums": [np.add.reduce(pdf["sums"].to_numpy())]})
+        return pd.DataFrame({"problem": [keys[0]], "part": [keys[1]], "sums": [op.reduce(np.stack(pdf["sums"].to_numpy()))]})
 
     def last(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([finish(int(keys[0]), np.add.reduce(pdf["sums"].to_numpy()))], columns=names)
+        return pd.DataFrame([finish(int(keys[0]), op.reduce(np.stack(pdf["sums"].to_numpy())))], columns=names)
 
     names = [c.split()[0] for c in schema.split(", ")]
     # A task takes its rows batch by batch, so few long tasks need no more memory than many, and give fewer sums to move.

@@ -12,8 +12,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,18 +112,6 @@ def linear_score(vector: Column, w: np.ndarray) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def forest_with_platt(df: DataFrame, vector: str, y: str, folds: int = 3, trees: int = 600, leaf: int = 2, seed: int = 42):
-    """(forest, calibration) for patch scores: a class-balanced forest, and a sigmoid fitted to its out-of-fold scores."""
-    data = class_weights(df, y).select(array_to_vector(F.col(vector).cast("array<double>")).alias("x"), F.col(y).cast("double").alias("label"), "_weight", F.pmod(F.xxhash64(vector), F.lit(folds)).alias("_fold"))
-    forest = RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="_weight", numTrees=trees, minInstancesPerNode=leaf, maxDepth=10, seed=seed)
-    parts = None
-    for k in range(folds):
-        held = forest.fit(data.filter(F.col("_fold") != k)).transform(data.filter(F.col("_fold") == k)).select(F.array(vector_to_array("probability")[1]).alias("s"), "label")
-        parts = held if parts is None else parts.unionByName(held)
-    calibration = LogisticRegression(featuresCol="v", labelCol="label").fit(parts.select(array_to_vector("s").alias("v"), "label"))
-    return forest.fit(data), calibration
-
-
 #: The grid of a nested evaluation: selector strengths and sizes, variance shares, and models with their parameter.
 GRID = {"c": (0.05, 0.1, 0.5, 1.0), "k": (10, 15, 20, 30), "pca": (None, 0.9, 0.95, 0.99), "model": (*(("lr", c) for c in (0.1, 0.3, 1.0, 3.0)), *(("lda", s) for s in (None, 0.2, 0.5)))}
 
