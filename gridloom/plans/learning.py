@@ -121,18 +121,24 @@ def bag_scores(t: Tables) -> DataFrame:
     return L.bag_scores(bags(t), "bag", "x", models.MaxPool(64, 8, 7))
 
 
-@query("l17_bag_maxima", "select vec_id % 25 bag, round(max(greatest(embedding[1]::double, 0)), 6) h0, round(max(greatest(embedding[2]::double, 0)), 6) h1 from embeddings group by 1")
+@query("l17_bag_maxima", "select vec_id % 25 bag, i - 1 unit, round(max(greatest(embedding[i]::double, 0)), 6) h from embeddings, range(1, 65) r(i) group by 1, 2")
 def bag_maxima(t: Tables) -> DataFrame:
-    relu = lambda k: F.round(F.max(F.greatest(F.col("x")[k], F.lit(0.0))), 6).alias(f"h{k}")
-    return bags(t).groupBy("bag").agg(relu(0), relu(1))
+    """The largest of each of 64 rectified components over a bag."""
+    long = bags(t).select("bag", F.posexplode("x").alias("unit", "v"))
+    return long.groupBy("bag", F.col("unit").cast("long").alias("unit")).agg(F.round(F.max(F.greatest("v", F.lit(0.0))), 6).alias("h"))
 
 
-@query("l18_bag_standardiser", """with r as (select vec_id, vec_id % 25 bag, embedding[1]::double v, row_number() over (partition by vec_id % 25 order by md5('42|' || vec_id), vec_id) n from embeddings),
-  s as (select avg(v) m, stddev_pop(v) s from r where n <= 3000) select vec_id, round((v - m) / s, 6) z from r, s""")
+@query("l18_bag_standardiser", """with r as (select vec_id, row_number() over (partition by vec_id % 25 order by md5('42|' || vec_id), vec_id) n from embeddings),
+  e as (select e.vec_id, i - 1 unit, embedding[i]::double v, n from embeddings e join r using (vec_id), range(1, 65) k(i)),
+  s as (select unit, avg(v) m, stddev_pop(v) s from e where n <= 3000 group by 1)
+  select vec_id, unit, round((v - m) / case when s < 1e-8 then 1 else s end, 6) z from e join s using (unit)""")
 def bag_standardiser(t: Tables) -> DataFrame:
-    e = t.embeddings.select("vec_id", (F.col("vec_id") % 25).alias("bag"), F.col("embedding")[0].cast("double").alias("v"))
-    s = capped(e, ["bag"], 3000, [draw(42, "vec_id"), "vec_id"]).agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-    return e.crossJoin(F.broadcast(s)).select("vec_id", F.round((F.col("v") - F.col("m")) / F.when(F.col("s") < 1e-8, 1.0).otherwise(F.col("s")), 6).alias("z"))
+    """All 64 components, scaled by at most 3,000 rows a bag."""
+    e = t.embeddings.select("vec_id", (F.col("vec_id") % 25).alias("bag"), F.posexplode(F.col("embedding").cast("array<double>")).alias("unit", "v"))
+    fitted = capped(t.embeddings.select("vec_id", (F.col("vec_id") % 25).alias("bag")), ["bag"], 3000, [draw(42, "vec_id"), "vec_id"]).select("vec_id")
+    s = e.join(fitted, "vec_id").groupBy("unit").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    z = (F.col("v") - F.col("m")) / F.when(F.col("s") < 1e-8, 1.0).otherwise(F.col("s"))
+    return e.join(F.broadcast(s), "unit").select("vec_id", F.col("unit").cast("long").alias("unit"), F.round(z, 6).alias("z"))
 
 
 @query("l19_bag_evaluation")

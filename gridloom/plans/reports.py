@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +21,13 @@ from .windows import FUSED, METRICS, POINTS, RANK, SCORED, fused
 from .workflows import CANDIDATES, own_folds
 
 
-@query("s06_tolerant_sheet", "select 'there' what, count(*)::bigint n from nation union all select 'missing', 0")
+@query("s06_tolerant_sheet", "select n_nationkey, n_name, n_regionkey from nation")
 def tolerant_sheet(t: Tables) -> DataFrame:
+    """A sheet that is there, and one that isn't and has no rows."""
     path = shared_path(t.spark, "book")
-    tables.publish(t.nation, f"{path}/nation")
-    n = lambda name, what: tables.read_sheet(t.spark, path, name, t.nation.schema).agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n")
-    return n("nation", "there").unionByName(n("gone", "missing"))
+    tables.write_sheets(path, {"nation": t.nation})
+    there, gone = (tables.read_sheet(t.spark, path, name, t.nation.schema) for name in ("nation", "gone"))
+    return there.unionByName(gone)
 
 
 @query("s13_model_store", "select * from (values (1, 'fitted', 2::bigint), (2, 'stored', 2), (3, 'fitted', 2)) v(attempt, how, models)")
@@ -42,12 +42,11 @@ def model_store(t: Tables) -> DataFrame:
 
 @query("s18_published_sheets")
 def published_sheets(t: Tables) -> DataFrame:
-    """The sheets of a stacking run, written and read again."""
+    """The sheets of a stacking run, published as one unit with four decimal places; the folds' sheet, read again."""
     path = shared_path(t.spark, "stacking")
     sheets = stacking_sheets(t)
-    tables.write_sheets(path, sheets)
-    counts = [tables.read_sheet(t.spark, path, k, s.schema).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(k).alias("sheet"), "rows") for k, s in sheets.items()]
-    return reduce(DataFrame.unionByName, counts)
+    tables.write_sheets(path, sheets, places=4)
+    return tables.read_sheet(t.spark, path, "folds", sheets["folds"].schema)
 
 
 @query("g04_patch_geometry", """with m as (select c_custkey, (c_custkey % 60)::double mm, 0.5 + (c_nationkey % 5) * 0.5::double sp from customer), n as (select *, greatest(1, round_even(mm / sp, 0)::int) n from m)
@@ -123,22 +122,23 @@ def built_upstream(t: Tables) -> DataFrame:
     return t.customer.join(t.spark.read.parquet(path), "c_nationkey").groupBy("n_name").agg(F.count(F.lit(1)).alias("customers"))
 
 
-@query("r05_run_log", "select * from (values ('a', 2::bigint), ('b', 1)) v(name, times)")
+@query("r05_run_log", """with s as (select c_mktsegment name, count(*)::bigint n from customer group by 1)
+  select name, case when n > (select avg(n) from s) then 2 else 1 end::bigint times, n as "rows" from s""")
 def run_log(t: Tables) -> DataFrame:
-    """Completion marks, appended and counted."""
+    """Completion marks of segments, appended by two runs, of which the second only does the larger ones; counted."""
     path = shared_path(t.spark, "log")
-    for name in ("a", "b", "a"):
-        t.spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("append").parquet(path)
-    return t.spark.read.parquet(path).groupBy("name").agg(F.count(F.lit(1)).alias("times"))
+    done = t.customer.groupBy(F.col("c_mktsegment").alias("name")).agg(F.count(F.lit(1)).alias("rows"))
+    mean = done.agg(F.avg("rows").alias("mean"))
+    for run in (done, done.crossJoin(F.broadcast(mean)).filter("rows > mean").drop("mean")):
+        run.coalesce(1).write.mode("append").parquet(path)
+    return t.spark.read.schema(done.schema).parquet(path).groupBy("name").agg(F.count(F.lit(1)).alias("times"), F.max("rows").alias("rows"))
 
 
 @query("r07_parallel_extraction", "select vec_id case_id, round(list_sum(list_transform(embedding, lambda v: v::double * v::double)), 5) energy from embeddings")
 def parallel_extraction(t: Tables) -> DataFrame:
-    """One task's worth of Python a case, results in any order."""
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"case_id": pdf["vec_id"], "energy": [round(float((v.astype(float) ** 2).sum()), 5) for v in pdf["embedding"]]})
-
-    return t.embeddings.select("vec_id", "embedding").groupBy("vec_id").applyInPandas(one, "case_id long, energy double")
+    """A feature of each case by itself, in the tasks that read the cases."""
+    energy = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda total, v: total + v * v)
+    return t.embeddings.select(F.col("vec_id").alias("case_id"), F.round(energy, 5).alias("energy"))
 
 
 @query("r08_stable_book", """select o_orderkey case_id, o_orderstatus label, round(median(l_quantity), 6) quantity, round(median(l_extendedprice), 6) price, round(median(l_discount), 6) discount, round(median(l_tax), 6) tax

@@ -34,10 +34,13 @@ def haralick(t: Tables) -> DataFrame:
     return texture_table(masked(t), family("haralick"))
 
 
-@query("g14_texture_catalogue", "select fam, n::bigint n from (values ('gabor', 160), ('gradient', 13), ('gray', 20), ('haralick', 65), ('laws', 152)) t(fam, n)")
+@query("g14_texture_catalogue", """with c as (select count(distinct vec_id // 4) n from embeddings)
+  select fam, maps::bigint maps, (maps * 4 * n)::bigint as "rows" from (values ('gabor', 160), ('gradient', 13), ('gray', 20), ('haralick', 65), ('laws', 152)) t(fam, maps), c""")
 def texture_catalogue(t: Tables) -> DataFrame:
+    """What a full run over the cases asks for, by family: its maps, and a row a case, map and statistic."""
     specs = t.spark.createDataFrame([(s["family"], s["name"]) for s in textures.catalogue()], "fam string, name string")
-    return specs.groupBy("fam").agg(F.count_distinct("name").alias("n"))
+    asked = masked(t).select("case_id").distinct().crossJoin(F.broadcast(specs))
+    return asked.groupBy("fam").agg(F.count_distinct("name").alias("maps"), (F.count(F.lit(1)) * len(STATISTICS)).alias("rows"))
 
 
 @query("g15_topology_pyramid")

@@ -74,14 +74,39 @@ def scan_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
         return spark.createDataFrame([], schema)
 
 
-def write_sheets(path: str, sheets: Mapping[str, DataFrame]) -> None:
-    """Several tables below one path, one folder each; names are cut to 31 characters as in a workbook."""
-    for name, df in sheets.items():
-        publish(df, f"{path}/{name[:31]}")
+MANIFEST = "number long, version string, sheets array<string>"
+
+
+def current_sheets(spark: SparkSession, path: str) -> tuple[int, str, list[str]]:
+    """(number, version, names) of the last set of sheets that was published as a whole; number 0 without any."""
+    try:
+        rows = spark.read.schema(MANIFEST).json(f"{path}/manifest").orderBy(F.desc("number"), "version").limit(1).collect()
+    except AnalysisException:
+        rows = []
+    return (rows[0]["number"], rows[0]["version"], rows[0]["sheets"]) if rows else (0, "", [])
+
+
+def write_sheets(path: str, sheets: Mapping[str, DataFrame], places: int | None = None) -> None:
+    """Publish several tables as one unit: each into a new version's folder, and a line of the manifest last.
+
+    Until that line is there, readers see the version before, whatever was written. Names are
+    cut to 31 characters as in a workbook; places rounds doubles and floats.
+    """
+    named = {name[:31]: df for name, df in sheets.items()}
+    if len(named) < len(sheets):
+        raise ValueError("sheet names are the same in their first 31 characters")
+    version, spark = uuid.uuid4().hex, next(iter(sheets.values())).sparkSession
+    for name, df in named.items():
+        inexact = [f.name for f in df.schema if f.dataType in (T.DoubleType(), T.FloatType())] if places is not None else []
+        df.withColumns({c: F.round(F.col(c).cast("double"), places) for c in inexact}).write.parquet(f"{path}/v-{version}/{name}")
+    number = current_sheets(spark, path)[0] + 1
+    spark.createDataFrame([(number, version, list(named))], MANIFEST).coalesce(1).write.mode("append").json(f"{path}/manifest")
 
 
 def read_sheet(spark: SparkSession, path: str, name: str, schema: T.StructType) -> DataFrame:
-    return scan_or_empty(spark, f"{path}/{name[:31]}", schema)
+    """A sheet of the last set that was published as a whole, without rows where it has none of that name."""
+    _, version, names = current_sheets(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/v-{version}/{name[:31]}") if name[:31] in names else spark.createDataFrame([], schema)
 
 
 def first_layout(spark: SparkSession, paths: Sequence[str], schema: T.StructType, renamed: Mapping[str, str]) -> DataFrame:

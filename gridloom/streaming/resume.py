@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 def published(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).parquet(path).select(*schema.names)
     except AnalysisException:
         return spark.createDataFrame([], schema)
 
@@ -23,15 +24,39 @@ def done_keys(table: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
     return table.filter(F.coalesce(*(F.col(c).cast("string") for c in values)).isNotNull()).select(key).distinct()
 
 
-def append_missing(rows: DataFrame, path: str, key: str) -> None:
-    """Append the rows whose key the sink doesn't hold yet."""
-    held = published(rows.sparkSession, path, rows.schema).select(key).distinct()
-    rows.join(held, key, "left_anti").write.mode("append").parquet(path)
+#: Folders that published keys are dealt into.
+BUCKETS = 16
+
+
+def append_missing(rows: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> None:
+    """Append the rows whose key the sink doesn't hold yet; of rows with one key, one.
+
+    The sink is partitioned by a hash of the key, and only the folders that the rows' keys
+    fall in are listed and read, so a small batch doesn't meet all that was published.
+    """
+    spark = rows.sparkSession
+    placed = rows.dropDuplicates([key]).withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    missing = placed.join(held_keys(spark, path, rows.select(key).schema, [r[0] for r in placed.select(BUCKET).distinct().collect()]), key, "left_anti")
+    missing.repartition(BUCKET).write.mode("append").partitionBy(BUCKET).parquet(path)
+
+
+BUCKET = "_bucket_"
+
+
+def held_keys(spark: SparkSession, path: str, schema: T.StructType, touched: Sequence[int]) -> DataFrame:
+    """The keys in some of the sink's folders; those that aren't there have none."""
+    parts = []
+    for bucket in sorted(touched):
+        try:
+            parts.append(spark.read.schema(schema).parquet(f"{path}/{BUCKET}={bucket}"))
+        except AnalysisException:
+            continue
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
 def resume_stream(source: DataFrame, path: str, checkpoint: str, key: str) -> None:
     """Run a streaming table up to its present end, each batch appended once: keys that the sink holds, from an earlier try or run, are skipped."""
-    query = source.writeStream.foreachBatch(lambda batch, _: append_missing(batch.dropDuplicates([key]), path, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = source.writeStream.foreachBatch(lambda batch, _: append_missing(batch, path, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
