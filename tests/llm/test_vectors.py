@@ -235,3 +235,14 @@ def test_vector_ids_of_text_and_nulls(spark):
     df = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
     got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in hnsw.links(df).collect())
     assert got == [("None", 0, "None", True), ("ax", 1, "ax", True), ("b", 1, "ax", False), ("c", 0, "c", True), ("d", 0, "d", True)]
+
+
+def test_wide_vectors_give_more_shards(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    v = r.normal(size=(60, 32))
+    rows = [(k, (v[k % 60] + r.normal(size=32) * 0.02).tolist()) for k in range(180)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    few = sorted(map(tuple, hnsw.links(df).select("vec_id", "n_links", "component_id", "kept").collect()))
+    monkeypatch.setattr(hnsw, "SHARD_BYTES", 4096)
+    assert sorted(map(tuple, hnsw.links(df).select("vec_id", "n_links", "component_id", "kept").collect())) == few
+    assert any(n for _, n, _, _ in few)
