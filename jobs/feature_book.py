@@ -2,18 +2,25 @@
 
     python jobs/feature_book.py --documents DIR --labels DIR --output DIR [--config FILE]
 
-Reads a table of texts and a table of labels, and writes two Parquet tables below the
+Reads a table of texts and a table of labels, and writes three Parquet tables below the
 output folder:
 
 ``cases``, partitioned by ``fold``: one row a case with its raw features and label.
 Labelled cases are dealt into outer folds within their class; the others have fold -1.
 
+``scales``, partitioned by ``outer_fold``: one row a feature with the number, mean and
+deviation of the fold's training rows, and how far apart their classes are (standardised
+mean difference). It holds all that the fold's preparation has learned.
+
 ``book``, partitioned by ``outer_fold`` and ``role``: every case once for each outer
 fold, as ``train``, as ``test`` (the fold that holds it out) or as ``apply`` (without a
-label), its features standardised by the mean and deviation of that fold's training rows.
+label), its features standardised by the fold's scales.
+
+Ids that differ only in case or marks, but are in different folds, may be one case in
+training and test; they are counted and logged.
 
 Features are worked out where texts are read, so texts are never shuffled; folds and
-statistics are aggregates and windows over narrow rows. Both tables are replaced as a
+statistics are aggregates and windows over narrow rows. All tables are replaced as a
 whole, and depend on input and settings alone, so a rerun gives the same rows; a run that
 stopped is mended by the next.
 
@@ -35,7 +42,8 @@ from pyspark.sql import functions as F
 if __name__ == "__main__":
     sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from gridloom.functions.clean import finite, flag, key
+from gridloom.functions.clean import finite, flag, key, loose_key
+from gridloom.functions.stats import smd
 from gridloom.operators.relational import first_rows
 from gridloom.operators.sampling import draw, folds
 from jobs import common
@@ -81,19 +89,36 @@ def cases(documents: DataFrame, labels: DataFrame, settings: dict) -> DataFrame:
     return once.join(dealt, "case_id", "left").select("case_id", "label", F.coalesce("fold", F.lit(-1)).alias("fold"), *FEATURES)
 
 
-def book(rows: DataFrame, settings: dict) -> DataFrame:
-    """Every case of ``cases`` once for each outer fold, scaled by the fold's training rows."""
+def placed(rows: DataFrame, settings: dict) -> DataFrame:
+    """Every case once for each outer fold, with its role there."""
     outer = rows.withColumn("outer_fold", F.explode(F.sequence(F.lit(0), F.lit(settings["folds"] - 1))))
-    role = F.when(F.col("fold") < 0, "apply").when(F.col("fold") == F.col("outer_fold"), "test").otherwise("train")
-    placed = outer.withColumn("role", role)
-    train = placed.filter("role = 'train'").groupBy("outer_fold")
-    # One row an outer fold, however many cases there are; partial sums leave the scan tasks.
-    scale = train.agg(*(F.avg(f).alias(f"{f}_mean") for f in FEATURES), *(F.stddev_pop(f).alias(f"{f}_std") for f in FEATURES))
-    z = lambda f: F.when(F.col(f"{f}_std") > 0, (F.col(f) - F.col(f"{f}_mean")) / F.col(f"{f}_std"))
-    scaled = placed.join(F.broadcast(scale), "outer_fold", "left")
+    return outer.withColumn("role", F.when(F.col("fold") < 0, "apply").when(F.col("fold") == F.col("outer_fold"), "test").otherwise("train"))
+
+
+def scales(rows: DataFrame, settings: dict) -> DataFrame:
+    """(feature, n, mean, std, difference, outer_fold) of each outer fold's training rows; partial sums leave the scan tasks."""
+    train = placed(rows, settings).filter("role = 'train'").groupBy("outer_fold")
+    told = lambda f: F.struct(F.lit(f).alias("feature"), F.count(f).alias("n"), F.avg(f).alias("mean"), F.stddev_pop(f).alias("std"), smd(F.col(f), F.col("label")).alias("difference"))
+    made = train.agg(*(told(f).alias(f) for f in FEATURES)).select("outer_fold", F.explode(F.array(*FEATURES)).alias("s"))
+    return made.select("s.*", "outer_fold")
+
+
+def book(rows: DataFrame, fitted: DataFrame, settings: dict) -> DataFrame:
+    """Every case of ``cases`` once for each outer fold, scaled by the fold's ``scales``."""
+    # One row an outer fold, however many cases there are.
+    scale = fitted.groupBy("outer_fold").agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "std")))).alias("_scale"))
+    scaled = placed(rows, settings).join(F.broadcast(scale), "outer_fold", "left")
+    of = lambda f: F.col("_scale")[f]
+    z = lambda f: F.when(of(f)["std"] > 0, (F.col(f) - of(f)["mean"]) / of(f)["std"])
     return scaled.select("case_id", "label", *(F.round(F.coalesce(z(f), F.lit(0.0)), settings["places"]).alias(f) for f in FEATURES), "outer_fold", "role")
 
 
+def leaks(rows: DataFrame) -> int:
+    """How many ids, without case and marks, stand in more than one fold."""
+    known = rows.filter("fold >= 0").groupBy(loose_key(F.col("case_id")).alias("key")).agg(F.min("fold").alias("lo"), F.max("fold").alias("hi"))
+    return known.filter("lo <> hi").count()
+
+
 def write(df: DataFrame, path: str, *partitions: str) -> int:
     """Replace a partitioned table, in files of an even size; its number of rows."""
     df.hint("rebalance", *partitions).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*partitions).parquet(path)
@@ -105,22 +130,33 @@ def write(df: DataFrame, path: str, *partitions: str) -> int:
 CASES = "case_id string, label int, " + ", ".join(f"{f} double" for f in FEATURES)
 
 
+SCHEMAS = {
+    "cases": f"{CASES}, fold int",
+    "scales": "feature string, n long, mean double, std double, difference double, outer_fold int",
+    "book": f"{CASES}, outer_fold int, role string",
+}
+
+
 def read(spark: SparkSession, output: str, name: str) -> DataFrame:
-    """``cases`` or ``book`` as it stands."""
-    placed = {"cases": "fold int", "book": "outer_fold int, role string"}[name]
-    return spark.read.schema(f"{CASES}, {placed}").parquet(f"{output}/{name}")
+    """``cases``, ``scales`` or ``book`` as it stands."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{output}/{name}")
 
 
 def run(spark: SparkSession, documents: str, labels: str, output: str, settings: dict | None = None) -> dict:
-    """Read both tables, write ``cases`` and ``book`` below output; the numbers of rows read and written."""
+    """Read both tables, write the three below output; the numbers of rows read and written, and of leaks."""
     settings = settings or common.config(NAME)
     texts, marks = spark.read.parquet(documents), spark.read.parquet(labels)
     counts = {"documents": texts.count(), "labels": marks.count()}
     LOG.info("read %d rows of %s and %d rows of %s", counts["documents"], documents, counts["labels"], labels)
     counts["cases"] = write(cases(texts, marks, settings), f"{output}/cases", "fold")
-    counts["book"] = write(book(read(spark, output, "cases"), settings), f"{output}/book", "outer_fold", "role")
+    rows = read(spark, output, "cases")
+    counts["leaks"] = leaks(rows)
+    if counts["leaks"]:
+        LOG.warning("%d ids differ only in case or marks from one in another fold", counts["leaks"])
+    counts["scales"] = write(scales(rows, settings), f"{output}/scales", "outer_fold")
+    counts["book"] = write(book(rows, read(spark, output, "scales"), settings), f"{output}/book", "outer_fold", "role")
     return counts
 
 
 if __name__ == "__main__":
-    common.command_line(NAME, "Feature book of a cohort of texts.", {"documents": "table of texts", "labels": "table of labels", "output": "folder for cases and book"}, run)
+    common.command_line(NAME, "Feature book of a cohort of texts.", {"documents": "table of texts", "labels": "table of labels", "output": "folder for cases, scales and book"}, run)

@@ -10,13 +10,15 @@ from jobs import common, feature_book, score_ledger
 
 
 def job1_feature_book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both tables of the feature book, told apart by ``part``."""
+    """The feature book's three tables, told apart by ``part``."""
     path, settings = shared_path(spark, "feature_book"), common.config(feature_book.NAME)
     for _ in range(2):
         feature_book.run(spark, f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet", path, settings)
-    cases, book = (feature_book.read(spark, path, name) for name in ("cases", "book"))
-    raw = cases.withColumns({f: F.round(f, settings["places"]) for f in feature_book.FEATURES})
-    return raw.withColumn("part", F.lit("cases")).unionByName(book.withColumn("part", F.lit("book")), allowMissingColumns=True)
+    made = {name: feature_book.read(spark, path, name) for name in ("cases", "scales", "book")}
+    for name, inexact in (("cases", feature_book.FEATURES), ("scales", ("mean", "std", "difference"))):
+        made[name] = made[name].withColumns({f: F.round(f, settings["places"]) for f in inexact})
+    parts = [df.withColumn("part", F.lit(name)) for name, df in made.items()]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
 
 
 def job2_score_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +47,9 @@ _RAW = {
     "capitals": "len(regexp_extract_all(t, '[A-Z]'))::double / nullif(length(t), 0)",
     "marks": r"len(regexp_extract_all(t, '[!-/:-@\[-`{-~]'))::double / nullif(length(t), 0)",
 }
+_SCALE = """count({f}) {f}_n, avg({f}) {f}_m, stddev_pop({f}) {f}_s, case when count({f}) filter (label = 1) >= 3 and count({f}) filter (label = 0) >= 3
+  and var_samp({f}) filter (label = 1) + var_samp({f}) filter (label = 0) > 0
+  then (avg({f}) filter (label = 1) - avg({f}) filter (label = 0)) / sqrt((var_samp({f}) filter (label = 1) + var_samp({f}) filter (label = 0)) / 2) end {f}_d"""
 _KEY = "case when lower(trim({0})) in ('', 'nan', 'none', 'null', '<na>', 'na') then null else trim({0}) end"
 
 ORACLE = {
@@ -57,9 +62,13 @@ l as (select {_KEY.format("doc_id::varchar")} case_id, max(case when lower(trim(
 k as (select o.*, label from o left join l using (case_id)),
 c as (select *, case when label is null then -1 else ((row_number() over (partition by label order by md5('42|' || case_id), case_id) - 1) % 4)::int end fold from k),
 b as (select c.*, r.outer_fold::int outer_fold, case when fold < 0 then 'apply' when fold = r.outer_fold then 'test' else 'train' end role from c, range(4) r(outer_fold)),
-s as (select outer_fold, {", ".join(f"avg({name}) {name}_m, stddev_pop({name}) {name}_s" for name in _RAW)} from b where role = 'train' group by 1)
-select 'cases' part, case_id, label, {", ".join(f"round({name}, 6) {name}" for name in _RAW)}, fold, null::int outer_fold, null role from c
-union all select 'book', case_id, label, {", ".join(f"round(coalesce(case when {name}_s > 0 then ({name} - {name}_m) / {name}_s end, 0), 6)" for name in _RAW)}, null, outer_fold, role from b join s using (outer_fold)""",
+m as (select outer_fold, {", ".join(_SCALE.format(f=name) for name in _RAW)} from b where role = 'train' group by 1),
+g as ({" union all ".join(f"select '{name}' feature, {name}_n n, {name}_m mean, {name}_s std, {name}_d difference, outer_fold from m" for name in _RAW)})
+select 'cases' part, case_id, label, {", ".join(f"round({name}, 6) {name}" for name in _RAW)}, fold, null::int outer_fold, null role,
+  null feature, null::bigint n, null::double mean, null::double std, null::double difference from c
+union all select 'book', case_id, label, {", ".join(f"round(coalesce(case when {name}_s > 0 then ({name} - {name}_m) / {name}_s end, 0), 6)" for name in _RAW)}, null, outer_fold, role,
+  null, null, null, null, null from b join m using (outer_fold)
+union all select 'scales', null, null, {", ".join("null" for _ in _RAW)}, null, outer_fold, null, feature, n, round(mean, 6), round(std, 6), round(difference, 6) from g""",
     "job2_score_ledger": """
 with n as (select *, concat_ws(', ', case when event_id is null then 'no score_id' end, case when ts is null then 'no ts' end, case when user_id is null then 'no case_id' end) reasons from events),
 e as (select event_id score_id, ts, user_id case_id, event_type channel, value score, ts::date as day from n where reasons = ''),

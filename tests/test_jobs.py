@@ -174,7 +174,7 @@ def test_book_is_scaled_by_training_rows(spark, cohort):
     counts = feature_book.run(spark, *cohort)
     cases = feature_book.read(spark, cohort[2], "cases").toPandas().set_index("case_id")
     book = feature_book.read(spark, cohort[2], "book").toPandas()
-    assert counts == {"documents": len(DOCS), "labels": len(LABELS), "cases": 36, "book": 4 * 36}
+    assert counts == {"documents": len(DOCS), "labels": len(LABELS), "cases": 36, "leaks": 0, "scales": 4 * len(feature_book.FEATURES), "book": 4 * 36}
     assert len(cases) == 36 and cases.index.is_unique and len(book) == 4 * 36
     assert cases.loc["4", "label"] == 1 and np.isnan(cases.loc["5", "label"]) and cases.loc["5", "fold"] == -1
     assert cases.loc["1", "log_words"] == pytest.approx(math.log(5)) and cases.loc["1", "distinct_words"] == pytest.approx(1.0)
@@ -192,6 +192,27 @@ def test_book_is_scaled_by_training_rows(spark, cohort):
             assert np.allclose(rows.loc[cases.index, f], want.fillna(0), atol=2e-6), f
 
 
+def test_scales_tell_what_training_rows_say(spark, cohort):
+    feature_book.run(spark, *cohort)
+    cases = feature_book.read(spark, cohort[2], "cases").toPandas()
+    for r in feature_book.read(spark, cohort[2], "scales").collect():
+        train = cases[(cases["fold"] >= 0) & (cases["fold"] != r["outer_fold"])]
+        x = train[r["feature"]]
+        assert r["n"] == x.count() and r["mean"] == pytest.approx(x.mean()) and r["std"] == pytest.approx(x.std(ddof=0), abs=1e-12)
+        one, zero = (x[train["label"] == k] for k in (1, 0))
+        spread = math.sqrt((one.var() + zero.var()) / 2)
+        assert r["difference"] == (pytest.approx((one.mean() - zero.mean()) / spread, abs=1e-9) if spread > 0 else None)
+
+
+def test_ids_that_differ_in_marks_alone_are_counted(spark, tmp_path):
+    ids = [f"Case-{k}" for k in range(20)] + [f"case {k}" for k in range(20)]
+    spark.createDataFrame([(i, "a b c") for i in ids], "doc_id string, text string").write.parquet(f"{tmp_path}/documents")
+    spark.createDataFrame([(i, "1") for i in ids], "doc_id string, quality string").write.parquet(f"{tmp_path}/labels")
+    counts = feature_book.run(spark, f"{tmp_path}/documents", f"{tmp_path}/labels", f"{tmp_path}/out")
+    fold = {r["case_id"]: r["fold"] for r in feature_book.read(spark, f"{tmp_path}/out", "cases").collect()}
+    assert counts["leaks"] == sum(fold[f"Case-{k}"] != fold[f"case {k}"] for k in range(20)) > 0
+
+
 def test_folds_deal_each_class_evenly(spark, cohort):
     feature_book.run(spark, *cohort)
     per = feature_book.read(spark, cohort[2], "cases").filter("label is not null").groupBy("label", "fold").count().toPandas()
@@ -201,9 +222,9 @@ def test_folds_deal_each_class_evenly(spark, cohort):
 
 def test_book_reruns_and_follows_its_input(spark, cohort):
     feature_book.run(spark, *cohort)
-    first = [ordered(feature_book.read(spark, cohort[2], n)) for n in ("cases", "book")]
+    first = [ordered(feature_book.read(spark, cohort[2], n)) for n in ("cases", "scales", "book")]
     feature_book.run(spark, *cohort)
-    assert [ordered(feature_book.read(spark, cohort[2], n)) for n in ("cases", "book")] == first
+    assert [ordered(feature_book.read(spark, cohort[2], n)) for n in ("cases", "scales", "book")] == first
     spark.createDataFrame([("50", "one more", "kept", 0)], "doc_id string, text string, label string, fold int").write.mode("append").parquet(cohort[0])
     assert feature_book.run(spark, *cohort)["cases"] == 37
     two = common.config("feature_book") | {"folds": 2}
@@ -215,7 +236,8 @@ def test_book_without_labels_or_rows(spark, tmp_path):
     texts = spark.createDataFrame([("1", "a b")], "doc_id string, text string")
     marks = spark.createDataFrame([], "doc_id string, quality string")
     settings = common.config("feature_book")
-    made = feature_book.book(feature_book.cases(texts, marks, settings), settings).collect()
+    rows = feature_book.cases(texts, marks, settings)
+    made = feature_book.book(rows, feature_book.scales(rows, settings), settings).collect()
     assert len(made) == 4 and {r["role"] for r in made} == {"apply"} and all(r["log_chars"] == 0.0 for r in made)
     texts.limit(0).write.parquet(f"{tmp_path}/documents")
     marks.write.parquet(f"{tmp_path}/labels")
