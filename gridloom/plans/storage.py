@@ -98,6 +98,21 @@ def case_discovery(t: Tables) -> DataFrame:
     return found.distinct()
 
 
+@query("s11_volume_placement", """with c as (select distinct vec_id // 4 c from embeddings)
+  select c::varchar case_id, c / 8.0::double ox, 1 - c::double oy, 0.1::double oz, (c % 2 = 0)::int::double xx, (c % 2 = 0)::int - 1::double xy, (c % 2)::double yx, 1.0::double zz from c""")
+def volume_placement(t: Tables) -> DataFrame:
+    """Cropped volumes that are written with their own origins, every second one turned by a right angle, and read again."""
+    c = F.col("case_id").cast("long")
+    turned = F.array(*(F.lit(float(v)) for v in (0, -1, 0, 1, 0, 0, 0, 0, 1)))
+    straight = F.array(*(F.lit(v) for v in volumes.NOWHERE[1]))
+    placed = stacks(t).withColumns({"origin": F.array(c / 8, 1 - c.cast("double"), F.lit(0.1)), "direction": F.when(c % 2 == 0, straight).otherwise(turned)})
+    path = shared_path(t.spark, "volumes")
+    volumes.encoded(placed).write.parquet(path)
+    origin = [F.col("origin")[k].alias(n) for k, n in enumerate(("ox", "oy", "oz"))]
+    direction = [F.col("direction")[k].alias(n) for k, n in ((0, "xx"), (1, "xy"), (3, "yx"), (8, "zz"))]
+    return volumes.scan(t.spark.read.parquet(path)).select("case_id", *origin, *direction).distinct()
+
+
 @query("s11_voxel_origin", "select c_custkey, round(1 + c_nationkey * 0.5::double, 6) ox, round(2 + (c_custkey % 7) * 3.0::double, 6) oy from customer")
 def voxel_origin(t: Tables) -> DataFrame:
     index = F.array(F.col("c_nationkey").cast("double"), (F.col("c_custkey") % 7).cast("double"))

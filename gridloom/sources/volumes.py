@@ -15,8 +15,13 @@ ELEMENTS = {"MET_CHAR": "i1", "MET_UCHAR": "u1", "MET_SHORT": "<i2", "MET_USHORT
 SLICES = "case_id string, z int, h int, w int, sz double, sy double, sx double, v array<float>"
 
 
-def decode(content: bytes) -> tuple[np.ndarray, tuple[float, float, float]]:
-    """(values by z, y and x; spacing in that order) of a MetaImage file with its data inside, packed or not."""
+#: Where volumes lie: the first voxel's place by x, y and z, and the direction matrix, row by row.
+PLACEMENT = "origin array<double>, direction array<double>"
+NOWHERE = ([0.0, 0.0, 0.0], [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0])
+
+
+def header(content: bytes) -> tuple[dict[str, str], int]:
+    """(fields of a MetaImage header, where its data begin)."""
     at, fields = 0, {}
     while True:
         end = content.index(b"\n", at)
@@ -24,42 +29,65 @@ def decode(content: bytes) -> tuple[np.ndarray, tuple[float, float, float]]:
         fields[name.strip()] = value.strip()
         at = end + 1
         if name.strip() == "ElementDataFile":
-            break
+            return fields, at
+
+
+def numbers(text: str) -> list[float]:
+    return [float(n) for n in text.split()]
+
+
+def decode(content: bytes) -> tuple[np.ndarray, tuple[float, float, float]]:
+    """(values by z, y and x; spacing in that order) of a MetaImage file with its data inside, packed or not."""
+    fields, at = header(content)
     size = [int(n) for n in fields["DimSize"].split()]
     raw = zlib.decompress(content[at:]) if fields.get("CompressedData", "False") == "True" else content[at:]
     values = np.frombuffer(raw, ELEMENTS[fields["ElementType"]], int(np.prod(size))).reshape(size[::-1])
-    spacing = [float(s) for s in fields.get("ElementSpacing", "1 1 1").split()]
-    return values, tuple(spacing[::-1])
+    return values, tuple(numbers(fields.get("ElementSpacing", "1 1 1"))[::-1])
+
+
+def placement(content: bytes) -> tuple[list[float], list[float]]:
+    """(origin, direction matrix row by row) of a MetaImage file, which holds the matrix axis by axis; a plane's, or none, is completed."""
+    fields, _ = header(content)
+    named = next((fields[n] for n in ("Offset", "Origin", "Position") if n in fields), "")
+    place, told = numbers(named), numbers(next((fields[n] for n in ("TransformMatrix", "Orientation", "Rotation") if n in fields), ""))
+    matrix, n = np.eye(3), int(round(len(told) ** 0.5))
+    if n and n * n == len(told):
+        matrix[:n, :n] = np.array(told).reshape(n, n).T
+    return [*place, *NOWHERE[0]][:3], matrix.ravel().tolist()
 
 
-def encode(values: np.ndarray, spacing: Sequence[float], compress: bool = True) -> bytes:
+def encode(values: np.ndarray, spacing: Sequence[float], compress: bool = True, origin: Sequence[float] = NOWHERE[0], direction: Sequence[float] = NOWHERE[1]) -> bytes:
+    """A MetaImage file of a volume; origin by x, y and z, direction row by row."""
     kind = next(k for k, d in ELEMENTS.items() if np.dtype(d) == values.dtype)
     data = values.tobytes()
     data = zlib.compress(data) if compress else data
+    text = lambda numbers_: " ".join(repr(float(n)) for n in numbers_)
+    axes = np.array(direction, float).reshape(3, 3)[: values.ndim, : values.ndim].T.ravel()
     fields = {
-        "ObjectType": "Image", "NDims": values.ndim, "BinaryData": "True", "BinaryDataByteOrderMSB": "False", "CompressedData": compress,
-        "ElementSpacing": " ".join(map(str, spacing[::-1])), "DimSize": " ".join(map(str, values.shape[::-1])), "ElementType": kind, "ElementDataFile": "LOCAL",
+        "ObjectType": "Image", "NDims": values.ndim, "BinaryData": "True", "BinaryDataByteOrderMSB": "False", "CompressedData": compress, "TransformMatrix": text(axes), "Offset": text(origin[: values.ndim]),
+        "ElementSpacing": text(spacing[::-1]), "DimSize": " ".join(map(str, values.shape[::-1])), "ElementType": kind, "ElementDataFile": "LOCAL",
     }
     return "".join(f"{k} = {v}\n" for k, v in fields.items()).encode() + data
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """Slices of the volumes in (case_id, path, content); a file that can't be decoded gives none."""
+    """Slices of the volumes in (case_id, path, content), with where these lie; a file that can't be decoded gives none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for case, content in zip(batch["case_id"], batch["content"], strict=True):
                 try:
                     values, (sz, sy, sx) = decode(bytes(content))
+                    place, matrix = placement(bytes(content))
                 except (ValueError, KeyError, UnicodeDecodeError, zlib.error):
                     continue
                 values = values.reshape((1, *values.shape)) if values.ndim == 2 else values
                 yield pd.DataFrame({
                     "case_id": case, "z": np.arange(len(values), dtype=np.int32), "h": np.int32(values.shape[1]), "w": np.int32(values.shape[2]),
-                    "sz": sz, "sy": sy, "sx": sx, "v": [s.reshape(-1).astype(np.float32) for s in values],
+                    "sz": sz, "sy": sy, "sx": sx, "v": [s.reshape(-1).astype(np.float32) for s in values], "origin": [place] * len(values), "direction": [matrix] * len(values),
                 })
 
-    return files.select("case_id", "content").mapInPandas(run, SLICES)
+    return files.select("case_id", "content").mapInPandas(run, f"{SLICES}, {PLACEMENT}")
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,13 +114,15 @@ def same_shape(*tables: DataFrame) -> DataFrame:
 
 
 def encoded(slices: DataFrame) -> DataFrame:
-    """(case_id, content): each case's slices as one MetaImage file."""
+    """(case_id, content): each case's slices as one MetaImage file, with origin and direction where the slices have them."""
+    placed = {"origin", "direction"} <= set(slices.columns)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("z")
         first = pdf.iloc[0]
         values = np.stack([np.asarray(v, np.float32).reshape(first.h, first.w) for v in pdf["v"]])
-        return pd.DataFrame({"case_id": [first.case_id], "content": [encode(values, (first.sz, first.sy, first.sx))]})
+        where = (first.origin, first.direction) if placed else NOWHERE
+        return pd.DataFrame({"case_id": [first.case_id], "content": [encode(values, (first.sz, first.sy, first.sx), True, *where)]})
 
     return slices.groupBy("case_id").applyInPandas(pack, "case_id string, content binary")
 

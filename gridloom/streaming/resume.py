@@ -35,8 +35,9 @@ def append_missing(rows: DataFrame, path: str, key: str, buckets: int = BUCKETS)
     fall in are listed and read, so a small batch doesn't meet all that was published.
     """
     spark = rows.sparkSession
-    placed = rows.dropDuplicates([key]).withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    missing = placed.join(held_keys(spark, path, rows.select(key).schema, [r[0] for r in placed.select(BUCKET).distinct().collect()]), key, "left_anti")
+    placed = rows.withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    touched = [r[0] for r in placed.select(BUCKET).distinct().collect()]
+    missing = placed.dropDuplicates([key]).join(held_keys(spark, path, rows.select(key).schema, touched), key, "left_anti")
     missing.repartition(BUCKET).write.mode("append").partitionBy(BUCKET).parquet(path)
 
 
@@ -45,18 +46,17 @@ BUCKET = "_bucket_"
 
 def held_keys(spark: SparkSession, path: str, schema: T.StructType, touched: Sequence[int]) -> DataFrame:
     """The keys in some of the sink's folders; those that aren't there have none."""
-    parts = []
-    for bucket in sorted(touched):
-        try:
-            parts.append(spark.read.schema(schema).parquet(f"{path}/{BUCKET}={bucket}"))
-        except AnalysisException:
-            continue
+    folders = [f"{path}/{BUCKET}={bucket}" for bucket in sorted(touched)]
+    try:
+        return spark.read.schema(schema).parquet(*folders)
+    except AnalysisException:
+        parts = [published(spark, folder, schema) for folder in folders]
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
-def resume_stream(source: DataFrame, path: str, checkpoint: str, key: str) -> None:
+def resume_stream(source: DataFrame, path: str, checkpoint: str, key: str, buckets: int = BUCKETS) -> None:
     """Run a streaming table up to its present end, each batch appended once: keys that the sink holds, from an earlier try or run, are skipped."""
-    query = source.writeStream.foreachBatch(lambda batch, _: append_missing(batch, path, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = source.writeStream.foreachBatch(lambda batch, _: append_missing(batch, path, key, buckets)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 

@@ -91,3 +91,24 @@ def test_a_batch_reads_the_folders_of_its_own_keys(spark, tmp_path):
     resume.append_missing(few, path, "id")
     got = resume.published(spark, path, rows.schema)
     assert got.count() == 301 and got.filter("id = 3").first()["v"] == 6
+
+
+def test_volumes_keep_their_place(spark):
+    import numpy as np
+
+    from gridloom.sources import volumes
+
+    x = np.arange(24, dtype=np.float32).reshape(2, 3, 4)
+    turn = [0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+    content = volumes.encode(x, (3.0, 0.5, 0.25), True, (1.5, -2.0, 1e-9), turn)
+    values, spacing = volumes.decode(content)
+    assert np.array_equal(values, x) and spacing == (3.0, 0.5, 0.25) and volumes.placement(content) == ([1.5, -2.0, 1e-9], turn)
+    # The file holds the matrix axis by axis.
+    assert b"TransformMatrix = 0.0 1.0 0.0 -1.0 0.0 0.0 0.0 0.0 1.0" in content
+    bare = b"NDims = 2\nDimSize = 2 1\nElementType = MET_UCHAR\nElementDataFile = LOCAL\n\x01\x02"
+    assert volumes.placement(bare) == ([0.0, 0.0, 0.0], volumes.NOWHERE[1])
+    plane = volumes.encode(x[0], (0.5, 0.25), False, (4.0, 5.0, 6.0), turn)
+    assert volumes.placement(plane) == ([4.0, 5.0, 0.0], turn)
+    files = spark.createDataFrame([("a", bytearray(content)), ("b", bytearray(b"no volume"))], "case_id string, content binary")
+    rows = volumes.scan(volumes.encoded(volumes.scan(files)).select("case_id", "content")).collect()
+    assert len(rows) == 2 and all(r["origin"] == [1.5, -2.0, 1e-9] and r["direction"] == turn for r in rows)
