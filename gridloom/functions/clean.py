@@ -87,6 +87,34 @@ def family(c: Column) -> Column:
     return by_rules(c, FAMILIES, "other")
 
 
+#: What parts of feature names are shown as, in the order in which they are replaced.
+SHORT = (
+    ("_count_ge_threshold", " count ge thr"), ("_frac_ge_threshold", " frac ge thr"), ("_likelihood", ""), ("_smoothed_heatmap", " smooth"), ("_heatmap", " heat"),
+    ("_dominant_cspca_cluster", " cluster"), ("_largest_hotspot", " hotspot"), ("_count_ge_", " ge"), ("_frac_ge_", " frac ge"), ("_top", " top"), ("_mean", " mean"), ("_std", " sd"),
+    ("_median", " med"), ("_", " "),
+)
+
+
+def short_name(c: Column, most: int = 54) -> Column:
+    """A feature's name for display: a leading scale as S1 to S3, known parts shortened, cut with a full stop where it is longer than ``most``."""
+    text = F.regexp_replace(c.cast("string"), "^s([123])_", "S$1 ")
+    for part, shown in SHORT:
+        text = F.replace(text, F.lit(part), F.lit(shown))
+    text = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.when(F.char_length(text) <= most, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, most - 1)), F.lit(".")))
+
+
+def plain_name(c: Column) -> Column:
+    """A file's or a table's name without its ending and its prefix."""
+    return F.replace(F.replace(c.cast("string"), F.lit(".xlsx"), F.lit("")), F.lit("feature--"), F.lit(""))
+
+
+def file_of(candidate: Column) -> Column:
+    """The file of a candidate's id, its third part; an id of fewer parts is the file."""
+    parts = F.split(candidate, r"\|\|")
+    return plain_name(F.when(F.size(parts) >= 3, F.get(parts, F.lit(2))).otherwise(candidate))
+
+
 def sorted_json(params: Column) -> Column:
     """A map as JSON with its keys in order; null or empty is {}."""
     entries = F.array_sort(F.map_entries(params))

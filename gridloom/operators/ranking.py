@@ -35,6 +35,15 @@ def best_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column]
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).filter(F.col("_r") <= n).drop("_r")
 
 
+def penalised(df: DataFrame, groups: Sequence[str], mean: str, spread: str, penalty: float, out: str) -> DataFrame:
+    """df with ``out``, the mean less a share of the spread; an unknown spread is the group's largest, or 0 where none is known, and an unknown mean comes last.
+
+    A group is a fold's candidates, of which there are few.
+    """
+    largest = F.max(spread).over(Window.partitionBy(*groups))
+    return df.withColumn(out, F.coalesce(mean, F.lit(float("-inf"))) - penalty * F.coalesce(spread, largest, F.lit(0.0)))
+
+
 def every_nth(df: DataFrame, group: str, order: Sequence[Column | str], step: int) -> DataFrame:
     """Rows 1, step + 1, 2 step + 1, ... of each group."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter((F.col("_r") - 1) % step == 0).drop("_r")

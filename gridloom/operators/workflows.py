@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import kept
@@ -65,6 +65,28 @@ def stacked_external(models: DataFrame, oof: DataFrame, table: DataFrame, key: s
     return placed.groupBy(key).agg((F.sum(F.col("z") * F.col("_w")) / F.sum("_w")).alias("score"))
 
 
+def candidate_status(scores: DataFrame, train: DataFrame, held: DataFrame, key: str, least: float) -> DataFrame:
+    """(candidate, coverage, missing_train, missing_held, examples, kept): whether a candidate scores enough of the training keys and all held-out ones.
+
+    scores: candidate, key and score. A candidate without is named with the first eight keys that it
+    misses. Only keys are paired with candidates, of which there are few; examples are the least
+    keys of partial lists, so no task gathers what is missing.
+    """
+    names = scores.select("candidate").distinct()
+    asked = train.select(key, F.lit(True).alias("_train")).distinct().unionByName(held.select(key, F.lit(False).alias("_train")).distinct())
+    known = scores.filter(F.col("score").isNotNull() & ~F.isnan("score")).select("candidate", key).distinct().withColumn("_there", F.lit(True))
+    met = asked.crossJoin(F.broadcast(names)).join(known, ["candidate", key], "left").withColumn("_gone", F.col("_there").isNull())
+    counts = met.groupBy("candidate").agg(
+        F.count_if("_train").alias("_n"), F.count_if(F.col("_train") & F.col("_gone")).alias("missing_train"), F.count_if(~F.col("_train") & F.col("_gone")).alias("missing_held"),
+    )
+    gone = met.filter("_gone").withColumn("_r", F.row_number().over(Window.partitionBy("candidate").orderBy(key))).filter("_r <= 8")
+    examples = gone.groupBy("candidate").agg(F.array_sort(F.collect_list(key)).alias("examples"))
+    coverage = F.coalesce(1 - F.try_divide(F.col("missing_train"), F.col("_n")), F.lit(0.0))
+    told = counts.join(examples, "candidate", "left").withColumn("coverage", coverage)
+    told = told.withColumn("examples", F.coalesce("examples", F.array().cast(f"array<{train.schema[key].dataType.simpleString()}>")))
+    return told.select("candidate", "coverage", "missing_train", "missing_held", "examples", ((F.col("coverage") >= least) & (F.col("missing_held") == 0)).alias("kept"))
+
+
 def best_bases(oof: DataFrame, k: int) -> DataFrame:
     """The k candidates with the largest out-of-fold AUC; those without one come last."""
     ranked = auc_ap(oof, ["candidate"], "y", "score").withColumn("_v", F.coalesce("auc", F.lit(-1.0)))

@@ -180,6 +180,22 @@ def name_taxonomy(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", clean.by_rules(text, rules, "other").alias("fam"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("head"))
 
 
+_SHOWN = "regexp_replace('s' || (p_size % 5 + 1) || '_' || replace(lower(p_type), ' ', '_') || '_likelihood_smoothed_heatmap_' || case p_size % 4 when 0 then 'mean' when 1 then 'top10_mean' when 2 then 'count_ge_threshold' else 'median' end, '^s([123])_', 'S\\1 ')"
+for _part, _text in clean.SHORT:
+    _SHOWN = f"replace({_SHOWN}, '{_part}', '{_text}')"
+
+
+@query("p21_short_names", f"""with s as (select p_partkey, trim(regexp_replace({_SHOWN}, '\\s+', ' ', 'g')) t from part)
+  select p_partkey, case when length(t) <= 26 then t else rtrim(t[:25]) || '.' end shown, case when p_partkey % 2 = 0 then 'book' || p_partkey else 'lr||k=' || p_partkey end file from s join part using (p_partkey)""")
+def short_names(t: Tables) -> DataFrame:
+    """Feature names for display, and the files of candidates' ids."""
+    kind = F.when(F.col("p_size") % 4 == 0, "mean").when(F.col("p_size") % 4 == 1, "top10_mean").when(F.col("p_size") % 4 == 2, "count_ge_threshold").otherwise("median")
+    name = F.concat(F.lit("s"), (F.col("p_size") % 5 + 1).cast("string"), F.lit("_"), F.replace(F.lower("p_type"), F.lit(" "), F.lit("_")), F.lit("_likelihood_smoothed_heatmap_"), kind)
+    key = F.col("p_partkey").cast("string")
+    candidate = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("lr||k=5||feature--book"), key, F.lit(".xlsx"))).otherwise(F.concat(F.lit("lr||k="), key))
+    return t.part.select("p_partkey", clean.short_name(name, 26).alias("shown"), clean.file_of(candidate).alias("file"))
+
+
 @query("p22_parameter_keys", """select p_partkey, '{"k":"' || p_size || '","type":"' || p_type || '"}' params, case when p_size % 3 = 0 then 'off' else '0.' || (p_size % 9 + 1) end pca,
   p_brand || '||' || '{"k":"' || p_size || '","type":"' || p_type || '"}' || '||' || case when p_size % 3 = 0 then 'off' else '0.' || (p_size % 9 + 1) end cid from part""")
 def parameter_keys(t: Tables) -> DataFrame:

@@ -45,6 +45,22 @@ def training_patches(t: Tables) -> DataFrame:
     return cases.training_choice(labelled_patches(t), 7).select("case", "y", "x", "patch_source")
 
 
+@query("l12_candidate_status", """with s as (select distinct o_orderpriority candidate, o_custkey k from orders where o_totalprice > 100000), n as (select distinct candidate from s),
+  a as (select c_custkey k, c_nationkey < 20 train from customer where c_nationkey < 20 or c_custkey in (select k from s where candidate = '1-URGENT')),
+  m as (select n.candidate, a.k, train, s.k is null gone from a cross join n left join s on s.candidate = n.candidate and s.k = a.k),
+  g as (select candidate, list(k order by k)[1:8] e from m where gone group by 1),
+  c as (select candidate, count(*) filter (train) n, count(*) filter (train and gone) missing_train, count(*) filter (not train and gone) missing_held from m group by 1)
+  select candidate, round(1 - missing_train / n, 6) coverage, missing_train::bigint missing_train, missing_held::bigint missing_held, array_to_string(coalesce(e, []), ',') examples,
+  1 - missing_train / n >= 0.5 and missing_held = 0 kept from c left join g using (candidate)""")
+def candidate_status(t: Tables) -> DataFrame:
+    """Which priorities' large orders reach half of the customers of most nations, and all others that one of them reaches."""
+    scores = t.orders.filter("o_totalprice > 100000").select(F.col("o_orderpriority").alias("candidate"), F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("score"))
+    customers = t.customer.select(F.col("c_custkey").alias("k"), "c_nationkey")
+    held = customers.filter("c_nationkey >= 20").join(scores.filter("candidate = '1-URGENT'"), "k", "left_semi")
+    made = workflows.candidate_status(scores, customers.filter("c_nationkey < 20"), held, "k", 0.5)
+    return made.select("candidate", F.round("coverage", 6).alias("coverage"), "missing_train", "missing_held", F.array_join("examples", ",").alias("examples"), "kept")
+
+
 @query("l16_patch_likelihoods", f"""with {CELLS}, p as (select c, y, x, 1 / (1 + exp(-v)) a, x / 7.0::double b from cells)
   select c as "case", y, x, round(a, 6) cs, round(1 - a, 6) non_cs, round(1 - b, 6) pz, round(b, 6) tz, round(a * (1 - b), 6) cs_pz, round(a * b, 6) cs_tz from p""")
 def patch_likelihoods(t: Tables) -> DataFrame:

@@ -140,3 +140,17 @@ def test_max_pool_learns_a_marked_instance():
     before = loss()
     probe.w[0][k[1], k[2]] += eps
     assert (loss() - before) / eps == pytest.approx(g[k[1], k[2]], abs=1e-4)
+
+
+def test_names_for_display(spark):
+    raw = [("s1_csPCa_likelihood_smoothed_heatmap_count_ge_threshold",), ("s4_PZ_heatmap_top10_mean",), ("a_largest_hotspot_mm3",), ("x" * 60,), (None,)]
+    assert values(spark, raw, "n string", clean.short_name(F.col("n"))) == ["S1 csPCa smooth count ge thr", "s4 PZ heat top10 mean", "a hotspot mm3", "x" * 53 + ".", None]
+    ids = [("fs||k=5||feature--book.xlsx||lr",), ("feature--book.xlsx",), ("a||b",)]
+    assert values(spark, ids, "i string", clean.file_of(F.col("i"))) == ["book", "book", "a||b"]
+
+
+def test_an_unknown_spread_costs_the_largest(spark):
+    rows = [("g", "a", 0.8, None), ("g", "b", 0.8, 0.1), ("g", "c", None, 0.0), ("h", "d", 0.5, None)]
+    df = spark.createDataFrame(rows, "g string, c string, m double, s double")
+    got = {r["c"]: r["p"] for r in ranking.penalised(df.withColumn("s", F.when(F.col("c") == "c", 0.3).otherwise(F.col("s"))), ["g"], "m", "s", 0.5, "p").collect()}
+    assert got == {"a": pytest.approx(0.65), "b": pytest.approx(0.75), "c": -math.inf, "d": 0.5}

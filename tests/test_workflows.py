@@ -139,3 +139,12 @@ def test_a_failed_publish_keeps_the_old_table(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
     tables.publish(spark.read.parquet(path).filter("id > 0"), path)
     assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [1, 2]
+
+
+def test_candidates_that_miss_keys_are_named(spark):
+    scores = [("full", k, 0.5) for k in range(12)] + [("short", k, 0.5) for k in range(3)] + [("short", k, 0.5) for k in (10, 11)] + [("holes", k, None if k == 11 else 0.1) for k in range(12)]
+    df = spark.createDataFrame(scores, "candidate string, k int, score double")
+    train, held = spark.range(10).selectExpr("cast(id as int) k"), spark.range(10, 12).selectExpr("cast(id as int) k")
+    got = {r["candidate"]: (r["coverage"], r["missing_train"], r["missing_held"], list(r["examples"]), r["kept"]) for r in workflows.candidate_status(df, train, held, "k", 0.5).collect()}
+    assert got == {"full": (1.0, 0, 0, [], True), "short": (pytest.approx(0.3), 7, 0, [3, 4, 5, 6, 7, 8, 9], False), "holes": (1.0, 0, 1, [11], False)}
+    assert workflows.candidate_status(df, train.limit(0), held, "k", 0.5).filter("kept").count() == 0
