@@ -164,8 +164,18 @@ def curve_report(t: Tables) -> DataFrame:
     return made.select(F.concat(F.lit("pooled "), F.col("fold").cast("string")).alias("variant"), *(F.round(c, 8).alias(c) for c in ("auc", "ap", "prevalence")))
 
 
-@query("r13_combined_report", METRICS.replace("select fold, n,", "select 'late' experiment, fold, n,").rsplit("select 'late'", 1)[0] + "select 'late' experiment, sum(n)::bigint n, round(avg(auc), 6) auc from q left join a using (fold)")
+@query("r13_combined_report", FUSED + """s as (select 'first' experiment, fold, y, an score from r union all select 'second', fold, y, bn from r union all select 'late', fold, y, score from f),
+  p as (select experiment, fold, score, sum(y)::double py, sum(1 - y)::double ny from s group by 1, 2, 3),
+  k as (select *, sum(ny) over (partition by experiment, fold order by score desc) fp, sum(py) over (partition by experiment, fold) pos, sum(ny) over (partition by experiment, fold) neg from p),
+  a as (select experiment, fold, sum(py * (neg - fp) + py * ny / 2) / max(pos * neg) auc from k where pos > 0 and neg > 0 group by 1, 2),
+  n as (select experiment, fold, count(*) n, avg((y = (score >= 0.5)::int)::int) acc from s group by 1, 2)
+  select experiment, sum(n)::bigint n, count(auc)::bigint folds, round(avg(auc), 6) auc_mean, round(stddev_pop(auc), 6) auc_std, round(avg(acc), 6) acc_mean from n left join a using (experiment, fold) group by 1""")
 def combined_report(t: Tables) -> DataFrame:
-    f = fused(t).withColumn("pred", (F.col("score") >= 0.5).cast("int"))
-    m = metrics.binary_metrics(f, ["fold"], "y", "score", "pred").withColumn("experiment", F.lit("late"))
-    return m.groupBy("experiment").agg(F.sum("n").alias("n"), F.round(F.avg("auc"), 6).alias("auc"))
+    """Both sources and their late fusion side by side: cases, folds with both classes, and the spread of their metrics."""
+    f = fused(t)
+    parts = [f.select("doc_id", "fold", "y", F.col(c).alias("score"), F.lit(name).alias("experiment")) for name, c in (("first", "a_norm"), ("second", "b_norm"), ("late", "score"))]
+    long = reduce(DataFrame.unionByName, parts).withColumn("pred", (F.col("score") >= 0.5).cast("int"))
+    m = metrics.binary_metrics(long, ["experiment", "fold"], "y", "score", "pred")
+    return rounded(m.groupBy("experiment").agg(
+        F.sum("n").alias("n"), F.count("auc").alias("folds"), F.avg("auc").alias("auc_mean"), F.stddev_pop("auc").alias("auc_std"), F.avg("acc").alias("acc_mean"),
+    ))

@@ -167,9 +167,13 @@ def first_layout(t: Tables) -> DataFrame:
     return tables.first_layout(t.spark, [new, old], t.nation.schema, {"bal_acc": "balanced_acc"})
 
 
-@query("g01_resample")
+@query("g01_resample", """with a as (select i::int i, i * 0.8::double / 0.5::double p from range(5) r(i)), g as (select i, floor(p)::int lo, p - floor(p) f from a),
+  w as (select i, lo at_, 1 - f w from g union all select i, least(lo + 1, 7), f from g)
+  select (vec_id // 4)::varchar case_id, (vec_id % 4)::int z, u.i y, v.i x, round(sum(u.w * v.w * embedding[u.at_ * 8 + v.at_ + 1]::double)::float::double, 5) v from embeddings, w u, w v group by vec_id, u.i, v.i""")
 def resample(t: Tables) -> DataFrame:
-    return volumes.voxels(volumes.resampled(stacks(t), (3.0, 1.0, 1.0))).select("case_id", "z", "y", "x", F.round(F.col("v").cast("double"), 6).alias("v"))
+    """Layers on a grid of 0.8 mm in place of 0.5: five by five cells, each between four old ones."""
+    made = volumes.voxels(volumes.resampled(stacks(t), (3.0, 0.8, 0.8)))
+    return made.select("case_id", "z", "y", "x", F.round(F.col("v").cast("double"), 5).alias("v"))
 
 
 @query("r02_valid_results", "select 'same' what, true ok union all select 'less', false union all select 'aligned', true")
