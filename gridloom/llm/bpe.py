@@ -11,7 +11,9 @@ worker and kept in a bounded memo.
 Cases: a null text encodes as an empty one; strings of special tokens inside a
 text become those tokens, as the tokenizers library does unless told otherwise;
 ids that are not in the vocabulary decode to nothing; byte sequences that are
-not UTF-8 decode with replacement characters; null ids decode to null.
+not UTF-8 decode with replacement characters; null ids decode to null. Equal rows give
+equal rows; very long texts are coded whole; a column called as the result is replaced,
+all others pass through; an empty table gives no rows.
 """
 
 from __future__ import annotations

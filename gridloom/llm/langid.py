@@ -10,7 +10,9 @@ largest corrected count decides.
 Cases: a null text, or one without a letter, is ``und`` with score 0; a text
 whose n-grams no filter holds gets the commonest learned language with score 0;
 ties go to the commoner language, then to the earlier code; without any
-training row every text is ``und``.
+training row every text is ``und``. Equal rows get equal answers; very long texts
+are read whole, piece by piece; columns called as the results are replaced, all
+others pass through; an empty table gives no rows.
 """
 
 from __future__ import annotations

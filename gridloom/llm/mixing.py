@@ -9,8 +9,9 @@ source with a third of all rows is summed by many tasks.
 
 Cases: sources are ordered by code point, null last and a source of its own; a
 document without words has size 0, and takes part with no words; sources without
-words have target 0; equal rows are interchangeable; an empty table gives no
-rows. Every source takes exactly the whole part of its target.
+words have target 0; equal rows are interchangeable; columns but id, source and size
+aren't read; an empty table gives no rows. Every source takes exactly the whole part
+of its target.
 """
 
 from __future__ import annotations

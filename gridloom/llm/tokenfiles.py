@@ -10,7 +10,8 @@ number and length.
 Cases: a document without tokens counts 0; what follows the last separator is a
 last document if it has tokens; bytes that don't fill an id at a file's end are
 not a token; an empty file has no document; a file may hold 2 GB, which is what
-Spark reads as one.
+Spark reads as one. Null texts are empty documents; rows with equal ids are documents
+of their own; other columns aren't read.
 """
 
 from __future__ import annotations

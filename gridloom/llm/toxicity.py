@@ -10,7 +10,10 @@ driver sees these texts' chosen features alone, and every whole text is scored.
 
 Cases: null and empty texts have no features and score the model's bias; a
 document labelled more than once is toxic if any label says so; null labels and
-ids are left out; without a toxic training text every score is 0.
+ids are left out; without a toxic training text, or without training texts at all,
+every score is next to 0 (below 1e-12). Equal rows get equal scores; very long texts
+are read whole; a column called as the score is replaced, all others pass through; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -13,7 +13,11 @@ with the smallest id is the response, the others are revisit records of it.
 Cases: a null payload is an empty one; rows with the same id and payload are all
 responses if theirs is the smallest id; a null id is written as an empty one and
 read as null; line breaks and blanks in a URL are percent-encoded; a null URL is
-left out; archives too small for a dictionary have an empty dictionary frame.
+left out; archives too small for a dictionary have an empty dictionary frame. Ids are
+whole numbers; those of another kind are written, but ``read`` stops at them. Very long
+payloads are written and read whole, in an archive of their own if need be; columns
+but id, URL and payload aren't written, whatever their names; an empty table gives
+archives without records.
 """
 
 from __future__ import annotations
