@@ -88,3 +88,27 @@ def numbered(df: DataFrame, order: Sequence[Column | str], out: str, groups: Seq
     inside = ranged.withColumn(out, F.row_number().over(Window.partitionBy(*groups, PART).orderBy(*order)))
     ahead = totals_ahead(ranged, groups, {"_n": F.count(F.lit(1))})
     return beside(inside, ahead, [*groups, PART], "inner").withColumn(out, (F.col(out) + F.col(f"_n{AHEAD}")).cast("long")).drop(PART, f"_n{AHEAD}", "_n_all")
+
+
+def medians(df: DataFrame, groups: Sequence[str], value: str, out: str, accuracy: int = 10_000) -> DataFrame:
+    """(groups, out): exact medians of groups of any size, nulls left out.
+
+    An approximate pass gives each group two values with the middle between them; what lies
+    below is counted, and only what lies between is ordered, some 0.2% of the rows. Groups
+    whose middle the two values miss are worked out whole.
+    """
+    rows, slack = df.filter(F.col(value).isNotNull()), 10 / accuracy
+    ends = F.percentile_approx(value, [0.5 - slack, 0.5 + slack], accuracy)
+    told = kept(rows.groupBy(*groups).agg(ends.alias("_e"), F.count(F.lit(1)).alias("_all")).select(*groups, "_all", F.col("_e")[0].alias("_lo"), F.col("_e")[1].alias("_hi")), "middles")
+    met = beside(rows, F.broadcast(told), groups, "inner").filter(F.col(value) <= F.col("_hi"))
+    per = met.groupBy(*groups, "_all", F.when(F.col(value) >= F.col("_lo"), F.col(value)).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*groups).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    first, second = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    found = per.withColumn("_upto", upto).groupBy(*groups).agg(
+        (F.min(F.when(F.col("_upto") >= first, F.col("_v"))) * 0.5 + F.min(F.when(F.col("_upto") >= second, F.col("_v"))) * 0.5).alias(out),
+        (F.coalesce(F.max(F.when(F.col("_v").isNull(), F.col("_n"))), F.lit(0)) < F.max(first)).alias("_above"), (F.max("_upto") >= F.max(second)).alias("_below"),
+    )
+    found = kept(found.select(*groups, F.when(F.col("_above") & F.col("_below"), F.col(out)).alias(out)), "medians")
+    missed = found.filter(F.col(out).isNull()).select(*groups)
+    whole = beside(rows, F.broadcast(missed), groups, "inner").groupBy(*groups).agg(F.median(value).alias(out))
+    return found.filter(F.col(out).isNotNull()).unionByName(whole)

@@ -2,11 +2,13 @@
 
 import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import metrics, ordered
+from gridloom.plans.aggregates import icc_table
 
 
 @pytest.fixture
@@ -129,3 +131,21 @@ def test_empty_tables(spark):
     assert ordered.ecdf(none, table(spark), ["g"], "v", "u").filter("u is not null").count() == 0
     assert ordered.numbered(none, ["id"], "n").count() == 0
     assert metrics.auc_ap(none, ["g"], "y", "v").count() == 0
+
+
+def test_medians_are_exact_whatever_the_approximate_ends(spark):
+    r = random.Random(5)
+    groups = {"many": [r.random() for _ in range(4001)], "even": [r.choice((1.0, 2.0)) for _ in range(1000)] + [7.5] * 1000, "one": [3.0], "two": [1.0, 4.0], "flat": [2.0] * 50, "null": [None, None], "skew": [0.0] * 7 + [9.0] * 7}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double").repartition(4)
+    want = {g: statistics.median(vs) for g, vs in groups.items() if vs[0] is not None}
+    for accuracy in (10_000, 200, 40):
+        assert {x["g"]: x["m"] for x in ordered.medians(df, ["g"], "v", "m", accuracy).collect()} == pytest.approx(want, abs=0, rel=0)
+
+
+def test_raters_meet_without_shuffling_their_long_form(spark):
+    rows = [(k, float(k % 7), float(k)) for k in range(500)]
+    a, b = (spark.createDataFrame([(k, x + s, y) for k, x, y in rows], "id long, p double, q double") for s in (0.0, 0.5))
+    told = {x["feature"]: x for x in icc_table(a, b, ["id"], ["p", "q"]).collect()}
+    assert told["q"]["icc"] == pytest.approx(1.0) and told["p"]["stable"] and told["q"]["constant_share"] == pytest.approx(1 / 500, abs=0.05)
+    plan = icc_table(a, b, ["id"], ["p", "q"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "id#" not in plan
