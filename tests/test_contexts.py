@@ -93,3 +93,16 @@ def test_every_feature_of_every_centre(spark, shape, radius):
         assert row["a_b_core_corr"] == pytest.approx(np.corrcoef(x, y)[0, 1] if min(x.std(), y.std()) > EPS else 0)
         assert row["a_b_core_median_diff"] == pytest.approx(np.median(x) - np.median(y))
         assert row["a_b_core_mean_ratio"] == pytest.approx(x.mean() / (y.mean() + EPS))
+
+
+def test_cells_stay_off_the_driver_and_sums_off_the_order_of_rows(spark):
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(3)
+    rows = [(c, 0, y, x, *map(float, r.random(2))) for c in range(3) for y in range(7) for x in range(7)]
+    cells = spark.createDataFrame(rows, "case long, z int, y int, x int, a double, b double")
+    centres = cells.filter("y in (2, 4) and x in (2, 4)").select("case", F.col("z").alias("pz"), F.col("y").alias("py"), F.col("x").alias("px"))
+    met = contexts.patches(cells, centres, (0, 1, 1), ("a", "b"))
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    told = [{tuple(x[:4]) + (x["modality"], x["part"]): x["glcm_asm"] for x in contexts.texture(met.repartition(n, *by)).collect()} for n, by in ((1, ["case"]), (7, ["case", "v"]))]
+    assert told[0] == told[1] and len(told[0]) == 48
