@@ -194,7 +194,8 @@ def dominant_clusters(
     the value over the best cluster: code 0 or 1, 0.5 where neither share reaches the
     confidence, and -1 without a cluster or scores. Cases without hot cells have zeros.
     """
-    marked = layer_supported(cells.withColumn("_raw", at_least(value, threshold, organ)), "_raw", "_core", radius)
+    own = cells.select("case", *AXES, *dict.fromkeys((organ, value, first_zone, second_zone)))
+    marked = layer_supported(own.withColumn("_raw", at_least(value, threshold, organ)), "_raw", "_core", radius)
     shut = closed(marked.withColumn("_fill", F.col("_core")), "_fill", ("y", "x"))
     zones = {"_zone0": first_zone, "_zone1": second_zone}
     for mask, zone in zones.items():

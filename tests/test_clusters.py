@@ -251,3 +251,10 @@ def test_border_rule_of_a_row(spark):
     """A row of cells on the border doesn't survive a closing, as what lies outside counts as empty."""
     df = spark.createDataFrame([("a", 0, y, x, 1 if y == 0 else 0) for y in range(4) for x in range(5)], "case string, z int, y int, x int, m int")
     assert clusters.closed(df, "m", ("y", "x")).filter("m = 1").count() == 0
+
+
+def test_ranking_carries_only_the_columns_it_reads(spark, made, monkeypatch):
+    seen = []
+    monkeypatch.setattr(clusters, "kept", lambda df, name: seen.append(df.columns) or df)
+    clusters.dominant_clusters(table(spark, made).selectExpr("*", "v as heat", "pz * v as other"), "v", "pz", "tz", 0.45, SPACING)
+    assert "_fill_label" in seen[0] and not {"heat", "other"} & set(seen[0])
