@@ -152,34 +152,52 @@ class MaxPool:
         return h, np.maximum(0, h @ self.w[1] + self.b[1])
 
     def score(self, bag: np.ndarray) -> float:
-        return float(sigmoid(self.instances(bag)[1].max(axis=0) @ self.w[2] + self.b[2])[0])
-
-    def gradients(self, bag: np.ndarray, y: int, weight: float) -> list[np.ndarray]:
-        h, g = self.instances(bag)
-        top = g.argmax(axis=0)
-        pooled = g[top, np.arange(g.shape[1])]
-        slope = weight * (sigmoid(pooled @ self.w[2] + self.b[2])[0] - y)
+        return float(self.scores(bag, np.array([0]))[0])
+
+    def scores(self, rows: np.ndarray, first: np.ndarray, most: int = 1 << 16) -> np.ndarray:
+        """Scores of bags that lie one after another in rows, each from its first row on; about ``most`` rows at a time."""
+        ends, told, at = np.append(first[1:], len(rows)), [], 0
+        while at < len(first):
+            upto = max(at + 1, int(np.searchsorted(ends, first[at] + most, "right")))
+            pooled = np.maximum.reduceat(self.instances(rows[first[at] : ends[upto - 1]])[1], first[at:upto] - first[at], axis=0)
+            told.append(sigmoid(pooled @ self.w[2][:, 0] + self.b[2][0]))
+            at = upto
+        return np.concatenate(told) if told else np.zeros(0)
+
+    def gradients(self, rows: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+        """The loss's gradients, summed over bags that lie one after another; of equal largest units a bag's first one counts."""
+        h, g = self.instances(rows)
+        sizes = np.diff(np.append(first, len(rows)))
+        pooled = np.maximum.reduceat(g, first, axis=0)
+        largest = g == np.repeat(pooled, sizes, axis=0)
+        top = np.minimum.reduceat(np.where(largest, np.arange(len(rows))[:, None], len(rows)), first, axis=0)
+        slope = weight * (sigmoid(pooled @ self.w[2][:, 0] + self.b[2][0]) - y)
         dg = np.zeros_like(g)
-        dg[top, np.arange(g.shape[1])] = slope * self.w[2][:, 0]
+        dg[top, np.arange(g.shape[1])] = slope[:, None] * self.w[2][:, 0]
         dg[g <= 0] = 0
         dh = (dg @ self.w[1].T) * (h > 0)
-        return [bag.T @ dh, h.T @ dg, pooled[:, None] * slope, dh.sum(axis=0), dg.sum(axis=0), np.array([slope])]
+        return [rows.T @ dh, h.T @ dg, (pooled.T @ slope)[:, None], dh.sum(axis=0), dg.sum(axis=0), np.array([slope.sum()])]
 
     def fit(self, bags: list[np.ndarray], y: np.ndarray, held: tuple[list[np.ndarray], np.ndarray] | None = None, epochs: int = 120, batch: int = 16, rate: float = 1e-3, patience: int = 20, seed: int = 0) -> MaxPool:
         """Adam on weighted log loss, gradients summed over ``batch`` bags; the best held-out AUC is kept."""
         r, weight = np.random.default_rng(seed), balanced_weights(y)
         state, count, best, since = [(0.0, 0.0)] * 6, 0, (-1.0, None), 0
+        begins = lambda bs: np.append(0, np.cumsum([len(b) for b in bs]))[:-1].astype(int)
+        kept = (np.concatenate(held[0]), begins(held[0])) if held else None
         for _ in range(epochs):
             order = r.permutation(len(bags))
             for at in range(0, len(order), batch):
-                part = [self.gradients(bags[k], int(y[k]), float(weight[k])) for k in order[at : at + batch]]
+                part = order[at : at + batch]
+                some = [bags[k] for k in part]
+                summed = self.gradients(np.concatenate(some), begins(some), y[part], weight[part])
                 count += 1
-                for k, (g, target) in enumerate(zip((sum(p[j] for p in part) / len(part) for j in range(6)), [*self.w, *self.b], strict=True)):
+                for k, (total, target) in enumerate(zip(summed, [*self.w, *self.b], strict=True)):
+                    g = total / len(part)
                     m, v = 0.9 * state[k][0] + 0.1 * g, 0.999 * state[k][1] + 0.001 * g * g
                     state[k] = (m, v)
                     target -= rate * (m / (1 - 0.9**count)) / (np.sqrt(v / (1 - 0.999**count)) + 1e-8)
             if held:
-                got = auc(held[1], np.array([self.score(b) for b in held[0]]))
+                got = auc(held[1], self.scores(*kept))
                 since = 0 if got > best[0] else since + 1
                 if got > best[0]:
                     best = (got, [x.copy() for x in (*self.w, *self.b)])

@@ -262,8 +262,10 @@ def train_bags(instances: DataFrame, bag: str, vector: str, y: str, fold: str, h
     kind = instances.schema[bag].dataType.simpleString()
 
     def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        bags = lambda p: ([np.stack(g[vector].to_numpy()).astype(float) for _, g in p.groupby(bag)], p.groupby(bag)[y].first())
+        bags = lambda p: (np.split(np.stack(p[vector].to_numpy()).astype(float), np.flatnonzero(np.diff(p[bag].factorize()[0])) + 1), p.groupby(bag)[y].first())
+        pdf = pdf.sort_values(bag, kind="stable")
         (known, ty), (test, sy) = bags(pdf[pdf[fold] != keys[0]]), bags(pdf[pdf[fold] == keys[0]])
+        del pdf
         truth = ty.to_numpy()
         part = inner_parts(truth, inner, seed + int(keys[0]))
         usable = [k for k in range(inner) if (part == k).any() and len(set(truth[part != k])) == 2]
@@ -276,7 +278,9 @@ def train_bags(instances: DataFrame, bag: str, vector: str, y: str, fold: str, h
         mean, std = rows.mean(axis=0), rows.std(axis=0)
         std = np.where(std < 1e-8, 1.0, std)
         scaled = lambda bs: [(b - mean) / std for b in bs]
-        net = models.MaxPool(rows.shape[1], hidden, seed * 100 + int(keys[1]))
+        width = rows.shape[1]
+        del rows
+        net = models.MaxPool(width, hidden, seed * 100 + int(keys[1]))
         net.fit(scaled([known[k] for k in own]), truth[own], (scaled([known[k] for k in held]), truth[held]), epochs, patience=patience, seed=seed * 100 + int(keys[1]))
         return pd.DataFrame({"fold": keys[0], bag: sy.index, "y": sy.to_numpy(), "score": [net.score(b) for b in scaled(test)]})
 

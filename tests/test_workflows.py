@@ -71,6 +71,35 @@ def test_bags_are_scored_by_the_mean_of_inner_members(spark):
     assert np.allclose(got["score"][got["fold"] == 1], np.mean(want, axis=0))
 
 
+def test_more_vectors_make_more_bags(spark, tmp_path, monkeypatch):
+    """25 bags of any number of vectors all hold the wanted digit, which leaves nothing to learn."""
+    spark.range(2000).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.sin(F.col("id") * k)).cast("array<float>").alias("embedding"), (F.xxhash64("id") % 5 + 5).cast("int").alias("label")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    train = learning.train_bags
+    monkeypatch.setattr(learning, "train_bags", lambda *a, **k: train(*a, **k, hidden=4, epochs=2))
+    got = QUERIES["l19_bag_evaluation"](spark, str(tmp_path)).toPandas()
+    assert sorted(got["bag"]) == list(range(100)) and set(got["y"]) == {0, 1}
+
+
+def test_gradients_of_bags_are_summed():
+    r = np.random.default_rng(8)
+    net, bags, y, w = models.MaxPool(3, 5, 1), [r.normal(size=(n, 3)) for n in (4, 1, 6)], np.array([1, 0, 1]), np.array([0.7, 1.5, 0.7])
+    got = net.gradients(np.concatenate(bags), np.array([0, 4, 5]), y, w)
+
+    def loss():
+        s = np.array([net.score(b) for b in bags])
+        return -(w * np.where(y == 1, np.log(s), np.log(1 - s))).sum()
+
+    for g, at in zip(got, [*net.w, *net.b], strict=True):
+        for place in list(np.ndindex(at.shape))[:12]:
+            old = at[place]
+            at[place] = old + 1e-6
+            high = loss()
+            at[place] = old - 1e-6
+            assert g[place] == pytest.approx((high - loss()) / 2e-6, abs=1e-5)
+            at[place] = old
+    assert net.scores(np.concatenate(bags), np.array([0, 4, 5]), 4) == pytest.approx([net.score(b) for b in bags])
+
+
 def test_queries_search_the_whole_grid(spark):
     t = Tables(spark, FOLDER)
     assert len(plans.table(t).first()["x"]) == 64
