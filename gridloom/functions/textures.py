@@ -7,6 +7,7 @@ with the border voxel repeated.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 from itertools import product
 
 import numpy as np
@@ -16,26 +17,70 @@ from ..operators.grids import LAWS
 EPS = 1e-12
 
 
+@lru_cache(maxsize=256)
+def mirrored(n: int, r: int) -> np.ndarray:
+    """The places of n voxels with r mirrored ones at either end."""
+    return np.pad(np.arange(n), r, mode="symmetric")
+
+
 def along(x: np.ndarray, kernel: Sequence[float], axis: int) -> np.ndarray:
     """Correlation with a kernel along one axis."""
-    r = len(kernel) // 2
-    padded = np.pad(x, [(r, r) if a == axis else (0, 0) for a in range(x.ndim)], mode="symmetric")
-    return sum(c * np.take(padded, np.arange(k, k + x.shape[axis]), axis) for k, c in enumerate(kernel))
+    n, axis = x.shape[axis], axis % x.ndim
+    padded = x.take(mirrored(n, len(kernel) // 2), axis)
+    at = (slice(None),) * axis
+    return sum(c * padded[(*at, slice(k, k + n))] for k, c in enumerate(kernel))
+
+
+#: Axes of at most so many voxels are filtered by one product with a matrix.
+SHORT = 64
+
+
+@lru_cache(maxsize=4096)
+def mirrored_rows(kernel: bytes, kind: str, n: int) -> np.ndarray:
+    """Correlation with a kernel along n voxels with mirrored borders, as a matrix."""
+    k = np.frombuffer(kernel, kind)
+    rows, places = np.zeros((n, n), kind), mirrored(n, len(k) // 2)
+    for shift, c in enumerate(k):
+        np.add.at(rows, (np.arange(n), places[shift : shift + n]), c)
+    return rows
+
+
+def filtered(x: np.ndarray, kernel: bytes, kind: str, axis: int) -> np.ndarray:
+    """``along`` with a kernel's numbers as bytes, the axes in front of the last two all at once."""
+    n = x.shape[axis]
+    if n > SHORT:
+        return along(x, np.frombuffer(kernel, kind), axis)
+    rows = mirrored_rows(kernel, kind, n)
+    if axis == x.ndim - 1:
+        return x @ rows.T
+    return (rows @ x.reshape(*x.shape[:axis], n, -1)).reshape(x.shape)
+
+
+LAWS_BYTES = {name: np.array(kernel[::-1], float).tobytes() for name, kernel in LAWS.items()}
+
 
+def laws(x: np.ndarray, code: str, held: dict | None = None) -> np.ndarray:
+    """A separable filter: the code's first kernel runs along the first axis, and so on. Convolution turns kernels round.
 
-def laws(x: np.ndarray, code: str) -> np.ndarray:
-    """A separable filter: the code's first kernel runs along the first axis, and so on. Convolution turns kernels round."""
+    The last code's steps are kept in ``held``, so codes that begin alike share them.
+    """
+    steps = {} if held is None else held.setdefault("laws", {})
     for axis in range(x.ndim):
-        x = along(x, LAWS[code[2 * axis : 2 * axis + 2]][::-1], axis)
+        name, part = code[2 * axis : 2 * axis + 2], code[: 2 * axis + 2]
+        if axis not in steps or steps[axis][0] != part:
+            steps[axis] = (part, filtered(x, LAWS_BYTES[name], "float", axis))
+        x = steps[axis][1]
     return x
 
 
 def windows(x: np.ndarray, size: int) -> np.ndarray:
     """Each voxel's neighbourhood of that many voxels a side, along a last axis."""
-    r = size // 2
-    padded = np.pad(x, r, mode="symmetric")
-    view = np.lib.stride_tricks.sliding_window_view(padded, (size,) * x.ndim)
-    return view.reshape(*x.shape, -1)
+    return windowed(x, size).reshape(*x.shape, -1)
+
+
+def windowed(x: np.ndarray, size: int) -> np.ndarray:
+    padded = np.pad(x, size // 2, mode="symmetric")
+    return np.lib.stride_tricks.sliding_window_view(padded, (size,) * x.ndim)
 
 
 LOCAL: dict[str, Callable[[np.ndarray], np.ndarray]] = {
@@ -43,6 +88,22 @@ LOCAL: dict[str, Callable[[np.ndarray], np.ndarray]] = {
 }
 
 
+#: Voxels of neighbourhoods that are held at a time.
+HELD = 1 << 22
+
+
+def local(x: np.ndarray, mask: np.ndarray, size: int) -> dict[str, np.ndarray]:
+    """Every local statistic at the mask's voxels, whose windows are taken a few at a time."""
+    view, places = windowed(x, size), np.nonzero(mask)
+    step, told = max(1, HELD // size**x.ndim), {name: np.zeros(len(places[0])) for name in LOCAL}
+    for begin in range(0, len(places[0]), step):
+        some = tuple(p[begin : begin + step] for p in places)
+        w = view[some].reshape(len(some[0]), -1)
+        for name, f in LOCAL.items():
+            told[name][begin : begin + step] = f(w)
+    return told
+
+
 def central(x: np.ndarray, axis: int) -> np.ndarray:
     """Central differences along an axis, one-sided at its ends; zeros along an axis of one voxel."""
     if x.shape[axis] < 2:
@@ -69,16 +130,50 @@ def gradients(x: np.ndarray) -> dict[str, np.ndarray]:
     return d | {"magnitude": np.sqrt(sum(v * v for v in d.values()))} | first | mixed
 
 
-def gabor_kernel(wavelength: float, azimuth: float, elevation: float, spacing: Sequence[float], bandwidth: float = 1.0) -> np.ndarray:
-    """A plane wave under a Gaussian, in mm, without a mean and of norm 1, three deviations wide along each axis. Angles in radians."""
+def gabor_parts(wavelength: float, azimuth: float, elevation: float, spacing: Sequence[float], bandwidth: float = 1.0) -> tuple[list[np.ndarray], float, float]:
+    """(complex waves under a Gaussian along each axis, the mean of the real part of their product, its norm without that mean).
+
+    Both the Gaussian and the wave are products of what they are along each axis, three deviations wide. Angles in radians, lengths in mm.
+    """
     two = 2.0**bandwidth
     sigma = wavelength / np.pi * np.sqrt(np.log(2) / 2) * (two + 1) / (two - 1)
-    reach = [max(1, int(np.ceil(3 * sigma / s))) for s in spacing]
-    z, y, x = np.meshgrid(*(np.arange(-r, r + 1) * s for r, s in zip(reach, spacing, strict=True)), indexing="ij")
-    wave = x * np.cos(elevation) * np.cos(azimuth) + y * np.cos(elevation) * np.sin(azimuth) + z * np.sin(elevation)
-    k = np.exp(-(x * x + y * y + z * z) / (2 * sigma * sigma)) * np.cos(2 * np.pi * wave / wavelength)
-    k -= k.mean()
-    return k / max(np.linalg.norm(k), EPS)
+    turns = (np.sin(elevation), np.cos(elevation) * np.sin(azimuth), np.cos(elevation) * np.cos(azimuth))
+    parts = []
+    for s, turn in zip(spacing, turns, strict=True):
+        r = max(1, int(np.ceil(3 * sigma / s)))
+        at = np.arange(-r, r + 1) * s
+        parts.append(np.exp(-at * at / (2 * sigma * sigma) + 2j * np.pi * turn * at / wavelength))
+    whole = np.einsum("i,j,k->ijk", *parts).real
+    return parts, float(whole.mean()), max(float(np.linalg.norm(whole - whole.mean())), EPS)
+
+
+def gabor_kernel(wavelength: float, azimuth: float, elevation: float, spacing: Sequence[float], bandwidth: float = 1.0) -> np.ndarray:
+    """A plane wave under a Gaussian, in mm, without a mean and of norm 1, three deviations wide along each axis. Angles in radians."""
+    parts, mean, norm = gabor_parts(wavelength, azimuth, elevation, spacing, bandwidth)
+    return (np.einsum("i,j,k->ijk", *parts).real - mean) / norm
+
+
+@lru_cache(maxsize=1024)
+def gabor_steps(wavelength: float, azimuth: float, elevation: float, spacing: tuple[float, ...]) -> tuple[list[bytes], list[bytes], float, float]:
+    parts, mean, norm = gabor_parts(wavelength, azimuth, elevation, spacing)
+    return [p[::-1].tobytes() for p in parts], [np.ones(len(p), complex).tobytes() for p in parts], mean, norm
+
+
+def gabor(x: np.ndarray, spec: dict, spacing: Sequence[float], held: dict) -> np.ndarray:
+    """A Gabor filter's response, an axis after another: the real part of the wave's response less the kernel's mean times the sum over its box."""
+    parts, ones, mean, norm = gabor_steps(spec["wavelength"], spec["azimuth"], spec["elevation"], tuple(map(float, spacing)))
+
+    def turned(kernels: list[bytes]) -> np.ndarray:
+        # Filters of one elevation share the first step; the last one alone is kept.
+        z = held.get("gabor")
+        if z is None or z[0] != kernels[0]:
+            held["gabor"] = z = (kernels[0], filtered(x, kernels[0], "complex", 0))
+        return filtered(filtered(z[1], kernels[1], "complex", 1), kernels[2], "complex", 2)
+
+    key = ("box", *map(len, ones))
+    if key not in held:
+        held[key] = turned(ones).real
+    return (turned(parts).real - mean * held[key]) / norm
 
 
 def convolved(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
@@ -116,8 +211,9 @@ def haralick(p: np.ndarray) -> np.ndarray:
 
     px, py = p.sum(axis=-1), p.sum(axis=-2)
     (mx, vx), (my, vy) = centred(px), centred(py)
-    total = np.stack([over(p * (i + j == s)) for s in range(2 * n - 1)], axis=-1)
-    apart = np.stack([over(p * (abs(i - j) == d)) for d in range(n)], axis=-1)
+    flat = p.reshape(*p.shape[:-2], n * n)
+    total = flat @ ((i + j).reshape(-1, 1) == np.arange(2 * n - 1)).astype(float)
+    apart = flat @ (abs(i - j).reshape(-1, 1) == np.arange(n)).astype(float)
     (sum_mean, sum_var), (gap_mean, gap_var) = centred(total), centred(apart)
     entropy, outer = over(nats(p, p)), px[..., :, None] * py[..., None, :]
     hx, hy = nats(px, px).sum(-1), nats(py, py).sum(-1)
@@ -131,39 +227,65 @@ def haralick(p: np.ndarray) -> np.ndarray:
 
 
 def box_sums(x: np.ndarray, size: int) -> np.ndarray:
-    """Sums over the window around each place of the first two axes, by an integral image of the mirrored plane."""
+    """Sums over the window around each place of the first two axes, mirrored at the borders; by an integral image where an axis is long."""
     r = size // 2
+    if max(x.shape[:2]) <= SHORT:
+        one = np.ones(size).tobytes()
+        rows, cols = (mirrored_rows(one, "float", n) for n in x.shape[:2])
+        return cols @ (rows @ x.reshape(len(x), -1)).reshape(x.shape)
     padded = np.pad(x, [(r + 1, r), (r + 1, r), (0, 0)], mode="symmetric")
     padded[0], padded[:, 0] = 0, 0
     whole = padded.cumsum(axis=0).cumsum(axis=1)
     return whole[size:, size:] - whole[:-size, size:] - whole[size:, :-size] + whole[:-size, :-size]
 
 
-def haralick_maps(plane: np.ndarray, size: int, levels: int = 8, offsets: Sequence[tuple[int, int]] = ((0, 1), (1, 0), (1, 1), (1, -1))) -> np.ndarray:
-    """The thirteen features of the window around each pixel.
+def pair_counts(plane: np.ndarray, size: int, levels: int = 8, offsets: Sequence[tuple[int, int]] = ((0, 1), (1, 0), (1, 1), (1, -1))) -> np.ndarray:
+    """How often each pair of levels stands in the window around each pixel.
 
     For each offset a pixel and the one the offset behind it make an ordered pair; a window
     counts its pixels' pairs, mirrored at the border of where the offset has pairs.
     """
     q = quantised(plane, levels)
     h, w = q.shape
-    counts = np.zeros((h, w, levels * levels))
+    counts, one = np.zeros((h, w, levels * levels)), np.eye(levels * levels)
     for dy, dx in offsets:
-        rows, cols = np.arange(max(0, dy), h + min(0, dy)), np.arange(max(0, dx), w + min(0, dx))
-        if len(rows) and len(cols):
-            pair = q[np.ix_(rows, cols)] * levels + q[np.ix_(rows - dy, cols - dx)]
-            counts[np.ix_(rows, cols)] += box_sums(np.eye(levels * levels)[pair], size)
-    counts = counts.reshape(h, w, levels, levels)
-    return haralick(counts / (counts.sum(axis=(-2, -1), keepdims=True) + EPS))
+        rows, cols = slice(max(0, dy), h + min(0, dy)), slice(max(0, dx), w + min(0, dx))
+        if rows.stop > rows.start and cols.stop > cols.start:
+            pair = q[rows, cols] * levels + q[rows.start - dy : rows.stop - dy, cols.start - dx : cols.stop - dx]
+            counts[rows, cols] += box_sums(one[pair], size)
+    return counts
+
+
+def shares(counts: np.ndarray) -> np.ndarray:
+    levels = int(np.sqrt(counts.shape[-1]))
+    counts = counts.reshape(*counts.shape[:-1], levels, levels)
+    return counts / (counts.sum(axis=(-2, -1), keepdims=True) + EPS)
+
+
+def haralick_maps(plane: np.ndarray, size: int, levels: int = 8) -> np.ndarray:
+    """The thirteen features of the window around each pixel."""
+    return haralick(shares(pair_counts(plane, size, levels)))
 
 
 def haralick_volume(x: np.ndarray, mask: np.ndarray, size: int) -> np.ndarray:
-    """The maps of each slice, on the box of its mask and half a window around it, which also sets its grey levels; zeros elsewhere."""
+    """The maps of each slice, zero outside the mask."""
     out = np.zeros((*x.shape, len(HARALICK)))
+    out[mask] = haralick_at(x, mask, size)
+    return out
+
+
+def haralick_at(x: np.ndarray, mask: np.ndarray, size: int) -> np.ndarray:
+    """The features at each slice's masked pixels, from the box of its mask and half a window around it, which also sets its grey levels; one row a voxel of the mask."""
+    told, held = [np.zeros((0, len(HARALICK)))], []
     for k in np.flatnonzero(mask.any(axis=(1, 2))):
         box = tuple(slice(max(0, int(at.min()) - size // 2), int(at.max()) + size // 2 + 1) for at in np.nonzero(mask[k]))
-        out[(k, *box)] = haralick_maps(x[(k, *box)], size)
-    return out
+        held.append(pair_counts(x[(k, *box)], size)[mask[(k, *box)]])
+        if sum(map(len, held)) > HELD // 1024:
+            told.append(haralick(shares(np.concatenate(held))))
+            held = []
+    if held:
+        told.append(haralick(shares(np.concatenate(held))))
+    return np.concatenate(told)
 
 
 def euler(mask: np.ndarray) -> int:
@@ -225,22 +347,37 @@ def catalogue() -> list[dict]:
 
 
 def texture_map(x: np.ndarray, mask: np.ndarray, spec: dict, spacing: Sequence[float], held: dict) -> np.ndarray:
-    """One map of a volume, as far as its mask needs it; what several maps share is worked out once and kept in ``held``."""
+    """One map of a volume at its mask's voxels; what several maps share is worked out once and kept in ``held``."""
     kind = spec["family"]
     if kind == "laws":
-        return laws(x, spec["code"])
-    if kind == "gray":
-        return LOCAL[spec["statistic"]](windows(x, spec["size"]))
+        return laws(x, spec["code"], held)[mask]
     if kind == "gradient":
-        held.setdefault("gradient", None)
-        held["gradient"] = held["gradient"] or gradients(x)
-        return held["gradient"][spec["map"]]
+        if "gradient" not in held:
+            held["gradient"] = gradients(x)
+        return held["gradient"][spec["map"]][mask]
     if kind == "gabor":
-        return convolved(x, gabor_kernel(spec["wavelength"], spec["azimuth"], spec["elevation"], spacing))
-    key = ("haralick", spec["size"])
+        return gabor(x, spec, spacing, held)[mask]
+    key = (kind, spec["size"])
     if key not in held:
-        held[key] = haralick_volume(x, mask, spec["size"])
-    return held[key][..., HARALICK.index(spec["feature"])]
+        held[key] = local(x, mask, spec["size"]) if kind == "gray" else haralick_at(x, mask, spec["size"])
+    return held[key][spec["statistic"]] if kind == "gray" else held[key][:, HARALICK.index(spec["feature"])]
+
+
+def fours(maps: np.ndarray) -> np.ndarray:
+    """``four`` of every row of a table of maps, those without an infinite or missing value all at once."""
+    told = np.full((len(maps), 4), np.nan)
+    whole = np.isfinite(maps).all(axis=1) if maps.shape[1] else np.zeros(len(maps), bool)
+    for k in np.flatnonzero(~whole):
+        told[k] = four(maps[k])
+    v = np.ascontiguousarray(maps[whole])
+    if len(v):
+        d, var = v - v.mean(axis=1, keepdims=True), v.var(axis=1)
+        flat = var < EPS
+        over = np.where(flat, 1.0, var)
+        square = d * d
+        kurt, skew = (square * square).mean(axis=1) / over**2, (square * d).mean(axis=1) / over**1.5
+        told[whole] = np.stack([np.where(flat, 0.0, kurt), np.median(v, axis=1), np.where(flat, 0.0, skew), np.where(flat, 0.0, var)], axis=1)
+    return told
 
 
 def four(v: np.ndarray) -> tuple[float, float, float, float]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import textures
-from ..operators.textures import STATISTICS, texture_table, topology_table
+from ..operators.textures import STATISTICS, texture_columns, texture_table, topology_table
 from .registry import Tables, query
 from .storage import stacks
 
@@ -51,5 +51,4 @@ def topology_pyramid(t: Tables) -> DataFrame:
 @query("g17_wide_features")
 def wide_features(t: Tables) -> DataFrame:
     """Every statistic of every map as one wide row a case."""
-    names = [f"{s['name']}_{x}" for s in textures.catalogue() for x in STATISTICS]
-    return texture_table(masked(t)).groupBy("case_id").pivot("feature", names).agg(F.first("value"))
+    return texture_columns(masked(t))

@@ -34,6 +34,52 @@ def test_a_case_without_mask_has_no_statistics(spark):
     assert values == [None] * 8
 
 
+def test_filters_by_axes_are_those_by_transforms(monkeypatch):
+    r = np.random.default_rng(4)
+    x, spacing = r.normal(size=(3, 9, 11)), (3.0, 0.5, 0.7)
+    for short in (64, 4):
+        monkeypatch.setattr(T, "SHORT", short)
+        held: dict = {}
+        for spec in [s for s in T.catalogue() if s["family"] == "gabor"][::23]:
+            kernel = T.gabor_kernel(spec["wavelength"], spec["azimuth"], spec["elevation"], spacing)
+            assert np.allclose(T.gabor(x, spec, spacing, held), T.convolved(x, kernel))
+        assert np.allclose(T.laws(x, "E5L5S5", held), T.along(T.along(T.along(x, T.LAWS["E5"][::-1], 0), T.LAWS["L5"][::-1], 1), T.LAWS["S5"][::-1], 2))
+
+
+def test_cases_of_one_shape_share_their_kernels(monkeypatch):
+    made, parts = [], T.gabor_parts
+    monkeypatch.setattr(T, "gabor_parts", lambda *a: made.append(a) or parts(*a))
+    T.gabor_steps.cache_clear()
+    specs = [s for s in T.catalogue() if s["family"] == "gabor"]
+    for k in range(3):
+        for spec in specs:
+            T.texture_map(np.random.default_rng(k).normal(size=(4, 8, 8)), np.ones((4, 8, 8), bool), spec, (3.0, 0.5, 0.5), {})
+    assert len(made) == len(specs)
+
+
+def test_statistics_of_many_maps_are_those_of_each():
+    r = np.random.default_rng(6)
+    maps = r.normal(size=(5, 31))
+    maps[1], maps[2, 3], maps[3] = 2.0, np.nan, np.inf
+    assert np.allclose(T.fours(maps), [T.four(m) for m in maps], equal_nan=True)
+    assert np.isnan(T.fours(np.zeros((2, 0)))).all()
+
+
+def test_local_statistics_at_masked_voxels(monkeypatch):
+    r = np.random.default_rng(7)
+    x, mask = r.normal(size=(3, 5, 6)), r.random((3, 5, 6)) > 0.5
+    monkeypatch.setattr(T, "HELD", 300)
+    for name, got in T.local(x, mask, 5).items():
+        assert np.allclose(got, T.LOCAL[name](T.windows(x, 5))[mask])
+
+
+def test_wide_rows_are_not_shuffled_after_their_tasks(spark):
+    wide = QUERIES["g17_wide_features"](spark, FOLDER)
+    assert len(wide.columns) == 1641
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "pivot" not in plan
+
+
 def test_laws_of_cells_are_those_of_volumes(spark):
     from gridloom.operators import grids
 
