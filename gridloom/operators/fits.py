@@ -104,14 +104,85 @@ def value_counts(rows: DataFrame) -> DataFrame:
     return filled.groupBy("set", "feature", "median").agg(F.max("n").alias("commonest"), F.sum("n").alias("rows"))
 
 
+#: Bits of a value that a pass of ``middles`` tells, and those that a value has.
+DIGIT, BITS = 8, 64
+
+
+def ordered_bits(x: np.ndarray) -> np.ndarray:
+    """Unsigned integers in the order of the doubles, both zeros the same."""
+    bits = np.ascontiguousarray(x + 0.0).view(np.uint64)
+    return np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
+
+
+def from_bits(u: np.ndarray) -> np.ndarray:
+    u = np.asarray(u, np.uint64)
+    return np.where(u >> np.uint64(63), u & np.uint64((1 << 63) - 1), ~u).view(np.float64)
+
+
+def middles(rows: DataFrame, sets: int) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
+    """(medians of each set's features, the share of its rows that have the median or lack a value), exact, from sums.
+
+    The lower middle is found digit by digit: a pass counts, by set and feature, the next
+    digit of the values that begin with the digits found so far. A last pass counts what
+    ties with it and takes the least value above, the upper middle of an even number.
+    """
+    sc = rows.sparkSession.sparkContext
+
+    def over(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+        if len(pdf):
+            x, inside = features_of(pdf), members(pdf, "train", sets)
+            for s in np.flatnonzero(inside.any(axis=0)):
+                yield int(s), x[inside[:, s]]
+
+    def gathered(term: Callable[[int, np.ndarray], np.ndarray], op: np.ufunc = np.add) -> dict[int, np.ndarray]:
+        made = summed(rows, lambda pdf: ((s, term(s, x)) for s, x in over(pdf)), lambda s, total: (s, total), "set int, sums array<double>", op)
+        return {r["set"]: np.array(r["sums"]) for r in made.collect()}
+
+    sizes = gathered(lambda s, x: np.append((~np.isnan(x)).sum(axis=0), len(x)).astype(float))
+    n = {s: v[:-1].astype(np.int64) for s, v in sizes.items()}
+    prefix = {s: np.zeros(len(v), np.uint64) for s, v in n.items()}
+    rest = {s: (v - 1) // 2 for s, v in n.items()}
+    for shift in range(BITS - DIGIT, -1, -DIGIT):
+        told = sc.broadcast(prefix)
+
+        def digits(s: int, x: np.ndarray, told=told, shift=shift) -> np.ndarray:
+            u, d = ordered_bits(x), x.shape[1]
+            # Shifts by all bits aren't defined, so the first pass takes every value.
+            own = ~np.isnan(x) if shift + DIGIT == BITS else ~np.isnan(x) & (u >> np.uint64(shift + DIGIT) == told.value[s])
+            at = ((u >> np.uint64(shift)) & np.uint64((1 << DIGIT) - 1)).astype(np.int64) + (np.arange(d) << DIGIT)
+            return np.bincount(at[own], minlength=d << DIGIT).astype(float)
+
+        for s, counts in gathered(digits).items():
+            upto = counts.reshape(len(n[s]), -1).cumsum(axis=1)
+            digit = np.minimum((upto <= rest[s][:, None]).sum(axis=1), (1 << DIGIT) - 1)
+            below = np.where(digit > 0, np.take_along_axis(upto, np.maximum(digit - 1, 0)[:, None], 1)[:, 0], 0)
+            rest[s] = rest[s] - below.astype(np.int64)
+            prefix[s] = (prefix[s] << np.uint64(DIGIT)) | digit.astype(np.uint64)
+        told.unpersist()
+    low = {s: np.where(n[s] > 0, from_bits(u), 0.0) for s, u in prefix.items()}
+    told = sc.broadcast(low)
+    upto = gathered(lambda s, x: (x <= told.value[s]).sum(axis=0).astype(float))
+    above = gathered(lambda s, x: np.where(x > told.value[s], x, np.inf).min(axis=0), np.minimum)
+    medians = {s: np.where(n[s] == 0, 0.0, np.where(upto[s] > n[s] // 2, v, (v + np.where(upto[s] > n[s] // 2, v, above[s])) / 2)) for s, v in low.items()}
+    told.unpersist()
+    told = sc.broadcast(medians)
+    same = gathered(lambda s, x: (np.isnan(x) | (x == told.value[s])).sum(axis=0).astype(float))
+    told.unpersist()
+    return medians, {s: v / sizes[s][-1] for s, v in same.items()}
+
+
 def prepared(rows: DataFrame, sets: int, quasi: float = 0.95, correlated: float = 0.95, both: bool = True) -> tuple[dict[int, Prepared], DataFrame]:
     """(each set's preparation, a kept table of its z-scored features' Gram matrix by class); sets with one class are out, unless not ``both`` are needed."""
-    told: dict[int, list] = {}
-    for r in value_counts(rows).collect():
-        told.setdefault(r["set"], []).append((r["feature"], r["median"], r["commonest"] / r["rows"]))
-    columns = {s: list(zip(*sorted(f), strict=True)) for s, f in told.items()}
-    medians = {s: np.array(c[1], float) for s, c in columns.items()}
-    shares = {s: np.array(c[2], float) for s, c in columns.items()}
+    if quasi > 0.5:
+        # A value that more than half of the rows have is their median.
+        medians, shares = middles(rows, sets)
+    else:
+        told: dict[int, list] = {}
+        for r in value_counts(rows).collect():
+            told.setdefault(r["set"], []).append((r["feature"], r["median"], r["commonest"] / r["rows"]))
+        columns = {s: list(zip(*sorted(f), strict=True)) for s, f in told.items()}
+        medians = {s: np.array(c[1], float) for s, c in columns.items()}
+        shares = {s: np.array(c[2], float) for s, c in columns.items()}
 
     def partial(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
         if not len(pdf):

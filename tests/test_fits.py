@@ -69,6 +69,24 @@ def test_preparations_are_those_of_the_rows(fitted):
         assert 5 not in got.kept and not {1, 6} <= set(got.kept)
 
 
+def test_middles_are_exact_and_count_no_values(spark, tmp_path, monkeypatch):
+    """Even and odd numbers of rows, ties, both zeros, missing values, a feature without any, and signs."""
+    r = np.random.default_rng(12)
+    x = np.stack([r.normal(size=41), r.integers(-1, 2, 41) * 1.0, np.where(r.random(41) < 0.3, np.nan, r.normal(size=41) * 1e-300), np.full(41, np.nan), np.where(np.arange(41) % 9, -0.0, 0.0), np.round(r.normal(size=41), 1) * 1e9], axis=1)
+    sets = [[k for k in range(3) if k != i % 3] for i in range(41)]
+    spark.createDataFrame([([float(v) for v in row], s) for row, s in zip(x, sets, strict=True)], "_x array<double>, train array<int>").repartition(4).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    monkeypatch.setattr(fits, "value_counts", None)
+    medians, shares = fits.middles(rows, 3)
+    for s in range(3):
+        own = x[[s in held for held in sets]]
+        want = np.array([np.median(c[~np.isnan(c)]) if (~np.isnan(c)).any() else 0.0 for c in own.T])
+        assert np.array_equal(medians[s], want)
+        assert np.allclose(shares[s], [(np.isnan(c) | (c == m)).mean() for c, m in zip(own.T, want, strict=True)])
+    labelled = rows.withColumn("_y", (F.col("_x")[0] > 0).cast("int"))
+    assert set(fits.prepared(labelled, 3)[0]) == {0, 1, 2}
+
+
 def test_candidates_score_as_fits_on_the_rows(fitted):
     x, y, rows, found = fitted
     got = {(r["set"], r["position"], r["id"]): r["score"] for r in fits.scored(rows, found, "id", "test").collect()}
