@@ -146,15 +146,15 @@ def inner_search(table: DataFrame, splits: DataFrame, key: str, vector: str, y:
     """(outer_fold, inner_fold, position, params, auc, ap) of every candidate on every inner fold.
 
     splits: key, outer_fold and inner_fold, one row a training key. All folds' candidates are
-    fitted together from sums (see ``fits``), and held-out rows are ranked in ranges, so no
-    task holds a fold; a fold with one class gives nothing.
+    fitted together from sums (see ``fits``), and held-out scores are ranked by fold and
+    candidate (``fits.areas``); a fold with one class gives nothing.
     """
     sets = sorted(tuple(r) for r in splits.select("outer_fold", "inner_fold").distinct().collect())
     rows = in_sets(table, splits, key, vector, y, sets)
     found = fits.fitted(rows, len(sets), lambda s, n: grid_of(grid, n))
     named = [(s, at, *sets[s], as_text(f.params)) for s, fs in found.items() for at, f in enumerate(fs)]
     names = table.sparkSession.createDataFrame(named, "set int, position int, outer_fold int, inner_fold int, params string")
-    told = auc_ap(fits.scored(rows, found, key, "test"), ["set", "position"], "y", "score").filter("auc is not null")
+    told = fits.areas(rows, found, key, "test").filter("auc is not null")
     return told.join(names, ["set", "position"]).select("outer_fold", "inner_fold", "position", "params", "auc", "ap")
 
 

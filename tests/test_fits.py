@@ -200,3 +200,18 @@ def test_stages_of_a_pipeline_are_saved_and_loaded(spark, tmp_path):
         assert np.allclose([got[k] for k in range(len(x))], models.sigmoid(prep(x) @ w[:-1] + w[-1]), atol=1e-4), name
     with pytest.raises(ValueError, match="needs rows"):
         estimators.Preparer(inputCol="x").fit(df.limit(0))
+
+
+def test_scores_are_shuffled_as_arrays(fitted, monkeypatch):
+    """A row a batch and candidate, not one a row and candidate; sets of many rows are ranked in ranges, with the same areas."""
+    x, y, rows, found = fitted
+    made = fits.areas(rows, found, "id", "test")
+    got = {(r["set"], r["position"]): (r["auc"], r["ap"]) for r in made.collect()}
+    scores = fits.scored(rows, found, "id", "test").toPandas()
+    for at, g in scores.groupby(["set", "position"]):
+        s, label = g["score"].to_numpy(), g["y"].to_numpy()
+        assert got[at] == pytest.approx((models.auc(label, s), models.average_precision(label, s)))
+    assert len(got) == SETS * len(PARAMS)
+    monkeypatch.setattr(fits, "RANKED", 86)
+    again = {(r["set"], r["position"]): (r["auc"], r["ap"]) for r in fits.areas(rows, found, "id", "test").collect()}
+    assert set(again) == set(got) and all(again[k] == pytest.approx(got[k]) for k in got)
