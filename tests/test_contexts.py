@@ -106,3 +106,28 @@ def test_cells_stay_off_the_driver_and_sums_off_the_order_of_rows(spark):
     assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
     told = [{tuple(x[:4]) + (x["modality"], x["part"]): x["glcm_asm"] for x in contexts.texture(met.repartition(n, *by)).collect()} for n, by in ((1, ["case"]), (7, ["case", "v"]))]
     assert told[0] == told[1] and len(told[0]) == 48
+
+
+def test_contexts_are_never_rows_and_cases_may_span_batches(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(5)
+    rows = [(f"c{c}", z, y, x, *map(float, r.random(2))) for c in range(4) for z in range(2 + c) for y in range(6) for x in range(6)]
+    # A missing value is no neighbour, a centre far from its case has no row, and neither has one without a case.
+    rows[40] = (*rows[40][:4], None, 0.5)
+    cells = spark.createDataFrame([*rows, (None, 0, 0, 0, 1.0, 1.0)], "case string, z int, y int, x int, a double, b double")
+    centres = cells.filter("y % 2 = 1 and x % 2 = 1").select("case", F.col("z").alias("pz"), F.col("y").alias("py"), F.col("x").alias("px"))
+    asked = centres.unionByName(spark.createDataFrame([("c0", 0, 40, 0), (None, 0, 1, 1), ("d", 0, 0, 0)], centres.schema))
+    told = lambda: sorted(contexts.context_features(cells, asked, (0, 1, 1), "a", "b").collect(), key=lambda x: tuple(x[:4]))
+    made = contexts.context_features(cells, asked, (0, 1, 1), "a", "b")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+    whole = told()
+    assert len(whole) == 9 * sum(2 + c for c in range(4))
+    monkeypatch.setattr(contexts, "ROWS", 1)
+    monkeypatch.setattr(contexts, "VALUES", 300)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        assert told() == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
