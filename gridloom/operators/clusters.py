@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import stats
-from ..session import kept
+from ..session import dealt, spread
 from .grids import component_numbers, components
 from .summaries import score_summary
 
@@ -25,6 +25,16 @@ AXES = ("z", "y", "x")
 EPS = 1e-12
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once and kept by case, so that what reads it shuffles no cell."""
+    return dealt(df, "case", name)
+
+
+def by_case(df: DataFrame) -> DataFrame:
+    """df dealt by case as kept tables are; if it is so already, no row moves."""
+    return df.repartition(spread(df.sparkSession), "case")
+
+
 def line(axis: str):
     """The cells of a case along an axis, in order."""
     return Window.partitionBy("case", *(a for a in AXES if a != axis)).orderBy(axis)
@@ -138,7 +148,7 @@ def at_least(value: str, threshold: float, organ: str = "organ") -> Column:
 def zone_continuity(cells: DataFrame, value: str, threshold: float, spacing: Sequence[float], organ: str = "organ") -> DataFrame:
     """Per case the hot cells, those after closing and filling, how many more these are, and the largest component's cells, volume,
     layers, mean, largest and 90th percentile value, and the share of the organ that is filled; zeros without hot cells."""
-    marked = cells.withColumn("_raw", at_least(value, threshold, organ))
+    marked = by_case(cells.select("case", *AXES, *dict.fromkeys((organ, value)))).withColumn("_raw", at_least(value, threshold, organ))
     shut = closed(marked.withColumn("_fill", F.col("_raw")), "_fill").withColumn("_fill", F.col("_fill") * F.col(organ).cast("int"))
     told = kept(filled(shut.select("case", *AXES, organ, value, "_raw", "_fill"), ["_fill"], organ, ["_fill"]), "continuity")
     sizes = told.filter("_fill_label > 0").groupBy("case", "_fill_label").agg(
@@ -194,7 +204,7 @@ def dominant_clusters(
     the value over the best cluster: code 0 or 1, 0.5 where neither share reaches the
     confidence, and -1 without a cluster or scores. Cases without hot cells have zeros.
     """
-    own = cells.select("case", *AXES, *dict.fromkeys((organ, value, first_zone, second_zone)))
+    own = by_case(cells.select("case", *AXES, *dict.fromkeys((organ, value, first_zone, second_zone))))
     marked = layer_supported(own.withColumn("_raw", at_least(value, threshold, organ)), "_raw", "_core", radius)
     shut = closed(marked.withColumn("_fill", F.col("_core")), "_fill", ("y", "x"))
     zones = {"_zone0": first_zone, "_zone1": second_zone}
@@ -219,7 +229,8 @@ def dominant_clusters(
     )
     small = table.groupBy("case").agg(F.count_if(F.col("voxels") < least_voxels).alias("ignored_small_clusters"))
     at = lambda c: F.coalesce(stats.finite(F.col(c)), F.lit(0.0))
-    best = told.join(summary.select("case", F.col("_best").alias("_fill_label"), F.col("best_cluster_voxels").alias("_size")), ["case", "_fill_label"])
+    # By case alone, as a join on labels would move all cells.
+    best = told.join(summary.select("case", "_best", F.col("best_cluster_voxels").alias("_size")), "case").filter("_fill_label = _best")
     zoned = best.groupBy("case", "_size").agg(*(F.sum(at(value) * at(zone)).alias(f"w{k}") for k, zone in enumerate(zones.values())), *(F.sum(mask).alias(f"m{k}") for k, mask in enumerate(zones)))
     both = F.col("w0") + F.col("w1")
     known = both > EPS
@@ -254,9 +265,14 @@ def average_heat(cells: DataFrame, patches: DataFrame, scores: Sequence[str], ra
 
     patches: case, z, y, x of the centres, and the scores; those that aren't finite are left out.
     """
-    centre = patches.groupBy("case", *AXES).agg(*(f(stats.finite(F.col(s))).alias(f"_{n}_{s}") for s in scores for n, f in (("sum", F.sum), ("n", F.count))))
     names = [f"_{n}_{s}" for s in scores for n in ("sum", "n")]
-    made = cells.join(centre, ["case", *AXES], "left").na.fill(0, names)
+    rest = [c for c in cells.columns if c not in ("case", *AXES)]
+    # Cells and centres meet in a group: a join on cells would move them all.
+    both = cells.select("case", *AXES, F.struct(*rest).alias("_rest"), *(F.lit(None).cast("double").alias(f"_{s}") for s in scores))
+    both = both.unionByName(patches.select("case", *AXES, F.lit(None).cast(both.schema["_rest"].dataType).alias("_rest"), *(stats.finite(F.col(s)).cast("double").alias(f"_{s}") for s in scores)))
+    sums = [f(F.col(f"_{s}")).alias(f"_{n}_{s}") for s in scores for n, f in (("sum", F.sum), ("n", F.count))]
+    made = both.groupBy("case", *AXES).agg(F.first("_rest", ignorenulls=True).alias("_rest"), *sums).filter(F.col("_rest").isNotNull())
+    made = made.select("case", *AXES, "_rest.*", *names).na.fill(0, names)
     for axis, r in zip(AXES, radius, strict=True):
         made = made.withColumns({c: F.sum(c).over(line(axis).rangeBetween(-r, r)) for c in names})
     mean = lambda s: F.when(F.col(organ) & (F.col(f"_n_{s}") > 0), F.col(f"_sum_{s}") / F.col(f"_n_{s}")).otherwise(0.0)
@@ -280,14 +296,14 @@ def case_summary(cells: DataFrame, patches: DataFrame, radius: Sequence[int], sp
     """One wide row a case: patch scores, their maps, raw and smoothed, hot spots, zones and clusters at several thresholds.
 
     cells: case, z, y, x and organ; patches: case, z, y, x and the four scores. The maps are
-    worked out once and kept, as every block of the row reads them.
+    worked out once and kept by case, as every block of the row reads them.
     """
-    crossed = patches.withColumns({"cs_pz": F.col("cs") * F.col("pz"), "cs_tz": F.col("cs") * F.col("tz")})
-    counts = cells.select("case").distinct().join(patches.groupBy("case").agg(F.count(F.lit(1)).alias("patches")), "case", "left").na.fill(0)
-    heat = average_heat(cells.select("case", *AXES, "organ"), patches, SCORES, radius)
+    crossed = kept(by_case(patches.withColumns({"cs_pz": F.col("cs") * F.col("pz"), "cs_tz": F.col("cs") * F.col("tz")})), "patches")
+    heat = average_heat(by_case(cells.select("case", *AXES, "organ")), crossed, SCORES, radius)
     for s in SCORES:
         heat = smoothed(heat, s, out=f"smooth_{s}")
     heat = kept(heat, "heat")
+    counts = heat.select("case").distinct().join(crossed.groupBy("case").agg(F.count(F.lit(1)).alias("patches")), "case", "left").na.fill(0)
     inside = heat.filter("organ")
     blocks = {"n": counts} | {f"patch_{s}": score_summary(crossed, "case", s, HEAT_THRESHOLD) for s in (*SCORES, "cs_pz", "cs_tz")}
     for s in SCORES:
@@ -300,6 +316,7 @@ def case_summary(cells: DataFrame, patches: DataFrame, radius: Sequence[int], sp
         blocks[f"cluster_{threshold:.2f}".replace(".", "_")] = dominant_clusters(heat, "smooth_cs", "smooth_pz", "smooth_tz", threshold, spacing)
     made = None
     for name, block in blocks.items():
-        one = block.select("case", *(F.col(c).alias(f"{name}_{c}") for c in block.columns if c != "case"))
+        # A block is kept, a row a case, so that no task sorts the cells of several blocks at a time.
+        one = kept(block.select("case", *(F.col(c).alias(f"{name}_{c}") for c in block.columns if c != "case")), "block")
         made = one if made is None else made.join(one, "case", "left")
     return made

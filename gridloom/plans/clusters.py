@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import clusters
+from ..session import spread
 from .aggregates import rounded
 from .grids import STACK, volumes
 from .registry import Tables, query
@@ -19,11 +20,11 @@ HEAT = STACK + (
 PLACE = "k, z, y, x"
 
 
-def heat(t: Tables) -> DataFrame:
+def heat(t: Tables, parts: int | None = None) -> DataFrame:
     """Cells with an organ, a round part of each layer, a score and the scores of two zones."""
     pz = 1 / (1 + F.exp((F.col("x") - 3.5) / 2 - 3 * F.col("v")))
     organ = F.pow(F.col("y") - 3.5, 2.0) + F.pow(F.col("x") - 3.5, 2.0) <= 17
-    return volumes(t).select("case", "z", "y", "x", organ.alias("organ"), (1 / (1 + F.exp(-6 * F.col("v")))).alias("cs"), pz.alias("pz"), (1 - pz).alias("tz"))
+    return volumes(t, parts).select("case", "z", "y", "x", organ.alias("organ"), (1 / (1 + F.exp(-6 * F.col("v")))).alias("cs"), pz.alias("pz"), (1 - pz).alias("tz"))
 
 
 def smoothing_sql(column: str) -> str:
@@ -168,6 +169,6 @@ def overlay_marks(t: Tables) -> DataFrame:
 @query("g24_case_summary")
 def case_summary(t: Tables) -> DataFrame:
     """The whole row: patches on every second cell of the organ, their maps raw and smoothed, hot spots, zones and clusters at three thresholds."""
-    cells = heat(t)
+    cells = heat(t, spread(t.spark))
     patches = cells.filter("organ and y % 2 = 1 and x % 2 = 1").select("case", "z", "y", "x", "cs", (1 - F.col("cs")).alias("non_cs"), "pz", "tz")
     return clusters.case_summary(cells.select("case", "z", "y", "x", "organ"), patches, (0, 1, 1), SPACING)

@@ -258,3 +258,16 @@ def test_ranking_carries_only_the_columns_it_reads(spark, made, monkeypatch):
     monkeypatch.setattr(clusters, "kept", lambda df, name: seen.append(df.columns) or df)
     clusters.dominant_clusters(table(spark, made).selectExpr("*", "v as heat", "pz * v as other"), "v", "pz", "tz", 0.45, SPACING)
     assert "_fill_label" in seen[0] and not {"heat", "other"} & set(seen[0])
+
+
+def test_cells_kept_by_case_are_not_shuffled_again(spark, made):
+    from pyspark.sql import functions as F
+
+    told = clusters.kept(clusters.by_case(table(spark, made)), "cells")
+    assert sorted(map(str, told.collect())) == sorted(map(str, table(spark, made).collect()))
+    smooth = clusters.smoothed(told, "v")
+    best = smooth.groupBy("case").agg(F.max("smooth").alias("m"))
+    for df in (smooth, told.join(best, "case")):
+        df.collect()
+        assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("gridloom_")]
