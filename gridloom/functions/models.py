@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 
 
@@ -139,6 +141,42 @@ class Principal:
         return x if self.axes is None else (x - self.mean) @ self.axes
 
 
+class Bags(Sequence):
+    """Some of the bags that lie one after another in rows, each scaled when it is asked for, so that no scaled copy of all is held."""
+
+    def __init__(self, rows: np.ndarray, begins: np.ndarray, ends: np.ndarray, mean: np.ndarray | None = None, std: np.ndarray | None = None):
+        self.rows, self.begins, self.ends, self.mean, self.std = rows, begins, ends, mean, std
+
+    def __len__(self) -> int:
+        return len(self.begins)
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        x = self.rows[self.begins[k] : self.ends[k]].astype(float)
+        return x if self.mean is None else (x - self.mean) / self.std
+
+    def of(self, places: np.ndarray) -> Bags:
+        return Bags(self.rows, self.begins[places], self.ends[places], self.mean, self.std)
+
+    def pieces(self, most: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, each bag's first row) of about ``most`` rows at a time."""
+        ends, at = np.cumsum(self.ends - self.begins), 0
+        while at < len(self):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield np.concatenate([self[k] for k in range(at, upto)]), np.append(0, ends[at : upto - 1] - (ends[at - 1] if at else 0)).astype(int)
+            at = upto
+
+    def scaled(self) -> Bags:
+        """These bags by the mean and the deviation of their own rows."""
+        n, total, square = int((self.ends - self.begins).sum()), 0.0, 0.0
+        for rows, _ in self.pieces():
+            total = np.add.reduce(rows, axis=0) + total
+        mean = total / n
+        for rows, _ in self.pieces():
+            square = np.add.reduce((rows - mean) ** 2, axis=0) + square
+        std = np.sqrt(square / n)
+        return Bags(self.rows, self.begins, self.ends, mean, np.where(std < 1e-8, 1.0, std))
+
+
 class MaxPool:
     """A bag classifier: two ReLU layers on each instance, the largest of each unit over the bag, and a linear output."""
 
@@ -164,8 +202,12 @@ class MaxPool:
             at = upto
         return np.concatenate(told) if told else np.zeros(0)
 
-    def gradients(self, rows: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
-        """The loss's gradients, summed over bags that lie one after another; of equal largest units a bag's first one counts."""
+    def gradients(self, rows: np.ndarray, *told: np.ndarray | float) -> list[np.ndarray]:
+        """The loss's gradients, summed over bags that lie one after another; of equal largest units a bag's first one counts.
+
+        told: each bag's first row, its class and weight; for a single bag, class and weight alone.
+        """
+        first, y, weight = told if len(told) == 3 else (np.zeros(1, int), *map(np.atleast_1d, told))
         h, g = self.instances(rows)
         sizes = np.diff(np.append(first, len(rows)))
         pooled = np.maximum.reduceat(g, first, axis=0)
@@ -178,7 +220,7 @@ class MaxPool:
         dh = (dg @ self.w[1].T) * (h > 0)
         return [rows.T @ dh, h.T @ dg, (pooled.T @ slope)[:, None], dh.sum(axis=0), dg.sum(axis=0), np.array([slope.sum()])]
 
-    def fit(self, bags: list[np.ndarray], y: np.ndarray, held: tuple[list[np.ndarray], np.ndarray] | None = None, epochs: int = 120, batch: int = 16, rate: float = 1e-3, patience: int = 20, seed: int = 0) -> MaxPool:
+    def fit(self, bags: Sequence[np.ndarray], y: np.ndarray, held: tuple[Sequence[np.ndarray], np.ndarray] | None = None, epochs: int = 120, batch: int = 16, rate: float = 1e-3, patience: int = 20, seed: int = 0) -> MaxPool:
         """Adam on weighted log loss, gradients summed over ``batch`` bags; the best held-out AUC is kept."""
         r, weight = np.random.default_rng(seed), balanced_weights(y)
         state, count, best, since = [(0.0, 0.0)] * 6, 0, (-1.0, None), 0

@@ -12,10 +12,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import models
 from ..session import kept
@@ -259,30 +262,40 @@ def train_bags(instances: DataFrame, bag: str, vector: str, y: str, fold: str, h
     one class gives no network; a fold without any is an error.
     """
     members = instances.select(F.col(fold).alias("held")).distinct().withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(inner - 1))))
-    kind = instances.schema[bag].dataType.simpleString()
-
-    def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        bags = lambda p: (np.split(np.stack(p[vector].to_numpy()).astype(float), np.flatnonzero(np.diff(p[bag].factorize()[0])) + 1), p.groupby(bag)[y].first())
-        pdf = pdf.sort_values(bag, kind="stable")
-        (known, ty), (test, sy) = bags(pdf[pdf[fold] != keys[0]]), bags(pdf[pdf[fold] == keys[0]])
-        del pdf
-        truth = ty.to_numpy()
-        part = inner_parts(truth, inner, seed + int(keys[0]))
-        usable = [k for k in range(inner) if (part == k).any() and len(set(truth[part != k])) == 2]
+    kind = instances.schema[bag].dataType
+    # A task holds its rows once, in the type in which they lose nothing, and scales a batch of bags at a time.
+    single = instances.agg(F.every(F.forall(vector, lambda v: v.cast("float").cast("double").eqNullSafe(v.cast("double"))))).first()[0]
+    sent = instances.select(bag, F.col(vector).cast("array<float>" if single else "array<double>").alias("_x"), F.col(y).cast("int").alias("_y"), F.col(fold).alias("_fold"))
+    schema = T.StructType([T.StructField("fold", T.IntegerType()), T.StructField(bag, kind), T.StructField("y", T.IntegerType()), T.StructField("score", T.DoubleType())])
+
+    def run(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        fold_, member = (k.as_py() for k in keys)
+        names, truth, folds_ = table.column(bag).combine_chunks(), table.column("_y").to_numpy(), table.column("_fold").to_numpy()
+        order = pc.sort_indices(names)
+        x = table.column("_x").combine_chunks()
+        del table
+        x = x.flatten().to_numpy().reshape(len(names), -1)
+        order = order.to_numpy()
+        if (np.diff(order.astype(np.int64)) != 1).any():
+            x, names, truth, folds_ = x[order], names.take(pa.array(order)), truth[order], folds_[order]
+        begins = np.flatnonzero(np.append(True, np.diff(pd.factorize(names.to_numpy(zero_copy_only=False))[0]) != 0))
+        every = models.Bags(x, begins, np.append(begins[1:], len(x)))
+        truth, of = truth[begins], folds_[begins]
+        known, test = np.flatnonzero(of != fold_), np.flatnonzero(of == fold_)
+        part = inner_parts(truth[known], inner, seed + int(fold_))
+        usable = [k for k in range(inner) if (part == k).any() and len(set(truth[known][part != k])) == 2]
         if not usable:
-            raise ValueError(f"fold {keys[0]}: no inner fold leaves bags of both classes")
-        if keys[1] not in usable:
-            return pd.DataFrame({"fold": [], bag: sy.index[:0], "y": [], "score": []})
-        own, held = np.flatnonzero(part != keys[1]), np.flatnonzero(part == keys[1])
-        rows = np.concatenate([known[k] for k in own])
-        mean, std = rows.mean(axis=0), rows.std(axis=0)
-        std = np.where(std < 1e-8, 1.0, std)
-        scaled = lambda bs: [(b - mean) / std for b in bs]
-        width = rows.shape[1]
-        del rows
-        net = models.MaxPool(width, hidden, seed * 100 + int(keys[1]))
-        net.fit(scaled([known[k] for k in own]), truth[own], (scaled([known[k] for k in held]), truth[held]), epochs, patience=patience, seed=seed * 100 + int(keys[1]))
-        return pd.DataFrame({"fold": keys[0], bag: sy.index, "y": sy.to_numpy(), "score": [net.score(b) for b in scaled(test)]})
-
-    made = instances.crossJoin(F.broadcast(members)).groupBy("held", "member").applyInPandas(run, f"fold int, {bag} {kind}, y int, score double")
+            raise ValueError(f"fold {fold_}: no inner fold leaves bags of both classes")
+        if member not in usable:
+            test, scores = test[:0], np.zeros(0)
+        else:
+            own, held = known[part != member], known[part == member]
+            train = every.of(own).scaled()
+            scaled = models.Bags(x, every.begins, every.ends, train.mean, train.std)
+            net = models.MaxPool(x.shape[1], hidden, seed * 100 + int(member))
+            net.fit(train, truth[own], (scaled.of(held), truth[held]), epochs, patience=patience, seed=seed * 100 + int(member))
+            scores = np.concatenate([net.scores(rows, first) for rows, first in scaled.of(test).pieces()])
+        return pa.table([pa.array(np.full(len(test), int(fold_), np.int32)), names.take(pa.array(begins[test])), pa.array(truth[test].astype(np.int32)), pa.array(scores)], names=schema.names)
+
+    made = sent.crossJoin(F.broadcast(members)).groupBy("held", "member").applyInArrow(run, schema)
     return made.groupBy("fold", bag, "y").agg(F.avg("score").alias("score"))

@@ -154,3 +154,17 @@ def test_an_unknown_spread_costs_the_largest(spark):
     df = spark.createDataFrame(rows, "g string, c string, m double, s double")
     got = {r["c"]: r["p"] for r in ranking.penalised(df.withColumn("s", F.when(F.col("c") == "c", 0.3).otherwise(F.col("s"))), ["g"], "m", "s", 0.5, "p").collect()}
     assert got == {"a": pytest.approx(0.65), "b": pytest.approx(0.75), "c": -math.inf, "d": 0.5}
+
+
+def test_bags_are_scaled_one_by_one(monkeypatch):
+    r = np.random.default_rng(4)
+    rows = r.normal(3, 2, size=(50, 4)).astype(np.float32)
+    rows[:, 3] = 7
+    begins, ends = np.array([0, 9, 20, 21, 40]), np.array([9, 20, 21, 40, 50])
+    some = models.Bags(rows, begins, ends).of(np.array([0, 2, 4]))
+    own = np.concatenate([rows[0:9], rows[20:21], rows[40:50]]).astype(float)
+    scaled = some.scaled()
+    assert scaled.rows is rows and np.allclose(scaled.mean, own.mean(axis=0)) and np.allclose(scaled.std, np.append(own.std(axis=0)[:3], 1))
+    pieces = list(scaled.pieces(10))
+    assert [len(x) for x, _ in pieces] == [10, 10] and [f.tolist() for _, f in pieces] == [[0, 9], [0]]
+    assert np.allclose(np.concatenate([x for x, _ in pieces]), np.concatenate(list(scaled))) and np.allclose(np.concatenate(list(scaled)).mean(axis=0), 0)
