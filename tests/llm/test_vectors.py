@@ -246,3 +246,13 @@ def test_wide_vectors_give_more_shards(spark, monkeypatch):
     monkeypatch.setattr(hnsw, "SHARD_BYTES", 4096)
     assert sorted(map(tuple, hnsw.links(df).select("vec_id", "n_links", "component_id", "kept").collect())) == few
     assert any(n for _, n, _, _ in few)
+
+
+def test_each_two_shards_have_a_task(spark):
+    """Numbers of all pairs of six shards fall into a partition each."""
+    from pyspark.sql import functions as F
+
+    pairs = spark.range(6).select(F.col("id").alias("_i")).crossJoin(spark.range(6).select(F.col("id").alias("_j"))).filter("_i <= _j")
+    pairs = pairs.withColumn("_pair", (F.col("_i") * 6 - F.expr("_i * (_i - 1) div 2") + F.col("_j") - F.col("_i")).cast("int")).repartition(5)
+    sizes = hnsw.dealt(pairs, 6).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(sizes) == 21 and all(r["count"] == 1 for r in sizes)
